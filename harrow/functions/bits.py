@@ -46,8 +46,7 @@ def _shift(name: str, value: Column, by: Column) -> Column:
 def spn_bits(word: Column, shift, bit_len) -> Column:
     """``bit_len`` bits of a 64-bit word from bit ``shift`` up, as a bit pattern."""
     shift, bit_len = _num(shift), _num(bit_len)
-    mask = F.when(bit_len >= 64, F.lit(-1).cast("bigint")).otherwise(
-        _shift("shiftleft", F.lit(1).cast("bigint"), bit_len) - F.lit(1).cast("bigint"))
+    mask = _shift("shiftrightunsigned", F.lit(-1).cast("bigint"), F.lit(64) - bit_len)
     return _shift("shiftrightunsigned", word, shift).bitwiseAND(mask)
 
 

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-# The public geohash alphabet; fixed value.
+# Spark's base-32 digits and the public geohash alphabet; fixed values.
+_BASE_32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV"
 _ALPHABET = "0123456789bcdefghjkmnpqrstuvwxyz"
 
 
@@ -28,20 +29,23 @@ def _cell(coordinate: Column, full: int, bits: int) -> Column:
 
 
 def geohash(lat, lon, precision: int = 7) -> Column:
-    """Base-32 geohash; even bits are longitude, odd bits latitude."""
+    """Base-32 geohash; bits alternate, longitude first.
+
+    Binary digits read in base 4 are the bits spread to every other place, so
+    the two indexes interleave by one addition, and base 32 in Spark's digits
+    translates to the geohash alphabet.
+    """
     total = 5 * precision
     lon_bits, lat_bits = (total + 1) // 2, total // 2
-    x, y = _cell(_col(lon), 360, lon_bits), _cell(_col(lat), 180, lat_bits)
 
-    def letter(position: int) -> Column:
-        index = F.lit(0).cast("bigint")
-        for bit in range(5 * position, 5 * position + 5):
-            source, width = (x, lon_bits) if bit % 2 == 0 else (y, lat_bits)
-            one = F.shiftright(source, width - 1 - bit // 2).bitwiseAND(F.lit(1))
-            index = index + F.shiftleft(one, 4 - bit % 5)
-        return F.substring(F.lit(_ALPHABET), (index + 1).cast("int"), F.lit(1))
+    def spread(index: Column) -> Column:
+        return F.conv(F.bin(index), 4, 10).cast("bigint")
 
-    return F.concat(*[letter(i) for i in range(precision)])
+    x = spread(_cell(_col(lon), 360, lon_bits))
+    y = spread(_cell(_col(lat), 180, lat_bits))
+    code = x + F.shiftleft(y, 1) if total % 2 else F.shiftleft(x, 1) + y
+    digits = F.lpad(F.conv(code.cast("string"), 10, 32), precision, "0")
+    return F.translate(digits, _BASE_32, _ALPHABET)
 
 
 def point_id(device, time, lat, lon) -> Column:

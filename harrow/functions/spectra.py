@@ -35,14 +35,8 @@ def spectrum_encode(c) -> Column:
 
 def spectrum_decode(c) -> Column:
     """Inverse of :func:`spectrum_encode`."""
-    digits = F.hex(F.unbase64(_col(c)))
-
-    def value(i: Column) -> Column:
-        def byte(offset: int) -> Column:
-            return F.substring(digits, (i * 4 + offset).cast("int"), F.lit(2))
-        return F.conv(F.concat(byte(3), byte(1)), 16, 10).cast("int")
-
-    count = F.floor(F.length(digits) / F.lit(4)).cast("int")
-    indexes = F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(
-        F.array().cast("array<int>"))
-    return F.when(_col(c).isNotNull(), F.transform(indexes, value))
+    # The text is cut into values once; a lambda over positions would decode it
+    # again for each.
+    values = F.regexp_extract_all(F.hex(F.unbase64(_col(c))), F.lit("[0-9A-F]{4}"), F.lit(0))
+    return F.transform(values, lambda v: F.conv(
+        F.concat(F.substring(v, 3, 2), F.substring(v, 1, 2)), 16, 10).cast("int"))

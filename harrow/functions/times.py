@@ -46,9 +46,10 @@ def gap_text(seconds) -> Column:
         whole = F.floor(s / F.lit(divisor)).cast("bigint")
         return whole % F.lit(modulus) if modulus else whole
 
-    return F.format_string(
+    text = F.format_string(
         "%d days %02d hours %02d minutes %02d seconds",
         part(86400), part(3600, 24), part(60, 60), part(1, 60))
+    return F.when(s.isNotNull(), text)
 
 
 # Seconds per rotation unit: seconds, minutes, hours, days; fixed values.

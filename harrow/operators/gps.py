@@ -5,11 +5,11 @@ from __future__ import annotations
 from datetime import datetime
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from harrow.functions.geo import geohash, gnss_document, point_id
 from harrow.functions.times import day_of, parse_time, truncate_time
-from harrow.operators.pieces import ordered_scan, with_row_number
+from harrow.operators.pieces import with_row_number
 
 
 def gps_class_filter(df: DataFrame, classes: list[str] | str, col: str = "class") -> DataFrame:
@@ -88,26 +88,21 @@ def segment_order(df: DataFrame, keys: tuple[str, ...] = ("device", "segment"),
                   **options) -> DataFrame:
     """Rank points inside their segment and cut oversized segments into parts.
 
-    ``ordinal`` counts from 1 within (device, segment); ``part`` groups
-    ``max_points`` of them, so a segment of any size is written by bounded
-    tasks.
+    ``ordinal`` counts from 1 within (device, segment) to ``points``; ``part``
+    groups ``max_points`` of them, so a segment of any size is written by
+    bounded tasks.
     """
-    ranked = with_row_number(df, list(keys), time, tie, "ordinal", **options)
+    ranked = with_row_number(df, list(keys), time, tie, "ordinal", total="points", **options)
     return ranked.withColumn(
         "part", F.floor((F.col("ordinal") - 1) / F.lit(max_points)).cast("bigint"))
 
 
 def upload_batches(points: DataFrame, batch_size: int = 1000, **options) -> DataFrame:
     """Number points newest first per device in batches of ``batch_size``."""
-    ranked = ordered_scan(
-        points, ["device"], "time", "id", newest_first=True,
-        local=lambda w: {"_near": F.row_number().over(w)},
-        summary={"_n": F.count(F.lit(1))},
-        carried=lambda w: {"_far": F.sum("_n").over(
-            w.rowsBetween(Window.unboundedPreceding, -1))}, **options)
-    rank = F.col("_near") + F.coalesce("_far", F.lit(0)) - F.lit(1)
+    ranked = with_row_number(
+        points, ["device"], "time", "id", "_rank", newest_first=True, **options)
     return ranked.withColumn(
-        "batch", F.floor(rank / F.lit(batch_size)).cast("bigint")).drop("_near", "_far")
+        "batch", F.floor((F.col("_rank") - 1) / F.lit(batch_size)).cast("bigint")).drop("_rank")
 
 
 def trail_documents(points: DataFrame, precision: int = 7, batch_size: int = 1000,

@@ -123,16 +123,19 @@ def with_previous(df: DataFrame, keys: list[str], time: str, tie: str,
 
 
 def with_row_number(df: DataFrame, keys: list[str], time: str, tie: str,
-                    name: str = "row_number", **options) -> DataFrame:
-    """Rank rows of a key along time, from 1."""
+                    name: str = "row_number", total: str | None = None, **options) -> DataFrame:
+    """Rank rows of a key along time, from 1; ``total`` also adds their number."""
+    before, whole = (Window.unboundedPreceding, -1), (
+        Window.unboundedPreceding, Window.unboundedFollowing)
     out = ordered_scan(
         df, keys, time, tie,
         local=lambda w: {"_near": F.row_number().over(w)},
         summary={"_n": F.count(F.lit(1))},
-        carried=lambda w: {"_far": F.sum("_n").over(
-            w.rowsBetween(Window.unboundedPreceding, -1))}, **options)
-    return out.withColumn(
-        name, (F.col("_near") + F.coalesce("_far", F.lit(0))).cast("bigint")).drop("_near", "_far")
+        carried=lambda w: {"_far": F.sum("_n").over(w.rowsBetween(*before)),
+                           "_all": F.sum("_n").over(w.rowsBetween(*whole))}, **options)
+    rank = (F.col("_near") + F.coalesce("_far", F.lit(0))).cast("bigint")
+    counted = {total: F.col("_all")} if total else {}
+    return out.withColumns({name: rank, **counted}).drop("_near", "_far", "_all")
 
 
 def broadcast_if_within(df: DataFrame, max_rows: int) -> DataFrame:

@@ -5,8 +5,17 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 
+_TYPES = {
+    "STRING": T.StringType(), "BOOLEAN": T.BooleanType(), "TIMESTAMP": T.TimestampType(),
+    "SMALLINT": T.ShortType(), "INT": T.IntegerType(), "BIGINT": T.LongType(),
+    "DOUBLE": T.DoubleType(),
+}
+
+
 def _struct(spec: str) -> T.StructType:
-    return T.StructType.fromDDL(spec)
+    """``name TYPE, ...`` of plain types; needs no session, unlike DDL text."""
+    pairs = (field.split() for field in spec.split(","))
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in pairs])
 
 
 # Bus log row: CSV and table share this column order.
@@ -50,12 +59,12 @@ GPS_TPV = _struct(
     f"time TIMESTAMP, {_doubles(_TPV_DOUBLES_A)}, datum STRING, "
     f"{_doubles(_TPV_DOUBLES_B)}")
 
-SATELLITE = ("STRUCT<PRN: INT, el: DOUBLE, az: DOUBLE, ss: DOUBLE, "
-             "used: BOOLEAN, gnssid: INT, svid: INT>")
+SATELLITE = _struct(
+    "PRN INT, el DOUBLE, az DOUBLE, ss DOUBLE, used BOOLEAN, gnssid INT, svid INT")
 GPS_SKY = _struct(
     "systime TIMESTAMP, device STRING, time TIMESTAMP, "
-    f"{_doubles('gdop hdop pdop tdop vdop xdop ydop nSat uSat'.split())}, "
-    f"satellites ARRAY<{SATELLITE}>")
+    f"{_doubles('gdop hdop pdop tdop vdop xdop ydop nSat uSat'.split())}").add(
+    "satellites", T.ArrayType(SATELLITE))
 
 GPS_PPS = _struct(
     "systime TIMESTAMP, device STRING, real_sec BIGINT, real_nsec BIGINT, "

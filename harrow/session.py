@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import SparkSession
 
 # UTC everywhere: day partitions, document days and epoch conversions must not
@@ -20,6 +21,7 @@ DEFAULTS = {
 
 def build_session(app_name: str = "harrow", master: str | None = None,
                   conf: dict[str, str] | None = None) -> SparkSession:
+    ship_code()
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
@@ -28,6 +30,16 @@ def build_session(app_name: str = "harrow", master: str | None = None,
     return builder.getOrCreate()
 
 
+def ship_code() -> None:
+    """Send the package's own functions along with the tasks that run them.
+
+    Executors then need no copy of the package.
+    """
+    import harrow
+
+    cloudpickle.register_pickle_by_value(harrow)
+
+
 def use_utc(spark: SparkSession) -> SparkSession:
     """Pin the zone on a session somebody else built."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")

@@ -46,40 +46,53 @@ def gpx_lines(segments: DataFrame, max_points: int = 1_000_000, **options) -> Da
     ranked = segment_order(segments, max_points=max_points, **options)
     named = ranked.withColumn(
         "segment", F.date_format("segment", "yyyy-MM-dd'T'HH-mm-ss'Z'"))
-    file = ["device", "segment", "part"]
+    def degrees(name: str):
+        # Never in exponent form, which a double near zero would take as text.
+        return F.col(name).cast("decimal(12,9)").cast("string")
+
     point = F.format_string(
         '<trkpt lat="%s" lon="%s"><time>%s</time></trkpt>',
-        F.col("lat").cast("string"), F.col("lon").cast("string"), iso_time("time"))
-    # First and last points of a file bring its frame, so no second pass is needed.
-    place = F.pmod(F.col("ordinal") - 1, F.lit(max_points))
-    ends = named.groupBy(*file).agg(F.max("ordinal").alias("_last"))
-    closing = ends.select(
-        *file, (F.col("_last") + 1).alias("ordinal"), F.lit(_GPX_CLOSE).alias("line"))
-    body = named.select(
-        *file, "ordinal",
-        F.when(place == 0, F.concat(F.lit(_GPX_OPEN + "\n"), point)).otherwise(point).alias("line"))
-    return body.unionByName(closing)
+        degrees("lat"), degrees("lon"), iso_time("time"))
+    # The first and last point of a file bring its frame along.
+    opens = F.pmod(F.col("ordinal"), F.lit(max_points)) == 1 % max_points
+    closes = (F.pmod(F.col("ordinal"), F.lit(max_points)) == 0) | (
+        F.col("ordinal") == F.col("points"))
+    line = F.concat_ws(
+        "\n", F.when(opens, F.lit(_GPX_OPEN)), point, F.when(closes, F.lit(_GPX_CLOSE)))
+    return named.select("device", "segment", "part", "ordinal", line.alias("line"))
 
 
 def write_gpx(segments: DataFrame, path: str, max_points: int = 1_000_000, **options) -> None:
     """One GPX 1.1 file per non-empty segment, points in time order.
 
-    Files lie under ``device=/segment=/part=``. The sort columns start with the
+    Files lie under ``device=/segment=/part=`` and replace those of an earlier
+    export of the same part; others stay. The sort columns start with the
     partition columns, which is the order the writer needs; it keeps ours.
     """
     file = ["device", "segment", "part"]
+    # A fixed number of tasks: opening files, not bytes, is the cost here, and
+    # AQE would merge small partitions by bytes.
+    tasks = int(segments.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     (gpx_lines(segments, max_points, **options)
-     .repartition(*file).sortWithinPartitions(*file, "ordinal")
+     .repartition(tasks, *file).sortWithinPartitions(*file, "ordinal")
      .drop("ordinal")
-     .write.partitionBy(*file).mode("append").text(path))
+     .write.partitionBy(*file).mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").text(path))
 
 
-def write_trail_documents(docs: DataFrame, path: str) -> None:
-    """JSON documents under ``device=/day=/geohash=``, one line per upload batch."""
-    (docs.select("device", "day", "geohash", "batch", "data")
-     .hint("rebalance", "device", "day")
-     .sortWithinPartitions("device", "day", "geohash", "batch")
-     .write.partitionBy("device", "day", "geohash").mode("append").json(path))
+def write_trail_documents(docs: DataFrame, path: str,
+                          folders: tuple[str, ...] = ("day",)) -> None:
+    """Documents as JSON lines under the folders named, by default one per day.
+
+    A line holds the document's path and its data. ``folders`` may be the whole
+    path ("device", "day", "geohash"), which makes a folder per document and
+    suits small exports only.
+    """
+    place = F.concat_ws("/", F.col("device").cast("string"), F.col("day"), F.col("geohash"))
+    (docs.select("device", "day", "geohash", "batch", "data", place.alias("path"))
+     .hint("rebalance", *folders)
+     .sortWithinPartitions(*folders, "path", "batch")
+     .write.partitionBy(*folders).mode("append").json(path))
 
 
 def write_by_subject(df: DataFrame, path: str | None = None, kafka: dict | None = None) -> None:

@@ -68,10 +68,12 @@ def read_signal_dictionary(spark: SparkSession, path: str) -> DataFrame:
     signal_line = (
         r"SG_\s+(\w+)\s*:\s*(\d+)\|(\d+)@1[+-]\s*"
         rf"\(({number}),({number})\)\s*\[({number})\|({number})\]\s*\"([^\"]*)\"")
-    block = files.select("_file", F.explode(F.expr(
-        r"regexp_extract_all(value, '(?s)(?:^|\n)BO_\\s+\\d+.*?(?=\nBO_ |\n\\s*\n|$)', 0)")).alias("_block"))
+    # Text before the first block is the file header.
+    block = files.select(
+        "_file", F.posexplode(F.split("value", r"(?:^|\n)BO_\s+")).alias("_at", "_block")
+    ).where("_at > 0")
     signals = block.select(
-        "_file", F.regexp_extract("_block", r"BO_\s+(\d+)", 1).cast("bigint").alias("_id"),
+        "_file", F.regexp_extract("_block", r"^(\d+)", 1).cast("bigint").alias("_id"),
         F.explode(F.regexp_extract_all("_block", F.lit(signal_line), F.lit(0))).alias("_line"))
 
     def field(i: int) -> Column:
