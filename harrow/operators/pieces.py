@@ -1,54 +1,52 @@
 """Ordered scans over keys of any size.
 
 A window over ``partitionBy(device)`` puts every row of a device in one task.
-Here a key is first cut along time: into spans of fixed length, and a span
-that holds too many rows into pieces at measured split points. Rows are then
-ranked, lagged or accumulated inside their piece, each piece is summed up to
-one small row, and what a piece needs from those before it is carried in by a
-join on the piece. The rows are shuffled once, on (key, span, piece); window
-and join share that shuffle.
+That is the right plan while a device fits a task, so the keys are counted
+first. A crowded key is cut along its order at measured split points; rows are
+then ranked, lagged or accumulated inside their piece, each piece is summed up
+to one small row, and what a piece needs from those before it is carried in by
+a join on (key, piece). Rows are shuffled once; window and join share that
+shuffle.
 
 Key columns are NOT NULL, and (key, time, tie) names one row.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
-SPAN, PIECE = "_span", "_piece"
-DAY_S = 86400
-# Rows below which a piece is never worth cutting.
-SMALL_PIECE = 1_000_000
+PIECE = "_piece"
+# Piece of a key that is not cut.
+WHOLE = -1
+# Rows below which a key is never worth cutting.
+SMALL_KEY = 1_000_000
 # Samples taken for each split point; evens out the pieces.
 _SAMPLES_PER_SPLIT = 16
 
 
-def _largest_allowed(df: DataFrame, total: int) -> int:
-    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(SMALL_PIECE, total // (4 * tasks))
+def shuffle_tasks(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
 def cut_into_pieces(df: DataFrame, keys: list[str], time: str, tie: str,
-                    span_s: int = DAY_S, max_rows: int | None = None) -> DataFrame:
-    """Add ``_span`` and ``_piece``; pieces follow each other in (time, tie) order.
-
-    Counts per (key, span) are taken first, in one pre-aggregated pass over
-    the key and time columns. If no span is crowded that is all. Otherwise the
-    crowded spans - fewer than total / limit, so at most four per shuffle
-    partition - get split points from a hash sample of their own rows; only the
-    list of split points is broadcast. Every row keeps its place in the result.
+                    max_rows: int | None = None) -> DataFrame | None:
+    """Add ``_piece``, or return None when no key is crowded.
+
+    The count per key is one pre-aggregated pass over the key columns. A key is
+    crowded when it holds more rows than a quarter of an even task share (and
+    more than a million), so there are fewer than four crowded keys per shuffle
+    partition. They get split points from a hash sample of their own rows, also
+    a few per partition; only crowded keys and split points are broadcast. A
+    position is (time, tie), so even rows of one instant are cut. Every row
+    stays in the result; pieces follow each other in order.
     """
-    spanned = df.withColumn(
-        SPAN, F.floor(F.unix_micros(F.col(time)) / F.lit(span_s * 1_000_000)).cast("bigint"))
-    group = [*keys, SPAN]
-    counts = spanned.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     total, largest = counts.agg(F.sum("_n"), F.max("_n")).first()
-    limit = max_rows or _largest_allowed(df, total or 0)
+    limit = max_rows or max(SMALL_KEY, (total or 0) // (4 * shuffle_tasks(df)))
     if not largest or largest <= limit:
-        return spanned.withColumn(PIECE, F.lit(0))
+        return None
 
     position = F.struct(F.col(time).alias("t"), F.col(tie).alias("i"))
     crowded = counts.where(F.col("_n") > limit).withColumn(
@@ -56,26 +54,26 @@ def cut_into_pieces(df: DataFrame, keys: list[str], time: str, tie: str,
     rate = F.greatest(
         F.lit(1), F.floor(F.col("_n") / (F.col("_cuts") * _SAMPLES_PER_SPLIT))).cast("bigint")
     sample = (
-        spanned.select(*group, time, tie)
-        .join(F.broadcast(crowded), group)
+        df.select(*keys, time, tie)
+        .join(F.broadcast(crowded), keys)
         .where(F.pmod(F.xxhash64(F.col(time), F.col(tie)), rate) == 0)
-        .groupBy(*group, "_cuts")
+        .groupBy(*keys, "_cuts")
         .agg(F.array_sort(F.collect_list(position)).alias("_seen")))
     pick = F.transform(
         F.sequence(F.lit(1), F.col("_cuts") - 1),
         lambda i: F.get("_seen", F.floor(i * F.size("_seen") / F.col("_cuts")).cast("int")))
-    splits = sample.select(*group, F.array_distinct(pick).alias("_splits"))
+    splits = sample.select(*keys, F.array_distinct(pick).alias("_splits"))
 
     # Binary search for the number of split points at or before the row.
-    steps = [1 << b for b in reversed(range(math.ceil(largest / limit).bit_length()))]
+    steps = [1 << b for b in reversed(range((-(-largest // limit)).bit_length()))]
     here = F.aggregate(
         F.array(*[F.lit(s) for s in steps]), F.lit(0),
         lambda at, step: F.when(
             F.coalesce(F.get("_splits", at + step - 1) <= position, F.lit(False)),
             at + step).otherwise(at))
     return (
-        spanned.join(F.broadcast(splits), group, "left")
-        .withColumn(PIECE, F.when(F.col("_splits").isNull(), 0).otherwise(here))
+        df.join(F.broadcast(splits), keys, "left")
+        .withColumn(PIECE, F.when(F.col("_splits").isNull(), WHOLE).otherwise(here))
         .drop("_splits"))
 
 
@@ -86,28 +84,32 @@ def ordered_scan(df: DataFrame, keys: list[str], time: str, tie: str, *,
                  local: Callable[[WindowSpec], Columns],
                  summary: Columns,
                  carried: Callable[[WindowSpec], Columns],
-                 newest_first: bool = False,
-                 span_s: int = DAY_S, max_rows: int | None = None) -> DataFrame:
+                 newest_first: bool = False, max_rows: int | None = None) -> DataFrame:
     """Window functions along time within ``keys``, for keys of any size.
 
     ``local(w)`` are window columns inside a piece, ``summary`` the aggregates
     that describe a piece, ``carried(w)`` window columns over a key's piece
-    summaries. Returns ``df`` with the local and carried columns; the caller
-    combines them.
+    summaries; these are NULL for a key that is not cut. Returns ``df`` with
+    the local and carried columns; the caller combines them.
     """
-    cut = cut_into_pieces(df, keys, time, tie, span_s, max_rows)
-    piece = [*keys, SPAN, PIECE]
     down = (lambda c: F.col(c).desc()) if newest_first else F.col
+    pieces = Window.partitionBy(*keys).orderBy(down(PIECE))
+    cut = cut_into_pieces(df, keys, time, tie, max_rows)
+    if cut is None:
+        rows = Window.partitionBy(*keys).orderBy(down(time), down(tie))
+        nothing = {n: F.lit(None) for n in carried(pieces)}
+        return df.select("*", *[c.alias(n) for n, c in {**local(rows), **nothing}.items()])
+
+    piece = [*keys, PIECE]
     rows = Window.partitionBy(*piece).orderBy(down(time), down(tie))
-    # One row per piece and key: a season of days, not of frames.
-    pieces = Window.partitionBy(*keys).orderBy(down(SPAN), down(PIECE))
-    brought = carried(pieces)
-    summed = cut.groupBy(*piece).agg(*[c.alias(n) for n, c in summary.items()])
-    summed = summed.select(*piece, *[c.alias(n) for n, c in brought.items()])
+    # A few rows per key: one for each piece of those that were cut.
+    summed = (
+        cut.where(F.col(PIECE) != WHOLE).groupBy(*piece)
+        .agg(*[c.alias(n) for n, c in summary.items()])
+        .select(*piece, *[c.alias(n) for n, c in carried(pieces).items()]))
     return (
         cut.select("*", *[c.alias(n) for n, c in local(rows).items()])
-        .join(summed, piece, "left")
-        .drop(SPAN, PIECE))
+        .join(summed, piece, "left").drop(PIECE))
 
 
 def with_previous(df: DataFrame, keys: list[str], time: str, tie: str,
@@ -127,15 +129,17 @@ def with_row_number(df: DataFrame, keys: list[str], time: str, tie: str,
     """Rank rows of a key along time, from 1; ``total`` also adds their number."""
     before, whole = (Window.unboundedPreceding, -1), (
         Window.unboundedPreceding, Window.unboundedFollowing)
+    counted = F.count(F.lit(1))
     out = ordered_scan(
         df, keys, time, tie,
-        local=lambda w: {"_near": F.row_number().over(w)},
-        summary={"_n": F.count(F.lit(1))},
+        local=lambda w: {"_near": F.row_number().over(w), **(
+            {"_all_near": counted.over(w.rowsBetween(*whole))} if total else {})},
+        summary={"_n": counted},
         carried=lambda w: {"_far": F.sum("_n").over(w.rowsBetween(*before)),
                            "_all": F.sum("_n").over(w.rowsBetween(*whole))}, **options)
     rank = (F.col("_near") + F.coalesce("_far", F.lit(0))).cast("bigint")
-    counted = {total: F.col("_all")} if total else {}
-    return out.withColumns({name: rank, **counted}).drop("_near", "_far", "_all")
+    size = {total: F.coalesce("_all", "_all_near").cast("bigint")} if total else {}
+    return out.withColumns({name: rank, **size}).drop("_near", "_far", "_all", "_all_near")
 
 
 def broadcast_if_within(df: DataFrame, max_rows: int) -> DataFrame:

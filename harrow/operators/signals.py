@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from harrow.operators.pieces import DAY_S, PIECE, SPAN, cut_into_pieces
+from harrow.operators.pieces import PIECE, WHOLE, cut_into_pieces, shuffle_tasks
 
 
 def statistics() -> list:
@@ -70,15 +70,16 @@ def progress_count(df: DataFrame, every: int = 1000) -> DataFrame:
 #
 # A signal publishes when a message arrives at least ``gap`` after the last
 # publication; the first message only starts the clock. Where the next
-# interval ends depends on where the last one did, so the rule is sequential
-# per signal. To run it on a signal of any size, time is cut into pieces:
+# interval ends depends on where the last one did, so the rule walks a signal
+# in order and labels each row with the publication that opened its interval.
+# The statistics are then an ordinary grouped aggregate.
+#
+# Signals too large for one task are cut into pieces:
 #   1. each piece is walked once for every publication time that could enter
 #      it (there are only as many as distinct times in its first ``gap``),
 #      giving a table "entered with -> left with";
 #   2. those small tables are chained along each signal;
-#   3. with the entry known, each piece is walked again and its rows labelled
-#      with the publication that opened their interval.
-# The statistics are then an ordinary grouped aggregate.
+#   3. the entry that results travels to its piece, which is labelled as usual.
 
 _US = 1_000_000
 
@@ -166,7 +167,7 @@ def _tables(keys: list[str], gap: int, schema: pa.Schema):
 
 def _chain(keys: list[str]):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([SPAN, PIECE])
+        pdf = pdf.sort_values(PIECE)
         entries, last = [], None
         for first, entered, left in zip(pdf["first"], pdf["entered"], pdf["left"]):
             last = int(first) if last is None else last
@@ -174,14 +175,15 @@ def _chain(keys: list[str]):
             at = int(np.searchsorted(np.asarray(entered), last))
             if at < len(left):
                 last = int(left[at])
-        return pdf[[*keys, SPAN, PIECE]].assign(_entry=entries)
+        return pdf[[*keys, PIECE]].assign(_entry=entries)
     return run
 
 
 def _label(keys: list[str], gap: int):
-    """Rows of a piece follow its header row, which brings the entry."""
+    """Label rows in order. A header row before a piece brings its entry;
+    without one the first row starts the clock."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = 0
+        current, last = None, 0
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -191,8 +193,11 @@ def _label(keys: list[str], gap: int):
             closes = np.zeros(batch.num_rows, dtype=bool)
             edges = _changes(batch, keys)
             for a, b in zip(edges[:-1], edges[1:]):
+                key = _key_at(batch, keys, int(a))
+                if key != current:
+                    current, last = key, int(times[a])
                 if header[a]:
-                    last, a = int(times[a]), a + 1
+                    a += 1
                 while a < b:
                     at = a + int(np.searchsorted(times[a:b], last + gap))
                     opened[a:min(at + 1, b)] = last
@@ -207,42 +212,49 @@ def _label(keys: list[str], gap: int):
     return run
 
 
+def _entries(cut: DataFrame, keys: list[str], gap: int) -> DataFrame:
+    """Publication that enters each piece of the signals that were cut."""
+    piece = [*keys, PIECE]
+    key_fields = [cut.schema[k] for k in piece]
+    longs = T.ArrayType(T.LongType())
+    kind = T.StructType(key_fields + [
+        T.StructField("first", T.LongType()), T.StructField("entered", longs),
+        T.StructField("left", longs)])
+    tables = (
+        cut.where(F.col(PIECE) != WHOLE).select(*piece, "_us")
+        .repartition(shuffle_tasks(cut), *piece).sortWithinPartitions(*piece, "_us")
+        .mapInArrow(_tables(piece, gap, to_arrow_schema(kind)), kind))
+    return tables.groupBy(*keys).applyInPandas(
+        _chain(keys), T.StructType(key_fields + [T.StructField("_entry", T.LongType())]))
+
+
 def signal_stats_greedy(df: DataFrame, min_gap_s: float = 1.0,
                         keys: tuple[str, ...] = ("device", "name"), tie: str = "id",
-                        span_s: int = DAY_S, max_rows: int | None = None) -> DataFrame:
+                        max_rows: int | None = None) -> DataFrame:
     """Statistics of each published interval; an interval still open is not published."""
     gap = int(round(min_gap_s * _US))
-    keep = ["value", *[c for c in ("pgn", "units", "min_value", "max_value") if c in df.columns]]
-    cut = cut_into_pieces(
-        df.where(F.col("value").isNotNull()).select(*keys, "time", tie, *keep),
-        list(keys), "time", tie, span_s, max_rows).withColumn("_us", F.unix_micros("time"))
-    piece = [*keys, SPAN, PIECE]
-    key_fields = [cut.schema[k] for k in piece]
-    longs = T.ArrayType(T.LongType())
-
-    tables_type = T.StructType(
-        key_fields + [T.StructField("first", T.LongType()),
-                      T.StructField("entered", longs), T.StructField("left", longs)])
-    tables = (
-        cut.select(*piece, "_us").repartition(*piece)
-        .sortWithinPartitions(*piece, "_us")
-        .mapInArrow(_tables(piece, gap, to_arrow_schema(tables_type)), tables_type))
-    entries = tables.groupBy(*keys).applyInPandas(
-        _chain(list(keys)), T.StructType(key_fields + [T.StructField("_entry", T.LongType())]))
-
-    # The entry of a piece travels as a header row that sorts before its rows:
-    # one shuffle instead of a join and a second one.
-    rows = cut.select(*piece, "_us", tie, *keep, F.lit(False).alias("_header"))
-    headers = entries.select(
-        *piece, F.col("_entry").alias("_us"),
-        *[F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in (tie, *keep)],
-        F.lit(True).alias("_header"))
+    described = [c for c in ("pgn", "units", "min_value", "max_value") if c in df.columns]
+    rows = df.where(F.col("value").isNotNull()).select(
+        *keys, "time", tie, "value", *described).withColumn("_us", F.unix_micros("time"))
+    cut = cut_into_pieces(rows, list(keys), "time", tie, max_rows)
+    piece = list(keys) if cut is None else [*keys, PIECE]
+    fields = [*piece, "_us", tie, "value", *described]
+    walked = (rows if cut is None else cut).select(*fields, F.lit(False).alias("_header"))
+    if cut is not None:
+        # The entry of a piece travels as a header row that sorts before its
+        # rows: one shuffle instead of a join and a second one.
+        values = fields[len(piece) + 1:]
+        walked = walked.union(_entries(cut, list(keys), gap).select(
+            *piece, F.col("_entry").alias("_us"),
+            *[F.lit(None).cast(walked.schema[c].dataType).alias(c) for c in values],
+            F.lit(True).alias("_header")))
+    # A fixed number of tasks: AQE would merge them by bytes, and the cost is the walk.
     labelled = (
-        rows.union(headers).repartition(*piece)
+        walked.repartition(shuffle_tasks(df), *piece)
         .sortWithinPartitions(*piece, F.col("_header").desc(), "_us", tie)
         .mapInArrow(_label(piece, gap), T.StructType(
-            rows.schema.fields[:-1] + [T.StructField("_opened", T.LongType()),
-                                       T.StructField("_closes", T.BooleanType())]))
+            [walked.schema[c] for c in fields]
+            + [T.StructField("_opened", T.LongType()), T.StructField("_closes", T.BooleanType())]))
         .withColumn("time", F.timestamp_micros("_us")))
     return (
         labelled.groupBy(*keys, "_opened")

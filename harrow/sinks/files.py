@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from harrow import schemas
 from harrow.functions.times import iso_time, rotation_bucket
 from harrow.operators.gps import segment_order
+from harrow.operators.pieces import shuffle_tasks
 
 
 def write_can_csv_rotated(df: DataFrame, path: str, period=1, interval="h") -> None:
@@ -72,9 +73,8 @@ def write_gpx(segments: DataFrame, path: str, max_points: int = 1_000_000, **opt
     file = ["device", "segment", "part"]
     # A fixed number of tasks: opening files, not bytes, is the cost here, and
     # AQE would merge small partitions by bytes.
-    tasks = int(segments.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     (gpx_lines(segments, max_points, **options)
-     .repartition(tasks, *file).sortWithinPartitions(*file, "ordinal")
+     .repartition(shuffle_tasks(segments), *file).sortWithinPartitions(*file, "ordinal")
      .drop("ordinal")
      .write.partitionBy(*file).mode("overwrite")
      .option("partitionOverwriteMode", "dynamic").text(path))
