@@ -50,16 +50,13 @@ def spn_bits(word: Column, shift, bit_len) -> Column:
     return _shift("shiftrightunsigned", word, shift).bitwiseAND(mask)
 
 
-def _unsigned_double(raw: Column) -> Column:
+def unsigned_double(raw: Column) -> Column:
+    """A 64-bit pattern read as an unsigned number."""
     # Only a full 64-bit field can have its top bit set.
     wide = (raw.cast("decimal(20,0)") + F.lit(_TWO_64).cast("decimal(20,0)")).cast("double")
     return F.when(raw < 0, wide).otherwise(raw.cast("double"))
 
 
-def scaled(raw: Column, scale, offset) -> Column:
-    return _unsigned_double(raw) * _num(scale) + _num(offset)
-
-
 def spn_value(data, start_bit, bit_len, scale=1.0, offset=0.0) -> Column:
     """Physical value of a little-endian bit field of a hex payload.
 
@@ -77,4 +74,4 @@ def spn_value(data, start_bit, bit_len, scale=1.0, offset=0.0) -> Column:
     raw = F.when(
         shift + width > 64, spn_bits(low.bitwiseOR(carried), F.lit(0), width)).otherwise(low)
     fits = start + width <= F.length(data) * F.lit(4)
-    return F.when(fits, scaled(raw, scale, offset))
+    return F.when(fits, unsigned_double(raw) * _num(scale) + _num(offset))

@@ -7,7 +7,7 @@ from harrow.operators.constraints import constraint_split, first_per_key
 from harrow.operators.counters import (
     bus_activity, can_link_filter, idle_detect, interface_resolve, interface_traffic)
 from harrow.operators.fleet import (
-    device_label, export_range, fleet_state, latest_row, newest_n, newest_one,
+    device_label, export_range, fleet_state, latest_row, newest_n, newest_one, newest_time,
     online_transitions, staleness)
 from harrow.operators.gps import (
     add_ingest_time, class_union, export_bounds, gps_class_filter, high_water_mark,
@@ -20,7 +20,7 @@ from harrow.operators.ledger import (
     unsent_points, upload_retry)
 from harrow.operators.modem import cell_pick_tech
 from harrow.operators.pieces import (
-    broadcast_if_within, cut_into_pieces, ordered_scan, with_previous, with_row_number)
+    cut_into_pieces, ordered_scan, order_key, with_previous, with_row_number)
 from harrow.operators.replay import replay_match, replay_missing, replay_unexpected
 from harrow.operators.signals import (
     gauge_snapshot, progress_count, signal_keys, signal_stats, signal_stats_greedy)

@@ -31,8 +31,7 @@ def subscriber_set(requests: DataFrame, keys: tuple[str, ...] = ("phone",)) -> D
     """Each valid number once, with the time it was first seen."""
     return (
         phone_filter(requests).groupBy(*keys)
-        .agg(F.min(F.struct("time", "id")).alias("_first"))
-        .select(*keys, F.col("_first.time").alias("time")))
+        .agg(F.min("time").alias("time")))
 
 
 def alert_fanout(alerts: DataFrame, subscribers: DataFrame, on: tuple[str, ...] = ("device",),

@@ -5,17 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from harrow.functions.times import gap_text
-from harrow.operators.pieces import ordered_scan
+from harrow.operators.pieces import order_key, ordered_scan
 
 
 def latest_row(df: DataFrame, keys: list[str], time: str = "time", tie: str = "id") -> DataFrame:
     """Newest row of the table, or of each key; equal times go to the higher id."""
     rest = [c for c in df.columns if c not in keys]
     return (
-        df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(time, tie)).alias("_row"))
+        df.groupBy(*keys).agg(F.max_by(F.struct(*rest), order_key(time, tie)).alias("_row"))
         .where(F.col("_row").isNotNull()).select(*keys, "_row.*"))
 
 
+def newest_time(df: DataFrame, keys: list[str], time: str = "time") -> DataFrame:
+    """Newest time alone; enough for ``staleness`` and cheaper than the row."""
+    return df.groupBy(*keys).agg(F.max(time).alias(time))
+
+
 def newest_one(df: DataFrame, time: str = "time", tie: str = "id") -> DataFrame:
     return latest_row(df, [], time, tie)
 
@@ -96,10 +101,9 @@ def fleet_state(probes: DataFrame, previous: DataFrame | None = None) -> DataFra
     ``previous`` is an earlier state (device, last_seen, online, checked): a
     run over new probes only continues from it.
     """
-    last = F.struct("time", "id")
     state = probes.groupBy("device").agg(
         F.max(F.when(F.col("ok"), F.col("time"))).alias("last_seen"),
-        F.max_by("ok", last).alias("online"), F.max("time").alias("checked"))
+        F.max_by("ok", order_key("time", "id")).alias("online"), F.max("time").alias("checked"))
     if previous is None:
         return state
     both = state.unionByName(previous.select(state.columns))

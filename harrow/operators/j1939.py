@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from harrow.functions.bits import hex_text, scaled, spn_bits, spn_value, word_of
+from harrow.functions.bits import hex_number, hex_text, unsigned_double, word_of
 from harrow.functions.subjects import make_subject
 from harrow.functions.times import epoch_seconds
-from harrow.operators.pieces import broadcast_if_within
 
 # Groups below this PDU format carry a destination in their low byte.
 _FIRST_BROADCAST_FORMAT = 240
@@ -74,30 +73,66 @@ def frame_to_bus_message(df: DataFrame, prefix: str = "j1939") -> DataFrame:
         body.alias("body"))
 
 
+def _masked(word: Column, shift: Column) -> Column:
+    return F.call_function("shiftrightunsigned", word, shift.cast("int")).bitwiseAND(F.col("_mask"))
+
+
+def _raw_past_word(joined: DataFrame) -> DataFrame:
+    """Raw values when some fields lie past the first eight bytes.
+
+    Such a field takes the nine bytes from its first byte on; the others stay
+    with the word of the frame.
+    """
+    far = F.col("_end") > 64
+    shift = F.col("start_bit") % 8
+    nine = F.when(far, F.substring(
+        "data", F.floor(F.col("start_bit") / 8).cast("int") * 2 + 1, F.lit(18)))
+    ninth = F.coalesce(hex_number(F.substring("_nine", 17, 2)), F.lit(0).cast("bigint"))
+    carried = F.when(shift > 0, F.call_function(
+        "shiftleft", F.col("_ninth"), (F.lit(64) - shift).cast("int"))).otherwise(0)
+    return (
+        joined.withColumn("_nine", nine)
+        .withColumn("_low", word_of(F.col("_nine"))).withColumn("_ninth", ninth)
+        .withColumn("_far", F.call_function(
+            "shiftrightunsigned", F.col("_low"), shift.cast("int")).bitwiseOR(carried))
+        .withColumn("_raw", F.when(far, F.col("_far").bitwiseAND(F.col("_mask"))).otherwise(
+            _masked(F.col("_word"), F.col("start_bit"))))
+        .drop("_nine", "_low", "_ninth", "_far"))
+
+
 def signal_decode(frames: DataFrame, dictionary: DataFrame) -> DataFrame:
     """One row per signal of each frame; a field past the payload is dropped.
 
     The payload becomes a 64-bit word once per frame, before the join; each
-    signal is then a shift and a mask. A longer payload takes the general path
-    for fields past its first eight bytes. The dictionary is broadcast after
-    its size is checked, so a parameter group that makes up most of the traffic
-    is never shuffled to one task.
+    signal is then a shift and a mask, with the mask prepared in the dictionary.
+    The dictionary is looked at first: it is broadcast if its size allows, so a
+    parameter group that makes up most of the traffic is never shuffled to one
+    task, and fields past the eighth byte or of a full 64 bits cost something
+    only if there are any.
     """
+    end = F.col("start_bit") + F.col("bit_len")
+    size, last_bit, widest = dictionary.agg(
+        F.count(F.lit(1)), F.max(end), F.max("bit_len")).first()
     spec = dictionary.select(
-        "pgn", "name", "description", "units", "start_bit", "bit_len", "scale", "offset",
-        "min_value", "max_value")
+        "pgn", "name", "description", "units", "min_value", "max_value", "start_bit", "bit_len",
+        "scale", "offset", end.alias("_end"),
+        F.call_function("shiftrightunsigned", F.lit(-1).cast("bigint"),
+                        F.lit(64) - F.col("bit_len")).alias("_mask"))
     joined = (
         frames.withColumn("_word", word_of(F.col("data")))
         .withColumn("_bits", F.length("data") * 4)
-        .join(broadcast_if_within(spec, DICTIONARY_LIMIT), "pgn"))
-    end = F.col("start_bit") + F.col("bit_len")
-    value = F.when(
-        end <= 64,
-        scaled(spn_bits(F.col("_word"), "start_bit", "bit_len"), "scale", "offset")).otherwise(
-        spn_value("data", "start_bit", "bit_len", F.col("scale"), F.col("offset")))
-    return (
-        joined.where(end <= F.col("_bits")).withColumn("value", value)
-        .drop("_word", "_bits", "start_bit", "bit_len", "scale", "offset"))
+        .join(F.broadcast(spec) if size <= DICTIONARY_LIMIT else spec, "pgn")
+        .where(F.col("_end") <= F.col("_bits")))
+    # Each step is a projection of its own: nothing is computed twice for a row,
+    # and the generated code stays small enough to be compiled.
+    if (last_bit or 0) > 64:
+        decoded = _raw_past_word(joined)
+    else:
+        decoded = joined.withColumn("_raw", _masked(F.col("_word"), F.col("start_bit")))
+    number = F.col("_raw").cast("double") if (widest or 0) < 64 else unsigned_double(F.col("_raw"))
+    value = number * F.col("scale") + F.col("offset")
+    return decoded.withColumn("value", value).drop(
+        "_word", "_bits", "_raw", "_mask", "_end", "start_bit", "bit_len", "scale", "offset")
 
 
 def valid_signal_filter(df: DataFrame) -> DataFrame:

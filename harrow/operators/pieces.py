@@ -142,6 +142,12 @@ def with_row_number(df: DataFrame, keys: list[str], time: str, tie: str,
     return out.withColumns({name: rank, **size}).drop("_near", "_far", "_all", "_all_near")
 
 
-def broadcast_if_within(df: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast a side after counting it; beyond the bound leave the join to AQE."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+def order_key(time: str, tie: str) -> Column:
+    """(time, tie) as one number, for ``max_by`` and ``min_by``.
+
+    A struct would order the same, but its buffer is not of fixed width, and
+    Spark then sorts all rows before it aggregates instead of hashing them.
+    """
+    step = F.lit(str(1 << 65)).cast("decimal(20,0)")
+    return (F.unix_micros(F.col(time)).cast("decimal(17,0)") * step
+            + F.col(tie).cast("decimal(20,0)"))

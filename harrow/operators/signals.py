@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from harrow.operators.pieces import PIECE, WHOLE, cut_into_pieces, shuffle_tasks
+from harrow.operators.pieces import (
+    PIECE, WHOLE, cut_into_pieces, order_key, shuffle_tasks)
 
 
 def statistics() -> list:
@@ -25,8 +26,14 @@ def statistics() -> list:
 
 
 def metadata(df: DataFrame) -> list:
-    """Units and bounds are constant per signal; max picks them the same way each run."""
-    return [F.max(c).alias(c) for c in ("pgn", "units", "min_value", "max_value") if c in df.columns]
+    """Bounds are constant per signal; max picks them the same way each run."""
+    return [F.max(c).alias(c) for c in ("pgn", "min_value", "max_value") if c in df.columns]
+
+
+def unit_key(df: DataFrame) -> list[str]:
+    """Units are a grouping key: values of two units have no common sum, and
+    as an aggregate a text would turn hash aggregation into sorting."""
+    return ["units"] if "units" in df.columns else []
 
 
 def signal_stats(df: DataFrame, width: str = "1 second",
@@ -37,7 +44,7 @@ def signal_stats(df: DataFrame, width: str = "1 second",
     per window and map task.
     """
     return (
-        df.groupBy(F.window("time", width), *keys)
+        df.groupBy(F.window("time", width), *keys, *unit_key(df))
         .agg(*statistics(), *metadata(df))
         .select(F.col("window.start").alias("window_start"), *keys,
                 "number", "sum_val", "sum_of_squares", "average", "from_time", "to_time",
@@ -51,13 +58,12 @@ def signal_keys(df: DataFrame, subject: str = "subject") -> DataFrame:
 def gauge_snapshot(df: DataFrame, keys: tuple[str, ...] = ("device",), tie: str = "id",
                    prefix: str = "j1939") -> DataFrame:
     """Last value of each metric, newest by (time, tie)."""
-    last = F.max_by(F.struct("value", "time"), F.struct("time", tie))
-    described = [F.max("description").alias("description")] if "description" in df.columns else []
+    described = [c for c in ("description",) if c in df.columns]
     return (
-        df.groupBy(*keys, "name").agg(last.alias("_last"), *described)
+        df.groupBy(*keys, "name", *described)
+        .agg(F.max_by("value", order_key("time", tie)).alias("value"), F.max("time").alias("time"))
         .select(*keys, F.concat(F.lit(prefix + "_"), F.col("name")).alias("metric"),
-                F.col("_last.value").alias("value"), F.col("_last.time").alias("time"),
-                *[c for c in ("description",) if described]))
+                "value", "time", *described))
 
 
 def progress_count(df: DataFrame, every: int = 1000) -> DataFrame:
@@ -257,7 +263,7 @@ def signal_stats_greedy(df: DataFrame, min_gap_s: float = 1.0,
             + [T.StructField("_opened", T.LongType()), T.StructField("_closes", T.BooleanType())]))
         .withColumn("time", F.timestamp_micros("_us")))
     return (
-        labelled.groupBy(*keys, "_opened")
+        labelled.groupBy(*keys, *unit_key(df), "_opened")
         .agg(*statistics(), *metadata(df), F.max("_closes").alias("_published"))
         .where("_published").withColumn("last_sent", F.col("to_time"))
         .drop("_opened", "_published"))

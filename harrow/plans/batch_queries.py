@@ -562,7 +562,7 @@ NOW = "2024-01-30 12:00:00"
   coalesce((epoch_us(TIMESTAMP '{NOW}') - MAX(us)) / 1000000.0 <= 86400, false) AS healthy
   FROM customer LEFT JOIN probes ON device = c_custkey GROUP BY c_custkey"""))
 def staleness(spark, sf):
-    latest = op.latest_row(views.probes(views.events(spark, sf)), ["device"])
+    latest = op.newest_time(views.probes(views.events(spark, sf)), ["device"])
     fleet = views.table(spark, sf, "customer").select(F.col("c_custkey").alias("device"))
     return op.staleness(latest, fleet, F.lit(NOW).cast("timestamp"), 86400.0).select(
         "device", rounded("age_s", 6), "healthy")

@@ -71,6 +71,26 @@ def test_decode_drops_fields_past_the_payload(spark):
     assert got == [(1, "a", 513.0), (2, "a", 513.0), (2, "b", float((whole >> 60) & 0xFFF))]
 
 
+def test_decode_of_random_layouts(spark):
+    rng = random.Random(6)
+    frames, spec, want = [], [], set()
+    for pgn in range(60):
+        payload = bytes(rng.randrange(256) for _ in range(rng.randint(1, 30)))
+        frames.append((pgn, payload.hex()))
+        for k in range(8):
+            start, width = rng.randrange(0, 220), rng.randint(1, 64)
+            spec.append((pgn, f"s{k}", "", "", start, width, 2.0, -1.0, 0.0, 1.0))
+            if start + width <= 8 * len(payload):
+                raw = (int.from_bytes(payload, "little") >> start) & ((1 << width) - 1)
+                want.add((pgn, f"s{k}", float(raw) * 2.0 - 1.0))
+    f = spark.createDataFrame(frames, "pgn int, data string")
+    d = spark.createDataFrame(
+        spec, "pgn int, name string, description string, units string, start_bit int, bit_len int, "
+        "scale double, offset double, min_value double, max_value double")
+    got = op.signal_decode(f, d).select("pgn", "name", "value").collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+
+
 def test_valid_filter_is_strict(spark):
     df = spark.createDataFrame([(1.0, 2.0), (2.0, 2.0), (None, 2.0)], "value double, max_value double")
     assert rows(op.valid_signal_filter(df)) == [(1.0, 2.0)]
