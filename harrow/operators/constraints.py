@@ -42,8 +42,13 @@ def constraint_split(df: DataFrame, not_null: list[str], unique: list[str],
 
 
 def first_per_key(df: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """One row per key, the first by ``order``; combines before the shuffle."""
+    """One row per key, the first by ``order``; combines before the shuffle.
+
+    Equal rows in that order are told apart by a hash, so a repeated task keeps
+    the same one.
+    """
     rest = [c for c in df.columns if c not in keys]
+    first = F.min_by(F.struct(*rest), F.struct(F.col(order), F.xxhash64(*rest)))
     return (
-        df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.col(order)).alias("_row"))
+        df.groupBy(*keys).agg(first.alias("_row"))
         .select(*keys, "_row.*").select(*df.columns))

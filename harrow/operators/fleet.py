@@ -84,7 +84,7 @@ def online_transitions(probes: DataFrame, **options) -> DataFrame:
         probes, ["device"], "time", "id",
         local=lambda w: {"_near_ok": F.lag("ok").over(w),
                          "_near_seen": F.max(seen).over(w.rowsBetween(*before))},
-        summary={"_last_ok": F.max_by("ok", F.struct("time", "id")), "_seen": F.max(seen)},
+        summary={"_last_ok": F.max_by("ok", order_key("time", "id")), "_seen": F.max(seen)},
         carried=lambda w: {"_far_ok": F.lag("_last_ok").over(w),
                            "_far_seen": F.max("_seen").over(w.rowsBetween(*before))}, **options)
     events = scanned.withColumns(transition_columns(

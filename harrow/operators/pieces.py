@@ -17,7 +17,9 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
-PIECE = "_piece"
+from harrow.session import set_checkpoint_dir
+
+PIECE, IS_CUT = "_piece", "_is_cut"
 # Piece of a key that is not cut.
 WHOLE = -1
 # Rows below which a key is never worth cutting.
@@ -32,13 +34,14 @@ def shuffle_tasks(df: DataFrame) -> int:
 
 def cut_into_pieces(df: DataFrame, keys: list[str], time: str, tie: str,
                     max_rows: int | None = None) -> DataFrame | None:
-    """Add ``_piece``, or return None when no key is crowded.
+    """Add ``_piece`` and ``_is_cut``, or return None when no key is crowded.
 
     The count per key is one pre-aggregated pass over the key columns. A key is
     crowded when it holds more rows than a quarter of an even task share (and
     more than a million), so there are fewer than four crowded keys per shuffle
     partition. They get split points from a hash sample of their own rows, also
-    a few per partition; only crowded keys and split points are broadcast. A
+    a few per partition; only crowded keys and split points are broadcast, and
+    the split points are checkpointed, so that every use sees the same ones. A
     position is (time, tie), so even rows of one instant are cut. Every row
     stays in the result; pieces follow each other in order.
     """
@@ -62,7 +65,8 @@ def cut_into_pieces(df: DataFrame, keys: list[str], time: str, tie: str,
     pick = F.transform(
         F.sequence(F.lit(1), F.col("_cuts") - 1),
         lambda i: F.get("_seen", F.floor(i * F.size("_seen") / F.col("_cuts")).cast("int")))
-    splits = sample.select(*keys, F.array_distinct(pick).alias("_splits"))
+    set_checkpoint_dir(df.sparkSession)
+    splits = sample.select(*keys, F.array_distinct(pick).alias("_splits")).checkpoint()
 
     # Binary search for the number of split points at or before the row.
     steps = [1 << b for b in reversed(range((-(-largest // limit)).bit_length()))]
@@ -73,6 +77,7 @@ def cut_into_pieces(df: DataFrame, keys: list[str], time: str, tie: str,
             at + step).otherwise(at))
     return (
         df.join(F.broadcast(splits), keys, "left")
+        .withColumn(IS_CUT, F.col("_splits").isNotNull())
         .withColumn(PIECE, F.when(F.col("_splits").isNull(), WHOLE).otherwise(here))
         .drop("_splits"))
 
@@ -104,23 +109,24 @@ def ordered_scan(df: DataFrame, keys: list[str], time: str, tie: str, *,
     rows = Window.partitionBy(*piece).orderBy(down(time), down(tie))
     # A few rows per key: one for each piece of those that were cut.
     summed = (
-        cut.where(F.col(PIECE) != WHOLE).groupBy(*piece)
+        cut.where(IS_CUT).groupBy(*piece)
         .agg(*[c.alias(n) for n, c in summary.items()])
         .select(*piece, *[c.alias(n) for n, c in carried(pieces).items()]))
     return (
         cut.select("*", *[c.alias(n) for n, c in local(rows).items()])
-        .join(summed, piece, "left").drop(PIECE))
+        .join(summed, piece, "left").drop(PIECE, IS_CUT))
 
 
 def with_previous(df: DataFrame, keys: list[str], time: str, tie: str,
                   columns: list[str], name: str = "previous", **options) -> DataFrame:
     """Add a struct of the previous row's ``columns``, NULL for a key's first row."""
-    values = F.struct(*columns)
+    key = order_key(time, tie)
+    last = F.struct(*[F.col(f"_last_{c}").alias(c) for c in columns])
     out = ordered_scan(
         df, keys, time, tie,
-        local=lambda w: {"_near": F.lag(values).over(w)},
-        summary={"_last": F.max_by(values, F.struct(time, tie))},
-        carried=lambda w: {"_far": F.lag("_last").over(w)}, **options)
+        local=lambda w: {"_near": F.lag(F.struct(*columns)).over(w)},
+        summary={f"_last_{c}": F.max_by(c, key) for c in columns},
+        carried=lambda w: {"_far": F.lag(last).over(w)}, **options)
     return out.withColumn(name, F.coalesce("_near", "_far")).drop("_near", "_far")
 
 

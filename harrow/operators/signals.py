@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from harrow.operators.pieces import (
-    PIECE, WHOLE, cut_into_pieces, order_key, shuffle_tasks)
+    IS_CUT, PIECE, cut_into_pieces, order_key, shuffle_tasks)
 
 
 def statistics() -> list:
@@ -227,7 +227,7 @@ def _entries(cut: DataFrame, keys: list[str], gap: int) -> DataFrame:
         T.StructField("first", T.LongType()), T.StructField("entered", longs),
         T.StructField("left", longs)])
     tables = (
-        cut.where(F.col(PIECE) != WHOLE).select(*piece, "_us")
+        cut.where(IS_CUT).select(*piece, "_us")
         .repartition(shuffle_tasks(cut), *piece).sortWithinPartitions(*piece, "_us")
         .mapInArrow(_tables(piece, gap, to_arrow_schema(kind)), kind))
     return tables.groupBy(*keys).applyInPandas(

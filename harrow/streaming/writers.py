@@ -14,7 +14,7 @@ from harrow import schemas
 from harrow.functions.geo import geohash
 from harrow.functions.times import day_of
 from harrow.operators.gps import trail_documents
-from harrow.operators.ledger import KEY, ledger_mark_sent, unsent_points
+from harrow.operators.ledger import KEY, ledger_mark_sent, unsent, unsent_points
 from harrow.sinks.files import write_trail_documents
 from harrow.sinks.tables import write_hypertable
 from harrow.sources.messages import json_reject_split, read_gpsd
@@ -71,9 +71,14 @@ def _read(spark: SparkSession, path: str, schema) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
-def upload_once(points: DataFrame, sent_log: str, documents: str, staging: str, n: int = 1000,
-                failed_paths: DataFrame | None = None, precision: int = 7) -> int:
-    """Upload the n newest unsent points; returns how many were taken.
+def upload_once(points: DataFrame, sent_log: str, documents: str, staging: str,
+                n: int | None = None, failed_paths: DataFrame | None = None,
+                precision: int = 7, batch_size: int = 1000) -> int:
+    """Upload unsent points; returns how many were taken.
+
+    By default that is all of them in one job, in documents of at most
+    ``batch_size`` points, newest first per device. With ``n`` only the n
+    newest of the fleet go.
 
     The batch is staged as a table first: documents and log rows then come
     from the same rows even if an executor is lost between them. Documents are
@@ -82,7 +87,8 @@ def upload_once(points: DataFrame, sent_log: str, documents: str, staging: str,
     """
     spark = points.sparkSession
     log = _read(spark, sent_log, points.select(*KEY).schema)
-    unsent_points(points, log, n).write.mode("overwrite").parquet(staging)
+    chosen = unsent(points, log) if n is None else unsent_points(points, log, n)
+    chosen.write.mode("overwrite").parquet(staging)
     taken = spark.read.parquet(staging)
     count = taken.count()
     if not count:
@@ -93,22 +99,20 @@ def upload_once(points: DataFrame, sent_log: str, documents: str, staging: str,
             taken.withColumn("day", day_of("time"))
             .withColumn("geohash", geohash("lat", "lon", precision))
             .join(failed_paths, ["device", "day", "geohash"], "left_anti").select(taken.columns))
-    write_trail_documents(trail_documents(worked, precision, n), documents)
+    write_trail_documents(trail_documents(worked, precision, batch_size), documents)
     ledger_mark_sent(worked).write.mode("append").parquet(sent_log)
     return count
 
 
 def stream_trail_upload(points: DataFrame, table: str, sent_log: str, documents: str,
-                        staging: str, checkpoint: str, n: int = 1000,
+                        staging: str, checkpoint: str, batch_size: int = 1000,
                         available_now: bool = True) -> StreamingQuery:
-    """Store arriving points, then upload until nothing is unsent."""
+    """Store arriving points, then upload what is unsent."""
     def save(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         write_hypertable(batch, table, "time", KEY, "id")
         stored = _read(spark, table, points.schema.add("day", "date"))
-        turn = 0
-        while upload_once(stored.drop("day"), sent_log, documents,
-                          f"{staging}/{batch_id}-{turn}", n):
-            turn += 1
+        upload_once(stored.drop("day"), sent_log, documents, f"{staging}/batch={batch_id}",
+                    batch_size=batch_size)
 
     return _start(points, save, checkpoint, available_now)
