@@ -129,3 +129,19 @@ def test_json_readers_take_streams(spark, feed, tmp_path):
         sources.read_signals(df.select("id", "device", body.alias("body"))))
     got = append(spark, signals(stream), tmp_path)
     assert got.count() == batch.where("value < 40").count()
+
+
+def test_frames_to_statistics_as_a_stream(spark, tmp_path):
+    from harrow.plans import flows, views
+
+    ev = views.events(spark, "/root/testdata/sf0.001")
+    text = op.frame_to_message(views.messages(ev)).select("device", "body")
+    text.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(text.schema).parquet(str(tmp_path / "in"))
+    stats = flows.message_stream_to_stats(stream, views.dictionary(spark), "1 hour", "1 hour")
+    st.run_append(stats, str(tmp_path / "out"), str(tmp_path / "check"))
+    got = spark.read.schema(stats.schema).parquet(str(tmp_path / "out"))
+    decoded = op.valid_signal_filter(op.signal_decode(views.messages(ev), views.dictionary(spark)))
+    want = op.signal_stats(decoded, "1 hour").select(got.columns)
+    assert got.count() > 0.9 * want.count() and got.select("device", "name", "number").exceptAll(
+        want.select("device", "name", "number")).count() == 0
