@@ -156,9 +156,9 @@ def _tables(keys: list[str], gap: int, schema: pa.Schema):
             if not batch.num_rows:
                 continue
             done = []
-            times, edges = batch.column("_us").to_numpy(), _changes(batch, keys)
+            times, edges = batch.column("_us").to_numpy(), _changes(batch, keys).tolist()
             for a, b in zip(edges[:-1], edges[1:]):
-                key = _key_at(batch, keys, int(a))
+                key = _key_at(batch, keys, a)
                 if current is None or current.key != key:
                     if current is not None:
                         done.append(current.row(gap))
@@ -185,31 +185,57 @@ def _chain(keys: list[str]):
     return run
 
 
+def _publications(times: np.ndarray, last: int, gap: int) -> np.ndarray:
+    """Which rows publish, given the publication before them."""
+    closes = np.zeros(len(times), dtype=bool)
+    # A row that comes ``gap`` after its neighbour publishes in any case, so
+    # only the rows between such rows depend on what was published before.
+    sure = np.flatnonzero(np.diff(times) >= gap) + 1
+    closes[sure] = True
+    starts = np.concatenate(([0], sure))
+    ends = np.concatenate((sure, [len(times)]))
+    long = (ends - starts > 1) | (starts == 0)
+    for start, end in zip(starts[long].tolist(), ends[long].tolist()):
+        if start:
+            last, start = int(times[start]), start + 1
+        while start < end:
+            start += int(np.searchsorted(times[start:end], last + gap))
+            if start < end:
+                closes[start], last = True, int(times[start])
+            start += 1
+    return closes
+
+
 def _label(keys: list[str], gap: int):
     """Label rows in order. A header row before a piece brings its entry;
     without one the first row starts the clock."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, last = None, 0
         for batch in batches:
-            if not batch.num_rows:
+            n = batch.num_rows
+            if not n:
                 continue
             times = batch.column("_us").to_numpy()
             header = batch.column("_header").to_numpy(zero_copy_only=False)
-            opened = np.zeros(batch.num_rows, dtype=np.int64)
-            closes = np.zeros(batch.num_rows, dtype=bool)
-            edges = _changes(batch, keys)
+            opened = np.zeros(n, dtype=np.int64)
+            closes = np.zeros(n, dtype=bool)
+            edges = _changes(batch, keys).tolist()
+            goes_on = _key_at(batch, keys, 0) == current
             for a, b in zip(edges[:-1], edges[1:]):
-                key = _key_at(batch, keys, int(a))
-                if key != current:
-                    current, last = key, int(times[a])
-                if header[a]:
-                    a += 1
-                while a < b:
-                    at = a + int(np.searchsorted(times[a:b], last + gap))
-                    opened[a:min(at + 1, b)] = last
-                    if at < b:
-                        closes[at], last = True, int(times[at])
-                    a = at + 1
+                if a or not goes_on:
+                    last = int(times[a])
+                a += bool(header[a])
+                if a == b:
+                    continue
+                part = times[a:b]
+                published = _publications(part, last, gap)
+                # The publication before each row: the last one at a lower index.
+                at = np.maximum.accumulate(np.where(published, np.arange(b - a), -1))
+                before = np.concatenate(([-1], at[:-1]))
+                opened[a:b] = np.where(before >= 0, part[before], last)
+                closes[a:b] = published
+                last = int(part[at[-1]]) if at[-1] >= 0 else last
+            current = _key_at(batch, keys, n - 1)
             kept = [batch.column(i) for i in range(batch.num_columns - 1)]
             names = batch.schema.names[:-1]
             yield pa.RecordBatch.from_arrays(

@@ -69,12 +69,11 @@ def export_tracks(points: DataFrame, path: str, length_s: int = 3600, start: str
     if first is None or last is None:
         return
     begin = F.lit(first)
-    if append:
-        done = exported_segments(spark, path)
-        if done is not None:
-            begin = F.lit(high_water_mark(done, begin).first()["start"])
+    done = exported_segments(spark, path)
+    if append and done is not None:
+        begin = F.lit(high_water_mark(done, begin).first()["start"])
     segments = segment_assign(points, begin, F.lit(last), length_s)
-    write_gpx(segments, path)
+    write_gpx(segments, path, replace=done is not None)
 
 
 def exported_segments(spark: SparkSession, path: str) -> DataFrame | None:

@@ -63,11 +63,13 @@ def gpx_lines(segments: DataFrame, max_points: int = 1_000_000, **options) -> Da
     return named.select("device", "segment", "part", "ordinal", line.alias("line"))
 
 
-def write_gpx(segments: DataFrame, path: str, max_points: int = 1_000_000, **options) -> None:
+def write_gpx(segments: DataFrame, path: str, max_points: int = 1_000_000,
+              replace: bool = True, **options) -> None:
     """One GPX 1.1 file per non-empty segment, points in time order.
 
     Files lie under ``device=/segment=/part=`` and replace those of an earlier
-    export of the same part; others stay. The sort columns start with the
+    export of the same part; others stay. Into an empty place ``replace=False``
+    saves the bookkeeping. The sort columns start with the
     partition columns, which is the order the writer needs; it keeps ours.
     """
     file = ["device", "segment", "part"]
@@ -76,7 +78,7 @@ def write_gpx(segments: DataFrame, path: str, max_points: int = 1_000_000, **opt
     (gpx_lines(segments, max_points, **options)
      .repartition(shuffle_tasks(segments), *file).sortWithinPartitions(*file, "ordinal")
      .drop("ordinal")
-     .write.partitionBy(*file).mode("overwrite")
+     .write.partitionBy(*file).mode("overwrite" if replace else "append")
      .option("partitionOverwriteMode", "dynamic").text(path))
 
 

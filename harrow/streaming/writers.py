@@ -13,7 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 from harrow import schemas
 from harrow.functions.geo import geohash
 from harrow.functions.times import day_of
-from harrow.operators.gps import trail_documents
+from harrow.operators.gps import class_union, trail_documents
 from harrow.operators.ledger import KEY, ledger_mark_sent, unsent, unsent_points
 from harrow.sinks.files import write_trail_documents
 from harrow.sinks.tables import write_hypertable
@@ -33,21 +33,20 @@ def write_gpsd_batch(lines: DataFrame, tables: dict[str, str], rejects: str,
     """Reports of a batch to the table of their class.
 
     ``lines`` carries ``body``, ``systime`` and any pass-on columns. Text that
-    is no JSON, and reports without a required field, go to ``rejects``.
+    is no JSON, and reports without a required field, go to ``rejects``, a
+    folder of this batch alone.
     """
     good, bad = json_reject_split(lines)
-    bad.select("systime", "body", F.lit("not JSON").alias("reason")).write.mode(
-        "append").parquet(rejects)
+    refused = [bad.select("systime", "body", F.lit("not JSON").alias("reason"))]
     for cls, path in tables.items():
-        required = schemas.GPSD_NOT_NULL[cls]
         rows = read_gpsd(good.withColumn("_body", F.col("body")), cls)
         missing = F.coalesce(*[
-            F.when(F.col(c).isNull(), F.lit(f"null {c}")) for c in required])
-        rows.where(missing.isNotNull()).select(
-            "systime", F.col("_body").alias("body"), missing.alias("reason")).write.mode(
-            "append").parquet(rejects)
+            F.when(F.col(c).isNull(), F.lit(f"null {c}")) for c in schemas.GPSD_NOT_NULL[cls]])
+        refused.append(rows.where(missing.isNotNull()).select(
+            "systime", F.col("_body").alias("body"), missing.alias("reason")))
         write_hypertable(
             rows.where(missing.isNull()).drop("_body"), path, "systime", list(unique))
+    class_union(*refused).write.mode("overwrite").parquet(rejects)
 
 
 def stream_table_writer(lines: DataFrame, tables: dict[str, str], rejects: str, checkpoint: str,

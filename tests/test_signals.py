@@ -21,9 +21,19 @@ def publish(messages, gap):
     return out
 
 
+@pytest.fixture(params=[10_000, 7])
+def arrow_rows(spark, request):
+    """Arrow batches that hold whole signals, and some that split them."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, request.param)
+    yield request.param
+    spark.conf.set(name, before)
+
+
 @pytest.mark.parametrize("limit", [None, 25, 400])
 @pytest.mark.parametrize("gap", [1.0, 0.25])
-def test_greedy_statistics_against_the_rule(spark, limit, gap):
+def test_greedy_statistics_against_the_rule(spark, limit, gap, arrow_rows):
     rng = random.Random(4)
     data, us = [], {}
     for i in range(3000):
