@@ -12,14 +12,16 @@ def accept_new(df: DataFrame, path: str, unique: list[str], time: str = "time",
                order: str | None = None) -> DataFrame:
     """First row of each key that the table at ``path`` does not hold.
 
-    ``df`` carries ``day``. Only the days of ``df`` are looked up in the table:
-    the day joins as part of the key, so dynamic pruning can skip the rest.
+    ``df`` carries ``day``. The first and last day of ``df`` are found before, so
+    that only those days of the table are listed and read.
     """
     fresh = first_per_key(df, ["day", *unique], order or time)
     try:
         held = df.sparkSession.read.parquet(path).select("day", *unique)
     except AnalysisException:
         return fresh
+    first, last = df.agg(F.min("day"), F.max("day")).first()
+    held = held.where(F.col("day").between(F.lit(first), F.lit(last)))
     return fresh.join(held, ["day", *unique], "left_anti")
 
 

@@ -6,8 +6,10 @@ keyed, and keys already stored are skipped.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from datetime import date
+
 from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from harrow import schemas
@@ -72,7 +74,7 @@ def _read(spark: SparkSession, path: str, schema) -> DataFrame:
 
 def upload_once(points: DataFrame, sent_log: str, documents: str, staging: str,
                 n: int | None = None, failed_paths: DataFrame | None = None,
-                precision: int = 7, batch_size: int = 1000) -> int:
+                precision: int = 7, batch_size: int = 1000, since: date | None = None) -> int:
     """Upload unsent points; returns how many were taken.
 
     By default that is all of them in one job, in documents of at most
@@ -83,9 +85,13 @@ def upload_once(points: DataFrame, sent_log: str, documents: str, staging: str,
     from the same rows even if an executor is lost between them. Documents are
     written before the log; a crash in between sends the batch again with the
     same ids. Points of ``failed_paths`` (device, day, geohash) stay unsent.
+    ``since`` leaves out older days, of which neither points nor log are read.
     """
     spark = points.sparkSession
-    log = _read(spark, sent_log, points.select(*KEY).schema)
+    log = _read(spark, sent_log, points.select(*KEY).schema.add("day", "date"))
+    if since is not None:
+        points = points.where(F.to_date("time") >= F.lit(since))
+        log = log.where(F.col("day") >= F.lit(since))
     chosen = unsent(points, log) if n is None else unsent_points(points, log, n)
     chosen.write.mode("overwrite").parquet(staging)
     taken = spark.read.parquet(staging)
@@ -99,19 +105,28 @@ def upload_once(points: DataFrame, sent_log: str, documents: str, staging: str,
             .withColumn("geohash", geohash("lat", "lon", precision))
             .join(failed_paths, ["device", "day", "geohash"], "left_anti").select(taken.columns))
     write_trail_documents(trail_documents(worked, precision, batch_size), documents)
-    ledger_mark_sent(worked).write.mode("append").parquet(sent_log)
+    (ledger_mark_sent(worked).withColumn("day", F.to_date("time"))
+     .hint("rebalance", "day").write.partitionBy("day").mode("append").parquet(sent_log))
     return count
 
 
 def stream_trail_upload(points: DataFrame, table: str, sent_log: str, documents: str,
                         staging: str, checkpoint: str, batch_size: int = 1000,
-                        available_now: bool = True) -> StreamingQuery:
-    """Store arriving points, then upload what is unsent."""
+                        sweep_every: int = 100, available_now: bool = True) -> StreamingQuery:
+    """Store arriving points, then upload what is unsent.
+
+    A batch looks at the days from its own oldest point on; every
+    ``sweep_every`` batches all days are looked at, for paths that failed.
+    """
     def save(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         write_hypertable(batch, table, "time", KEY, "id")
+        oldest = batch.agg(F.min(F.to_date("time"))).first()[0]
+        since = None if batch_id % sweep_every == 0 else oldest
         stored = _read(spark, table, points.schema.add("day", "date"))
+        if since is not None:
+            stored = stored.where(F.col("day") >= F.lit(since))
         upload_once(stored.drop("day"), sent_log, documents, f"{staging}/batch={batch_id}",
-                    batch_size=batch_size)
+                    batch_size=batch_size, since=since)
 
     return _start(points, save, checkpoint, available_now)

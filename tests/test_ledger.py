@@ -1,3 +1,5 @@
+from datetime import date
+
 from pyspark.sql import functions as F
 
 from harrow import functions as fn
@@ -41,7 +43,7 @@ def test_uploads_take_the_newest_and_lose_nothing(spark, tmp_path):
     failed = p.where("id < 3").select("device", fn.day_of("time").alias("day"), fn.geohash("lat", "lon").alias("geohash"))
     # Every path fails at first: nothing is logged.
     assert st.upload_once(p, place["sent"], place["docs"], str(tmp_path / "s"), 10, failed) == 10
-    assert spark.read.schema("device bigint, time timestamp").parquet(place["sent"]).count() == 0
+    assert spark.read.schema("device bigint, time timestamp, day date").parquet(place["sent"]).count() == 0
     while n := st.upload_once(p, place["sent"], place["docs"], str(tmp_path / f"s{turn}"), 10):
         taken.append((n, min(seconds(spark.read.parquet(str(tmp_path / f"s{turn}"))))))
         turn += 1
@@ -49,3 +51,20 @@ def test_uploads_take_the_newest_and_lose_nothing(spark, tmp_path):
     assert seconds(spark.read.parquet(place["sent"])) == list(range(25))
     ids = spark.read.schema("data map<string, struct<id: string>>, day string").json(place["docs"])
     assert ids.select(F.explode("data")).select("key").distinct().count() == 25
+
+
+def test_stream_uploads_every_batch(spark, tmp_path):
+    feed = str(tmp_path / "feed")
+    for part in ([1, 2], [90_000, 3], [180_000, 90_001]):
+        points(spark, part).coalesce(1).write.mode("append").parquet(feed)
+    stream = spark.readStream.schema(spark.read.parquet(feed).schema).option(
+        "maxFilesPerTrigger", 1).parquet(feed)
+    place = {k: str(tmp_path / k) for k in ("table", "sent", "docs", "staging", "check")}
+    st.stream_trail_upload(stream, *place.values())
+    assert seconds(spark.read.parquet(place["sent"])) == [1, 2, 3, 90_000, 90_001, 180_000]
+    ids = spark.read.schema("data map<string, struct<id: string>>, day string").json(place["docs"])
+    assert ids.select(F.explode("data")).count() == 6
+    # A later sweep finds nothing more; one bounded by day reads only those days.
+    stored = spark.read.parquet(place["table"]).drop("day")
+    for since in (None, date(1970, 1, 3)):
+        assert st.upload_once(stored, place["sent"], place["docs"], str(tmp_path / "again"), since=since) == 0
