@@ -50,10 +50,6 @@ def difference(spark_df: pd.DataFrame, duck_df: pd.DataFrame) -> str | None:
     return f"{len(wrong)} values differ, first {wrong[0]}" if wrong else None
 
 
-def kinds(spark_schema, duck_df: pd.DataFrame) -> str:
-    return ""
-
-
 def main() -> int:
     from harrow.session import build_session
     import __spark_entry__ as entry
