@@ -48,19 +48,23 @@ def hash60(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(joined), 1, 15), 16, 10).cast("bigint")
 
 
-def numbered_copies(df: DataFrame, copy: str = "_copy", step: int = 1024) -> DataFrame:
+def dealt_out(counted: DataFrame, count: str, copy: str, step: int = 1024) -> DataFrame:
+    """Each row as often as its count says, numbered from 0; no list is longer than a step."""
+    steps = counted.withColumn(
+        "_step", F.explode(F.sequence(F.lit(0), F.expr(f"({count} - 1) div {step}"))))
+    return steps.withColumn(copy, F.explode(F.sequence(
+        F.col("_step") * step, F.least(F.col(count), (F.col("_step") + 1) * step) - 1))
+    ).drop(count, "_step")
+
+
+def numbered_copies(df: DataFrame, copy: str = "_copy") -> DataFrame:
     """Rows with a number that tells equal rows apart.
 
-    Equal rows are counted (combined before the shuffle) and dealt out again in
-    steps, so the number depends on the data alone and no list grows with a group.
+    Equal rows are counted (combined before the shuffle) and dealt out again, so
+    the number depends on the data alone and no list grows with a group.
     """
     columns = [F.col(c) for c in df.columns]
-    counted = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("_n"))
-    steps = counted.withColumn(
-        "_step", F.explode(F.sequence(F.lit(0), F.expr(f"(_n - 1) div {step}"))))
-    return steps.withColumn(copy, F.explode(F.sequence(
-        F.col("_step") * step, F.least(F.col("_n"), (F.col("_step") + 1) * step) - 1))
-    ).drop("_n", "_step")
+    return dealt_out(df.groupBy(*columns).agg(F.count(F.lit(1)).alias("_n")), "_n", copy)
 
 
 def groups(frames: Iterator[pd.DataFrame], key: str) -> Iterator[pd.DataFrame]:
@@ -140,23 +144,24 @@ class Forest:
         return np.array([self.ids[self.root(i)] for i in range(len(self.up))], dtype=np.int64)
 
 
-def in_blocks(members: DataFrame, cluster: str, member: str, block: int) -> DataFrame:
-    """Members of clusters, dealt to pairs of blocks so that each pair meets once.
+def seated(members: DataFrame, cluster: str, member: str, block: int) -> DataFrame:
+    """Members of clusters with ``seat`` of ``seats``: the blocks their cluster is cut into."""
+    sizes = members.groupBy(cluster).agg(F.count(F.lit(1)).alias("_g"))
+    return (members.join(sizes, cluster)
+            .withColumn("seats", F.expr(f"(_g + {block} - 1) div {block}"))
+            .withColumn("seat", F.pmod(F.xxhash64(member), F.col("seats"))).drop("_g"))
+
 
-    ``members`` has one row per member, with ``cluster``. Adds ``pair_key`` (rows with
-    one value meet in one task), ``side`` (0 rows, 1 columns, 2 both) and ``many``
-    (the cluster has more than one block). A cluster of g members makes g * g / block
-    rows, one of at most ``block`` members just g.
+def in_pairs(members: DataFrame, cluster: str) -> DataFrame:
+    """Seated members, dealt to pairs of blocks so that every two of a cluster meet once.
+
+    Adds ``pair_key`` (rows with one value meet in one task) and ``side`` (0 rows, 1
+    columns, 2 both). A cluster of g members makes g * g / block rows, one of a single
+    block just g.
     """
-    sizes = members.groupBy(cluster).agg(F.count(F.lit(1)).alias("_g"))
-    parts = F.expr(f"(_g + {block} - 1) div {block}")
-    dealt = (members.join(sizes, cluster)
-             .withColumn("_parts", parts)
-             .withColumn("_own", F.pmod(F.xxhash64(member), F.col("_parts")))
-             .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))))
-    low, high = F.least("_own", "_other"), F.greatest("_own", "_other")
+    dealt = members.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("seats") - 1)))
+    low, high = F.least("seat", "_other"), F.greatest("seat", "_other")
     return (dealt.withColumn("pair_key", F.xxhash64(F.col(cluster), low, high))
-            .withColumn("side", F.when(F.col("_own") == F.col("_other"), 2)
-                        .when(F.col("_own") < F.col("_other"), 0).otherwise(1))
-            .withColumn("many", F.col("_parts") > 1)
-            .drop("_g", "_parts", "_own", "_other"))
+            .withColumn("side", F.when(F.col("seat") == F.col("_other"), 2)
+                        .when(F.col("seat") < F.col("_other"), 0).otherwise(1))
+            .drop("_other", "seat"))

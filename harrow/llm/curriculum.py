@@ -73,7 +73,14 @@ def training_time(demand: Column, knots) -> Column:
     return time.otherwise(F.lit(float(knots[-1][0])))
 
 
-def mixed(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST,
+def mixed(docs: DataFrame, **settings) -> DataFrame:
+    """:func:`mix` range-sorted by position, documents that are not taken last."""
+    return (mix(docs, **settings).drop("copy")
+            .repartitionByRange(F.col("position").asc_nulls_last(), F.col("doc_id"))
+            .sortWithinPartitions(F.col("position").asc_nulls_last(), "doc_id"))
+
+
+def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST,
           schedules=SCHEDULES, bucket_rows: int = PASSES_PER_BUCKET) -> DataFrame:
     """One row per document of ``docs`` (``doc_id, source, size``): what the mix takes and when.
 
@@ -82,7 +89,7 @@ def mixed(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MO
     first; the rest of the target is the head of one more pass, whose last document is
     cut at the target. The words a source has been asked for before a document, put
     through the inverse of its schedule, are the document's position in training
-    (NULL if nothing of it is taken). Rows come out range-sorted by position, NULL last.
+    (NULL if nothing of it is taken).
 
     The running sum of a source goes over hash buckets: sums of buckets first, then
     inside each. Copies of one row are counted and dealt out at the end, so no
@@ -129,17 +136,41 @@ def mixed(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MO
     taken = at(taken, "position", F.col("_before"), some)
     last_pass = F.when(F.col("_extra") > 0, F.col("_passes")).otherwise(F.col("_passes") - 1)
     taken = at(taken, "last_position", last_pass * F.col("source_size") + F.col("_before"), some)
-    return (taken.select("doc_id", "source", "size", "source_size", "target", "taken",
-                         "position", "last_position")
-            .repartitionByRange(F.col("position").asc_nulls_last(), F.col("doc_id"))
-            .sortWithinPartitions(F.col("position").asc_nulls_last(), "doc_id"))
+    return taken.select("doc_id", "source", "size", F.col("_copy").alias("copy"), "source_size",
+                        "target", "taken", "position", "last_position")
+
+
+def word_count(text: str = "text") -> Column:
+    return F.coalesce(F.regexp_count(text, F.lit(WORDS)), F.lit(0)).cast("bigint")
 
 
 def document_mix(docs: DataFrame, **settings) -> DataFrame:
     """The mix of a table of documents; size is the number of words of the whole text."""
-    sizes = docs.select("doc_id", "source", F.coalesce(
-        F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("bigint").alias("size"))
-    return mixed(sizes, **settings)
+    return mixed(docs.select("doc_id", "source", word_count().alias("size")), **settings)
+
+
+def training_stream(docs: DataFrame, **settings) -> DataFrame:
+    """The documents in the order in which training reads them, once for each time.
+
+    A document comes once per pass that takes words of it, whole; one that the mix does
+    not take does not come. All columns are as they were. Rows are told apart by
+    a digest of their content, equal rows by a number, so repeated and NULL ids do no harm.
+    """
+    columns = docs.columns
+    key = F.md5(F.concat_ws("/", text_of("doc_id"), text_of("source"), text_of("text")))
+    sizes = stage(docs.select(key.alias("doc_id"), "source", word_count().alias("size")), "sizes")
+    plan = mix(sizes, **settings).where("taken > 0").select(
+        F.col("doc_id").alias("_key"), F.col("copy").cast("int").alias("_copy"),
+        F.array_compact(F.array(
+            F.col("position"), F.when(F.col("taken") > F.col("size"), F.col("last_position"))
+        )).alias("_times"))
+    rows = docs.select(F.struct(*columns).alias("_doc"), key.alias("_key"))
+    if sizes.groupBy("doc_id").count().where("count > 1").isEmpty():
+        rows = rows.withColumn("_copy", F.lit(0))
+    else:
+        rows = numbered_copies(rows)
+    timed = rows.join(plan, ["_key", "_copy"]).select("_doc", F.explode("_times").alias("_time"), "_key")
+    return timed.repartitionByRange("_time", "_key").sortWithinPartitions("_time", "_key").select("_doc.*")
 
 
 def _curve_sql(x: str) -> str:
