@@ -6,7 +6,12 @@ import __spark_entry__ as registered
 from tests.oracle import connect, difference
 
 SF = "/root/testdata/sf0.001"
-QUERIES, ORACLES = registered.queries(), registered.oracle_sql()
+QUERIES, ORACLES = registered.QUERIES, registered.ORACLES
+
+
+def test_all_are_registered():
+    assert QUERIES.items() <= registered.queries().items()
+    assert ORACLES.items() <= registered.oracle_sql().items()
 
 
 @pytest.fixture(scope="module")
