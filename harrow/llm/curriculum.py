@@ -13,7 +13,7 @@ WORDS = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3, 1, 2)       # of the sources by code point, repeating
 SHARE = 1.5               # of all words that the mix takes
 MOST = 2                  # passes over a source
-PASSES_PER_BUCKET = 20_000
+PASSES_PER_BUCKET = 2_000
 # Weight of a source over training time 0..1, as (time, factor) knots for each of WEIGHTS:
 # the heaviest sources come late, the lightest early.
 SCHEDULES = (((0.0, 0.5), (1.0, 1.5)), ((0.0, 1.5), (1.0, 0.5)), ((0.0, 1.0), (1.0, 1.0)))
