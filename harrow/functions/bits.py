@@ -23,8 +23,9 @@ def hex_text(c) -> Column:
 
 
 def hex_number(c) -> Column:
-    """Unpadded hex text to BIGINT; a u64 keeps its bit pattern."""
-    return F.conv(_col(c), 16, -10).cast("bigint")
+    """Unpadded hex text to BIGINT; a u64 keeps its bit pattern, what is no u64 is NULL."""
+    text = _col(c)
+    return F.when(text.rlike("^0*[0-9A-Fa-f]{1,16}$"), F.conv(F.right(text, F.lit(16)), 16, -10).cast("bigint"))
 
 
 def word_of(hex16: Column) -> Column:

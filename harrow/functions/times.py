@@ -15,8 +15,8 @@ def epoch_seconds(c) -> Column:
 
 
 def from_epoch_seconds(c) -> Column:
-    """Epoch seconds as DOUBLE to TIMESTAMP, rounded to the microsecond."""
-    return F.timestamp_micros(F.round(_col(c) * F.lit(1000000.0)).cast("bigint"))
+    """Epoch seconds as DOUBLE to TIMESTAMP, rounded to the microsecond; NULL out of range."""
+    return F.timestamp_micros(F.round(_col(c) * F.lit(1000000.0)).try_cast("bigint"))
 
 
 def iso_time(c) -> Column:

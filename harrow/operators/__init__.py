@@ -10,7 +10,7 @@ from harrow.operators.fleet import (
     device_label, export_range, fleet_state, latest_row, newest_n, newest_one, newest_time,
     online_transitions, staleness)
 from harrow.operators.gps import (
-    add_ingest_time, class_union, export_bounds, gps_class_filter, high_water_mark,
+    add_ingest_time, class_union, export_bounds, gps_class_filter, high_water_mark, high_water_marks,
     segment_assign, segment_order, time_range_filter, trail_documents, upload_batches)
 from harrow.operators.j1939 import (
     frame_to_bus_message, frame_to_message, j1939_decode_id, j1939_only, signal_decode,

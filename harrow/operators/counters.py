@@ -24,10 +24,16 @@ def bus_activity(counters: DataFrame, link_type: int = CAN_LINK) -> DataFrame:
 
 
 def interface_traffic(counters: DataFrame, bucket: str = "1 hour") -> DataFrame:
-    """Bytes received per interface and time bucket; none or fewer is silence."""
+    """Bytes received per interface and time bucket; none or fewer is silence.
+
+    A sample compares with the one before it, also across buckets, so no traffic is
+    lost between them. Of a bucket whose only sample is an interface's first nothing
+    can be said: ``delta`` and ``silent`` are NULL.
+    """
+    grown = with_previous(counters, ["device", "interface"], "time", "rx_bytes", ["rx_bytes"], "_before")
     return (
-        counters.groupBy("device", "interface", F.window("time", bucket).alias("_w"))
-        .agg((F.max_by("rx_bytes", "time") - F.min_by("rx_bytes", "time")).alias("delta"))
+        grown.groupBy("device", "interface", F.window("time", bucket).alias("_w"))
+        .agg(F.sum(F.col("rx_bytes") - F.col("_before.rx_bytes")).alias("delta"))
         .select("device", "interface", F.col("_w.start").alias("bucket"), "delta",
                 (F.col("delta") <= 0).alias("silent")))
 

@@ -43,7 +43,8 @@ def segment_assign(points: DataFrame, start: Column, end: Column, length_s: int,
     """
     step = length_s * 1_000_000
     first = F.unix_seconds(start)
-    count = F.ceil((F.unix_seconds(end) - first) / F.lit(length_s)).cast("bigint")
+    # In microseconds: a last point just past a boundary has a segment too.
+    count = F.ceil((F.unix_micros(end) - first * 1_000_000) / F.lit(step)).cast("bigint")
     into = F.unix_micros(F.col(time)) - first * 1_000_000
     index = F.floor(into / F.lit(step)).cast("bigint")
     candidates = F.array(index)
@@ -83,18 +84,23 @@ def high_water_mark(segments: DataFrame, start: Column, col: str = "segment") ->
     return segments.agg(F.greatest(start, newest).alias("start"))
 
 
+def high_water_marks(segments: DataFrame, key: str = "device", col: str = "segment") -> DataFrame:
+    """Newest exported segment of each device (``device, start``); a late device has its own."""
+    newest = F.max(F.col(col).cast("string").try_cast("timestamp"))
+    return segments.groupBy(key).agg(newest.alias("start")).where("start IS NOT NULL")
+
+
 def segment_order(df: DataFrame, keys: tuple[str, ...] = ("device", "segment"),
-                  time: str = "time", tie: str = "id", max_points: int = 1_000_000,
+                  time: str = "time", tie: str = "id", max_points: int | None = None,
                   **options) -> DataFrame:
-    """Rank points inside their segment and cut oversized segments into parts.
+    """Rank points inside their segment.
 
-    ``ordinal`` counts from 1 within (device, segment) to ``points``; ``part``
-    groups ``max_points`` of them, so a segment of any size is written by
-    bounded tasks.
+    ``ordinal`` counts from 1 within (device, segment) to ``points``. A segment is one
+    part (0); with ``max_points`` it is cut into parts of so many points.
     """
     ranked = with_row_number(df, list(keys), time, tie, "ordinal", total="points", **options)
-    return ranked.withColumn(
-        "part", F.floor((F.col("ordinal") - 1) / F.lit(max_points)).cast("bigint"))
+    part = F.lit(0) if max_points is None else F.floor((F.col("ordinal") - 1) / F.lit(max_points))
+    return ranked.withColumn("part", part.cast("bigint"))
 
 
 def upload_batches(points: DataFrame, batch_size: int = 1000, **options) -> DataFrame:

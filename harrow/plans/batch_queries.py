@@ -496,12 +496,14 @@ def signal_stats_second(spark, sf):
 
 
 @query("frames_to_stats", sql(DECODED, f"""SELECT epoch_us(date_trunc('hour', time)) AS window_us,
-  device, name, COUNT(*) AS number, round(AVG(value), 4) AS average FROM decoded
-  WHERE value < max_value AND name <> 'wide' AND is_extended AND NOT is_rtr GROUP BY 1, 2, 3"""))
+  device, name, COUNT(*) AS number, printf('%.12e', AVG(value)) AS average,
+  printf('%.12e', SUM(value)) AS total FROM decoded WHERE value < max_value AND is_extended AND NOT is_rtr GROUP BY 1, 2, 3"""))
 def frames_to_stats(spark, sf):
-    names = views.dictionary(spark).where("name <> 'wide'")
-    stats = flows.frames_to_stats(views.frames(views.events(spark, sf)), names, "1 hour")
-    return stats.select(us("window_start", "window_us"), "device", "name", "number", rounded("average"))
+    stats = flows.frames_to_stats(views.frames(views.events(spark, sf)), views.dictionary(spark), "1 hour")
+    # Relative rounding: values go up to 64 bits.
+    return stats.select(us("window_start", "window_us"), "device", "name", "number",
+                        F.format_string("%.12e", "average").alias("average"),
+                        F.format_string("%.12e", "sum_val").alias("total"))
 
 
 # Six hours: the data has a few events per machine and day.
@@ -539,9 +541,9 @@ def bus_activity(spark, sf):
 
 
 @query("interface_traffic", sql(COUNTERS, """SELECT device, interface,
-  epoch_us(date_trunc('day', time)) AS bucket_us,
-  arg_max(rx_bytes, time) - arg_min(rx_bytes, time) AS delta,
-  arg_max(rx_bytes, time) - arg_min(rx_bytes, time) <= 0 AS silent FROM counters GROUP BY 1, 2, 3"""))
+  epoch_us(date_trunc('day', time)) AS bucket_us, CAST(SUM(grown) AS BIGINT) AS delta,
+  SUM(grown) <= 0 AS silent FROM (SELECT *, rx_bytes - lag(rx_bytes) OVER
+    (PARTITION BY device, interface ORDER BY time) AS grown FROM counters) GROUP BY 1, 2, 3"""))
 def interface_traffic(spark, sf):
     return op.interface_traffic(views.counters(views.events(spark, sf)), "1 day").select(
         "device", "interface", us("bucket"), "delta", "silent")
@@ -583,6 +585,29 @@ def high_water_mark(spark, sf):
     return op.high_water_mark(segments, F.lit(first)).select(us("start"))
 
 
+@query("high_water_mark_per_device", sql(SEGMENTS, """SELECT device, epoch_us(max(segment)) AS start_us
+  FROM placed GROUP BY device"""))
+def high_water_mark_per_device(spark, sf):
+    points = views.points(views.events(spark, sf))
+    first, last = op.export_bounds(points, 3600)
+    segments = op.segment_assign(points, F.lit(first), F.lit(last), 3600)
+    return op.high_water_marks(segments).select("device", us("start"))
+
+
+@query("read_raw_frames_rejects", sql(EV, "SELECT id, id % 4 <> 3 AS refused FROM ev"))
+def read_raw_frames_rejects(spark, sf):
+    """Three of four messages are broken: cut off, an address or a group out of range."""
+    text = op.frame_to_message(views.messages(views.events(spark, sf))).select("id", "body")
+    kind = F.col("id") % 4
+    broken = text.withColumn("body", F.when(kind == 0, F.substring("body", 1, 20))
+                             .when(kind == 1, F.regexp_replace("body", '"saddr":"', '"saddr":"1ffff'))
+                             .when(kind == 2, F.regexp_replace("body", '"pgn":"', '"pgn":"1234567890abcdef'))
+                             .otherwise(F.col("body")))
+    rows, rejects = sources.split_rejects(broken, sources.read_raw_frames, ("pgn", "source"))
+    return rows.select("id", F.lit(False).alias("refused")).union(
+        rejects.select("id", F.lit(True).alias("refused")))
+
+
 @query("trail_documents", sql(TRAILS, """SELECT device, day, geohash, batch, COUNT(*) AS n,
   array_to_string(list(DISTINCT pid ORDER BY pid), ',') AS ids FROM ranked GROUP BY ALL"""))
 def trail_documents(spark, sf):

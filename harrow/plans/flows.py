@@ -9,7 +9,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from harrow.operators.constraints import constraint_split
-from harrow.operators.gps import export_bounds, high_water_mark, segment_assign
+from harrow.operators.gps import export_bounds, high_water_marks, segment_assign
 from harrow.operators.j1939 import (
     j1939_decode_id, j1939_only, signal_decode, valid_signal_filter)
 from harrow.operators.signals import signal_stats
@@ -61,8 +61,9 @@ def export_tracks(points: DataFrame, path: str, length_s: int = 3600, start: str
                   end: str | None = None, truncate: bool = True, append: bool = False) -> None:
     """Points to one GPX file per device and time segment, in one job.
 
-    With ``append`` the start moves up to the newest segment already written;
-    that one is written again whole. Files of a segment replace older ones.
+    With ``append`` each device starts at its own newest segment already written, which
+    is written again whole; a device whose points come late loses none. Files of
+    a segment replace older ones.
     """
     spark = points.sparkSession
     first, last = export_bounds(points, length_s, start, end, truncate)
@@ -71,18 +72,24 @@ def export_tracks(points: DataFrame, path: str, length_s: int = 3600, start: str
     begin = F.lit(first)
     done = exported_segments(spark, path)
     if append and done is not None:
-        begin = F.lit(high_water_mark(done, begin).first()["start"])
-    segments = segment_assign(points, begin, F.lit(last), length_s)
+        marks = high_water_marks(done).select(
+            F.col("device").alias("_device"), F.col("start").alias("_mark"))
+        points = points.join(marks, F.col("device").cast("string") == F.col("_device"), "left")
+        begin = F.greatest(begin, F.coalesce("_mark", begin))
+    segments = segment_assign(points, begin, F.lit(last), length_s).drop("_device", "_mark")
     write_gpx(segments, path, replace=done is not None)
 
 
 def exported_segments(spark: SparkSession, path: str) -> DataFrame | None:
-    """Segments already under ``path``, from folder names alone."""
+    """``device, segment`` of what is already under ``path``, from folder names alone."""
     try:
         files = spark.read.format("binaryFile").option(
             "recursiveFileLookup", "true").load(path).select("path")
-    except AnalysisException:
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
     name = F.regexp_extract("path", r"segment=([^/]+)/", 1)
     return files.select(
+        F.regexp_extract("path", r"device=([^/]+)/", 1).alias("device"),
         F.try_to_timestamp(name, F.lit("yyyy-MM-dd'T'HH-mm-ss'Z'")).alias("segment"))

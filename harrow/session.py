@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark import cloudpickle
@@ -50,14 +51,22 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder every executor can reach.
 
     The cluster names the base in ``spark.checkpoint.dir``; where that is
-    unset the warehouse folder is used, which is shared by definition.
+    unset the warehouse folder is used, unless it lies on this machine's disk while
+    the executors are elsewhere.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_harrow"
+        refuse_local(spark.sparkContext.master, base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def refuse_local(master: str, base: str) -> None:
+    """Raises if a folder of this machine were to be shared with executors on others."""
+    if not re.match(r"local(\[|$)", master) and re.match(r"(file:|/|[^:/]+(/|$))", base):
+        raise ValueError(f"set spark.checkpoint.dir to a folder that all executors share; {base} is local")
+
+
 def set_checkpoint_dir(spark: SparkSession) -> None:
     """Let ``DataFrame.checkpoint`` use the shared base; keep one already set."""
     sc = spark.sparkContext

@@ -38,11 +38,11 @@ _GPX_OPEN = (
 _GPX_CLOSE = "</trkseg></trk>\n</gpx>"
 
 
-def gpx_lines(segments: DataFrame, max_points: int = 1_000_000, **options) -> DataFrame:
+def gpx_lines(segments: DataFrame, max_points: int | None = None, **options) -> DataFrame:
     """Text lines of GPX files: (device, segment, part, ordinal, line).
 
     A file is one (device, segment, part) with one track of one track segment;
-    ordinal orders its lines. A segment up to ``max_points`` is one part.
+    ordinal orders its lines. A segment is one part unless ``max_points`` cuts it.
     """
     ranked = segment_order(segments, max_points=max_points, **options)
     named = ranked.withColumn(
@@ -55,15 +55,16 @@ def gpx_lines(segments: DataFrame, max_points: int = 1_000_000, **options) -> Da
         '<trkpt lat="%s" lon="%s"><time>%s</time></trkpt>',
         degrees("lat"), degrees("lon"), iso_time("time"))
     # The first and last point of a file bring its frame along.
-    opens = F.pmod(F.col("ordinal"), F.lit(max_points)) == 1 % max_points
-    closes = (F.pmod(F.col("ordinal"), F.lit(max_points)) == 0) | (
-        F.col("ordinal") == F.col("points"))
+    opens, closes = F.col("ordinal") == 1, F.col("ordinal") == F.col("points")
+    if max_points is not None:
+        opens = F.pmod(F.col("ordinal"), F.lit(max_points)) == 1 % max_points
+        closes = closes | (F.pmod(F.col("ordinal"), F.lit(max_points)) == 0)
     line = F.concat_ws(
         "\n", F.when(opens, F.lit(_GPX_OPEN)), point, F.when(closes, F.lit(_GPX_CLOSE)))
     return named.select("device", "segment", "part", "ordinal", line.alias("line"))
 
 
-def write_gpx(segments: DataFrame, path: str, max_points: int = 1_000_000,
+def write_gpx(segments: DataFrame, path: str, max_points: int | None = None,
               replace: bool = True, **options) -> None:
     """One GPX 1.1 file per non-empty segment, points in time order.
 

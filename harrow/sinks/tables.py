@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
-from pyspark.errors import AnalysisException
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, functions as F
 
 from harrow.operators.constraints import first_per_key
+from harrow.sources.tables import read_days
 
 
 def accept_new(df: DataFrame, path: str, unique: list[str], time: str = "time",
@@ -15,14 +17,16 @@ def accept_new(df: DataFrame, path: str, unique: list[str], time: str = "time",
     ``df`` carries ``day``. The first and last day of ``df`` are found before, so
     that only those days of the table are listed and read.
     """
-    fresh = first_per_key(df, ["day", *unique], order or time)
-    try:
-        held = df.sparkSession.read.parquet(path).select("day", *unique)
-    except AnalysisException:
-        return fresh
+    key = ["day", *unique]
+    fresh = first_per_key(df, key, order or time)
     first, last = df.agg(F.min("day"), F.max("day")).first()
-    held = held.where(F.col("day").between(F.lit(first), F.lit(last)))
-    return fresh.join(held, ["day", *unique], "left_anti")
+    held = None if first is None else read_days(df.sparkSession, path, first, last)
+    if held is None:
+        return fresh
+    held = held.select(*[F.col(c).alias(f"_held_{c}") for c in key])
+    # A NULL in a key equals a NULL, so a repeated batch adds no such rows either.
+    same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_held_{c}")) for c in key])
+    return fresh.join(held, same, "left_anti")
 
 
 def write_hypertable(df: DataFrame, path: str, time: str = "time",

@@ -8,7 +8,7 @@ from harrow import schemas
 from harrow.functions.times import from_epoch_seconds
 
 # Gateway line: "< frame ID SECONDS.MICROSECONDS DATA >"; fixed format.
-_FRAME_LINE = r"^\s*<\s*frame\s+([0-9A-Fa-f]+)\s+([0-9]+(?:\.[0-9]+)?)\s+([0-9A-Fa-f]+)\s*>\s*$"
+_FRAME_LINE = r"^\s*<\s*frame\s+([0-9A-Fa-f]+)\s+([0-9]+(?:\.[0-9]+)?)\s+((?:[0-9A-Fa-f]{2})*)\s*>\s*$"
 
 
 def read_can_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -26,13 +26,14 @@ def parse_can_text(lines: DataFrame, can_interface: Column | None = None,
     """
     bus = F.col("can_interface") if can_interface is None else can_interface
     keep = [c for c in lines.columns if c not in (col, "can_interface")]
-    matched = F.col(col).rlike(_FRAME_LINE)
 
     def part(i: int) -> Column:
         return F.regexp_extract(col, _FRAME_LINE, i)
 
+    # A frame may have no data, but it has a time that can be told.
+    matched = F.col(col).rlike(_FRAME_LINE) & from_epoch_seconds(part(2).try_cast("double")).isNotNull()
     rows = lines.where(matched).select(
-        *keep, from_epoch_seconds(part(2).cast("double")).alias("time"),
+        *keep, from_epoch_seconds(part(2).try_cast("double")).alias("time"),
         bus.alias("can_interface"), part(1).alias("can_id"), part(3).alias("can_data"))
     return rows, lines.where(~F.coalesce(matched, F.lit(False)))
 

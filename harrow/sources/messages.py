@@ -6,6 +6,8 @@ named) and works the same on a stream. Other columns are passed on.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
@@ -26,12 +28,31 @@ def _parsed(df: DataFrame, schema: T.StructType, col: str) -> tuple[DataFrame, l
     return df.select(*keep, F.from_json(F.col(col), schema).alias("_m")), keep
 
 
+def _bytes(name: str) -> Column:
+    return F.when(F.col(name).rlike("^(?:[0-9A-Fa-f]{2})*$"), F.unhex(F.col(name)))
+
+
+def split_rejects(df: DataFrame, reader: Callable[[DataFrame], DataFrame], required: tuple[str, ...],
+                  col: str = "body") -> tuple[DataFrame, DataFrame]:
+    """Rows of a reader, and the messages in which a required field is missing or out of range.
+
+    Readers give NULL for what they cannot take, so one bad message ends no job; here
+    such messages come back as they were.
+    """
+    rows = reader(df.withColumn("_text", F.col(col)))
+    whole = F.lit(True)
+    for name in required:
+        whole = whole & F.col(name).isNotNull()
+    keep = [c for c in df.columns if c != col]
+    return rows.where(whole).drop("_text"), rows.where(~whole).select(*keep, F.col("_text").alias(col))
+
+
 def read_raw_frames(df: DataFrame, col: str = "body") -> DataFrame:
     """Raw frame messages: hex numbers to integers, absent options to NULL."""
     parsed, keep = _parsed(df, schemas.RAW_FRAME_JSON, col)
 
     def number(name: str, kind: str) -> Column:
-        return hex_number(F.col(f"_m.{name}")).cast(kind)
+        return hex_number(F.col(f"_m.{name}")).try_cast(kind)
 
     return parsed.select(
         *keep, from_epoch_seconds("_m.timestamp").alias("time"),
@@ -40,7 +61,7 @@ def read_raw_frames(df: DataFrame, col: str = "body") -> DataFrame:
         number("daddr", "smallint").alias("destination"),
         number("dname", "bigint").alias("destination_name"),
         number("priority", "smallint").alias("priority"),
-        F.unhex(F.col("_m.data")).alias("data"))
+        _bytes("_m.data").alias("data"))
 
 
 def read_bus_messages(df: DataFrame, col: str = "body") -> DataFrame:
@@ -48,10 +69,10 @@ def read_bus_messages(df: DataFrame, col: str = "body") -> DataFrame:
     parsed, keep = _parsed(df, schemas.BUS_MESSAGE_JSON, col)
     return parsed.select(
         *keep, from_epoch_seconds("_m.ts").alias("time"), "_m.pgn",
-        F.col("_m.source").cast("smallint").alias("source"),
-        F.col("_m.dest").cast("smallint").alias("destination"),
-        F.col("_m.priority").cast("smallint").alias("priority"),
-        F.unhex(F.col("_m.data")).alias("data"))
+        F.col("_m.source").try_cast("smallint").alias("source"),
+        F.col("_m.dest").try_cast("smallint").alias("destination"),
+        F.col("_m.priority").try_cast("smallint").alias("priority"),
+        _bytes("_m.data").alias("data"))
 
 
 def read_signals(df: DataFrame, col: str = "body") -> DataFrame:

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from datetime import datetime, timezone
+from datetime import date, datetime, timedelta, timezone
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
@@ -12,6 +13,17 @@ def _utc(value: datetime | str) -> datetime:
     return at.replace(tzinfo=timezone.utc) if at.tzinfo is None else at.astimezone(timezone.utc)
 
 
+def read_days(spark: SparkSession, path: str, first: date, last: date) -> DataFrame | None:
+    """Rows of the day folders from first to last, which alone are listed; None if there are none."""
+    days = ",".join((first + timedelta(days=k)).isoformat() for k in range((last - first).days + 1))
+    try:
+        return spark.read.option("basePath", path).parquet(f"{path}/day={{{days}}}")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
 def read_table_window(spark: SparkSession, path: str, start: datetime | str,
                       end: datetime | str, columns: list[str], time: str = "time") -> DataFrame:
     """Columns of a table between two times, both included.
@@ -20,10 +32,11 @@ def read_table_window(spark: SparkSession, path: str, start: datetime | str,
     those days are listed and read. Times without a zone are UTC.
     """
     first, last = _utc(start), _utc(end)
+    days = read_days(spark, path, first.date(), last.date()) if first <= last else None
+    if days is None:
+        days = spark.read.parquet(path).limit(0)
     return (
-        spark.read.parquet(path)
-        .where(F.col("day").between(F.lit(first.date()), F.lit(last.date())))
-        .where(F.col(time).between(F.lit(first), F.lit(last)))
+        days.where(F.col(time).between(F.lit(first), F.lit(last)))
         .select(*columns))
 
 
