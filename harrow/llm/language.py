@@ -14,13 +14,15 @@ from harrow.llm.common import read, stage
 from harrow.llm.quality import held_out
 from harrow.llm.registry import query
 
-FIT_ROWS = 20_000     # documents that the model learns from, at most about
+FIT_ROWS = 4_000      # documents that the model learns from, at most about
 WORDS = 50_000        # known words, the most frequent
 GRAMS = 20_000        # known n-grams of each length
 LONGEST = 5
 REMEMBERED = 100_000  # words whose vectors a task keeps
 UNKNOWN = "und"
 
+Evidence = tuple[float, ...]     # a log frequency per language
+
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -40,10 +42,10 @@ class LanguageModel:
 
     languages: list[str]
     prior: np.ndarray
-    known: dict[str, np.ndarray]
-    grams: list[dict[str, np.ndarray]]
+    known: dict[str, Evidence]
+    grams: list[dict[str, Evidence]]
 
-    def vector(self, word: str) -> np.ndarray:
+    def vector(self, word: str) -> Evidence:
         """Known words by their own frequency, others by their longest known n-grams."""
         own = self.known.get(word)
         if own is not None:
@@ -51,8 +53,8 @@ class LanguageModel:
         for table, n in zip(self.grams, range(LONGEST, 0, -1)):
             found = [table[g] for g in grams(word, n) if g in table]
             if found:
-                return np.mean(found, axis=0)
-        return np.zeros(len(self.languages))
+                return tuple(sum(v) / len(found) for v in zip(*found))
+        return (0.0,) * len(self.languages)
 
 
 class Reader:
@@ -90,13 +92,13 @@ class Reader:
         return self.model.languages[best], float(odds[best] / odds.sum())
 
 
-def _vectors(counts: pd.DataFrame, name: str, place: dict[str, int], totals: np.ndarray) -> dict[str, np.ndarray]:
+def _vectors(counts: pd.DataFrame, name: str, place: dict[str, int], totals: np.ndarray) -> dict[str, Evidence]:
     kinds = max(1, counts[name].nunique())
     table: dict[str, np.ndarray] = {}
     for token, lang, n in zip(counts[name], counts["lang"], counts["n"]):
         table.setdefault(token, np.full(len(place), 0.5))[place[lang]] += n
     base = np.log(totals + 0.5 * kinds)
-    return {token: np.log(v) - base for token, v in table.items()}
+    return {token: tuple((np.log(v) - base).tolist()) for token, v in table.items()}
 
 
 def learn(docs: DataFrame, fit_rows: int = FIT_ROWS) -> LanguageModel:
@@ -138,7 +140,7 @@ def learn(docs: DataFrame, fit_rows: int = FIT_ROWS) -> LanguageModel:
     place = {lang: i for i, lang in enumerate(per_language["lang"])}
     totals = per_language["n"].to_numpy(float)
 
-    def most(rows: DataFrame, name: str, limit: int) -> dict[str, np.ndarray]:
+    def most(rows: DataFrame, name: str, limit: int) -> dict[str, Evidence]:
         top = rows.groupBy(name).agg(F.sum("n").alias("_all")).orderBy(F.desc("_all"), name).limit(limit)
         return _vectors(rows.join(top.select(name), name).select(name, "lang", "n").toPandas(),
                         name, place, totals)

@@ -262,11 +262,10 @@ def test_language(spark):
 
 
 def test_backoff_goes_from_words_to_shorter_grams():
-    v = lambda *x: np.array(x, dtype=float)
-    model = language.LanguageModel(["a", "b"], v(0, 0), {"known": v(1, 0)}, [
-        {"<newx": v(0, 5)}, {}, {}, {}, {"x": v(0, 1)}])
-    assert model.vector("known").tolist() == [1, 0] and model.vector("newx").tolist() == [0, 5]
-    assert model.vector("zx").tolist() == [0, 1] and model.vector("zz").tolist() == [0, 0]
+    model = language.LanguageModel(["a", "b"], np.zeros(2), {"known": (1.0, 0.0)}, [
+        {"<newx": (0.0, 5.0)}, {}, {}, {}, {"x": (0.0, 1.0)}])
+    assert model.vector("known") == (1, 0) and model.vector("newx") == (0, 5)
+    assert model.vector("zx") == (0, 1) and model.vector("zz") == (0, 0)
 
 
 def test_toxicity(spark):
