@@ -58,11 +58,17 @@ def unsigned_double(raw: Column) -> Column:
     return F.when(raw < 0, wide).otherwise(raw.cast("double"))
 
 
-def spn_value(data, start_bit, bit_len, scale=1.0, offset=0.0) -> Column:
+def signed_double(raw: Column, bit_len) -> Column:
+    """A bit field read as two's complement: its top bit is carried up, then down again."""
+    spare = F.lit(64) - _num(bit_len)
+    return _shift("shiftright", _shift("shiftleft", raw, spare), spare).cast("double")
+
+
+def spn_value(data, start_bit, bit_len, scale=1.0, offset=0.0, signed=False) -> Column:
     """Physical value of a little-endian bit field of a hex payload.
 
     NULL when the field does not fit the payload. Works for payloads of any
-    length; a field may straddle nine bytes.
+    length; a field may straddle nine bytes. ``signed`` is a flag or a column.
     """
     data, start, width = _col(data), _num(start_bit), _num(bit_len)
     first = F.floor(start / F.lit(8)).cast("int")
@@ -75,4 +81,7 @@ def spn_value(data, start_bit, bit_len, scale=1.0, offset=0.0) -> Column:
     raw = F.when(
         shift + width > 64, spn_bits(low.bitwiseOR(carried), F.lit(0), width)).otherwise(low)
     fits = start + width <= F.length(data) * F.lit(4)
-    return F.when(fits, unsigned_double(raw) * _num(scale) + _num(offset))
+    number = unsigned_double(raw)
+    if signed is not False:
+        number = F.when(_num(signed), signed_double(raw, width)).otherwise(number)
+    return F.when(fits, number * _num(scale) + _num(offset))

@@ -13,8 +13,8 @@ from harrow.operators.gps import (
     add_ingest_time, class_union, export_bounds, gps_class_filter, high_water_mark, high_water_marks,
     segment_assign, segment_order, time_range_filter, trail_documents, upload_batches)
 from harrow.operators.j1939 import (
-    frame_to_bus_message, frame_to_message, j1939_decode_id, j1939_only, signal_decode,
-    signals_to_messages, valid_signal_filter)
+    frame_to_bus_message, frame_to_message, j1939_decode_id, j1939_only, logs_to_frames,
+    signal_decode, signals_to_messages, stats_to_messages, valid_signal_filter)
 from harrow.operators.ledger import (
     ledger_backfill, ledger_insert, ledger_mark_sent, ledger_prune, unsent,
     unsent_points, upload_retry)

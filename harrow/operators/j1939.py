@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from harrow.functions.bits import hex_number, hex_text, unsigned_double, word_of
+from harrow.functions.bits import hex_number, hex_text, signed_double, unsigned_double, word_of
 from harrow.functions.subjects import make_subject
 from harrow.functions.times import epoch_seconds
 
 # Groups below this PDU format carry a destination in their low byte.
 _FIRST_BROADCAST_FORMAT = 240
+# Standard ids have eleven bits; fixed value.
+LAST_STANDARD_ID = 0x7FF
 # Beyond this many dictionary rows the join is left to Spark.
 DICTIONARY_LIMIT = 200_000
 
@@ -37,6 +39,19 @@ def j1939_decode_id(df: DataFrame, id_col: str = "can_id") -> DataFrame:
     return df.withColumns(id_fields(F.col(id_col).cast("bigint")))
 
 
+def logs_to_frames(logs: DataFrame) -> DataFrame:
+    """Bus log rows (hex ``can_id``, ``can_data``) as frames.
+
+    A log keeps no flags: an id past eleven bits is extended, and remote frames are not
+    logged. Rows whose id is no hex number have NULL flags, which no filter lets pass.
+    """
+    return (
+        logs.withColumn("can_id", hex_number("can_id")).withColumns({
+            "is_extended": F.col("can_id") > LAST_STANDARD_ID,
+            "is_rtr": F.when(F.col("can_id").isNotNull(), F.lit(False)),
+            "data": F.lower("can_data")}).drop("can_data"))
+
+
 def j1939_only(df: DataFrame) -> DataFrame:
     """Extended data frames; standard and remote frames are not this protocol."""
     return df.where(F.col("is_extended") & ~F.col("is_rtr"))
@@ -107,21 +122,31 @@ def signal_decode(frames: DataFrame, dictionary: DataFrame) -> DataFrame:
     signal is then a shift and a mask, with the mask prepared in the dictionary.
     The dictionary is looked at first: it is broadcast if its size allows, so a
     parameter group that makes up most of the traffic is never shuffled to one
-    task, and fields past the eighth byte or of a full 64 bits cost something
-    only if there are any.
+    task, and fields past the eighth byte, of a full 64 bits or with a sign cost
+    something only if there are any. A dictionary without ``signed`` has unsigned fields.
+
+    If frames and dictionary both have ``can_interface``, a definition holds for its bus
+    only. Two definitions of one signal name in a group would give every row twice; they
+    are refused.
     """
+    both = {*frames.columns} & {*dictionary.columns}
+    keys = [k for k in ("can_interface", "pgn") if k in both or k == "pgn"]
+    signed = F.coalesce(F.col("signed"), F.lit(False)) if "signed" in dictionary.columns else F.lit(False)
     end = F.col("start_bit") + F.col("bit_len")
-    size, last_bit, widest = dictionary.agg(
-        F.count(F.lit(1)), F.max(end), F.max("bit_len")).first()
+    size, names, last_bit, widest, any_signed = dictionary.agg(
+        F.count(F.lit(1)), F.count_distinct(F.struct(*keys, "name")), F.max(end), F.max("bit_len"),
+        F.max(signed)).first()
+    if names < size:
+        raise ValueError(f"{size - names} signals of the dictionary are defined more than once")
     spec = dictionary.select(
-        "pgn", "name", "description", "units", "min_value", "max_value", "start_bit", "bit_len",
-        "scale", "offset", end.alias("_end"),
+        *keys, "name", "description", "units", "min_value", "max_value", "start_bit", "bit_len",
+        "scale", "offset", end.alias("_end"), signed.alias("_signed"),
         F.call_function("shiftrightunsigned", F.lit(-1).cast("bigint"),
                         F.lit(64) - F.col("bit_len")).alias("_mask"))
     joined = (
         frames.withColumn("_word", word_of(F.col("data")))
         .withColumn("_bits", F.length("data") * 4)
-        .join(F.broadcast(spec) if size <= DICTIONARY_LIMIT else spec, "pgn")
+        .join(F.broadcast(spec) if size <= DICTIONARY_LIMIT else spec, keys)
         .where(F.col("_end") <= F.col("_bits")))
     # Each step is a projection of its own: nothing is computed twice for a row,
     # and the generated code stays small enough to be compiled.
@@ -130,9 +155,11 @@ def signal_decode(frames: DataFrame, dictionary: DataFrame) -> DataFrame:
     else:
         decoded = joined.withColumn("_raw", _masked(F.col("_word"), F.col("start_bit")))
     number = F.col("_raw").cast("double") if (widest or 0) < 64 else unsigned_double(F.col("_raw"))
+    if any_signed:
+        number = F.when(F.col("_signed"), signed_double(F.col("_raw"), F.col("bit_len"))).otherwise(number)
     value = number * F.col("scale") + F.col("offset")
     return decoded.withColumn("value", value).drop(
-        "_word", "_bits", "_raw", "_mask", "_end", "start_bit", "bit_len", "scale", "offset")
+        "_word", "_bits", "_raw", "_mask", "_end", "_signed", "start_bit", "bit_len", "scale", "offset")
 
 
 def valid_signal_filter(df: DataFrame) -> DataFrame:
@@ -150,3 +177,21 @@ def signals_to_messages(signals: DataFrame, prefix: str = "j1939") -> DataFrame:
         F.col("units"), F.col("min_value"), F.col("max_value")), {"ignoreNullFields": "false"})
     return signals.select(
         make_subject("data", "name", prefix=prefix).alias("subject"), body.alias("body"))
+
+
+def stats_to_messages(stats: DataFrame, prefix: str = "j1939") -> DataFrame:
+    """Statistics of signals as subject and JSON body.
+
+    ``lastSent`` is ``last_sent`` where the statistics have it, else the time of the last
+    value. Names of the JSON members are fixed by the format.
+    """
+    sent = "last_sent" if "last_sent" in stats.columns else "to_time"
+    body = F.to_json(F.struct(
+        F.col("sum_val").alias("sumVal"), F.col("number"), F.col("average"),
+        F.col("sum_of_squares").alias("sumOfSquares"), F.col("max_value"), F.col("min_value"),
+        F.col("name"), F.col("pgn"), F.col("units"), epoch_seconds("from_time").alias("from"),
+        epoch_seconds("to_time").alias("to"), epoch_seconds(sent).alias("lastSent")),
+        {"ignoreNullFields": "false"})
+    return stats.select(
+        *[c for c in ("device", "can_interface") if c in stats.columns],
+        make_subject("filter", "name", prefix=prefix).alias("subject"), body.alias("body"))

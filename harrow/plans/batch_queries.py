@@ -137,14 +137,23 @@ def read_cell_log(spark, sf):
 SELECT CAST(pgn AS BIGINT) AS pgn, 'Size' || k AS name, p_name AS description, 'deg' AS units,
   CAST((p_size % 8) * 8 AS BIGINT) AS start_bit, CAST(8 AS BIGINT) AS bit_len,
   CAST(0.5 AS DOUBLE) AS scale, CAST(-40 AS DOUBLE) AS "offset", CAST(-40 AS DOUBLE) AS min_value,
-  CAST(85 AS DOUBLE) AS max_value FROM parts
-UNION ALL SELECT CAST(pgn AS BIGINT), 'Price' || k, NULL, '', 16, 32, 0.1, 0, 0, 429496729.5 FROM parts""")
+  CAST(85 AS DOUBLE) AS max_value, false AS signed FROM parts
+UNION ALL SELECT CAST(pgn AS BIGINT), 'Price' || k, NULL, '', 16, 32, 0.1, 0, 0, 429496729.5, false FROM parts
+UNION ALL SELECT CAST(pgn AS BIGINT), 'Trim' || k, NULL, '', 56, 8, 1, 0, -128, 127, true FROM parts""")
 def read_signal_dictionary(spark, sf):
     path = shared_folder(spark, "dbc")
     views.dbc_blocks(spark, sf).write.option("maxRecordsPerFile", 500).text(path)
     return sources.read_signal_dictionary(spark, path).select(
         big("pgn"), "name", "description", "units", big("start_bit"), big("bit_len"), "scale",
-        "offset", "min_value", "max_value")
+        "offset", "min_value", "max_value", "signed")
+
+
+@query("signal_dictionary_rejects", """SELECT 'SG_ Motor' || CAST(p_partkey AS VARCHAR)
+  || ' : 48|8@0- (1,0) [-128|127] "" Vector__XXX' AS line FROM part""")
+def signal_dictionary_rejects(spark, sf):
+    path = shared_folder(spark, "dbc")
+    views.dbc_blocks(spark, sf).write.option("maxRecordsPerFile", 500).text(path)
+    return sources.signal_dictionary_rejects(spark, path).select("line")
 
 
 @query("read_counters", sql(EV, """SELECT id, CAST(round(value * 100) AS BIGINT) AS rx_bytes FROM ev
@@ -506,6 +515,34 @@ def frames_to_stats(spark, sf):
                         F.format_string("%.12e", "sum_val").alias("total"))
 
 
+# The log keeps no flags: the size of the id tells the frames of the protocol.
+@query("logs_to_stats", sql(DECODED, """SELECT epoch_us(date_trunc('hour', d.time)) AS window_us,
+  f.can_interface, name, COUNT(*) AS number, printf('%.12e', AVG(d.value)) AS average,
+  printf('%.12e', SUM(d.value)) AS total FROM decoded d JOIN frames f USING (id)
+  WHERE d.value < max_value AND f.can_id > 2047 GROUP BY 1, 2, 3"""))
+def logs_to_stats(spark, sf):
+    stats = flows.logs_to_stats(views.can_log(views.events(spark, sf)), views.dictionary(spark), "1 hour")
+    return stats.select(us("window_start", "window_us"), "can_interface", "name", "number",
+                        F.format_string("%.12e", "average").alias("average"),
+                        F.format_string("%.12e", "sum_val").alias("total"))
+
+
+@query("stats_to_messages", sql(SIGNALS, """SELECT device, 'j1939.filter.' || name AS subject,
+  COUNT(*) AS number, round(SUM(value), 4) AS total, MAX(units) AS units,
+  CAST(MAX(pgn) AS BIGINT) AS pgn, CAST(MAX(max_value) AS DOUBLE) AS max_value,
+  MIN(us) AS from_us, MAX(us) AS to_us, MAX(us) AS sent_us
+  FROM signals WHERE value < max_value GROUP BY device, name, date_trunc('hour', time)"""))
+def stats_to_messages(spark, sf):
+    valid = op.valid_signal_filter(views.signals(views.events(spark, sf)))
+    told = op.stats_to_messages(op.signal_stats(valid, "1 hour")).withColumn("_m", F.from_json(
+        "body", "sumVal DOUBLE, number BIGINT, max_value DOUBLE, pgn BIGINT, units STRING, "
+        "`from` DOUBLE, `to` DOUBLE, lastSent DOUBLE"))
+    at = lambda name: F.unix_micros(fn.from_epoch_seconds(F.col(f"_m.{name}")))
+    return told.select(
+        "device", "subject", "_m.number", F.round("_m.sumVal", 4).alias("total"), "_m.units", "_m.pgn",
+        "_m.max_value", at("from").alias("from_us"), at("to").alias("to_us"), at("lastSent").alias("sent_us"))
+
+
 # Six hours: the data has a few events per machine and day.
 GREEDY_GAP_S = 21600.0
 GREEDY = "RECURSIVE " + SIGNALS + f""", walk_in AS (SELECT *, row_number() OVER

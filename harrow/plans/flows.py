@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from harrow.operators.constraints import constraint_split
 from harrow.operators.gps import export_bounds, high_water_marks, segment_assign
 from harrow.operators.j1939 import (
-    j1939_decode_id, j1939_only, signal_decode, valid_signal_filter)
+    j1939_decode_id, j1939_only, logs_to_frames, signal_decode, valid_signal_filter)
 from harrow.operators.signals import signal_stats
 from harrow.sinks.files import write_can_csv_rotated, write_gpx
 from harrow.sinks.tables import write_hypertable
@@ -30,6 +30,12 @@ def frames_to_stats(frames: DataFrame, dictionary: DataFrame, width: str = "1 se
     return signal_stats(frames_to_signals(frames, dictionary), width)
 
 
+def logs_to_stats(logs: DataFrame, dictionary: DataFrame, width: str = "1 second",
+                  keys: tuple[str, ...] = ("can_interface", "name")) -> DataFrame:
+    """Stored bus logs to statistics of each bus and signal."""
+    return signal_stats(frames_to_signals(logs_to_frames(logs), dictionary), width, keys)
+
+
 def message_stream_to_stats(messages: DataFrame, dictionary: DataFrame, width: str = "1 second",
                             watermark: str = "10 seconds") -> DataFrame:
     """Raw frame messages (device, body) as a stream to windowed statistics."""

@@ -65,6 +65,8 @@ DECODED = FRAMES + """, decoded AS (
     (v100 % 256) * 0.5 AS value, 'rpm' AS units, 125.0 AS max_value FROM messages WHERE pgn = 61444
   UNION ALL SELECT id, device, us, time, pgn, is_extended, is_rtr, 'torque', b4 - 125.0, '%', 125.0
     FROM messages WHERE pgn = 61444
+  UNION ALL SELECT id, device, us, time, pgn, is_extended, is_rtr, 'slip',
+    CASE WHEN b4 >= 128 THEN b4 - 256.0 ELSE b4 END, '1', 128.0 FROM messages WHERE pgn = 61444
   UNION ALL SELECT id, device, us, time, pgn, is_extended, is_rtr, 'vehicle',
     ((v100 // 256) % 256 + 256 * (v100 % 256)) * 0.00390625, 'km/h', 250.0
     FROM messages WHERE pgn = 65265

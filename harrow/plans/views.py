@@ -73,12 +73,13 @@ def can_log(ev: DataFrame) -> DataFrame:
 # Check dictionary: top codes of a field lie at or above its maximum; the last
 # field does not fit eight bytes. Fixed values.
 _SIGNALS = [
-    (61444, "speed", "Engine speed", "rpm", 56, 8, 0.5, 0.0, 0.0, 125.0),
-    (61444, "torque", "Engine torque", "%", 32, 8, 1.0, -125.0, -125.0, 125.0),
-    (65265, "vehicle", "Vehicle speed", "km/h", 48, 16, 0.00390625, 0.0, 0.0, 250.0),
-    (65262, "coolant", "Coolant temperature", "C", 56, 8, 1.0, -40.0, -40.0, 210.0),
-    (65267, "wide", "Whole payload", "1", 0, 64, 1.0, 0.0, 0.0, 2.0e19),
-    (65267, "overflow", "Past the payload", "1", 60, 16, 1.0, 0.0, 0.0, 60000.0),
+    (61444, "speed", "Engine speed", "rpm", 56, 8, 0.5, 0.0, 0.0, 125.0, False),
+    (61444, "torque", "Engine torque", "%", 32, 8, 1.0, -125.0, -125.0, 125.0, False),
+    (61444, "slip", "Wheel slip, signed", "1", 32, 8, 1.0, 0.0, -128.0, 128.0, True),
+    (65265, "vehicle", "Vehicle speed", "km/h", 48, 16, 0.00390625, 0.0, 0.0, 250.0, False),
+    (65262, "coolant", "Coolant temperature", "C", 56, 8, 1.0, -40.0, -40.0, 210.0, False),
+    (65267, "wide", "Whole payload", "1", 0, 64, 1.0, 0.0, 0.0, 2.0e19, False),
+    (65267, "overflow", "Past the payload", "1", 60, 16, 1.0, 0.0, 0.0, 60000.0, False),
 ]
 
 
@@ -250,7 +251,9 @@ def dbc_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(F.format_string(
         'BO_ %d M%d: 8 Vector__XXX\n'
         ' SG_ Size%d : %d|8@1+ (0.5,-40) [-40|85] "deg" Vector__XXX\n'
-        ' SG_ Price%d : 16|32@1+ (0.1,0) [0|429496729.5] "" Vector__XXX\n\n'
+        ' SG_ Price%d : 16|32@1+ (0.1,0) [0|429496729.5] "" Vector__XXX\n'
+        ' SG_ Motor%d : 48|8@0- (1,0) [-128|127] "" Vector__XXX\n'
+        ' SG_ Trim%d : 56|8@1- (1,0) [-128|127] "" Vector__XXX\n\n'
         'CM_ SG_ %d Size%d "%s";\n',
-        number, key, key, F.pmod(F.col("p_size"), F.lit(8)) * 8, key, number, key,
+        number, key, key, F.pmod(F.col("p_size"), F.lit(8)) * 8, key, key, key, number, key,
         F.col("p_name")).alias("value"))

@@ -39,7 +39,7 @@ SIGNAL_JSON = _struct(
 # Signal dictionary: one row per signal of a parameter group.
 DICTIONARY = _struct(
     "pgn INT, name STRING, description STRING, units STRING, start_bit INT, "
-    "bit_len INT, scale DOUBLE, offset DOUBLE, min_value DOUBLE, max_value DOUBLE")
+    "bit_len INT, scale DOUBLE, offset DOUBLE, min_value DOUBLE, max_value DOUBLE, signed BOOLEAN")
 
 # gpsd reports. Key names are gpsd's own, case included; fixed values.
 _TPV_DOUBLES_A = "altHAE altMSL alt climb".split()

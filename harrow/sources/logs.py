@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from harrow import schemas
@@ -58,43 +60,74 @@ def read_probes(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFra
     return spark.read.schema(schemas.PROBES).format(fmt).load(path)
 
 
-def read_signal_dictionary(spark: SparkSession, path: str) -> DataFrame:
-    """Signal dictionary of DBC files.
+_NUMBER = r"[-+0-9.eE]+"
+# A signal, little endian and not multiplexed, as its file writes it; fixed format.
+_SIGNAL_LINE = (
+    r"^\s*SG_\s+(\w+)\s*:\s*(\d+)\|(\d+)@1([+-])\s*"
+    rf"\(({_NUMBER}),({_NUMBER})\)\s*\[({_NUMBER})\|({_NUMBER})\]\s*\"([^\"]*)\"")
 
-    One text row per file; message blocks and their signal lines are exploded,
-    comments are joined on as descriptions.
-    """
-    files = spark.read.text(path, wholetext=True).withColumn("_file", F.input_file_name())
-    number = r"[-+0-9.eE]+"
-    signal_line = (
-        r"SG_\s+(\w+)\s*:\s*(\d+)\|(\d+)@1[+-]\s*"
-        rf"\(({number}),({number})\)\s*\[({number})\|({number})\]\s*\"([^\"]*)\"")
+
+def _signal_lines(files: DataFrame) -> DataFrame:
+    """Every signal line of every message block with its fields; ``_fits`` if all can be taken."""
     # Text before the first block is the file header.
     block = files.select(
         "_file", F.posexplode(F.split("value", r"(?:^|\n)BO_\s+")).alias("_at", "_block")
     ).where("_at > 0")
-    signals = block.select(
-        "_file", F.regexp_extract("_block", r"^(\d+)", 1).cast("bigint").alias("_id"),
-        F.explode(F.regexp_extract_all("_block", F.lit(signal_line), F.lit(0))).alias("_line"))
+    lines = block.select(
+        "_file", F.regexp_extract("_block", r"^(\d+)", 1).try_cast("bigint").alias("_id"),
+        F.explode(F.regexp_extract_all(
+            "_block", F.lit(r"(?m)^[ \t]*SG_[ \t][^\r\n]*"), F.lit(0))).alias("_line"))
+
+    def field(i: int, kind: str) -> Column:
+        return F.regexp_extract("_line", _SIGNAL_LINE, i).try_cast(kind)
+
+    fields = lines.select(
+        "_file", "_id", "_line", field(1, "string").alias("name"), field(9, "string").alias("units"),
+        field(2, "int").alias("start_bit"), field(3, "int").alias("bit_len"),
+        field(5, "double").alias("scale"), field(6, "double").alias("offset"),
+        field(7, "double").alias("min_value"), field(8, "double").alias("max_value"),
+        (field(4, "string") == "-").alias("signed"))
+    known = [F.col(c).isNotNull() for c in
+             ("_id", "start_bit", "scale", "offset", "min_value", "max_value")]
+    return fields.withColumn("_fits", reduce(
+        lambda a, b: a & b, known, F.coalesce(F.col("bit_len").between(1, 64), F.lit(False))))
+
 
-    def field(i: int) -> Column:
-        return F.regexp_extract("_line", signal_line, i)
+def _dictionary_files(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.text(path, wholetext=True).withColumn("_file", F.input_file_name())
 
+
+def signal_dictionary_rejects(spark: SparkSession, path: str) -> DataFrame:
+    """``file, line`` of the signals that :func:`read_signal_dictionary` cannot take:
+    big endian, multiplexed, of no or over 64 bits, or with a number that is none."""
+    return _signal_lines(_dictionary_files(spark, path)).where("NOT _fits").select(
+        F.col("_file").alias("file"), F.trim("_line").alias("line"))
+
+
+def read_signal_dictionary(spark: SparkSession, path: str,
+                           can_interface: Column | None = None) -> DataFrame:
+    """Signal dictionary of DBC files.
+
+    One text row per file; message blocks and their signal lines are exploded,
+    comments are joined on as descriptions. A signal that several files, or several ids of a
+    group, define alike is one row. Files that define it differently belong to different
+    buses: ``can_interface`` tells the bus from the path in ``_file``, and
+    :func:`signal_decode` then keeps to it.
+    """
+    files = _dictionary_files(spark, path)
     pdu = F.shiftright(F.col("_id"), 8).bitwiseAND(F.lit(0x3FFFF))
     pf = F.shiftright(pdu, 8).bitwiseAND(F.lit(0xFF))
     comment_line = r'CM_\s+SG_\s+(\d+)\s+(\w+)\s+"([^"]*)"'
     comments = files.select("_file", F.explode(F.regexp_extract_all(
         "value", F.lit(comment_line), F.lit(0))).alias("_c")).select(
-        "_file", F.regexp_extract("_c", comment_line, 1).cast("bigint").alias("_id"),
+        "_file", F.regexp_extract("_c", comment_line, 1).try_cast("bigint").alias("_id"),
         F.regexp_extract("_c", comment_line, 2).alias("name"),
         F.regexp_extract("_c", comment_line, 3).alias("description"))
+    bus = [] if can_interface is None else ["can_interface"]
+    columns = [*bus, *schemas.DICTIONARY.fieldNames()]
     return (
-        signals.select(
-            "_file", "_id",
-            F.when(pf >= 240, pdu).otherwise(F.shiftleft(pf, 8)).cast("int").alias("pgn"),
-            field(1).alias("name"), field(8).alias("units"),
-            field(2).cast("int").alias("start_bit"), field(3).cast("int").alias("bit_len"),
-            field(4).cast("double").alias("scale"), field(5).cast("double").alias("offset"),
-            field(6).cast("double").alias("min_value"), field(7).cast("double").alias("max_value"))
-        .join(comments, ["_file", "_id", "name"], "left")
-        .select(*schemas.DICTIONARY.fieldNames()))
+        _signal_lines(files).where("_fits").join(comments, ["_file", "_id", "name"], "left")
+        .withColumn("pgn", F.when(pf >= 240, pdu).otherwise(F.shiftleft(pf, 8)).cast("int"))
+        .withColumns({b: can_interface for b in bus})
+        .groupBy(*[c for c in columns if c != "description"])
+        .agg(F.min("description").alias("description")).select(*columns))

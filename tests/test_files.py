@@ -64,10 +64,50 @@ CM_ SG_ 2364540158 Speed "Actual engine speed";
     (tmp_path / "b.dbc").write_text('BO_ 2566844926 CCVS: 8 X\n SG_ Wheel : 8|16@1+ (3.90625E-3,0) [0|250.996] "km/h" X')
     got = rows(sources.read_signal_dictionary(spark, str(tmp_path / "*.dbc")))
     assert got == [
-        (0xEF00, "State", None, "", 0, 4, 1.0, 0.0, 0.0, 15.0),
-        (61444, "Speed", "Actual engine speed", "rpm", 24, 16, 0.125, 0.0, 0.0, 8031.875),
-        (61444, "Torque", None, "%", 16, 8, 1.0, -125.0, -125.0, 125.0),
-        (65265, "Wheel", None, "km/h", 8, 16, 0.00390625, 0.0, 0.0, 250.996)]
+        (0xEF00, "State", None, "", 0, 4, 1.0, 0.0, 0.0, 15.0, False),
+        (61444, "Speed", "Actual engine speed", "rpm", 24, 16, 0.125, 0.0, 0.0, 8031.875, False),
+        (61444, "Torque", None, "%", 16, 8, 1.0, -125.0, -125.0, 125.0, True),
+        (65265, "Wheel", None, "km/h", 8, 16, 0.00390625, 0.0, 0.0, 250.996, False)]
+
+
+def test_dictionary_rejects(spark, tmp_path):
+    (tmp_path / "a.dbc").write_text("""BO_ 2364540158 EEC1: 8 ECU
+ SG_ Gear m0 : 24|16@1+ (0.125,0) [0|8031.875] "rpm" ECU
+ SG_ Mode M : 0|2@1+ (1,0) [0|3] "" ECU
+ SG_ Motor : 7|16@0+ (1,0) [0|65535] "" ECU
+ SG_ Wide : 0|65@1+ (1,0) [0|1] "" ECU
+ SG_ None : 0|0@1+ (1,0) [0|1] "" ECU
+ SG_ Far : 99999999999|8@1+ (1,0) [0|1] "" ECU
+ SG_ Odd : 0|8@1+ (1e,0) [0|1] "" ECU
+ SG_ Good : 0|8@1- (1,0) [-128|127] "" ECU
+
+CM_ SG_ 2364540158 Good "SG_ in a comment";
+""")
+    path = str(tmp_path / "*.dbc")
+    assert rows(sources.read_signal_dictionary(spark, path).select("name", "signed")) == [("Good", True)]
+    lines = sources.signal_dictionary_rejects(spark, path).select(F.split("line", " ")[1].alias("name"))
+    assert rows(lines) == [("Far",), ("Gear",), ("Mode",), ("Motor",), ("None",), ("Odd",), ("Wide",)]
+
+
+def test_dictionaries_of_two_buses(spark, tmp_path):
+    line = 'BO_ 2566844926 CCVS: 8 X\n SG_ Wheel : {}|8@1{} (1,0) [-128|300] "" X'
+    (tmp_path / "can0.dbc").write_text(line.format(0, "+"))
+    (tmp_path / "can1.dbc").write_text(line.format(8, "-"))
+    (tmp_path / "can1-copy.dbc").write_text(line.format(8, "-"))
+    path = str(tmp_path / "*.dbc")
+    frames = spark.createDataFrame(
+        [("can0", 65265, "f1f2"), ("can1", 65265, "f1f2"), ("can2", 65265, "f1f2")],
+        "can_interface string, pgn int, data string")
+    bus = F.regexp_extract("_file", r"(can\d+)[^/]*$", 1)
+    apart = sources.read_signal_dictionary(spark, path, bus)
+    assert apart.count() == 2
+    assert rows(op.signal_decode(frames, apart).select("can_interface", "value")) == [
+        ("can0", 241.0), ("can1", -14.0)]
+    with pytest.raises(ValueError, match="more than once"):
+        op.signal_decode(frames, sources.read_signal_dictionary(spark, path))
+    alike = sources.read_signal_dictionary(spark, str(tmp_path / "can1*.dbc"))
+    assert rows(op.signal_decode(frames, alike).select("can_interface", "value")) == [
+        ("can0", -14.0), ("can1", -14.0), ("can2", -14.0)]
 
 
 def test_table_is_unique_and_pruned(spark, tmp_path):

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from harrow import functions as fn
+from harrow.operators import j1939_only, logs_to_frames, signal_decode
 
 
 def one(spark, *columns):
@@ -55,6 +56,34 @@ def test_bit_fields_of_any_payload(spark):
     assert df.where(~fn.spn_value("data", "s", "w").eqNullSafe(F.col("want"))).count() == 0
 
 
+def test_signed_bit_fields_of_any_payload(spark):
+    rng = random.Random(3)
+    data = []
+    for k in range(1500):
+        payload = bytes(rng.randrange(256) for _ in range(rng.randint(1, 24)))
+        start, width = rng.randrange(0, 150), k % 64 + 1
+        value = (int.from_bytes(payload, "little") >> start) & ((1 << width) - 1)
+        value -= (value >> (width - 1)) << width
+        fits = start + width <= 8 * len(payload)
+        data.append((k, payload.hex(), start, width, float(value) if fits else None))
+    df = spark.createDataFrame(data, "pgn int, data string, s int, w int, want double")
+    assert df.where(~fn.spn_value("data", "s", "w", signed=True).eqNullSafe(F.col("want"))).count() == 0
+    dictionary = df.selectExpr(
+        "pgn", "'x' AS name", "NULL AS description", "'' AS units", "s AS start_bit", "w AS bit_len", "1D AS scale",
+        "0D AS offset", "0D AS min_value", "0D AS max_value", "true AS signed")
+    decoded = signal_decode(df, dictionary)
+    assert decoded.where("NOT value <=> want").count() == 0
+    assert decoded.count() == df.where("want IS NOT NULL").count()
+
+
+def test_log_rows_as_frames(spark):
+    logs = spark.createDataFrame(
+        [("7FF", "01"), ("800", "ab"), ("18FEF100", "0A"), ("no", "00"), (None, None)], "can_id string, can_data string")
+    got = logs_to_frames(logs)
+    assert sorted((r["can_id"], r["data"]) for r in j1939_only(got).collect()) == [(0x800, "ab"), (0x18FEF100, "0a")]
+    assert got.count() == 5
+
+
 def test_hex(spark):
     assert one(spark, fn.hex_text(F.lit(-1).cast("bigint")), fn.hex_text(F.lit(65265)),
                fn.hex_number(F.lit("f" * 16)), fn.hex_number(F.lit("fef1"))) == (
