@@ -42,11 +42,15 @@ def stream_signal_stats(spark, sf):
     return stats_columns(out, us("window_start", "window_us"), "device", "name")
 
 
-@query("stream_signal_stats_greedy", GREEDY_SQL)
+@query("stream_signal_stats_greedy", GREEDY_SQL.replace("MAX(us) AS last_sent_us", """MAX(us) AS last_sent_us,
+  CASE name WHEN 'click' THEN 61444 WHEN 'view' THEN 65265 WHEN 'signup' THEN 65262
+  WHEN 'purchase' THEN 65267 ELSE 59904 END AS pgn, 'u' AS units,
+  CAST(CASE name WHEN 'click' THEN 100 WHEN 'view' THEN 150 ELSE 200 END AS DOUBLE) AS max_value"""))
 def stream_signal_stats_greedy(spark, sf):
     valid = op.valid_signal_filter(views.signals(views.event_stream(spark, sf)))
     out = appended(spark, st.stream_signal_stats_greedy(valid, GREEDY_GAP_S), "stream-greedy")
-    return stats_columns(out, "device", "name", us("last_sent"))
+    return stats_columns(out, "device", "name", us("last_sent"), F.col("pgn").cast("bigint").alias("pgn"), "units",
+                         "max_value")
 
 
 @query("stream_rising_edge", sql(READINGS, """SELECT id, device, subject, us AS time_us,

@@ -83,19 +83,21 @@ def write_gpx(segments: DataFrame, path: str, max_points: int | None = None,
      .option("partitionOverwriteMode", "dynamic").text(path))
 
 
-def write_trail_documents(docs: DataFrame, path: str,
-                          folders: tuple[str, ...] = ("day",)) -> None:
+def write_trail_documents(docs: DataFrame, path: str, folders: tuple[str, ...] = ("day",),
+                          upload: str | None = None) -> None:
     """Documents as JSON lines under the folders named, by default one per day.
 
     A line holds the document's path and its data. ``folders`` may be the whole
     path ("device", "day", "geohash"), which makes a folder per document and
-    suits small exports only.
+    suits small exports only. A named upload has a folder of its own, ``upload=``, which a
+    repeat replaces; without a name lines are added.
     """
     place = F.concat_ws("/", F.col("device").cast("string"), F.col("day"), F.col("geohash"))
     (docs.select("device", "day", "geohash", "batch", "data", place.alias("path"))
      .hint("rebalance", *folders)
      .sortWithinPartitions(*folders, "path", "batch")
-     .write.partitionBy(*folders).mode("append").json(path))
+     .write.partitionBy(*folders).mode("append" if upload is None else "overwrite")
+     .json(path if upload is None else f"{path}/upload={upload}"))
 
 
 def write_by_subject(df: DataFrame, path: str | None = None, kafka: dict | None = None) -> None:

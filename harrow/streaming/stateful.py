@@ -93,14 +93,16 @@ def stream_signal_stats_greedy(df: DataFrame, min_gap_s: float = 1.0,
     """Publish when a message comes ``min_gap_s`` after the last publication.
 
     State: the last publication and the open interval's count, sum, sum of
-    squares and first time.
+    squares and first time. Unit, group and bounds of a signal are those of the row that
+    publishes, where ``df`` has them.
     """
+    described = [c for c in ("pgn", "units", "min_value", "max_value") if c in df.columns]
     gap = int(round(min_gap_s * 1_000_000))
 
     def step(rows: pd.DataFrame, held: tuple | None):
         us, value = rows["_us"].to_numpy(), rows["value"].to_numpy()
         last, n, total, squares, start = held or (int(us[0]), 0, 0.0, 0.0, 0)
-        published, a = [], 0
+        published, closing, a = [], [], 0
         while a < len(us):
             reached = np.flatnonzero(us[a:] - last >= gap)
             b = a + int(reached[0]) + 1 if len(reached) else len(us)
@@ -111,18 +113,22 @@ def stream_signal_stats_greedy(df: DataFrame, min_gap_s: float = 1.0,
             if len(reached):
                 last = int(us[b - 1])
                 published.append((n, total, squares, total / n, start, last))
+                closing.append(b - 1)
                 n, total, squares = 0, 0.0, 0.0
             a = b
         out = pd.DataFrame(published, columns=[
             "number", "sum_val", "sum_of_squares", "average", "_from", "_to"])
+        for c in described:
+            out[c] = rows[c].iloc[closing].to_numpy()
         return out, (last, n, total, squares, start)
 
     out = _per_key(
-        df.where(F.col("value").isNotNull()), keys, ["id", "value"],
+        df.where(F.col("value").isNotNull()), keys, ["id", "value", *described],
         "last bigint, n bigint, total double, squares double, start bigint",
         "number bigint, sum_val double, sum_of_squares double, average double, "
-        "_from bigint, _to bigint", step, ["_us", "id"])
+        + ", ".join(["_from bigint, _to bigint", *[
+            f"{c} {df.schema[c].dataType.simpleString()}" for c in described]]), step, ["_us", "id"])
     return out.select(
         *keys, "number", "sum_val", "sum_of_squares", "average",
         F.timestamp_micros("_from").alias("from_time"),
-        F.timestamp_micros("_to").alias("to_time"), F.timestamp_micros("_to").alias("last_sent"))
+        F.timestamp_micros("_to").alias("to_time"), *described, F.timestamp_micros("_to").alias("last_sent"))

@@ -1,11 +1,12 @@
 """Streams that write tables and documents batch by batch.
 
 A batch may be delivered again after a failure. Everything written here is
-keyed, and keys already stored are skipped.
+keyed: keys already stored are skipped, documents of a batch replace its own.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import date
 
 from pyspark.errors import AnalysisException
@@ -21,6 +22,9 @@ from harrow.sinks.files import write_trail_documents
 from harrow.sinks.tables import write_hypertable
 from harrow.sources.messages import json_reject_split, read_gpsd
 
+# Place of a document.
+PATH = ["device", "day", "geohash"]
+
 
 def _start(df: DataFrame, save, checkpoint: str, available_now: bool) -> StreamingQuery:
     writer = df.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint)
@@ -66,10 +70,36 @@ def stream_table_writer(lines: DataFrame, tables: dict[str, str], rejects: str,
 
 
 def _read(spark: SparkSession, path: str, schema) -> DataFrame:
+    return spark.createDataFrame([], schema) if (df := _found(spark, path, schema)) is None else df
+
+
+def _found(spark: SparkSession, path: str, schema) -> DataFrame | None:
     try:
         return spark.read.schema(schema).parquet(path)
-    except AnalysisException:
-        return spark.createDataFrame([], schema)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def _located(points: DataFrame, precision: int) -> DataFrame:
+    return points.withColumn("day", day_of("time")).withColumn("geohash", geohash("lat", "lon", precision))
+
+
+def _log(spark: SparkSession, sent_log: str, points: DataFrame, since: date | None) -> DataFrame:
+    log = _read(spark, sent_log, points.select(*KEY).schema.add("day", "date"))
+    return log if since is None else log.where(F.col("day") >= F.lit(since))
+
+
+def _send(taken: DataFrame, failed_paths: DataFrame | None, log: DataFrame, sent_log: str, documents: str,
+          precision: int, batch_size: int, upload: str | None) -> None:
+    """Documents of what is taken, then the log; a point that is logged is not logged again."""
+    worked = taken
+    if failed_paths is not None:
+        worked = _located(taken, precision).join(failed_paths, PATH, "left_anti").select(taken.columns)
+    write_trail_documents(trail_documents(worked, precision, batch_size), documents, upload=upload)
+    (ledger_mark_sent(unsent(worked, log)).withColumn("day", F.to_date("time"))
+     .hint("rebalance", "day").write.partitionBy("day").mode("append").parquet(sent_log))
 
 
 def upload_once(points: DataFrame, sent_log: str, documents: str, staging: str,
@@ -88,45 +118,66 @@ def upload_once(points: DataFrame, sent_log: str, documents: str, staging: str,
     ``since`` leaves out older days, of which neither points nor log are read.
     """
     spark = points.sparkSession
-    log = _read(spark, sent_log, points.select(*KEY).schema.add("day", "date"))
+    log = _log(spark, sent_log, points, since)
     if since is not None:
         points = points.where(F.to_date("time") >= F.lit(since))
-        log = log.where(F.col("day") >= F.lit(since))
     chosen = unsent(points, log) if n is None else unsent_points(points, log, n)
     chosen.write.mode("overwrite").parquet(staging)
     taken = spark.read.parquet(staging)
     count = taken.count()
-    if not count:
-        return 0
-    worked = taken
-    if failed_paths is not None:
-        worked = (
-            taken.withColumn("day", day_of("time"))
-            .withColumn("geohash", geohash("lat", "lon", precision))
-            .join(failed_paths, ["device", "day", "geohash"], "left_anti").select(taken.columns))
-    write_trail_documents(trail_documents(worked, precision, batch_size), documents)
-    (ledger_mark_sent(worked).withColumn("day", F.to_date("time"))
-     .hint("rebalance", "day").write.partitionBy("day").mode("append").parquet(sent_log))
+    if count:
+        _send(taken, failed_paths, log, sent_log, documents, precision, batch_size, None)
     return count
 
 
 def stream_trail_upload(points: DataFrame, table: str, sent_log: str, documents: str,
-                        staging: str, checkpoint: str, batch_size: int = 1000,
-                        sweep_every: int = 100, available_now: bool = True) -> StreamingQuery:
+                        staging: str, checkpoint: str, batch_size: int = 1000, precision: int = 7,
+                        failing: Callable[[SparkSession, int], DataFrame] | None = None,
+                        available_now: bool = True) -> StreamingQuery:
     """Store arriving points, then upload what is unsent.
 
-    A batch looks at the days from its own oldest point on; every
-    ``sweep_every`` batches all days are looked at, for paths that failed.
+    ``failing`` gives the paths (device, day, geohash) that cannot be written in a batch. Their
+    points stay unsent and are taken again by the next batch, which looks at the days from
+    its own oldest point and from the oldest failed path on; the first batch looks at all days.
+
+    What a batch takes and what failed is staged once. A batch that is delivered again goes
+    on from there and replaces its own documents, so nothing is lost or doubled.
     """
+    failed_type = f"device {points.schema['device'].dataType.simpleString()}, day string, geohash string"
+
+    def stored(batch: DataFrame, batch_id: int) -> date | None:
+        """Stores the batch; the first day to look at, or None."""
+        held = batch.persist()
+        try:
+            write_hypertable(held, table, "time", KEY, "id")
+            oldest = held.agg(F.min(F.to_date("time"))).first()[0]
+        finally:
+            held.unpersist()
+        earlier = _found(batch.sparkSession, f"{staging}/failed/batch={batch_id - 1}", failed_type)
+        failed = None if earlier is None else earlier.agg(F.min(F.to_date("day"))).first()[0]
+        return min((d for d in (oldest, failed) if d is not None), default=None)
+
     def save(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        write_hypertable(batch, table, "time", KEY, "id")
-        oldest = batch.agg(F.min(F.to_date("time"))).first()[0]
-        since = None if batch_id % sweep_every == 0 else oldest
-        stored = _read(spark, table, points.schema.add("day", "date"))
-        if since is not None:
-            stored = stored.where(F.col("day") >= F.lit(since))
-        upload_once(stored.drop("day"), sent_log, documents, f"{staging}/batch={batch_id}",
-                    batch_size=batch_size, since=since)
+        taken_path, failed_path, ready = (f"{staging}/{k}/batch={batch_id}" for k in ("taken", "failed", "ready"))
+        since = stored(batch, batch_id)
+        if since is None and batch_id:
+            return
+        if not batch_id:
+            since = None
+        log = _log(spark, sent_log, points, since)
+        if _found(spark, ready, "id bigint") is None:
+            known = _read(spark, table, points.schema.add("day", "date"))
+            if since is not None:
+                known = known.where(F.col("day") >= F.lit(since))
+            unsent(known.drop("day"), log).write.mode("overwrite").parquet(taken_path)
+            paths = spark.createDataFrame([], failed_type) if failing is None else failing(spark, batch_id)
+            (_located(spark.read.parquet(taken_path), precision).select(*PATH)
+             .join(paths, PATH, "left_semi").distinct().write.mode("overwrite").parquet(failed_path))
+            spark.range(1).coalesce(1).write.mode("overwrite").parquet(ready)
+        taken = spark.read.parquet(taken_path)
+        if not taken.isEmpty():
+            _send(taken, spark.read.schema(failed_type).parquet(failed_path), log, sent_log, documents, precision,
+                  batch_size, f"batch-{batch_id}")
 
     return _start(points, save, checkpoint, available_now)

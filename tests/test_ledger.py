@@ -68,3 +68,32 @@ def test_stream_uploads_every_batch(spark, tmp_path):
     stored = spark.read.parquet(place["table"]).drop("day")
     for since in (None, date(1970, 1, 3)):
         assert st.upload_once(stored, place["sent"], place["docs"], str(tmp_path / "again"), since=since) == 0
+
+
+def test_stream_upload_of_failed_and_repeated_batches(spark, tmp_path):
+    feed = str(tmp_path / "feed")
+    for part in ([1, 2], [90_000], [180_000], [270_000]):
+        points(spark, part).coalesce(1).write.mode("append").parquet(feed)
+    stream = spark.readStream.schema(spark.read.parquet(feed).schema).option(
+        "maxFilesPerTrigger", 1).parquet(feed)
+    place = {k: str(tmp_path / k) for k in ("table", "sent", "docs", "staging", "check")}
+    paths = points(spark, [1, 2]).select(
+        "device", fn.day_of("time").alias("day"), fn.geohash("lat", "lon", 7).alias("geohash")).distinct()
+
+    def failing(session, batch):
+        return paths if batch < 2 else paths.limit(0)
+
+    def documents():
+        docs = spark.read.schema("data map<string, struct<id: string>>, day string").json(place["docs"])
+        return docs.select(F.explode("data")).select("key").count()
+
+    st.stream_trail_upload(stream, *place.values(), failing=failing)
+    # The first day fails twice, is far from the days that follow and goes with the third batch.
+    assert seconds(spark.read.parquet(place["sent"])) == [1, 2, 90_000, 180_000, 270_000]
+    assert documents() == 5
+    for name in ("3", ".3.crc"):
+        (tmp_path / "check" / "commits" / name).unlink(missing_ok=True)
+    st.stream_trail_upload(stream, *place.values(), failing=failing)
+    assert seconds(spark.read.parquet(place["sent"])) == [1, 2, 90_000, 180_000, 270_000]
+    assert documents() == 5
+    assert spark.read.parquet(place["table"]).count() == 5

@@ -55,9 +55,12 @@ def test_online_transitions(spark, feed, tmp_path):
 
 def test_greedy_statistics(spark, feed, tmp_path):
     batch, stream = open_stream(spark, feed)
-    got = append(spark, st.stream_signal_stats_greedy(stream, 5.0), tmp_path)
-    want = op.signal_stats_greedy(batch, 5.0)
+    about = {"pgn": F.lit(61444), "units": F.lit("rpm"), "min_value": F.lit(0.0),
+             "max_value": F.when(F.col("name") == "s0", 50.0).otherwise(60.0)}
+    got = append(spark, st.stream_signal_stats_greedy(stream.withColumns(about), 5.0), tmp_path)
+    want = op.signal_stats_greedy(batch.withColumns(about), 5.0)
     assert rows(got) == rows(want.select(got.columns))
+    assert set(got.columns) == set(want.columns)
 
 
 def test_idle(spark, feed, tmp_path):
