@@ -113,7 +113,7 @@ def test_restart_continues_from_the_checkpoint(spark, feed, tmp_path):
 
 def test_repeated_batch_writes_nothing_twice(spark, tmp_path):
     lines = spark.createDataFrame(
-        [(TPV,), (SKY,), (PPS,), (TPV.replace('"mode":3,', ""),), ("{",)], "body string"
+        [(TPV,), (SKY,), (PPS,), (TPV.replace('"mode":2,', ""),), ("{",)], "body string"
     ).withColumn("systime", F.timestamp_seconds(F.monotonically_increasing_id()))
     tables = {c: str(tmp_path / c) for c in ("TPV", "SKY", "PPS")}
     for turn in range(2):
