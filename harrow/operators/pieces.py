@@ -33,7 +33,7 @@ def shuffle_tasks(df: DataFrame) -> int:
 
 
 def cut_into_pieces(df: DataFrame, keys: list[str], time: str, tie: str,
-                    max_rows: int | None = None) -> DataFrame | None:
+                    max_rows: int | None = None, least_us: int = 0) -> DataFrame | None:
     """Add ``_piece`` and ``_is_cut``, or return None when no key is crowded.
 
     The count per key is one pre-aggregated pass over the key columns. A key is
@@ -43,7 +43,8 @@ def cut_into_pieces(df: DataFrame, keys: list[str], time: str, tie: str,
     a few per partition; only crowded keys and split points are broadcast, and
     the split points are checkpointed, so that every use sees the same ones. A
     position is (time, tie), so even rows of one instant are cut. Every row
-    stays in the result; pieces follow each other in order.
+    stays in the result; pieces follow each other in order. Pieces that would span less
+    than ``least_us`` microseconds are joined to the one before.
     """
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     total, largest = counts.agg(F.sum("_n"), F.max("_n")).first()
@@ -65,8 +66,11 @@ def cut_into_pieces(df: DataFrame, keys: list[str], time: str, tie: str,
     pick = F.transform(
         F.sequence(F.lit(1), F.col("_cuts") - 1),
         lambda i: F.get("_seen", F.floor(i * F.size("_seen") / F.col("_cuts")).cast("int")))
+    picked = F.array_distinct(pick)
+    if least_us:
+        picked = _apart(picked, F.get("_seen", F.lit(0)), least_us)
     set_checkpoint_dir(df.sparkSession)
-    splits = sample.select(*keys, F.array_distinct(pick).alias("_splits")).checkpoint()
+    splits = sample.select(*keys, picked.alias("_splits")).where(F.size("_splits") > 0).checkpoint()
 
     # Binary search for the number of split points at or before the row.
     steps = [1 << b for b in reversed(range((-(-largest // limit)).bit_length()))]
@@ -82,6 +86,16 @@ def cut_into_pieces(df: DataFrame, keys: list[str], time: str, tie: str,
         .drop("_splits"))
 
 
+def _apart(splits: Column, first: Column, least_us: int) -> Column:
+    """Split points that are at least so far from the one kept before, or from the first row seen."""
+    kept = F.aggregate(
+        splits, F.array(first),
+        lambda before, split: F.when(
+            F.unix_micros(split["t"]) - F.unix_micros(F.element_at(before, -1)["t"]) >= least_us,
+            F.array_append(before, split)).otherwise(before))
+    return F.slice(kept, 2, F.greatest(F.lit(1), F.size(splits)))
+
+
 Columns = dict[str, Column]
 
 
@@ -120,6 +134,8 @@ def ordered_scan(df: DataFrame, keys: list[str], time: str, tie: str, *,
 def with_previous(df: DataFrame, keys: list[str], time: str, tie: str,
                   columns: list[str], name: str = "previous", **options) -> DataFrame:
     """Add a struct of the previous row's ``columns``, NULL for a key's first row."""
+    if options.get("newest_first"):
+        raise ValueError("the previous row is that before in time")
     key = order_key(time, tie)
     last = F.struct(*[F.col(f"_last_{c}").alias(c) for c in columns])
     out = ordered_scan(

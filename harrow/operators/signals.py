@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
@@ -82,12 +81,17 @@ def progress_count(df: DataFrame, every: int = 1000) -> DataFrame:
 #
 # Signals too large for one task are cut into pieces:
 #   1. each piece is walked once for every publication time that could enter
-#      it (there are only as many as distinct times in its first ``gap``),
-#      giving a table "entered with -> left with";
-#   2. those small tables are chained along each signal;
+#      it (as many as distinct times in its first ``gap``), giving a table
+#      "entered with -> left with". A piece spans many gaps, so that its table
+#      is a small part of it however long the gap is;
+#   2. the tables of a signal are walked in order, as rows, holding one number;
 #   3. the entry that results travels to its piece, which is labelled as usual.
 
 _US = 1_000_000
+# Gaps that a piece spans at the least.
+GAPS_PER_PIECE = 16
+# Rows of a table that leave a task in one batch.
+_TABLE_ROWS = 65_536
 
 
 def _changes(batch: pa.RecordBatch, keys: list[str]) -> np.ndarray:
@@ -137,51 +141,68 @@ class _PieceTable:
         self.lasts = _advance(times, starts, gap)[back]
         self.heads = np.concatenate((self.heads, heads))
 
-    def row(self, gap: int) -> tuple:
-        # Neighbouring entries that leave alike are one entry.
+    def entries(self, gap: int) -> tuple[np.ndarray, np.ndarray]:
+        """Rising ``entered`` with what each leaves; neighbours that leave alike are one entry."""
         keep = np.append(self.lasts[1:] != self.lasts[:-1], True)
-        return (*self.key, self.first, (self.heads[keep] - gap).tolist(), self.lasts[keep].tolist())
+        return self.heads[keep] - gap, self.lasts[keep]
 
 
 def _tables(keys: list[str], gap: int, schema: pa.Schema):
+    def emit(table: _PieceTable) -> Iterator[pa.RecordBatch]:
+        entered, left = table.entries(gap)
+        for a in range(0, len(entered), _TABLE_ROWS):
+            n = len(entered[a:a + _TABLE_ROWS])
+            values = [*([k] * n for k in (*table.key, table.first)),
+                      entered[a:a + _TABLE_ROWS], left[a:a + _TABLE_ROWS]]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(v, type=f.type) for v, f in zip(values, schema)], schema=schema)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current = None
-
-        def emit(rows):
-            columns = zip(*rows)
-            return pa.RecordBatch.from_arrays(
-                [pa.array(list(c), type=f.type) for c, f in zip(columns, schema)], schema=schema)
-
         for batch in batches:
             if not batch.num_rows:
                 continue
-            done = []
             times, edges = batch.column("_us").to_numpy(), _changes(batch, keys).tolist()
             for a, b in zip(edges[:-1], edges[1:]):
                 key = _key_at(batch, keys, a)
                 if current is None or current.key != key:
                     if current is not None:
-                        done.append(current.row(gap))
+                        yield from emit(current)
                     current = _PieceTable(key, int(times[a]))
                 current.add(times[a:b], gap)
-            if done:
-                yield emit(done)
         if current is not None:
-            yield emit([current.row(gap)])
+            yield from emit(current)
     return run
 
 
-def _chain(keys: list[str]):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(PIECE)
-        entries, last = [], None
-        for first, entered, left in zip(pdf["first"], pdf["entered"], pdf["left"]):
-            last = int(first) if last is None else last
-            entries.append(last)
-            at = int(np.searchsorted(np.asarray(entered), last))
-            if at < len(left):
-                last = int(left[at])
-        return pdf[[*keys, PIECE]].assign(_entry=entries)
+def _chain(keys: list[str], schema: pa.Schema):
+    """Walk sorted table rows; one row per piece with the publication that enters it.
+
+    Holds the publication before the piece and the one that leaves it, no table.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        piece, enters, leaves = None, 0, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            found = []
+            entered, left = batch.column("entered").to_numpy(), batch.column("left").to_numpy()
+            edges = _changes(batch, [*keys, PIECE]).tolist()
+            for a, b in zip(edges[:-1], edges[1:]):
+                here = _key_at(batch, [*keys, PIECE], a)
+                if here != piece:
+                    if piece is None or here[:-1] != piece[:-1]:
+                        enters = batch.column("first")[a].as_py()
+                    elif leaves is not None:
+                        enters = leaves
+                    piece, leaves = here, None
+                    found.append((*here, enters))
+                if leaves is None:
+                    at = a + int(np.searchsorted(entered[a:b], enters))
+                    leaves = int(left[at]) if at < b else None
+            if found:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(list(c), type=f.type) for c, f in zip(zip(*found), schema)], schema=schema)
     return run
 
 
@@ -248,16 +269,16 @@ def _entries(cut: DataFrame, keys: list[str], gap: int) -> DataFrame:
     """Publication that enters each piece of the signals that were cut."""
     piece = [*keys, PIECE]
     key_fields = [cut.schema[k] for k in piece]
-    longs = T.ArrayType(T.LongType())
-    kind = T.StructType(key_fields + [
-        T.StructField("first", T.LongType()), T.StructField("entered", longs),
-        T.StructField("left", longs)])
+    number = lambda *names: [T.StructField(n, T.LongType()) for n in names]
+    kind = T.StructType(key_fields + number("first", "entered", "left"))
+    entry = T.StructType(key_fields + number("_entry"))
     tables = (
         cut.where(IS_CUT).select(*piece, "_us")
         .repartition(shuffle_tasks(cut), *piece).sortWithinPartitions(*piece, "_us")
         .mapInArrow(_tables(piece, gap, to_arrow_schema(kind)), kind))
-    return tables.groupBy(*keys).applyInPandas(
-        _chain(keys), T.StructType(key_fields + [T.StructField("_entry", T.LongType())]))
+    return (
+        tables.repartition(*keys).sortWithinPartitions(*piece, "entered")
+        .mapInArrow(_chain(keys, to_arrow_schema(entry)), entry))
 
 
 def signal_stats_greedy(df: DataFrame, min_gap_s: float = 1.0,
@@ -268,7 +289,7 @@ def signal_stats_greedy(df: DataFrame, min_gap_s: float = 1.0,
     described = [c for c in ("pgn", "units", "min_value", "max_value") if c in df.columns]
     rows = df.where(F.col("value").isNotNull()).select(
         *keys, "time", tie, "value", *described).withColumn("_us", F.unix_micros("time"))
-    cut = cut_into_pieces(rows, list(keys), "time", tie, max_rows)
+    cut = cut_into_pieces(rows, list(keys), "time", tie, max_rows, GAPS_PER_PIECE * gap)
     piece = list(keys) if cut is None else [*keys, PIECE]
     fields = [*piece, "_us", tie, "value", *described]
     walked = (rows if cut is None else cut).select(*fields, F.lit(False).alias("_header"))

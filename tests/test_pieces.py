@@ -40,6 +40,11 @@ def test_row_number_and_previous(skewed, limit):
     assert got.select(want.columns).exceptAll(want).count() == 0
 
 
+def test_previous_means_before_in_time(skewed):
+    with pytest.raises(ValueError):
+        with_previous(skewed, ["device"], "time", "id", ["v"], newest_first=True)
+
+
 def test_newest_first(skewed):
     w = Window.partitionBy("device").orderBy(F.desc("time"), F.desc("id"))
     got = with_row_number(

@@ -54,6 +54,31 @@ def test_greedy_statistics_against_the_rule(spark, limit, gap, arrow_rows):
     assert rows(got) == sorted(want)
 
 
+def test_greedy_tables_stay_small_when_the_gap_outlasts_a_piece(spark):
+    """100 Hz, pieces of ten seconds, a gap of thirty."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql import types as T
+    from harrow.operators.pieces import PIECE, cut_into_pieces
+    from harrow.operators.signals import GAPS_PER_PIECE, _tables
+
+    n, gap = 200_000, 30_000_000
+    df = spark.range(n).select(
+        "id", F.lit(1).alias("device"), F.lit("s").alias("name"), (F.col("id") % 10).cast("double").alias("value"),
+        F.timestamp_micros(F.col("id") * 10_000).alias("time"))
+    keys = ["device", "name"]
+    cut = cut_into_pieces(df, keys, "time", "id", 1000, GAPS_PER_PIECE * gap).withColumn("_us", F.unix_micros("time"))
+    assert cut.select(PIECE).distinct().count() >= 3
+    kind = T.StructType([cut.schema[k] for k in [*keys, PIECE]] + [
+        T.StructField(c, T.LongType()) for c in ("first", "entered", "left")])
+    tables = (cut.select(*keys, PIECE, "_us").repartition(4, *keys, PIECE).sortWithinPartitions(*keys, PIECE, "_us")
+              .mapInArrow(_tables([*keys, PIECE], gap, to_arrow_schema(kind)), kind))
+    assert tables.groupBy(PIECE).count().agg(F.max("count")).first()[0] <= gap // 10_000 + 1
+    got = op.signal_stats_greedy(df, gap / 1e6, max_rows=1000).select(
+        "number", F.round("sum_val", 6), F.round("sum_of_squares", 6), F.unix_micros("from_time"),
+        F.unix_micros("to_time"))
+    assert rows(got) == sorted(publish([(i * 10_000, float(i % 10)) for i in range(n)], gap))
+
+
 def test_identifier_hand_cases(spark):
     df = spark.createDataFrame([(0x18FEF100,), (0x18EAFF21,), (0x1DEF1234,)], "can_id bigint")
     got = op.j1939_decode_id(df).collect()
