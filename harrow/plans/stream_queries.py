@@ -1,11 +1,14 @@
 """Registered queries of the streaming operators.
 
-Each reads the events table as a file stream, runs until the input is used
-up and returns what was written.
+Each takes the events in four slices of time. The stream runs until a slice is
+used up, stops, and goes on from its checkpoint with the next, so state and
+watermark are carried across batches and restarts.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from harrow import operators as op
@@ -18,16 +21,28 @@ from harrow.plans.registry import (
 from harrow.session import shared_folder
 
 
-def appended(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+def fed(rows: DataFrame, name: str, run: Callable[[DataFrame, str], object], time: str = "time") -> str:
+    """Run a stream over slices of the rows; returns the folder it works in."""
+    spark = rows.sparkSession
     base = shared_folder(spark, name)
-    st.run_append(df, base + "/out", base + "/checkpoint")
-    return spark.read.schema(df.schema).parquet(base + "/out")
+    for part in views.in_slices(rows, time):
+        part.write.mode("append").parquet(base + "/in")
+        run(spark.readStream.schema(rows.schema).parquet(base + "/in"), base)
+    return base
 
 
-def updated(spark: SparkSession, df: DataFrame, name: str, keys: list[str]) -> DataFrame:
-    base = shared_folder(spark, name)
-    st.run_updates(df, base + "/out", base + "/checkpoint")
-    return st.read_updates(spark, base + "/out", keys)
+def appended(rows: DataFrame, make: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
+    base = fed(rows, name, lambda stream, at: st.run_append(make(stream), at + "/out", at + "/checkpoint"))
+    return rows.sparkSession.read.schema(make(rows).schema).parquet(base + "/out")
+
+
+def updated(rows: DataFrame, make: Callable[[DataFrame], DataFrame], name: str, keys: list[str]) -> DataFrame:
+    base = fed(rows, name, lambda stream, at: st.run_updates(make(stream), at + "/out", at + "/checkpoint"))
+    return st.read_updates(rows.sparkSession, base + "/out", keys)
+
+
+def valid_signals(ev: DataFrame) -> DataFrame:
+    return op.valid_signal_filter(views.signals(ev))
 
 
 # Append mode keeps the windows the watermark has not passed: with a one-hour
@@ -37,8 +52,9 @@ def updated(spark: SparkSession, df: DataFrame, name: str, keys: list[str]) -> D
   HAVING epoch_us(date_trunc('hour', MIN(time))) + 3600000000 <=
     (SELECT MAX(us) FROM signals WHERE value < max_value) // 1000 * 1000 - 3600000000"""))
 def stream_signal_stats(spark, sf):
-    valid = op.valid_signal_filter(views.signals(views.event_stream(spark, sf)))
-    out = appended(spark, st.stream_signal_stats(valid, "1 hour", "1 hour"), "stream-stats")
+    out = appended(
+        views.events(spark, sf), lambda ev: st.stream_signal_stats(valid_signals(ev), "1 hour", "1 hour"),
+        "stream-stats")
     return stats_columns(out, us("window_start", "window_us"), "device", "name")
 
 
@@ -47,8 +63,9 @@ def stream_signal_stats(spark, sf):
   WHEN 'purchase' THEN 65267 ELSE 59904 END AS pgn, 'u' AS units,
   CAST(CASE name WHEN 'click' THEN 100 WHEN 'view' THEN 150 ELSE 200 END AS DOUBLE) AS max_value"""))
 def stream_signal_stats_greedy(spark, sf):
-    valid = op.valid_signal_filter(views.signals(views.event_stream(spark, sf)))
-    out = appended(spark, st.stream_signal_stats_greedy(valid, GREEDY_GAP_S), "stream-greedy")
+    out = appended(
+        views.events(spark, sf), lambda ev: st.stream_signal_stats_greedy(valid_signals(ev), GREEDY_GAP_S),
+        "stream-greedy")
     return stats_columns(out, "device", "name", us("last_sent"), F.col("pgn").cast("bigint").alias("pgn"), "units",
                          "max_value")
 
@@ -57,7 +74,7 @@ def stream_signal_stats_greedy(spark, sf):
   CAST(reading AS BIGINT) AS reading FROM edges"""))
 def stream_rising_edge(spark, sf):
     out = appended(
-        spark, st.stream_rising_edge(views.readings(views.event_stream(spark, sf))), "stream-edges")
+        views.events(spark, sf), lambda ev: st.stream_rising_edge(views.readings(ev)), "stream-edges")
     return out.select("id", "device", "subject", us("time"), "reading")
 
 
@@ -66,33 +83,32 @@ def stream_rising_edge(spark, sf):
   FROM transitions"""))
 def stream_online_transitions(spark, sf):
     out = appended(
-        spark, st.stream_online_transitions(views.probes(views.event_stream(spark, sf))), "stream-online")
+        views.events(spark, sf), lambda ev: st.stream_online_transitions(views.probes(ev)), "stream-online")
     return out.select("id", "device", us("time"), "event", us("last_seen"), "gap_s", "gap_text")
 
 
+# A device's newest sample time is open: more links may still report for it.
 @query("stream_idle_detect", sql(COUNTERS, """SELECT device, epoch_us(time) AS time_us, rx_bytes FROM
-  (SELECT *, coalesce(lag(rx_bytes) OVER (PARTITION BY device ORDER BY time), 0) AS before FROM activity)
-  WHERE rx_bytes = before"""))
+  (SELECT *, coalesce(lag(rx_bytes) OVER w, 0) AS before, lead(time) OVER w AS after FROM activity
+   WINDOW w AS (PARTITION BY device ORDER BY time)) WHERE rx_bytes = before AND after IS NOT NULL"""))
 def stream_idle_detect(spark, sf):
-    base = shared_folder(spark, "stream-idle")
-    op.bus_activity(views.counters(views.events(spark, sf))).write.parquet(base + "/in")
-    schema = spark.read.parquet(base + "/in").schema
-    activity = spark.readStream.schema(schema).parquet(base + "/in")
-    out = appended(spark, st.stream_idle_detect(activity), "stream-idle")
+    out = appended(views.counters(views.events(spark, sf)), st.stream_idle_detect, "stream-idle")
     return out.select("device", us("time"), "rx_bytes")
 
 
 @query("stream_gauges", GAUGE_SQL)
 def stream_gauges(spark, sf):
-    gauges = st.stream_gauges(views.signals(views.event_stream(spark, sf)))
-    return updated(spark, gauges, "stream-gauges", ["device", "metric"]).select(
+    return updated(
+        views.events(spark, sf), lambda ev: st.stream_gauges(views.signals(ev)), "stream-gauges",
+        ["device", "metric"]).select(
         "device", "metric", "value", "description", us("time"))
 
 
 @query("stream_subscribers", sql(REQUESTS, """SELECT DISTINCT phone FROM requests WHERE phone LIKE '+%'"""))
 def stream_subscribers(spark, sf):
-    requests = views.subscription_requests(views.event_stream(spark, sf))
-    return appended(spark, st.stream_subscribers(requests), "stream-subscribers").select("phone")
+    return appended(
+        views.events(spark, sf), lambda ev: st.stream_subscribers(views.subscription_requests(ev)),
+        "stream-subscribers").select("phone")
 
 
 @query("stream_staleness", sql(PROBES, f"""SELECT device,
@@ -101,7 +117,7 @@ def stream_subscribers(spark, sf):
   FROM probes GROUP BY device"""))
 def stream_staleness(spark, sf):
     newest = updated(
-        spark, st.stream_staleness(views.probes(views.event_stream(spark, sf))), "stream-stale", ["device"])
+        views.events(spark, sf), lambda ev: st.stream_staleness(views.probes(ev)), "stream-stale", ["device"])
     fleet = views.probes(views.events(spark, sf)).select("device").distinct()
     return op.staleness(newest, fleet, F.lit(NOW).cast("timestamp"), 86400.0).select(
         "device", rounded("age_s", 6), "healthy")
@@ -113,13 +129,11 @@ def stream_staleness(spark, sf):
   UNION ALL SELECT CASE WHEN value < 2 THEN 'not JSON' ELSE 'null mode' END, NULL, us FROM ev
   WHERE value < 2 OR event_type = 'error'"""))
 def stream_table_writer(spark, sf):
-    base = shared_folder(spark, "stream-tables")
-    tables = {c: f"{base}/{c}" for c in ("TPV", "SKY", "PPS")}
-    st.stream_table_writer(
-        views.gpsd_lines(views.event_stream(spark, sf)), tables, base + "/rejects",
-        base + "/checkpoint")
-    stored = [spark.read.parquet(p).select(F.lit(c).alias("target"), "id", us("systime"))
-              for c, p in tables.items()]
+    classes = ("TPV", "SKY", "PPS")
+    base = fed(views.events(spark, sf), "stream-tables", lambda ev, at: st.stream_table_writer(
+        views.gpsd_lines(ev), {c: f"{at}/{c}" for c in classes}, at + "/rejects", at + "/checkpoint"))
+    stored = [spark.read.parquet(f"{base}/{c}").select(F.lit(c).alias("target"), "id", us("systime"))
+              for c in classes]
     rejected = spark.read.parquet(base + "/rejects").select(
         F.col("reason").alias("target"), F.lit(None).cast("bigint").alias("id"), us("systime"))
     return op.class_union(*stored, rejected)
@@ -128,13 +142,8 @@ def stream_table_writer(spark, sf):
 @query("stream_trail_upload", sql(TRAILS, """SELECT device, epoch_us(time) AS time_us, true AS sent
   FROM points GROUP BY device, time"""))
 def stream_trail_upload(spark, sf):
-    base = shared_folder(spark, "stream-upload")
-    points = views.points(views.event_stream(spark, sf))
-    st.stream_trail_upload(
-        points, base + "/points", base + "/sent", base + "/documents", base + "/staging",
-        base + "/checkpoint")
+    base = fed(views.events(spark, sf), "stream-upload", lambda ev, at: st.stream_trail_upload(
+        views.points(ev), at + "/points", at + "/sent", at + "/documents", at + "/staging", at + "/checkpoint"))
     log = spark.read.parquet(base + "/sent")
     return op.ledger_insert(views.points(views.events(spark, sf)), log).select(
         "device", us("time"), "sent")
-
-

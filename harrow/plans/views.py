@@ -36,11 +36,15 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return as_events(table(spark, sf_dir, "events"))
 
 
-def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    use_utc(spark)
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    # A file source wants a folder or a glob; this glob names the one file.
-    return as_events(spark.readStream.schema(schema).parquet(f"{sf_dir}/{{events}}.parquet"))
+def in_slices(df: DataFrame, time: str, n: int = 4) -> list[DataFrame]:
+    """Rows in consecutive slices of time of about equal size."""
+    cuts = df.agg(F.percentile_approx(
+        F.unix_micros(time), F.array(*[F.lit(k / n) for k in range(1, n)]), F.lit(10_000))).first()[0] or []
+    us, bounds = F.unix_micros(time), sorted(set(cuts))
+    if not bounds:
+        return [df]
+    inner = [df.where((us > a) & (us <= b)) for a, b in zip(bounds, bounds[1:])]
+    return [df.where(us.isNull() | (us <= bounds[0])), *inner, df.where(us > bounds[-1])]
 
 
 _PGN = {"click": 61444, "view": 65265, "signup": 65262, "purchase": 65267}

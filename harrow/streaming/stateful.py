@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState
 
 from harrow.functions.times import gap_text
+from harrow.operators.counters import CAN_LINK, can_link_filter
 
 
 def _in_order(chunks: Iterator[pd.DataFrame], by: list[str]) -> pd.DataFrame:
@@ -76,15 +77,27 @@ def stream_online_transitions(df: DataFrame) -> DataFrame:
         F.when(F.col("ok"), F.coalesce(gap_text(gap), F.lit("never seen"))).alias("gap_text"))
 
 
-def stream_idle_detect(activity: DataFrame) -> DataFrame:
-    """State: the last total. Takes one row per device and sample time."""
-    def step(rows: pd.DataFrame, held: tuple | None):
-        total = rows["rx_bytes"].to_numpy()
-        before = np.concatenate(([held[0] if held else 0], total[:-1]))
-        return rows[total == before].copy(), (int(total[-1]),)
+def stream_idle_detect(counters: DataFrame, link_type: int = CAN_LINK) -> DataFrame:
+    """Sample times at which all CAN links of a device together stand where they stood before.
 
-    out = _per_key(activity, ("device",), ["rx_bytes"], "last bigint",
-                   "_us bigint, rx_bytes bigint", step, ["_us", "rx_bytes"])
+    State: the last total, and the newest sample time with its sum so far. A sample time
+    is complete when a later one of its device comes; a row that is later still is left out.
+    """
+    def step(rows: pd.DataFrame, held: tuple | None):
+        last, newest, total = held or (0, -1, 0)
+        sums = rows[rows["_us"] >= newest].groupby("_us")["rx_bytes"].sum()
+        if held:
+            sums = sums.add(pd.Series({newest: total}), fill_value=0)
+        us, totals = sums.index.to_numpy(np.int64), sums.to_numpy(np.int64)
+        before = np.concatenate(([last], totals[:-1]))
+        idle = (totals == before)[:-1]
+        out = pd.DataFrame({"_us": us[:-1][idle], "rx_bytes": totals[:-1][idle]})
+        return out, (int(before[-1]), int(us[-1]), int(totals[-1]))
+
+    samples = can_link_filter(counters, link_type).where("rx_bytes IS NOT NULL AND time IS NOT NULL").withColumn(
+        "rx_bytes", F.col("rx_bytes").cast("bigint"))
+    out = _per_key(samples, ("device",), ["rx_bytes"], "last bigint, newest bigint, total bigint",
+                   "_us bigint, rx_bytes bigint", step, ["_us"])
     return out.select("device", F.timestamp_micros("_us").alias("time"), "rx_bytes")
 
 
