@@ -9,11 +9,22 @@ from harrow.operators.pieces import order_key, ordered_scan
 
 
 def latest_row(df: DataFrame, keys: list[str], time: str = "time", tie: str = "id") -> DataFrame:
-    """Newest row of the table, or of each key; equal times go to the higher id."""
-    rest = [c for c in df.columns if c not in keys]
+    """Newest row of the table, or of each key; equal times go to the higher id.
+
+    The newest position of each key is a hash aggregate; rows at such a position are then
+    picked by a join, so the table is neither sorted nor shuffled while keys are few. A row
+    that is stored twice comes once.
+    """
+    placed = df.withColumn("_position", order_key(time, tie))
+    newest = placed.groupBy(*keys).agg(F.max("_position").alias("_newest")).where(
+        F.col("_newest").isNotNull()).select(*[F.col(k).alias(f"_key_{k}") for k in keys], "_newest")
+    same = F.col("_position") == F.col("_newest")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_key_{k}"))
+    first = Window.partitionBy(*keys, "_position").orderBy("_position")
     return (
-        df.groupBy(*keys).agg(F.max_by(F.struct(*rest), order_key(time, tie)).alias("_row"))
-        .where(F.col("_row").isNotNull()).select(*keys, "_row.*"))
+        placed.join(newest, same, "left_semi").withColumn("_n", F.row_number().over(first))
+        .where("_n = 1").select(*df.columns))
 
 
 def newest_time(df: DataFrame, keys: list[str], time: str = "time") -> DataFrame:

@@ -111,29 +111,32 @@ def upload_batches(points: DataFrame, batch_size: int = 1000, **options) -> Data
         "batch", F.floor((F.col("_rank") - 1) / F.lit(batch_size)).cast("bigint")).drop("_rank")
 
 
-def trail_documents(points: DataFrame, precision: int = 7, batch_size: int = 1000,
+def trail_documents(points: DataFrame, precision: int = 7, batch_size: int | None = None,
                     **options) -> DataFrame:
     """Documents of the points of one device, day and geohash cell.
 
-    Points are taken newest first in batches of ``batch_size`` per device, as
-    an uploader sends them, and a document covers one batch: it holds at most
-    ``batch_size`` points however long a machine stood in one cell. ``data``
-    maps the point id to its entry.
+    A path is one document (``batch`` 0) unless ``batch_size`` cuts it: its points are then taken
+    newest first, so many to a document, numbered inside the path. ``data`` maps the
+    point id to its entry and ``n`` is the number of entries.
     """
     entry = F.struct(
         point_id("device", "time", "lat", "lon").alias("key"),
         gnss_document(point_id("device", "time", "lat", "lon"), "time", "lat", "lon").alias("value"))
-    located = upload_batches(points, batch_size, **options).select(
-        "device", day_of("time").alias("day"), geohash("lat", "lon", precision).alias("geohash"),
-        "batch", entry.alias("_entry"))
-    path = ["device", "day", "geohash", "batch"]
+    place = ["device", "day", "geohash"]
+    located = points.withColumns({"day": day_of("time"), "geohash": geohash("lat", "lon", precision)})
+    if batch_size is None:
+        located = located.withColumn("batch", F.lit(0).cast("bigint"))
+    else:
+        located = with_row_number(located, place, "time", "id", "_rank", newest_first=True, **options).withColumn(
+            "batch", F.floor((F.col("_rank") - 1) / F.lit(batch_size)).cast("bigint"))
+    path = [*place, "batch"]
     # A point stored twice has one id and is one entry.
     once = F.filter("_sorted", lambda e, i: (i == 0) | (
         F.get("_sorted", i - 1)["key"] != e["key"]))
     return (
-        located.groupBy(*path)
-        .agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list("_entry")).alias("_sorted"))
+        located.select(*path, entry.alias("_entry")).groupBy(*path)
+        .agg(F.array_sort(F.collect_list("_entry")).alias("_sorted"))
         .withColumn("_entries", once)
-        .select("device", "day", "geohash", "batch", "n",
+        .select(*path, F.size("_entries").cast("bigint").alias("n"),
                 F.transform("_entries", lambda e: e["value"]["time"]).alias("epochs"),
                 F.map_from_entries("_entries").alias("data")))

@@ -254,9 +254,10 @@ def write_gpx(spark, sf):
              F.count_if(F.col("value") == "</gpx>").alias("footers")))
 
 
-TRAILS = POINTS + f""", ranked AS (SELECT *, (row_number() OVER (PARTITION BY device
-  ORDER BY time DESC, id DESC) - 1) // 1000 AS batch, {GEOHASH} AS geohash,
-  strftime(time, '%Y-%m-%d') AS day, {POINT_ID} AS pid FROM points)"""
+TRAILS = POINTS + f""", ranked AS (SELECT *, {GEOHASH} AS geohash,
+  strftime(time, '%Y-%m-%d') AS day, {POINT_ID} AS pid FROM points),
+parts AS (SELECT *, (row_number() OVER (PARTITION BY device, day, geohash
+  ORDER BY time DESC, id DESC) - 1) // 2 AS batch FROM ranked)"""
 
 
 @query("write_trail_documents", sql(TRAILS, """SELECT CAST(device AS VARCHAR) || '/' || day || '/' || geohash
@@ -645,12 +646,21 @@ def read_raw_frames_rejects(spark, sf):
         rejects.select("id", F.lit(True).alias("refused")))
 
 
-@query("trail_documents", sql(TRAILS, """SELECT device, day, geohash, batch, COUNT(*) AS n,
-  array_to_string(list(DISTINCT pid ORDER BY pid), ',') AS ids FROM ranked GROUP BY ALL"""))
+def document_columns(docs):
+    return docs.select("device", "day", "geohash", "batch", "n",
+                       F.array_join(F.array_sort(F.map_keys("data")), ",").alias("ids"))
+
+
+@query("trail_documents", sql(TRAILS, """SELECT device, day, geohash, CAST(0 AS BIGINT) AS batch,
+  COUNT(DISTINCT pid) AS n, array_to_string(list(DISTINCT pid ORDER BY pid), ',') AS ids FROM ranked GROUP BY ALL"""))
 def trail_documents(spark, sf):
-    return op.trail_documents(views.points(views.events(spark, sf))).select(
-        "device", "day", "geohash", "batch", "n",
-        F.array_join(F.array_sort(F.map_keys("data")), ",").alias("ids"))
+    return document_columns(op.trail_documents(views.points(views.events(spark, sf))))
+
+
+@query("trail_documents_parts", sql(TRAILS, """SELECT device, day, geohash, batch, COUNT(DISTINCT pid) AS n,
+  array_to_string(list(DISTINCT pid ORDER BY pid), ',') AS ids FROM parts GROUP BY ALL"""))
+def trail_documents_parts(spark, sf):
+    return document_columns(op.trail_documents(views.points(views.events(spark, sf)), batch_size=2))
 
 
 @query("progress_count", sql(FRAMES, """SELECT COUNT(*) AS n, COUNT(*) // 1000 AS reports FROM frames
@@ -913,14 +923,81 @@ def upload_retry(spark, sf):
         located(ev), views.sent_log(ev), located(ev.where("value > 200"))).select("device", us("time"))
 
 
-@query("constraint_split", sql(POINTS, """SELECT id, CASE WHEN lat2 IS NULL THEN 'null lat'
+CONSTRAINTS = sql(POINTS, """SELECT id, CASE WHEN lat2 IS NULL THEN 'null lat'
   WHEN row_number() OVER (PARTITION BY device, time, lat2 IS NULL ORDER BY id) > 1
   THEN 'duplicate device,time' END AS reason
-  FROM (SELECT *, CASE WHEN value >= 3 THEN lat END AS lat2 FROM points)"""))
+  FROM (SELECT *, CASE WHEN value >= 3 THEN lat END AS lat2 FROM points)""")
+
+
+@query("constraint_split", CONSTRAINTS)
 def constraint_split(spark, sf):
-    points = views.points(views.events(spark, sf)).join(
-        views.events(spark, sf).select("id", "value"), "id").withColumn(
+    points = views.points(views.events(spark, sf), "value").withColumn(
         "lat", F.when(F.col("value") >= 3, F.col("lat")))
     accepted, rejected = op.constraint_split(points, ["lat"], ["device", "time"], "id")
     return accepted.select("id", F.lit(None).cast("string").alias("reason")).union(
         rejected.select("id", "reason"))
+
+
+# --- whole flows ---------------------------------------------------------------
+
+@query("reports_to_table", CONSTRAINTS)
+def reports_to_table(spark, sf):
+    path = shared_folder(spark, "reports")
+    points = views.points(views.events(spark, sf), "value").withColumn(
+        "lat", F.when(F.col("value") >= 3, F.col("lat")))
+    rejected = flows.reports_to_table(points, path, ["lat"], ["device", "time"], "id")
+    return spark.read.parquet(path).select("id", F.lit(None).cast("string").alias("reason")).union(
+        rejected.select("id", "reason"))
+
+
+@query("gateway_text_to_logs", sql(FRAMES, """SELECT id, can_interface, CASE WHEN v100 >= 200 THEN us END AS time_us,
+  CASE WHEN v100 >= 200 THEN printf('%x', can_id) END AS can_id, CASE WHEN v100 >= 200 THEN data END AS can_data
+  FROM frames"""))
+def gateway_text_to_logs(spark, sf):
+    path = shared_folder(spark, "gateway")
+    rejects = flows.gateway_text_to_logs(views.gateway_lines(views.events(spark, sf)), table=path)
+    return op.class_union(
+        spark.read.parquet(path).select("id", "can_interface", us("time"), "can_id", "can_data"),
+        rejects.select("id", "can_interface"))
+
+
+@query("fleet_state_continued", sql(PROBES, """SELECT device, MAX(CASE WHEN ok THEN us END) AS last_seen_us,
+  arg_max(ok, us) AS online, MAX(us) AS checked_us FROM probes GROUP BY device"""))
+def fleet_state_continued(spark, sf):
+    """The state half a month in, carried on with the probes since."""
+    probes, half = views.probes(views.events(spark, sf)), F.lit("2024-01-16").cast("timestamp")
+    before = op.fleet_state(probes.where(F.col("time") < half))
+    return op.fleet_state(probes.where(F.col("time") >= half), before).select(
+        "device", us("last_seen"), "online", us("checked"))
+
+
+@query("bus_health", sql(COUNTERS, f"""SELECT device, interface,
+  round((epoch_us(TIMESTAMP '{NOW}') - logged) / 1000000.0, 6) AS age_s, silent,
+  coalesce((epoch_us(TIMESTAMP '{NOW}') - logged) / 1000000.0 <= 21600, false) OR coalesce(silent, false) AS healthy
+  FROM (SELECT device, interface, rx_bytes - lag(rx_bytes) OVER w <= 0 AS silent FROM counters
+    WINDOW w AS (PARTITION BY device, interface ORDER BY time)
+    QUALIFY row_number() OVER (PARTITION BY device, interface ORDER BY time DESC) = 1)
+  LEFT JOIN (SELECT user_id % 10 AS device, 'can' || CAST(user_id % 2 AS VARCHAR) AS interface, MAX(us) AS logged
+    FROM ev WHERE value >= 30 GROUP BY ALL) USING (device, interface)"""))
+def bus_health(spark, sf):
+    ev = views.events(spark, sf)
+    logs = ev.where("value >= 30").select(
+        (F.col("user_id") % 10).alias("device"), F.concat(F.lit("can"), F.col("user_id") % 2).alias("interface"), "time")
+    return flows.bus_health(views.counters(ev), logs, F.lit(NOW).cast("timestamp"), 21600.0, "1 hour").select(
+        "device", "interface", rounded("age_s", 6), "silent", "healthy")
+
+
+@query("export_tracks_append", sql(DAY_SEGMENTS.replace("date_trunc('minute', time) AS time", "time"),
+       """SELECT CAST(device AS VARCHAR) AS device, strftime(segment, '%Y-%m-%dT%H-%M-%SZ') AS segment,
+  COUNT(*) AS points FROM placed GROUP BY ALL"""))
+def export_tracks_append(spark, sf):
+    """Every second device comes late with most of its points, after the others were exported."""
+    path = shared_folder(spark, "gpx-append")
+    points = views.points(views.events(spark, sf), time=F.col("time"))
+    flows.export_tracks(points.where("device % 2 = 0 OR time < TIMESTAMP '2024-01-10'"), path, 86400, append=True)
+    flows.export_tracks(points, path, 86400, append=True)
+    lines = spark.read.option("recursiveFileLookup", "true").text(path).withColumn("_f", F.input_file_name())
+    return (
+        lines.groupBy(F.regexp_extract("_f", r"device=([^/]+)/", 1).alias("device"),
+                      F.regexp_extract("_f", r"segment=([^/]+)/", 1).alias("segment"))
+        .agg(F.count_if(F.col("value").contains("<trkpt ")).alias("points")))

@@ -6,9 +6,11 @@ Each is a composition of operators; Catalyst sees one plan per flow.
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from harrow.operators.constraints import constraint_split
+from harrow.operators.counters import interface_traffic
+from harrow.operators.fleet import newest_time, staleness
 from harrow.operators.gps import export_bounds, high_water_marks, segment_assign
 from harrow.operators.j1939 import (
     j1939_decode_id, j1939_only, logs_to_frames, signal_decode, valid_signal_filter)
@@ -63,6 +65,18 @@ def reports_to_table(reports: DataFrame, table: str, not_null: list[str],
     return rejected
 
 
+def bus_health(counters: DataFrame, logs: DataFrame, now: Column, threshold_s: float = 5.0,
+               bucket: str = "1 minute") -> DataFrame:
+    """Age of the newest logged row of each bus, and whether its logger is healthy.
+
+    A bus (device, interface) that received nothing in its newest bucket of counter
+    samples has nothing to log and is healthy too.
+    """
+    keys = ("device", "interface")
+    buses = interface_traffic(counters, bucket).groupBy(*keys).agg(F.max_by("silent", "bucket").alias("silent"))
+    return staleness(newest_time(logs, list(keys)), buses, now, threshold_s, keys, silent="silent")
+
+
 def export_tracks(points: DataFrame, path: str, length_s: int = 3600, start: str | None = None,
                   end: str | None = None, truncate: bool = True, append: bool = False) -> None:
     """Points to one GPX file per device and time segment, in one job.

@@ -13,11 +13,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from harrow import operators as op
 from harrow import streaming as st
-from harrow.plans import views
+from harrow.plans import flows, views
 from harrow.plans.batch_queries import (
     GAUGE_SQL, GREEDY_GAP_S, GREEDY_SQL, NOW, STATS, TRAILS, TRANSITIONS, stats_columns)
 from harrow.plans.registry import (
-    COUNTERS, EV, GAP_TEXT, PROBES, READINGS, REQUESTS, SIGNALS, query, rounded, sql, us)
+    COUNTERS, DECODED, EV, GAP_TEXT, PROBES, READINGS, REQUESTS, SIGNALS, query, rounded, sql, us)
 from harrow.session import shared_folder
 
 
@@ -31,8 +31,9 @@ def fed(rows: DataFrame, name: str, run: Callable[[DataFrame, str], object], tim
     return base
 
 
-def appended(rows: DataFrame, make: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
-    base = fed(rows, name, lambda stream, at: st.run_append(make(stream), at + "/out", at + "/checkpoint"))
+def appended(rows: DataFrame, make: Callable[[DataFrame], DataFrame], name: str,
+             time: str = "time") -> DataFrame:
+    base = fed(rows, name, lambda stream, at: st.run_append(make(stream), at + "/out", at + "/checkpoint"), time)
     return rows.sparkSession.read.schema(make(rows).schema).parquet(base + "/out")
 
 
@@ -58,6 +59,22 @@ def stream_signal_stats(spark, sf):
     return stats_columns(out, us("window_start", "window_us"), "device", "name")
 
 
+@query("message_stream_to_stats", sql(DECODED, """SELECT epoch_us(date_trunc('hour', time)) AS window_us,
+  device, name, COUNT(*) AS number, printf('%.12e', SUM(value)) AS total FROM decoded WHERE value < max_value
+  GROUP BY 1, 2, 3 HAVING epoch_us(date_trunc('hour', MIN(time))) + 3600000000 <=
+    (SELECT MAX(us) FROM decoded WHERE value < max_value) // 1000 * 1000 - 3600000000"""))
+def message_stream_to_stats(spark, sf):
+    seconds = F.get_json_object("body", "$.timestamp").cast("double")
+    messages = op.frame_to_message(views.messages(views.events(spark, sf))).select(
+        "device", "body", F.timestamp_micros(F.round(seconds * 1000000).cast("bigint")).alias("arrived"))
+    dictionary = views.dictionary(spark)
+    out = appended(
+        messages, lambda m: flows.message_stream_to_stats(m.drop("arrived"), dictionary, "1 hour", "1 hour"),
+        "stream-messages", "arrived")
+    return out.select(us("window_start", "window_us"), "device", "name", "number",
+                      F.format_string("%.12e", "sum_val").alias("total"))
+
+
 @query("stream_signal_stats_greedy", GREEDY_SQL.replace("MAX(us) AS last_sent_us", """MAX(us) AS last_sent_us,
   CASE name WHEN 'click' THEN 61444 WHEN 'view' THEN 65265 WHEN 'signup' THEN 65262
   WHEN 'purchase' THEN 65267 ELSE 59904 END AS pgn, 'u' AS units,

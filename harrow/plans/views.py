@@ -126,9 +126,11 @@ def counters(ev: DataFrame) -> DataFrame:
         .alias("link_type"), F.sum("_b").over(running).alias("rx_bytes"))
 
 
-def points(ev: DataFrame) -> DataFrame:
+def points(ev: DataFrame, *more: str, time: Column | None = None) -> DataFrame:
+    """Positions at whole minutes, or at the time given; ``more`` names columns of the events to keep."""
+    at = F.date_trunc("minute", "time") if time is None else time
     return ev.select(
-        "id", (F.col("user_id") % 50).alias("device"), F.date_trunc("minute", "time").alias("time"),
+        "id", (F.col("user_id") % 50).alias("device"), at.alias("time"), *more,
         (F.lit(40.0) + (F.col("id") % 2000).cast("double") / F.lit(1000.0)).alias("lat"),
         (F.lit(-87.0) + (F.col("user_id") % 100).cast("double") / F.lit(100.0)).alias("lon"))
 

@@ -92,7 +92,7 @@ def _log(spark: SparkSession, sent_log: str, points: DataFrame, since: date | No
 
 
 def _send(taken: DataFrame, failed_paths: DataFrame | None, log: DataFrame, sent_log: str, documents: str,
-          precision: int, batch_size: int, upload: str | None) -> None:
+          precision: int, batch_size: int | None, upload: str | None) -> None:
     """Documents of what is taken, then the log; a point that is logged is not logged again."""
     worked = taken
     if failed_paths is not None:
@@ -104,12 +104,11 @@ def _send(taken: DataFrame, failed_paths: DataFrame | None, log: DataFrame, sent
 
 def upload_once(points: DataFrame, sent_log: str, documents: str, staging: str,
                 n: int | None = None, failed_paths: DataFrame | None = None,
-                precision: int = 7, batch_size: int = 1000, since: date | None = None) -> int:
+                precision: int = 7, batch_size: int | None = None, since: date | None = None) -> int:
     """Upload unsent points; returns how many were taken.
 
-    By default that is all of them in one job, in documents of at most
-    ``batch_size`` points, newest first per device. With ``n`` only the n
-    newest of the fleet go.
+    By default that is all of them in one job, a document per path; ``batch_size``
+    cuts those with more points. With ``n`` only the n newest of the fleet go.
 
     The batch is staged as a table first: documents and log rows then come
     from the same rows even if an executor is lost between them. Documents are
@@ -131,7 +130,7 @@ def upload_once(points: DataFrame, sent_log: str, documents: str, staging: str,
 
 
 def stream_trail_upload(points: DataFrame, table: str, sent_log: str, documents: str,
-                        staging: str, checkpoint: str, batch_size: int = 1000, precision: int = 7,
+                        staging: str, checkpoint: str, batch_size: int | None = None, precision: int = 7,
                         failing: Callable[[SparkSession, int], DataFrame] | None = None,
                         available_now: bool = True) -> StreamingQuery:
     """Store arriving points, then upload what is unsent.

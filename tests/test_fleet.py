@@ -130,3 +130,25 @@ def test_replay(spark):
     assert rows(op.replay_match(sent, came)) == [
         ("missing", "a", "1", 1), ("missing", "a", "2", 1), ("unexpected", "b", "2", 1)]
     assert rows(op.replay_missing(sent, came)) == [("a", "1", 1), ("a", "2", 1)]
+
+
+def test_latest_rows_without_a_sort_of_the_table(spark):
+    df = timed(spark, [(1, "a", 5, "x"), (2, "a", 5, "y"), (2, "a", 5, "y"), (3, None, 1, "z"), (4, "b", None, "w")],
+               "id bigint, bus string, s bigint, text string")
+    got = op.latest_row(df, ["bus"])
+    assert rows(got.select("id", "bus", "text")) == [(2, "a", "y"), (3, None, "z")]
+    assert rows(op.newest_one(df).select("id")) == [(2,)]
+    assert "SortAggregate" not in got._jdf.queryExecution().toString()
+
+
+def test_a_silent_bus_is_healthy(spark):
+    from harrow.plans import flows
+
+    schema = "device int, interface string, s bigint, rx_bytes bigint"
+    counters = timed(spark, [(1, "can0", 0, 5), (1, "can0", 60, 5), (1, "can1", 0, 5), (1, "can1", 60, 9),
+                             (2, "can0", 0, 1), (2, "can0", 60, 7), (3, "can0", 60, 7)], schema)
+    logs = timed(spark, [(1, "can0", 1), (1, "can1", 1), (2, "can0", 98)], "device int, interface string, s bigint")
+    got = flows.bus_health(counters, logs, F.timestamp_seconds(F.lit(100)))
+    assert rows(got.select("device", "interface", "age_s", "silent", "healthy")) == [
+        (1, "can0", 99.0, True, True), (1, "can1", 99.0, False, False), (2, "can0", 2.0, False, True),
+        (3, "can0", None, None, False)]

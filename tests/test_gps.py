@@ -120,15 +120,16 @@ def test_export_appends_from_the_last_segment(spark, tmp_path):
         op.export_bounds(points(spark, early), 3600, start="yesterday")
 
 
-def test_documents_hold_one_upload_batch(spark):
-    # One machine stands still all day: one cell, more points than a batch.
-    p = points(spark, [i * 30 for i in range(2500)]).withColumn("lat", F.lit(40.0))
+def test_documents_of_a_path(spark):
+    # One machine stands still all day: one cell. Parts count inside the path, copies are one entry.
+    p = points(spark, [i * 30 for i in range(2500)] + [90_000]).withColumn("lat", F.lit(40.0))
+    whole = op.trail_documents(p.union(p.where("id < 10"))).orderBy("day").collect()
+    assert [(d["batch"], d["n"], len(d["data"])) for d in whole] == [(0, 2500, 2500), (0, 1, 1)]
     for limit in (None, 300):
-        docs = op.trail_documents(p, batch_size=1000, max_rows=limit).orderBy("batch").collect()
-        assert [d["n"] for d in docs] == [1000, 1000, 500]
-        assert sum(len(d["data"]) for d in docs) == 2500
+        docs = op.trail_documents(p, batch_size=1000, max_rows=limit).orderBy("day", "batch").collect()
+        assert [d["n"] for d in docs] == [1000, 1000, 500, 1]
         assert max(docs[1]["epochs"]) < min(docs[0]["epochs"])
-        assert len({k for d in docs for k in d["data"]}) == 2500
+        assert len({k for d in docs for k in d["data"]}) == 2501
 
 
 def test_documents_on_disk(spark, tmp_path):
