@@ -21,10 +21,11 @@ def latest_row(df: DataFrame, keys: list[str], time: str = "time", tie: str = "i
     same = F.col("_position") == F.col("_newest")
     for k in keys:
         same = same & F.col(k).eqNullSafe(F.col(f"_key_{k}"))
-    first = Window.partitionBy(*keys, "_position").orderBy("_position")
-    return (
-        placed.join(newest, same, "left_semi").withColumn("_n", F.row_number().over(first))
-        .where("_n = 1").select(*df.columns))
+    found = placed.join(newest, same, "left_semi")
+    if not keys:
+        return found.select(*df.columns).limit(1)
+    first = Window.partitionBy(*keys).orderBy("_position")
+    return found.withColumn("_n", F.row_number().over(first)).where("_n = 1").select(*df.columns)
 
 
 def newest_time(df: DataFrame, keys: list[str], time: str = "time") -> DataFrame:

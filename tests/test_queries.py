@@ -34,7 +34,7 @@ def test_entry(spark):
     assert registered.entry(spark).count() > 0
 
 
-BATCH = sorted(n for n in QUERIES if not n.startswith(("stream_", "write_", "read_")))
+BATCH = sorted(n for n in QUERIES if not n.startswith(("stream_", "message_stream_", "write_", "read_")))
 
 
 @pytest.mark.parametrize("name", BATCH)
@@ -51,7 +51,7 @@ def test_decode_is_one_stage(spark):
     assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
 
 
-@pytest.mark.parametrize("name", ["signal_stats", "gauge_snapshot", "fleet_state", "subscriber_set"])
+@pytest.mark.parametrize("name", ["signal_stats", "gauge_snapshot", "fleet_state", "subscriber_set", "latest_row"])
 def test_hash_aggregation(spark, name):
     plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "SortAggregate" not in plan and plan.count("HashAggregate") >= 2
