@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 
@@ -22,6 +23,7 @@ BLOCK = 1024        # vectors on a side of an exact comparison
 AUDIT = 400         # vectors compared with all
 RECALL = 0.99
 ATTEMPTS = 3
+FLOAT_SLACK = 1e-4  # single precision chooses candidates; what is near enough is settled in double
 
 
 def unit_vectors(rows: DataFrame) -> DataFrame:
@@ -47,15 +49,40 @@ def _matrix(units, dtype=np.float64) -> np.ndarray:
     return np.frombuffer(b"".join(units), dtype=np.float64).reshape(len(units), -1).astype(dtype, copy=False)
 
 
+GRAPH = "v long, u long, near float, old boolean, joined boolean"
+
+
 def _best(lists: DataFrame, k: int) -> DataFrame:
-    """The k nearest of each list, each neighbour once."""
-    once = lists.groupBy("v", "u").agg(F.max("near").alias("near"), F.max("old").alias("old"))
+    """The k nearest of each list, each neighbour once, and all rows that join components."""
+    once = lists.groupBy("v", "u").agg(
+        F.max("near").alias("near"), F.max("old").alias("old"), F.max("joined").alias("joined"))
     place = Window.partitionBy("v").orderBy(F.desc("near"), "u")
-    return once.withColumn("place", F.row_number().over(place)).where(F.col("place") <= k)
+    return once.withColumn("place", F.row_number().over(place)).where(
+        ((F.col("place") <= k) & (F.col("near") > -2)) | F.col("joined"))
+
+
+def _lists(graph: DataFrame, k: int) -> DataFrame:
+    return graph.where((F.col("place") <= k) & (F.col("near") > -2))
+
+
+def _joins(a: np.ndarray, b: np.ndarray) -> pd.DataFrame:
+    """Rows that say two vectors are in one component; they are no neighbours."""
+    apart = a != b
+    return pd.DataFrame({"v": a[apart], "u": b[apart], "near": np.float32(-2), "old": False, "joined": True})
+
+
+def seen_links(graph: DataFrame, least: float) -> DataFrame:
+    """``a, b``: all links that a round has seen, as list places and joins."""
+    return graph.where(F.col("joined") | (F.col("near") >= least)).select(
+        F.col("v").alias("a"), F.col("u").alias("b"))
 
 
-def first_graph(vectors: DataFrame, n: int, k: int, tables: int, chunk: int, seed: int) -> DataFrame:
-    """Neighbour lists from random hyperplane buckets; buckets above a chunk are dealt out by hash."""
+def first_graph(vectors: DataFrame, n: int, k: int, tables: int, chunk: int, seed: int, least: float) -> DataFrame:
+    """Neighbour lists from random hyperplane buckets; buckets above a chunk are dealt out by hash.
+
+    Vectors of one ``own`` are no neighbours. All links seen in a bucket (``least`` and above) leave it, as
+    a spanning forest, whether or not they find a place in a list.
+    """
     bits = min(24, max(0, math.ceil(math.log2(max(1, n / (chunk / 4))))))
 
     def code(frames):
@@ -73,15 +100,24 @@ def first_graph(vectors: DataFrame, n: int, k: int, tables: int, chunk: int, see
         for group in groups(frames, "bucket"):
             if len(group) < 2:
                 continue
-            ids = group["rep"].to_numpy(np.int64)
+            ids, own = group["rep"].to_numpy(np.int64), group["own"].to_numpy(np.int64)
+            if (own == own[0]).all():
+                continue
             x = _matrix(group["unit"], np.float32)
+            forest = Forest(ids)
             for start in range(0, len(ids), 512):  # chunks vary in size
                 near = x[start:start + 512] @ x.T
-                near[np.arange(len(near)), np.arange(start, start + len(near))] = -2
+                near[own[start:start + 512, None] == own[None, :]] = -2
                 top = min(k, len(ids) - 1)
                 u = np.argpartition(-near, top - 1, axis=1)[:, :top]
-                yield pd.DataFrame({"v": np.repeat(ids[start:start + 512], top), "u": ids[u].ravel(),
-                                    "near": np.take_along_axis(near, u, axis=1).ravel(), "old": False})
+                lists = pd.DataFrame({"v": np.repeat(ids[start:start + 512], top), "u": ids[u].ravel(),
+                                      "near": np.take_along_axis(near, u, axis=1).ravel(), "old": False,
+                                      "joined": False})
+                yield lists[lists["near"] > -2]
+                for i, j in zip(*np.nonzero(near >= least)):
+                    if i + start < j:
+                        forest.join(int(i) + start, int(j))
+            yield _joins(ids, forest.roots())
 
     coded = stage(vectors.select("rep", "dim", "unit").mapInPandas(
         code, "rep long, t int, code long, dim int"), "codes")
@@ -89,47 +125,123 @@ def first_graph(vectors: DataFrame, n: int, k: int, tables: int, chunk: int, see
     part = F.pmod(F.xxhash64("rep", "t"), F.expr(f"(size + {chunk} - 1) div {chunk}"))
     dealt = coded.join(sizes, ["t", "dim", "code"]).select(
         "rep", F.xxhash64("t", "dim", "code", part).alias("bucket"))
-    lists = (dealt.join(vectors.select("rep", "unit"), "rep").repartition("bucket")
-             .sortWithinPartitions("bucket")
-             .mapInPandas(compare, "v long, u long, near float, old boolean"))
+    lists = (dealt.join(vectors.select("rep", "own", "unit"), "rep").repartition("bucket")
+             .sortWithinPartitions("bucket").mapInPandas(compare, GRAPH))
     return stage(_best(lists, k), "graph")
 
 
-def refined(vectors: DataFrame, graph: DataFrame, k: int) -> DataFrame:
+def refined(vectors: DataFrame, graph: DataFrame, k: int, least: float) -> DataFrame:
     """One round: around each vector, its neighbours (either way) get to know each other.
 
     Only pairs with a link that is new since the last round are compared, and only what
-    betters a list leaves the task.
+    betters a list leaves the task, or joins neighbours that no known link joins.
     """
+    graph = _lists(graph, k)
     worst = graph.groupBy("v").agg(F.min("near").alias("worst"), F.count(F.lit(1)).alias("held"))
     back = Window.partitionBy("u").orderBy(F.xxhash64("v"))
-    reverse = graph.select("v", "u", "old").withColumn("n", F.row_number().over(back)).where(
-        F.col("n") <= k).select(F.col("u").alias("v"), F.col("v").alias("u"), "old")
-    around = graph.select("v", "u", "old").union(reverse).groupBy("v", "u").agg(F.min("old").alias("old"))
+    reverse = graph.select("v", "u", "old", "near").withColumn("n", F.row_number().over(back)).where(
+        F.col("n") <= k).select(F.col("u").alias("v"), F.col("v").alias("u"), "old", "near")
+    around = graph.select("v", "u", "old", "near").union(reverse).groupBy("v", "u").agg(
+        F.min("old").alias("old"), (F.max("near") >= least).alias("linked"))
     bar = F.when(F.col("held") < k, -2.0).otherwise(F.col("worst")).cast("float")
-    met = (around.join(vectors.select(F.col("rep").alias("u"), "unit"), "u")
+    met = (around.join(vectors.select(F.col("rep").alias("u"), "own", "unit"), "u")
            .join(worst.select(F.col("v").alias("u"), bar.alias("bar")), "u", "left"))
 
     def compare(frames: Iterator[pd.DataFrame]):
         for group in groups(frames, "v"):
             if len(group) < 2 or group["old"].all():
                 continue
-            ids = group["u"].to_numpy(np.int64)
+            ids, own = group["u"].to_numpy(np.int64), group["own"].to_numpy(np.int64)
             old = group["old"].to_numpy(bool)
             bars = group["bar"].fillna(-2.0).to_numpy(np.float32)
             x = _matrix(group["unit"], np.float32)
             near = x @ x.T
-            better = (near > bars[:, None]) & ~(old[:, None] & old[None, :])
-            np.fill_diagonal(better, False)
+            apart = own[:, None] != own[None, :]
+            better = (near > bars[:, None]) & ~(old[:, None] & old[None, :]) & apart
             a, b = np.nonzero(better)
-            yield pd.DataFrame({"v": ids[a], "u": ids[b], "near": near[a, b], "old": False})
-
-    found = met.repartition("v").sortWithinPartitions("v").mapInPandas(
-        compare, "v long, u long, near float, old boolean")
-    known = graph.select("v", "u", "near", F.lit(True).alias("old"))
+            yield pd.DataFrame({"v": ids[a], "u": ids[b], "near": near[a, b], "old": False, "joined": False})
+            # Neighbours linked with v are joined by v.
+            linked = group["linked"].to_numpy(bool)
+            a, b = np.nonzero((near >= least) & apart & ~(linked[:, None] & linked[None, :]))
+            if len(a):
+                forest = Forest(ids)
+                for i in np.flatnonzero(linked)[1:]:
+                    forest.join(int(np.flatnonzero(linked)[0]), int(i))
+                before = forest.roots()
+                for i, j in zip(a, b):
+                    if i < j:
+                        forest.join(int(i), int(j))
+                yield _joins(before, forest.roots())
+
+    found = met.repartition("v").sortWithinPartitions("v").mapInPandas(compare, GRAPH)
+    known = graph.select("v", "u", "near", F.lit(True).alias("old"), F.lit(False).alias("joined"))
     return stage(_best(found.union(known), k), "graph")
 
 
+def descended(vectors: DataFrame, n: int, *, neighbours: int, tables: int, chunk: int, rounds: int, least: float,
+              seed: int) -> DataFrame:
+    """``a, b``: links by NN-descent, until no list is full of links.
+
+    A list full of links hides those beyond its last place. The vectors of such lists are searched again
+    with lists that leave out what their links already reach, until what is left outside fits
+    the lists. A link between two vectors is hidden only if both lists are full.
+    """
+    edges, taken = None, vectors.withColumn("own", F.col("rep"))
+    for again in itertools.count():
+        graph = first_graph(taken, n, neighbours, tables, chunk, seed + 1000 * again, least)
+        seen = seen_links(graph, least)
+        edges = seen if edges is None else edges.union(seen)
+        for _ in range(rounds):
+            graph = refined(taken, graph, neighbours, least)
+            edges = edges.union(seen_links(graph, least))
+            if _lists(graph, neighbours).where("NOT old").count() <= SETTLED * n * neighbours:
+                break
+        full = _lists(graph, neighbours).where(F.col("near") >= least).groupBy("v").agg(
+            F.count(F.lit(1)).alias("held")).where(F.col("held") == neighbours).select(F.col("v").alias("rep"))
+        if full.isEmpty():
+            return edges
+        # Each turn joins what full lists reach, so there are fewer components in the next.
+        edges = stage(edges.distinct(), "seen")
+        reached = components(edges).withColumnRenamed("id", "rep").withColumnRenamed("component", "own")
+        taken = stage(taken.drop("own").join(full, "rep").join(reached, "rep"), "full")
+        n = taken.count()
+
+
+def all_links(vectors: DataFrame, clusters: DataFrame, least: float, at_once: int) -> DataFrame:
+    """``a, b``: clusters or vectors that links join, from comparing each vector with all others.
+
+    The vectors go round in slices; each task compares its own with the slice.
+    """
+    spark = vectors.sparkSession
+    known = stage(vectors.select("rep", "dim", "unit").join(clusters.withColumnRenamed("id", "rep"), "rep", "left").select(
+        "dim", "unit", F.coalesce("component", "rep").alias("own")), "all")
+    slices = -(-known.count() // at_once)
+    found = None
+    for k in range(slices):
+        part = known.where(F.pmod(F.xxhash64("unit"), F.lit(slices)) == k).toPandas()
+        sent = spark.sparkContext.broadcast({
+            int(dim): (own["own"].to_numpy(np.int64), _matrix(own["unit"], np.float32))
+            for dim, own in part.groupby("dim")})
+
+        def compare(frames, sent=sent):
+            for frame in frames:
+                for dim, own in frame.groupby("dim"):
+                    if dim not in sent.value:
+                        continue
+                    ids, x = sent.value[dim]
+                    for start in range(0, len(own), 512):
+                        mine = own["own"].to_numpy(np.int64)[start:start + 512]
+                        hit = _matrix(own["unit"].iloc[start:start + 512], np.float32) @ x.T >= least
+                        a, b = np.nonzero(hit & (mine[:, None] != ids[None, :]))
+                        yield pd.DataFrame({"a": mine[a], "b": ids[b]}).drop_duplicates()
+
+        links = stage(known.mapInPandas(compare, "a long, b long").distinct(), "all_links")
+        sent.unpersist()
+        found = links if found is None else found.union(links)
+    inside = clusters.select(F.col("id").alias("a"), F.col("component").alias("b"))
+    return inside if found is None else found.union(inside)
+
+
 def exact_links(vectors: DataFrame, clusters: DataFrame, threshold: float, block: int) -> DataFrame:
     """``rep, links, root, many``: all pairs of each cluster compared in double precision."""
     def compare(frames: Iterator[pd.DataFrame]):
@@ -188,10 +300,12 @@ def near_duplicates(rows: DataFrame, threshold: float = THRESHOLD, *, neighbours
     2. A first neighbour graph from hash buckets is refined: neighbours of a vector are
        compared with each other, better ones replace worse, until few places change.
     3. Where the threshold goes through a list, its links are those above. A saturated
-       list (all above) is enlarged to everything its links reach: inside such a cluster all pairs are
+       list (all above) is enlarged to everything its links reach, and its vector is searched again for
+       neighbours outside of that. Every link seen on the way counts. Inside the clusters all pairs are
        compared in double precision, in pairs of blocks. Links are counted there.
     4. An audit compares a sample with all vectors; below ``recall`` the work is
-       repeated from other hash tables, on top of the links found.
+       repeated from other hash tables, on top of the links found. If that does not help, all
+       vectors are compared with all.
 
     Vectors that are NULL, empty, zero or hold NULL or non-finite components link with nothing, nor do
     vectors of different dimensions, nor rows without an id (kept, component NULL). Rows
@@ -206,21 +320,22 @@ def near_duplicates(rows: DataFrame, threshold: float = THRESHOLD, *, neighbours
         F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "vectors")
     n = vectors.count()
 
+    least = threshold - FLOAT_SLACK
     edges = exact = links = None
-    for attempt in range(attempts):
-        graph = first_graph(vectors, n, neighbours, tables, chunk, seed=attempt + 1)
-        for _ in range(rounds):
-            graph = refined(vectors, graph, neighbours)
-            if graph.where("NOT old").count() <= SETTLED * n * neighbours:
-                break
-        # Single precision chose the lists; what is near enough is settled in double below.
-        near = graph.where(F.col("near") >= threshold - 1e-4).select(F.col("v").alias("a"), F.col("u").alias("b"))
-        edges = near if edges is None else edges.union(near)
-        exact = stage(exact_links(vectors, components(edges), threshold, block), "links")
+    for attempt in range(attempts + 1):
+        if attempt < attempts:
+            near = descended(vectors, n, neighbours=neighbours, tables=tables, chunk=chunk, rounds=rounds,
+                             least=least, seed=attempt + 1)
+            edges = near if edges is None else edges.union(near)
+        else:
+            edges = all_links(vectors, clusters, least, 16 * BLOCK)
+        clusters = components(edges)
+        exact = stage(exact_links(vectors, clusters, threshold, block), "links")
         links = exact.groupBy("rep").agg(F.sum("links").alias("links"))
-        found, there = audit(vectors, links, threshold, sample)
-        if found >= recall * there:
-            break
+        if attempt < attempts:
+            found, there = audit(vectors, links, threshold, sample)
+            if found >= recall * there:
+                break
 
     settled = exact.where("NOT many").select(F.col("rep").alias("id"), F.col("root").alias("component"))
     across = exact.where("many")

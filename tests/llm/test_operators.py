@@ -115,6 +115,32 @@ def test_embeddings(spark):
     assert nn_descent.near_duplicates(df.limit(0)).count() == 0
 
 
+def tight_groups(spark, groups, size, cross, seed=7):
+    """Groups inside which all list places go to the own group (0.999 and more), linked by ``cross`` or not."""
+    draw = np.random.default_rng(seed)
+    base, *ways = np.linalg.qr(draw.normal(size=(64, groups + 1)))[0].T
+    centres = [cross ** 0.5 * base + (1 - cross) ** 0.5 * way for way in ways]
+    x = np.array([c + 0.002 * draw.normal(size=64) for c in centres for _ in range(size)])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    return df, (x @ x.T >= 0.95).sum(axis=1) - 1
+
+
+def test_links_beyond_full_lists(spark):
+    df, links = tight_groups(spark, 3, 200, 0.967)
+    assert (links == 599).all()
+    got = rows(nn_descent.near_duplicates(df, attempts=1, recall=0.0).select("vec_id", "n_links", "component_id"))
+    assert got == [(i, 599, 0) for i in range(600)]
+
+
+def test_all_are_compared_when_the_audit_stays_low(spark):
+    df, links = tight_groups(spark, 40, 2, 0.5)
+    assert (links == 1).all()
+    got = rows(nn_descent.near_duplicates(df, tables=1, chunk=2, rounds=0, attempts=1).select(
+        "vec_id", "n_links", "component_id"))
+    assert got == [(i, 1, i - i % 2) for i in range(80)]
+
+
 def brute_hits(text, items, width=10):
     words, hit, ids = words_of(text), set(), set()
     for item, content in items:
