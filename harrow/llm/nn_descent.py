@@ -15,13 +15,14 @@ from harrow.llm.registry import query
 
 THRESHOLD = 0.95
 NEIGHBOURS = 8
-TABLES = 12         # hash tables of the first graph
+TABLES = 12         # hash tables of the first graph, at least
+CHANCE = 0.999      # of a pair at the threshold to meet in one of them, at any number of vectors
 CHUNK = 192         # vectors of a hash bucket compared at once for it
 ROUNDS = 4          # of neighbours-of-neighbours joins
 SETTLED = 0.005     # share of lists' places still changing at which rounds end
 BLOCK = 1024        # vectors on a side of an exact comparison
-AUDIT = 400         # vectors compared with all
-RECALL = 0.99
+AUDIT = 400         # vectors compared with all, and as many outside of large clusters
+RECALL = 0.99       # share of the vectors with links that have all of them
 ATTEMPTS = 3
 FLOAT_SLACK = 1e-4  # single precision chooses candidates; what is near enough is settled in double
 
@@ -77,13 +78,24 @@ def seen_links(graph: DataFrame, least: float) -> DataFrame:
         F.col("v").alias("a"), F.col("u").alias("b"))
 
 
+def bits_of(n: int, chunk: int) -> int:
+    """Hyperplanes of a table, so that its buckets hold about a quarter of a chunk."""
+    return min(24, max(0, math.ceil(math.log2(max(1, n / (chunk / 4))))))
+
+
+def tables_needed(bits: int, threshold: float, chance: float) -> int:
+    """Tables after which a pair at the threshold has met in a bucket with that chance."""
+    meets = (1 - math.acos(max(-1.0, min(1.0, threshold))) / math.pi) ** bits
+    return 1 if meets >= 1 else math.ceil(math.log(1 - chance) / math.log1p(-meets))
+
+
 def first_graph(vectors: DataFrame, n: int, k: int, tables: int, chunk: int, seed: int, least: float) -> DataFrame:
     """Neighbour lists from random hyperplane buckets; buckets above a chunk are dealt out by hash.
 
     Vectors of one ``own`` are no neighbours. All links seen in a bucket (``least`` and above) leave it, as
     a spanning forest, whether or not they find a place in a list.
     """
-    bits = min(24, max(0, math.ceil(math.log2(max(1, n / (chunk / 4))))))
+    bits = bits_of(n, chunk)
 
     def code(frames):
         planes: dict[int, np.ndarray] = {}
@@ -188,7 +200,8 @@ def descended(vectors: DataFrame, n: int, *, neighbours: int, tables: int, chunk
     """
     edges, taken = None, vectors.withColumn("own", F.col("rep"))
     for again in itertools.count():
-        graph = first_graph(taken, n, neighbours, tables, chunk, seed + 1000 * again, least)
+        enough = max(tables, tables_needed(bits_of(n, chunk), least, CHANCE))
+        graph = first_graph(taken, n, neighbours, enough, chunk, seed + 1000 * again, least)
         seen = seen_links(graph, least)
         edges = seen if edges is None else edges.union(seen)
         for _ in range(rounds):
@@ -265,10 +278,18 @@ def exact_links(vectors: DataFrame, clusters: DataFrame, threshold: float, block
             .mapInPandas(compare, "rep long, links long, root long, many boolean"))
 
 
-def audit(vectors: DataFrame, links: DataFrame, threshold: float, sample: int) -> tuple[int, int]:
-    """Links found and links there are, of a sample of vectors compared with all."""
+def audit(vectors: DataFrame, links: DataFrame, threshold: float, sample: int, small: int) -> float:
+    """Share of vectors with all links found, of a sample of those that have links, compared with all.
+
+    Each vector counts once, however many links it has. A second sample is taken from those with
+    at most ``small`` links found; the lesser share counts.
+    """
     spark = vectors.sparkSession
-    probes = vectors.orderBy(F.xxhash64("rep")).limit(sample).select("rep", "dim", "unit").toPandas()
+    held = vectors.select("rep").join(links, "rep", "left").select("rep", F.coalesce("links", F.lit(0)).alias("links"))
+    order = F.xxhash64("rep")
+    picked = held.orderBy(order).limit(sample).union(
+        held.where(F.col("links") <= small).orderBy(order).limit(sample)).distinct()
+    probes = vectors.join(F.broadcast(picked), "rep").select("rep", "dim", "unit").toPandas()
     sent = spark.sparkContext.broadcast({
         int(dim): (part["rep"].to_numpy(np.int64), _matrix(part["unit"]))
         for dim, part in probes.groupby("dim")})
@@ -283,9 +304,10 @@ def audit(vectors: DataFrame, links: DataFrame, threshold: float, sample: int) -
                     yield pd.DataFrame({"rep": ids, "n": hit @ part["copies"].to_numpy(np.int64)})
 
     there = vectors.mapInPandas(count, "rep long, n long").groupBy("rep").agg(F.sum("n").alias("n"))
-    both = there.join(links, "rep", "left").agg(
-        F.sum(F.least(F.coalesce("links", F.lit(0)), F.col("n"))), F.sum("n")).first()
-    return both[0] or 0, both[1] or 0
+    whole = F.avg((F.col("links") >= F.col("n")).cast("int"))
+    shares = there.where("n > 0").join(held, "rep").agg(
+        whole, F.avg(F.when(F.col("links") <= small, (F.col("links") >= F.col("n")).cast("int")))).first()
+    return min((share for share in shares if share is not None), default=1.0)
 
 
 def near_duplicates(rows: DataFrame, threshold: float = THRESHOLD, *, neighbours: int = NEIGHBOURS,
@@ -303,8 +325,8 @@ def near_duplicates(rows: DataFrame, threshold: float = THRESHOLD, *, neighbours
        list (all above) is enlarged to everything its links reach, and its vector is searched again for
        neighbours outside of that. Every link seen on the way counts. Inside the clusters all pairs are
        compared in double precision, in pairs of blocks. Links are counted there.
-    4. An audit compares a sample with all vectors; below ``recall`` the work is
-       repeated from other hash tables, on top of the links found. If that does not help, all
+    4. An audit compares a sample with all vectors; where a lesser share than ``recall`` of them
+       has all its links the work is repeated from other hash tables, on top of the links found. If that does not help, all
        vectors are compared with all.
 
     Vectors that are NULL, empty, zero or hold NULL or non-finite components link with nothing, nor do
@@ -333,8 +355,7 @@ def near_duplicates(rows: DataFrame, threshold: float = THRESHOLD, *, neighbours
         exact = stage(exact_links(vectors, clusters, threshold, block), "links")
         links = exact.groupBy("rep").agg(F.sum("links").alias("links"))
         if attempt < attempts:
-            found, there = audit(vectors, links, threshold, sample)
-            if found >= recall * there:
+            if audit(vectors, links, threshold, sample, neighbours) >= recall:
                 break
 
     settled = exact.where("NOT many").select(F.col("rep").alias("id"), F.col("root").alias("component"))

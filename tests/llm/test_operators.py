@@ -141,6 +141,26 @@ def test_all_are_compared_when_the_audit_stays_low(spark):
     assert got == [(i, 1, i - i % 2) for i in range(80)]
 
 
+def test_audit_counts_vectors_not_links(spark):
+    hot, _ = tight_groups(spark, 1, 300, 0.5)
+    pairs, _ = tight_groups(spark, 20, 2, 0.5, seed=8)
+    df = hot.union(pairs.withColumn("vec_id", F.col("vec_id") + 300))
+    got = rows(nn_descent.near_duplicates(df, tables=1, chunk=2, rounds=0, attempts=1).select("vec_id", "n_links"))
+    assert got == [(i, 299) for i in range(300)] + [(300 + i, 1) for i in range(40)]
+    # All links of the group found, none of the pairs.
+    vectors = nn_descent.unit_vectors(df).select(F.col("vec_id").alias("rep"), "dim", "unit", F.lit(1).alias("copies"))
+    found = spark.range(300).select(F.col("id").alias("rep"), F.lit(299).cast("long").alias("links"))
+    assert nn_descent.audit(vectors, found, 0.95, 400, 8) == 0.0
+
+
+def test_tables_follow_the_size():
+    for n in (1_000, 100_000, 10_000_000):
+        bits = nn_descent.bits_of(n, 192)
+        tables = max(12, nn_descent.tables_needed(bits, 0.95, nn_descent.CHANCE))
+        meets = (1 - np.arccos(0.95) / np.pi) ** bits
+        assert 1 - (1 - meets) ** tables >= 0.999
+
+
 def brute_hits(text, items, width=10):
     words, hit, ids = words_of(text), set(), set()
     for item, content in items:
