@@ -9,7 +9,6 @@ from harrow.llm.registry import query
 
 PERIOD_S = 28 * 86_400
 FOREVER = 2 ** 62
-LABELS = 8      # labels of a host and parts of a path that patterns may have
 
 
 def host_of(url: Column) -> Column:
@@ -30,10 +29,10 @@ def url_patterns(url: Column) -> Column:
     host, parts = host_of(url), F.filter(F.split(path_of(url), "/"), lambda p: p != "")
     labels = F.split(host, r"\.")
     parents = F.transform(
-        F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(F.lit(LABELS), F.size(labels) - 1))),
+        F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(labels) - 1)),
         lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
     starts = F.transform(
-        F.sequence(F.lit(0), F.least(F.lit(LABELS), F.size(parts))),
+        F.sequence(F.lit(0), F.size(parts)),
         lambda k: F.concat(host, F.lit("/"), F.array_join(F.slice(parts, 1, k), "/")))
     return F.when(host != "", F.array_distinct(F.concat(parents, F.filter(
         starts, lambda s: ~s.endswith("/"))))).otherwise(F.array().cast("array<string>"))

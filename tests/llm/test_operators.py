@@ -359,6 +359,17 @@ def test_url_lists(spark):
     assert url_lists.decide(captures, entries.limit(0)).where("blocked").count() == 0
 
 
+def test_url_lists_of_deep_hosts_and_paths(spark):
+    host, folders = "a.b.c.d.e.f.g.h.i.j.spam.example", "/".join(f"f{k}" for k in range(12))
+    captures = spark.createDataFrame([(1, f"http://{host}/", 5), (2, f"http://{host}/{folders}/page", 5)],
+                                     "page_id long, url string, fetched long")
+    entries = spark.createDataFrame([("spam.example", "block", 0, 1), (f"{host}/{folders}", "allow", 0, 2)],
+                                    "pattern string, action string, at long, entry_id long")
+    got = url_lists.decide(captures, entries)
+    assert rows(got.select("page_id", "blocked", "pattern", "n_active")) == [
+        (1, True, "spam.example", 1), (2, False, f"{host}/{folders}", 2)]
+
+
 def test_token_rollup(spark, tmp_path):
     path, schema = str(tmp_path / "r"), "source string, lang string, version string, tokens long"
     first = spark.createDataFrame([("a", "en", "1", 5), ("a", "en", "1", 7), (None, None, "1", None)], schema)
