@@ -77,12 +77,16 @@ class Lexicon:
     knots: tuple[list[float], list[float]] = field(default_factory=lambda: ([0.0], [0.5]))
 
     def __post_init__(self):
-        self.automaton = ahocorasick.Automaton()
+        # One key may stand for a start of words and a whole word.
+        entries: dict[str, list[tuple[int, bool, float | None]]] = {}
         for entry, weight in self.weights.items():
-            self.automaton.add_word(entry.rstrip(" "), (len(entry.rstrip(" ")), entry.endswith(" "), weight))
+            key = entry.rstrip(" ")
+            entries.setdefault(key, []).append((len(key), entry.endswith(" "), weight))
         for phrase in self.exceptions:
-            if phrase not in self.automaton:
-                self.automaton.add_word(phrase, (len(phrase), True, None))
+            entries.setdefault(phrase, [(len(phrase), True, None)])
+        self.automaton = ahocorasick.Automaton()
+        for key, values in entries.items():
+            self.automaton.add_word(key, values)
         if len(self.automaton):
             self.automaton.make_automaton()
 
@@ -95,7 +99,8 @@ class Lexicon:
         best: dict[int, float] = {}
         spared: list[tuple[int, int]] = []
         if len(self.automaton):
-            for end, (size, whole, weight) in self.automaton.iter(text):
+            for end, size, whole, weight in ((end, *value) for end, values in self.automaton.iter(text)
+                                             for value in values):
                 start = end - size + 1
                 if start and text[start - 1].isalpha():
                     continue

@@ -340,6 +340,13 @@ def test_folding_and_exceptions():
     assert lexicon.measure(None) < 0 and lexicon.measure("") < 0
 
 
+def test_start_and_whole_word_of_one_spelling():
+    for weights in ({"scum": 5.0, "scum ": 6.0}, {"scum ": 6.0, "scum": 5.0}):
+        lexicon = toxicity.Lexicon(weights)
+        assert lexicon.measure("a scumbag here") > 0 and lexicon.measure("ascumbag") < 0
+        assert lexicon.measure("a scum at noon") > lexicon.measure("a scumbag here")
+
+
 def test_url_lists(spark):
     captures = spark.createDataFrame(
         [(1, "http://www.Bad.example.com/x/y?q", 100), (1, "http://www.Bad.example.com/x/y?q", 100),
