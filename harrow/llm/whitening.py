@@ -18,11 +18,12 @@ COMPONENTS = 4
 SPARE = 36           # further directions of the block; more make the filter steeper
 FRESH = 2            # directions drawn anew in each round
 BORDER = 6           # the Ritz value, from the least, up to which the filter damps
-DEGREE = 16          # of the polynomial: passes over the vectors in a round
+DEGREE = 16          # of the polynomial, at most: passes over the vectors in a round
 ROUNDS = 64
 CERTAIN = 2e-14      # residual of a component, of the greatest eigenvalue, that ends the rounds at once
 LEAST_CERTAIN = 1e-12  # and the greatest one that is accepted when a round no longer lowers it
 RANK = 1e-12         # of the greatest eigenvalue: components of less variance are none
+SPREAD = 1e10        # to which a round may pull components apart; more would drown the lesser ones
 ROWS_A_TASK = 50_000
 DIRECT = 64          # tasks whose sums the driver adds by itself
 
@@ -169,19 +170,25 @@ def leading_components(fit: DataFrame, count: int = COMPONENTS, spare: int = SPA
         if k == d or residual <= CERTAIN or before <= residual <= LEAST_CERTAIN:
             return Components(n, sums, _unit(q[:, :wanted]), values[:wanted], trace, residual)
         before = residual
-        # The polynomial: T_j((2 V - b) / b), scaled by its value at the greatest Ritz value.
+        # Components that are there are held apart, so that those less far above b show.
+        held = int(np.argmin(np.append(gaps <= CERTAIN * values[0], False)))
+        apart, low, rest = q[:, :held], q[:, held:], vq[:, held:]
+        # The polynomial: T_j((2 V - b) / b), scaled by its value at the greatest Ritz value left.
         b = max(float(values[-min(BORDER, k - wanted)]), RANK * float(values[0]))
-        sigma = first = b / (2 * float(values[0]) - b)
-        low, high = q, (vq - b / 2 * q) * (2 / b) * sigma
-        for _ in range(degree - 2):
+        sigma = first = b / (2 * float(values[held]) - b)
+        steps = int(np.clip(np.log(2 * SPREAD) / max(np.arccosh(max(1 / first, 1)), 1e-3), 2, degree))
+        high = (rest - b / 2 * low) * (2 / b) * sigma
+        for _ in range(steps - 1):
+            high = high - apart @ (apart.T @ high)
             sigma_next = 1 / (2 / first - sigma)
             up = covariance_times(fit, n, sums, high)
             low, high = high, (up - b / 2 * high) * (4 / b) * sigma_next - sigma * sigma_next * low
             sigma = sigma_next
         fresh = min(FRESH, k - wanted)
         if fresh:
-            high[:, k - fresh:] = draw.normal(size=(d, fresh)) * np.linalg.norm(high[:, :1])
-        q, vq, values = ritz(high / np.linalg.norm(high, axis=0))
+            high[:, -fresh:] = draw.normal(size=(d, fresh)) * np.linalg.norm(high[:, :1])
+        high = high / np.linalg.norm(high, axis=0)
+        q, vq, values = ritz(np.hstack([apart, high - apart @ (apart.T @ high)]))
     raise RuntimeError(f"components did not settle in {rounds} rounds: residual {residual:.1e}")
 
 
