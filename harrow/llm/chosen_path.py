@@ -16,7 +16,7 @@ from harrow.llm.registry import query
 SHINGLE = 5
 THRESHOLD = 0.8
 RECALL = 0.995
-COORDINATES = 48     # sampled tokens of a set: runs * levels
+COORDINATES = 48     # sampled tokens of a set, at least; else those of the runs needed
 LEVELS = 4           # tokens on the longest path
 SMALL = 64           # sets that are compared without another split
 BLOCK = 128          # sets on a side of an exact comparison
@@ -56,8 +56,8 @@ def _sampling(coordinates: int) -> tuple[np.ndarray, np.ndarray]:
     return factors, draw.integers(0, 2 ** 63, coordinates, dtype=np.uint64)
 
 
-def sampled_tokens(tokens: np.ndarray, factors: np.ndarray, shifts: np.ndarray) -> np.ndarray:
-    """One token of the set per coordinate: the least under the coordinate's own order.
+def sampled_tokens(tokens: np.ndarray, factors: np.ndarray, shifts: np.ndarray, whole: bool = False) -> np.ndarray:
+    """One token of the set per coordinate: the least under the coordinate's own order; half of its bits, or all.
 
     Two sets sample the same token at a coordinate with probability equal to their
     Jaccard similarity.
@@ -67,10 +67,10 @@ def sampled_tokens(tokens: np.ndarray, factors: np.ndarray, shifts: np.ndarray)
         part = tokens[start:start + 1024, None] * factors
         part += shifts
         np.minimum(least, part.min(axis=0), out=least)
-    return (least >> np.uint64(32)).astype(np.uint32)
+    return least if whole else (least >> np.uint64(32)).astype(np.uint32)
 
 
-def token_samples(docs: DataFrame, width: int, coordinates: int) -> DataFrame:
+def token_samples(docs: DataFrame, width: int, coordinates: int, whole: bool = False) -> DataFrame:
     """``doc_id, set_key, tokens, sample``: size, identity and sampled tokens of each set."""
     factors, shifts = _sampling(coordinates)
 
@@ -82,7 +82,7 @@ def token_samples(docs: DataFrame, width: int, coordinates: int) -> DataFrame:
                 tokens = shingles(words_of(text), width, hashes)
                 keys.append(xxhash.xxh3_128_digest(tokens.tobytes()) if len(tokens) else None)
                 counts.append(len(tokens))
-                samples.append(sampled_tokens(tokens, factors, shifts).tobytes() if len(tokens) else None)
+                samples.append(sampled_tokens(tokens, factors, shifts, whole).tobytes() if len(tokens) else None)
             yield pd.DataFrame({"doc_id": frame["doc_id"], "set_key": keys, "tokens": counts,
                                 "sample": samples})
 
@@ -238,7 +238,8 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, width: int = SHI
     1. Documents with equal shingle sets become one class; only one set of each goes on.
     2. Chosen paths: each run puts sets into buckets by a sampled token they share and
        splits large buckets by further tokens. Runs repeat until a pair at the threshold
-       has met with probability ``recall``, given how deep the buckets went.
+       has met with probability ``recall``, given how deep the buckets went; a lower threshold
+       takes more runs, and more sampled tokens for them.
     3. Buckets are compared by their samples, in blocks; what comes near the threshold
        makes clusters.
     4. Inside a cluster all pairs are compared exactly, in pairs of blocks; links are
@@ -248,6 +249,8 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, width: int = SHI
     a NULL id, link with nothing (``class_id`` and ``component_id`` are their own id, kept). Rows that
     repeat an id count once, by the least of their sets. No rows give no rows.
     """
+    # As many samples as the deepest paths may call for.
+    coordinates = max(coordinates, levels * runs_needed(threshold, levels, recall))
     samples = stage(token_samples(docs, width, coordinates), "samples")
     repeated = not samples.where("doc_id IS NOT NULL").groupBy("doc_id").count().where(
         "count > 1").isEmpty()
@@ -258,11 +261,10 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, width: int = SHI
     classes = named.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     sets = stage(classes.join(named.select(F.col("doc_id").alias("rep"), "tokens", "sample"), "rep"), "sets")
 
-    most = coordinates // levels
-    first = min(most, runs_needed(threshold, 1, recall))
+    first = runs_needed(threshold, 1, recall)
     buckets = leaves(sets, list(range(first)), levels, small)
     depth = buckets.agg(F.max("depth")).first()[0] or 1
-    needed = min(most, runs_needed(threshold, depth, recall))
+    needed = runs_needed(threshold, depth, recall)
     if needed > first:
         buckets = buckets.union(leaves(sets, list(range(first, needed)), levels, small))
 

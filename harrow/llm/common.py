@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from harrow.session import shared_folder
@@ -89,6 +91,35 @@ def groups(frames: Iterator[pd.DataFrame], key: str) -> Iterator[pd.DataFrame]:
         yield pd.concat(held) if len(held) > 1 else held[0]
 
 
+def summed(rows: DataFrame, partial: Callable[[pa.RecordBatch], np.ndarray], shape: tuple[int, ...],
+           tasks: int, direct: int = 64) -> np.ndarray:
+    """Sum of ``partial(batch)``, an array of a fixed shape, over all rows.
+
+    Each task adds up its own and sends one array if it had rows. Where there are more than ``direct``
+    tasks, as many as their square root add those up first, so few arrays reach the driver, one by one.
+    """
+    def part(batches):
+        total = None
+        for batch in batches:
+            if batch.num_rows:
+                own = partial(batch)
+                total = own if total is None else total + own
+        if total is not None:
+            yield pa.RecordBatch.from_pydict({"v": [np.ascontiguousarray(total).tobytes()]})
+
+    def add(batches):
+        total = np.zeros(shape)
+        for batch in batches:
+            for v in batch.column("v").to_pylist():
+                total += np.frombuffer(v).reshape(shape)
+        yield pa.RecordBatch.from_pydict({"v": [total.tobytes()]})
+
+    sums = rows.mapInArrow(part, "v binary")
+    if tasks > direct:
+        sums = sums.repartition(math.isqrt(tasks)).mapInArrow(add, "v binary")
+    return sum((np.frombuffer(row[0]).reshape(shape) for row in sums.toLocalIterator()), np.zeros(shape))
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """``id, component`` of each vertex of an edge table: the smallest id it reaches.
 

@@ -10,12 +10,13 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from harrow.llm.common import groups, read, stage
+from harrow.llm.common import read, stage, summed
 from harrow.llm.registry import query
 
 FOURIER = 256        # random features
 RIDGE = 1e-4         # per labelled row
 FOLDS = 3            # for scores that calibration may trust
+ROWS_A_TASK = 20_000 # labelled rows whose normal equations a task sums
 SCORE_BINS = 4096    # steps of raw score that calibration tells apart
 FEATURES = ("chars", "words", "word_length", "distinct_words", "distinct_pairs", "distinct_lines",
             "short_words", "upper", "lower", "digits", "blanks", "line_ends", "stops", "marks",
@@ -76,30 +77,20 @@ def featured(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, x array<double>")
 
 
-def _sums(rows: DataFrame, model: QualityModel, folds: int) -> np.ndarray:
+def _sums(rows: DataFrame, n: int, model: QualityModel, folds: int) -> np.ndarray:
     """Normal equations per fold: Z'Z with Z'y as last column, summed in the partitions first."""
     width = len(model.phases) + 1
 
-    def part(frames):
+    def part(batch):
         total = np.zeros((folds, width, width + 1))
-        for frame in frames:
-            z = model.lift(np.stack(frame["x"].to_numpy()))
-            zy = np.hstack([z, frame["y"].to_numpy(float)[:, None]])
-            for k in range(folds):
-                own = (frame["fold"] == k).to_numpy()
-                total[k] += z[own].T @ zy[own]
-        yield pd.DataFrame({"i": np.arange(folds * width), "v": list(total.reshape(folds * width, -1))})
-
-    def add(frames):
-        for group in groups(frames, "i"):
-            yield pd.DataFrame({"i": group["i"].iloc[:1], "v": [np.sum(np.stack(group["v"].to_numpy()), axis=0)]})
+        z = model.lift(batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1))
+        zy = np.hstack([z, batch.column("y").to_numpy(zero_copy_only=False).astype(float)[:, None]])
+        fold = batch.column("fold").to_numpy(zero_copy_only=False)
+        for k in np.unique(fold).tolist():
+            total[k] = z[fold == k].T @ zy[fold == k]
+        return total
 
-    summed = (rows.mapInPandas(part, "i int, v array<double>").repartition("i")
-              .sortWithinPartitions("i").mapInPandas(add, "i int, v array<double>"))
-    out = np.zeros((folds * width, width + 1))
-    for i, v in summed.toLocalIterator():
-        out[i] = v
-    return out.reshape(folds, width, width + 1)
+    return summed(rows, part, (folds, width, width + 1), n // ROWS_A_TASK)
 
 
 def _solve(sums: np.ndarray, ridge: float) -> np.ndarray:
@@ -133,10 +124,12 @@ def fit(labelled: DataFrame, fourier: int = FOURIER, ridge: float = RIDGE, folds
     """Model from rows ``doc_id, x, y`` (y 0 or 1); fits on all of them.
 
     Only sums of a fixed size come to the driver: moments, one matrix per fold, counts per step of score.
+    Matrices are summed by tasks that follow the number of rows, not that of partitions.
     Every row's calibration score comes from the folds that do not hold it. No rows give
     a model that scores 0.5.
     """
     d = len(FEATURES)
+    labelled = stage(labelled.select("doc_id", "x", "y"), "labelled")
     moments = labelled.agg(F.count(F.lit(1)), *[F.avg(F.col("x")[i]) for i in range(d)],
                            *[F.stddev_pop(F.col("x")[i]) for i in range(d)]).first()
     draw = np.random.default_rng(7)
@@ -147,8 +140,10 @@ def fit(labelled: DataFrame, fourier: int = FOURIER, ridge: float = RIDGE, folds
     scale = np.array(moments[1 + d:], dtype=float)
     model = QualityModel(np.array(moments[1:1 + d]), np.where(scale > 1e-9, scale, 1), directions, phases)
 
-    rows = labelled.withColumn("fold", F.pmod(F.xxhash64("doc_id"), F.lit(folds)).cast("int"))
-    sums = _sums(rows, model, folds)
+    n = moments[0]
+    rows = labelled.withColumn("fold", F.pmod(F.xxhash64("doc_id"), F.lit(folds)).cast("int")).coalesce(
+        1 + n // ROWS_A_TASK)
+    sums = _sums(rows, n, model, folds)
     whole = sums.sum(axis=0)
     model.weights = _solve(whole, ridge)
     apart = np.stack([_solve(whole - s if (whole - s)[-1, -1] > 0 else whole, ridge) for s in sums])

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from harrow.llm.common import read, stage
+from harrow.llm.common import read, stage, summed
 from harrow.llm.registry import query
 
 SCALE = 256          # an entry c becomes the integer floor(SCALE * c)
@@ -54,19 +52,18 @@ def integers(rows: DataFrame, embedding: str = "embedding", scale: int = SCALE)
         "x", F.transform(values, lambda c: F.floor(c * F.lit(float(scale)))))
 
 
-def _blocks(batches) -> Iterator[np.ndarray]:
-    """Vectors of a partition as matrices of longs."""
-    for batch in batches:
-        x = batch.column("x")
-        if len(x):
-            yield x.flatten().to_numpy(zero_copy_only=False).reshape(len(x), -1)
+def _matrix(batch: pa.RecordBatch) -> np.ndarray:
+    """Vectors of a batch as rows of longs."""
+    x = batch.column("x")
+    return x.flatten().to_numpy(zero_copy_only=False).reshape(len(x), -1)
 
 
 def _exact_sums(fit: DataFrame) -> tuple[int, list[int]]:
     """Number of vectors and exact sum of each dimension; halves of 32 bits add up in the partitions."""
     def part(batches):
         n, high, low = 0, 0, 0
-        for x in _blocks(batches):
+        for batch in batches:
+            x = _matrix(batch)
             n, high, low = n + len(x), high + (x >> 32).sum(axis=0), low + (x & 0xFFFFFFFF).sum(axis=0)
         if n:
             yield pa.RecordBatch.from_pydict({
@@ -92,30 +89,8 @@ def centred(x: np.ndarray, n: int, sums: list[int]) -> np.ndarray:
 
 
 def _summed(fit: DataFrame, n: int, partial, shape: tuple[int, int]) -> np.ndarray:
-    """Sum over all ``n`` vectors of ``partial(matrix)``, a matrix of a fixed shape.
-
-    Each task adds up its own and sends one matrix if it had vectors. Beyond ``DIRECT`` tasks a
-    square root of their number of tasks adds those up first, so few matrices reach the driver.
-    """
-    def part(batches):
-        total = None
-        for x in _blocks(batches):
-            total = partial(x) if total is None else total + partial(x)
-        if total is not None:
-            yield pa.RecordBatch.from_pydict({"v": [np.ascontiguousarray(total).tobytes()]})
-
-    def add(batches):
-        total = np.zeros(shape)
-        for batch in batches:
-            for v in batch.column("v").to_pylist():
-                total += np.frombuffer(v).reshape(shape)
-        yield pa.RecordBatch.from_pydict({"v": [total.tobytes()]})
-
-    sums = fit.select("x").mapInArrow(part, "v binary")
-    tasks = n // ROWS_A_TASK
-    if tasks > DIRECT:
-        sums = sums.repartition(math.isqrt(tasks)).mapInArrow(add, "v binary")
-    return sum((np.frombuffer(row[0]).reshape(shape) for row in sums.toLocalIterator()), np.zeros(shape))
+    """Sum over all ``n`` vectors of ``partial(matrix)``."""
+    return summed(fit.select("x"), lambda batch: partial(_matrix(batch)), shape, n // ROWS_A_TASK, DIRECT)
 
 
 def covariance_times(fit: DataFrame, n: int, sums: list[int], block: np.ndarray) -> np.ndarray:
@@ -243,9 +218,9 @@ def whitened(rows: DataFrame, count: int = COMPONENTS, **settings) -> DataFrame:
     def project(batches):
         for batch in batches:
             ids = batch.column("vec_id").cast(pa.int64())
-            x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
             if not len(ids) or not k:
                 continue
+            x = _matrix(batch)
             off = deviations(x, c.n, c.sums)
             if off.dtype != object and float(np.abs(off).max()) ** 2 * x.shape[1] >= 2 ** 62:
                 off = off.astype(object)
