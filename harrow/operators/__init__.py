@@ -2,6 +2,7 @@
 
 from harrow.operators.alerts import (
     alert_fanout, phone_filter, rising_edge_alerts, subscriber_set)
+from harrow.operators.asof import asof_join, signal_position_asof
 from harrow.operators.batches import batch_rows
 from harrow.operators.constraints import constraint_split, first_per_key
 from harrow.operators.counters import (
@@ -22,6 +23,7 @@ from harrow.operators.modem import cell_pick_tech
 from harrow.operators.pieces import (
     cut_into_pieces, ordered_scan, order_key, with_previous, with_row_number)
 from harrow.operators.replay import replay_match, replay_missing, replay_unexpected
+from harrow.operators.sessions import work_sessions
 from harrow.operators.signals import (
     gauge_snapshot, progress_count, signal_keys, signal_stats, signal_stats_greedy)
 from harrow.operators.spectrum import (

@@ -1001,3 +1001,78 @@ def export_tracks_append(spark, sf):
         lines.groupBy(F.regexp_extract("_f", r"device=([^/]+)/", 1).alias("device"),
                       F.regexp_extract("_f", r"segment=([^/]+)/", 1).alias("segment"))
         .agg(F.count_if(F.col("value").contains("<trkpt ")).alias("points")))
+
+
+# --- signals and positions, work sessions ------------------------------------
+
+# A machine reports some of its positions only; tolerance in seconds.
+POSITION_WITHIN_S = 7200
+FIXES = SIGNALS + """, located AS (SELECT id, device % 50 AS device, name, time, us, value FROM signals),
+fixes AS (SELECT id, user_id % 50 AS device, time, us,
+  CAST(40.0 AS DOUBLE) + CAST(id % 2000 AS DOUBLE) / CAST(1000 AS DOUBLE) AS lat,
+  CAST(-87.0 AS DOUBLE) + CAST(user_id % 100 AS DOUBLE) / CAST(100 AS DOUBLE) AS lon
+  FROM ev WHERE value >= 50)"""
+
+
+def located_signals(ev):
+    return views.signals(ev).withColumn("device", F.col("device") % 50)
+
+
+def fixes(ev):
+    return views.points(ev.where("value >= 50"), time=F.col("time"))
+
+
+def located_columns(df):
+    return df.select("id", "device", "name", rounded("value"), rounded("lat"), rounded("lon"), us("position_time"))
+
+
+POSITION_SQL = sql(FIXES, f"""SELECT id, device, name, round(value, 4) AS value,
+  CASE WHEN us - seen <= {POSITION_WITHIN_S}000000 THEN round(lat, 4) END AS lat,
+  CASE WHEN us - seen <= {POSITION_WITHIN_S}000000 THEN round(lon, 4) END AS lon,
+  CASE WHEN us - seen <= {POSITION_WITHIN_S}000000 THEN seen END AS position_time_us
+  FROM (SELECT s.*, p.us AS seen, p.lat, p.lon FROM located s ASOF LEFT JOIN fixes p
+    ON s.device = p.device AND s.us >= p.us)""")
+
+
+@query("signal_position_asof", POSITION_SQL)
+def signal_position_asof(spark, sf):
+    ev = views.events(spark, sf)
+    return located_columns(op.signal_position_asof(located_signals(ev), fixes(ev), POSITION_WITHIN_S))
+
+
+@query("signal_position_nearest", sql(FIXES, """SELECT id, device, name, round(value, 4) AS value,
+  round(CASE WHEN ahead THEN lat2 ELSE lat1 END, 4) AS lat, round(CASE WHEN ahead THEN lon2 ELSE lon1 END, 4) AS lon,
+  CASE WHEN ahead THEN at2 ELSE at1 END AS position_time_us
+  FROM (SELECT *, at1 IS NULL OR coalesce(at2 - us < us - at1, false) AS ahead FROM
+    (SELECT s.*, p.us AS at1, p.lat AS lat1, p.lon AS lon1, q.us AS at2, q.lat AS lat2, q.lon AS lon2
+     FROM located s ASOF LEFT JOIN fixes p ON s.device = p.device AND s.us >= p.us
+     ASOF LEFT JOIN fixes q ON s.device = q.device AND s.us <= q.us))"""))
+def signal_position_nearest(spark, sf):
+    ev = views.events(spark, sf)
+    return located_columns(op.signal_position_asof(located_signals(ev), fixes(ev), None, "nearest"))
+
+
+SESSION_GAP_S = 21_600
+SESSIONS = EV + f""", working AS (SELECT id, user_id % 50 AS device, us, value FROM ev WHERE value >= 20),
+opened AS (SELECT *, CASE WHEN us - lag(us) OVER w <= {SESSION_GAP_S}000000 THEN 0 ELSE 1 END AS fresh
+  FROM working WINDOW w AS (PARTITION BY device ORDER BY us, id)),
+numbered AS (SELECT *, SUM(fresh) OVER (PARTITION BY device ORDER BY us, id) AS session FROM opened),
+sessions AS (SELECT device, MIN(us) AS start_time_us, MAX(us) AS end_time_us,
+  round((MAX(us) - MIN(us)) / 1000000.0, 6) AS duration_s, COUNT(*) AS rows, round(MIN(value), 4) AS min_value,
+  round(MAX(value), 4) AS max_value, round(SUM(value), 4) AS sum_value FROM numbered GROUP BY device, session)"""
+
+
+def working(ev):
+    return ev.where("value >= 20").select("id", (F.col("user_id") % 50).alias("device"), "time", "value")
+
+
+def session_columns(df):
+    return df.select(
+        "device", us("start_time"), us("end_time"), rounded("duration_s", 6), big("rows"),
+        *[rounded(f"{k}_value") for k in ("min", "max", "sum")])
+
+
+@query("work_sessions", sql(SESSIONS, "SELECT * FROM sessions"))
+def work_sessions(spark, sf):
+    return session_columns(op.work_sessions(
+        working(views.events(spark, sf)), SESSION_GAP_S, measures=("value",)))

@@ -29,15 +29,15 @@ def parse_can_text(lines: DataFrame, can_interface: Column | None = None,
     bus = F.col("can_interface") if can_interface is None else can_interface
     keep = [c for c in lines.columns if c not in (col, "can_interface")]
 
-    def part(i: int) -> Column:
-        return F.regexp_extract(col, _FRAME_LINE, i)
-
-    # A frame may have no data, but it has a time that can be told.
-    matched = F.col(col).rlike(_FRAME_LINE) & from_epoch_seconds(part(2).try_cast("double")).isNotNull()
-    rows = lines.where(matched).select(
-        *keep, from_epoch_seconds(part(2).try_cast("double")).alias("time"),
-        bus.alias("can_interface"), part(1).alias("can_id"), part(3).alias("can_data"))
-    return rows, lines.where(~F.coalesce(matched, F.lit(False)))
+    # The pattern runs once a line: what it matches becomes three fields, all else stays as it is.
+    fields = F.regexp_replace(col, _FRAME_LINE, "$1 $2 $3")
+    tried = lines.withColumn("_fields", F.when(fields != F.col(col), F.split(fields, " "))).withColumn(
+        # A frame may have no data, but it has a time that can be told.
+        "_time", from_epoch_seconds(F.col("_fields")[1].try_cast("double")))
+    rows = tried.where(F.col("_time").isNotNull()).select(
+        *keep, F.col("_time").alias("time"), bus.alias("can_interface"),
+        F.col("_fields")[0].alias("can_id"), F.col("_fields")[2].alias("can_data"))
+    return rows, tried.where(F.col("_time").isNull()).select(*lines.columns)
 
 
 def read_cell_log(spark: SparkSession, path: str) -> DataFrame:
