@@ -19,7 +19,7 @@ REMEMBERED = 500_000      # stretches whose encoding a task keeps; it forgets al
 REMEMBERED_LENGTH = 64    # characters of a stretch worth keeping
 SHORT = 32                # characters up to which a list is a faster agenda than a heap
 NEVER = float("inf")
-CHECKED_AT_ONCE = 1 << 20  # characters handed to the library at once
+CHECKED_AT_ONCE = 1 << 20  # characters of whole texts handed to the library at once
 
 _STRETCH = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 
@@ -49,6 +49,8 @@ class Vocabulary:
         self.blanks_lead = not any(pair[1] == SPACE != pair[0] for pair in self.inner)
         self.prefixed = library.normalize("a").startswith(SPACE)
         self.known: dict[str, tuple[int, ...]] = {}
+        self.fresh: list[tuple[str, tuple[int, ...]]] = []   # stretches the library has not checked yet
+        self.disputed: set[str] = set()
 
     @classmethod
     def load(cls, file: str) -> "Vocabulary":
@@ -148,6 +150,7 @@ class Vocabulary:
             ids = [i for k, i in enumerate(ids) if k == 0 or i != self.unknown or ids[k - 1] != i]
         result = tuple(ids)
         self._remember(text, result)
+        self.fresh.append((text, result))
         return result
 
     def _remember(self, text: str, ids: tuple[int, ...]) -> None:
@@ -165,6 +168,25 @@ class Vocabulary:
         known = self.known
         return list(chain.from_iterable([known.get(s) or self.stretch(s) for s in _STRETCH.findall(normal)]))
 
+    @property
+    def apart(self) -> bool:
+        """Whether a text is cut into stretches, each of which is a text of its own to the library."""
+        return self.blanks_lead and self.prefixed and bool(self.byte_ids)
+
+    def check_fresh(self) -> bool:
+        """Encodes and decodes all new stretches with the library; whether it never differed so far."""
+        texts = [t[1:].replace(SPACE, " ") for t, _ in self.fresh]
+        theirs = self.library.encode(texts, add_eos=True, num_threads=1)
+        back = self.library.decode(theirs, num_threads=1)
+        for (text, ids), other, decoded in zip(self.fresh, theirs, back):
+            if [*ids, self.end] != other or self.decode(other) != decoded:
+                self.disputed.add(text)
+        self.fresh.clear()
+        return not self.disputed
+
+    def is_disputed(self, text: str) -> bool:
+        return not self.disputed.isdisjoint(_STRETCH.findall(self.library.normalize(text)))
+
     def encode(self, text: str | None) -> list[int]:
         """Ids of a whole text and the end id; a NULL counts as an empty text."""
         ids = self._encode(text)
@@ -212,48 +234,54 @@ class Vocabulary:
 ENCODED = "doc_id long, ids array<int>, decoded string, agrees boolean"
 
 
-def encoded(docs: DataFrame, file: str, check: bool = True) -> DataFrame:
+def encoded(docs: DataFrame, file: str, check: str | None = "stretches") -> DataFrame:
     """``doc_id, ids, decoded, agrees``: documents encoded with a model file, end id last, and decoded.
 
     The file is a path that all executors can read; its vocabulary is of the merge type, without
-    pieces that users defined. Whole texts go through the agenda, Arrow batch by Arrow batch. With ``check`` the
-    library encodes and decodes every text too and ``agrees`` says whether ids and text are
-    the same; without, it is NULL. One row per row, whatever its id: NULL, empty and repeated ones as well.
-    A NULL text counts as an empty one and is the end id alone. Other columns are not looked at.
+    pieces that users defined. Whole texts go through the agenda, Arrow batch by Arrow batch. The library encodes
+    and decodes each new stretch of a batch too, or with ``check`` "texts" each whole text; ``agrees``
+    says whether it came to the same ids and texts. Without check it is NULL. One row per row,
+    whatever its id: NULL, empty and repeated ones as well. A NULL text counts as an empty one
+    and is the end id alone. Other columns are not looked at.
     """
     def run(batches):
         vocabulary = Vocabulary.load(file)
+        library = vocabulary.library
+        by_stretch = check == "stretches" and vocabulary.apart
+
+        def agreement(texts, spelled, decoded) -> list[bool | None]:
+            if check is None:
+                return [None] * len(texts)
+            if by_stretch:
+                clear = vocabulary.check_fresh()
+                return [clear or not vocabulary.is_disputed(t or "") for t in texts]
+            out, start, size = [], 0, 0
+            for end, text in enumerate(texts, 1):
+                size += len(text or "")
+                if size >= CHECKED_AT_ONCE or end == len(texts):
+                    theirs = library.encode([t or "" for t in texts[start:end]], add_eos=True, num_threads=1)
+                    back = library.decode(theirs, num_threads=1)
+                    out += [a == b and c == d for a, b, c, d in zip(
+                        spelled[start:end], theirs, decoded[start:end], back)]
+                    start, size = end, 0
+            return out
+
         for batch in batches:
-            flat, ends, decoded, agrees = array("i"), array("i", [0]), [], []
-            waiting: list[tuple[str, list[int], str]] = []
-            size = 0
-
-            def compare() -> None:
-                library = vocabulary.library
-                theirs = library.encode([t for t, _, _ in waiting], add_eos=True, num_threads=1)
-                texts = library.decode([i for _, i, _ in waiting], num_threads=1)
-                agrees.extend(i == j and d == e for (_, i, d), j, e in zip(waiting, theirs, texts))
-                waiting.clear()
-
-            for text in batch.column("text").to_pylist():
+            texts = batch.column("text").to_pylist()
+            flat, ends, decoded, spelled = array("i"), array("i", [0]), [], []
+            for text in texts:
                 ids = vocabulary.encode(text)
-                plain = vocabulary.decode(ids)
                 flat.extend(ids)
                 ends.append(len(flat))
-                decoded.append(plain)
-                if check:
-                    waiting.append((text or "", ids, plain))
-                    size += len(text or "")
-                    if size >= CHECKED_AT_ONCE:
-                        compare()
-                        size = 0
-            if waiting:
-                compare()
+                decoded.append(vocabulary.decode(ids))
+                if check is not None and not by_stretch:
+                    spelled.append(ids)
+            agrees = agreement(texts, spelled, decoded)
+            vocabulary.fresh.clear()
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").cast(pa.int64()), lists, pa.array(decoded, pa.string()),
-                 pa.array(agrees if check else [None] * len(decoded), pa.bool_())],
-                names=["doc_id", "ids", "decoded", "agrees"])
+                 pa.array(agrees, pa.bool_())], names=["doc_id", "ids", "decoded", "agrees"])
 
     return docs.select("doc_id", "text").mapInArrow(run, ENCODED)
 

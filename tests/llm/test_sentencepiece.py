@@ -84,7 +84,17 @@ def test_odd_rows_and_other_columns(spark):
                 hashlib.sha256(library.decode(ids).encode()).hexdigest(), True)
 
     assert found == sorted((expected(d, t) for d, t, *_ in data), key=lambda r: tuple((v is not None, v) for v in r))
-    plain = encoded(docs, FILE, check=False)
+    assert rows(digests(encoded(docs, FILE, check="texts"))) == found
+    plain = encoded(docs, FILE, check=None)
     assert plain.where("agrees IS NOT NULL").isEmpty()
     assert rows(digests(plain).drop("agrees")) == [r[:4] for r in found]
     assert encoded(docs.limit(0), FILE).collect() == []
+
+
+def test_a_stretch_the_library_sees_otherwise_is_told():
+    vocabulary = Vocabulary.load(FILE)
+    vocabulary.encode("all is well")
+    assert vocabulary.check_fresh() and not vocabulary.fresh
+    vocabulary.fresh.append((SPACE + "well", (1, 2, 3)))
+    assert not vocabulary.check_fresh()
+    assert vocabulary.is_disputed("all is well") and not vocabulary.is_disputed("all is good")
