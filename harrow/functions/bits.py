@@ -40,6 +40,11 @@ def word_of(hex16: Column) -> Column:
     return low.bitwiseOR(high)
 
 
+def big_endian_word_of(hex16: Column) -> Column:
+    """The first eight payload bytes as one 64-bit word, the first byte on top."""
+    return F.conv(F.rpad(F.substring(hex16, 1, 16), 16, "0"), 16, -10).cast("bigint")
+
+
 def _shift(name: str, value: Column, by: Column) -> Column:
     return F.call_function(name, value, by.cast("int"))
 

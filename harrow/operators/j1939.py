@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from harrow.functions.bits import hex_number, hex_text, signed_double, unsigned_double, word_of
+from harrow import schemas
+from harrow.functions.bits import (
+    big_endian_word_of, hex_number, hex_text, signed_double, unsigned_double, word_of)
 from harrow.functions.subjects import make_subject
 from harrow.functions.times import epoch_seconds
 
@@ -88,42 +90,57 @@ def frame_to_bus_message(df: DataFrame, prefix: str = "j1939") -> DataFrame:
         body.alias("body"))
 
 
-def _masked(word: Column, shift: Column) -> Column:
-    return F.call_function("shiftrightunsigned", word, shift.cast("int")).bitwiseAND(F.col("_mask"))
+def _move(way: str, word: Column, by: Column) -> Column:
+    return F.call_function(way, word, by.cast("int"))
 
 
-def _raw_past_word(joined: DataFrame) -> DataFrame:
-    """Raw values when some fields lie past the first eight bytes.
+def _first_bit(start: Column, big: Column) -> Column:
+    """Bits of the payload before a field, in the order of its kind.
 
-    Such a field takes the nine bytes from its first byte on; the others stay
-    with the word of the frame.
+    A big-endian field starts at its top bit, whose number still counts up inside its byte.
     """
-    far = F.col("_end") > 64
-    shift = F.col("start_bit") % 8
-    nine = F.when(far, F.substring(
-        "data", F.floor(F.col("start_bit") / 8).cast("int") * 2 + 1, F.lit(18)))
-    ninth = F.coalesce(hex_number(F.substring("_nine", 17, 2)), F.lit(0).cast("bigint"))
-    carried = F.when(shift > 0, F.call_function(
-        "shiftleft", F.col("_ninth"), (F.lit(64) - shift).cast("int"))).otherwise(0)
-    return (
-        joined.withColumn("_nine", nine)
-        .withColumn("_low", word_of(F.col("_nine"))).withColumn("_ninth", ninth)
-        .withColumn("_far", F.call_function(
-            "shiftrightunsigned", F.col("_low"), shift.cast("int")).bitwiseOR(carried))
-        .withColumn("_raw", F.when(far, F.col("_far").bitwiseAND(F.col("_mask"))).otherwise(
-            _masked(F.col("_word"), F.col("start_bit"))))
-        .drop("_nine", "_low", "_ninth", "_far"))
+    return F.when(big, start - start % 8 * 2 + 7).otherwise(start)
+
+
+def _raw(rows: DataFrame, at: str, width: str, big: str | None, far: bool, out: str) -> DataFrame:
+    """Adds the bits of a field: ``width`` ones after the first ``at`` of a payload.
+
+    Inside the first eight bytes that is a shift of the frame's word. With ``far``, a field that
+    goes on beyond takes the nine bytes from its first byte on; the others stay with the word.
+    """
+    end = F.col(at) + F.col(width)
+    mask = _move("shiftrightunsigned", F.lit(-1).cast("bigint"), F.lit(64) - F.col(width))
+    near = _move("shiftrightunsigned", F.col("_word"), F.col(at))
+    if big:
+        near = F.when(F.col(big), _move("shiftrightunsigned", F.col("_big_word"), F.lit(64) - end)).otherwise(near)
+    if not far:
+        return rows.withColumn(out, near.bitwiseAND(mask))
+    shift = F.col(at) % 8
+    over = shift + F.col(width) - 64        # bits in the ninth byte
+    rows = rows.withColumn("_nine", F.when(end > 64, F.substring(
+        "data", F.floor(F.col(at) / 8).cast("int") * 2 + 1, F.lit(18)))).withColumn(
+        "_ninth", F.coalesce(hex_number(F.substring("_nine", 17, 2)), F.lit(0).cast("bigint")))
+    beyond = _move("shiftrightunsigned", word_of(F.col("_nine")), shift).bitwiseOR(
+        F.when(shift > 0, _move("shiftleft", F.col("_ninth"), F.lit(64) - shift)).otherwise(0))
+    if big:
+        eight = big_endian_word_of(F.col("_nine"))
+        beyond = F.when(~F.col(big), beyond).when(
+            over <= 0, _move("shiftrightunsigned", eight, -over)).otherwise(
+            _move("shiftleft", eight, over).bitwiseOR(_move("shiftrightunsigned", F.col("_ninth"), F.lit(8) - over)))
+    return rows.withColumn(out, F.when(end > 64, beyond).otherwise(near).bitwiseAND(mask)).drop("_nine", "_ninth")
 
 
 def signal_decode(frames: DataFrame, dictionary: DataFrame) -> DataFrame:
     """One row per signal of each frame; a field past the payload is dropped.
 
     The payload becomes a 64-bit word once per frame, before the join; each
-    signal is then a shift and a mask, with the mask prepared in the dictionary.
+    signal is then a shift and a mask, with what they need prepared in the dictionary.
     The dictionary is looked at first: it is broadcast if its size allows, so a
     parameter group that makes up most of the traffic is never shuffled to one
-    task, and fields past the eighth byte, of a full 64 bits or with a sign cost
-    something only if there are any. A dictionary without ``signed`` has unsigned fields.
+    task, and fields past the eighth byte, of a full 64 bits, with a sign, big endian or under a selector
+    cost something only if there are any. A dictionary without ``signed`` has unsigned fields,
+    one without the columns of ``schemas.LAYOUT`` little-endian ones that every frame holds. A signal
+    that a selector chooses has a row only where the selector has its value.
 
     If frames and dictionary both have ``can_interface``, a definition holds for its bus
     only. Two definitions of one signal name in a group would give every row twice; they
@@ -131,35 +148,48 @@ def signal_decode(frames: DataFrame, dictionary: DataFrame) -> DataFrame:
     """
     both = {*frames.columns} & {*dictionary.columns}
     keys = [k for k in ("can_interface", "pgn") if k in both or k == "pgn"]
-    signed = F.coalesce(F.col("signed"), F.lit(False)) if "signed" in dictionary.columns else F.lit(False)
-    end = F.col("start_bit") + F.col("bit_len")
-    size, names, last_bit, widest, any_signed = dictionary.agg(
-        F.count(F.lit(1)), F.count_distinct(F.struct(*keys, "name")), F.max(end), F.max("bit_len"),
-        F.max(signed)).first()
+
+    def flag(name: str) -> Column:
+        return F.coalesce(F.col(name), F.lit(False)) if name in dictionary.columns else F.lit(False)
+
+    def layout(name: str) -> Column:
+        return F.col(name) if name in dictionary.columns else F.lit(None).cast(schemas.LAYOUT[name].dataType)
+
+    spec = dictionary.select(
+        *keys, "name", "description", "units", "min_value", "max_value", "bit_len", "scale", "offset",
+        flag("signed").alias("_signed"), flag("big_endian").alias("_big"),
+        _first_bit(F.col("start_bit"), flag("big_endian")).alias("_at"),
+        layout("selector_value").alias("_value"), layout("selector_len").alias("_selector_len"),
+        flag("selector_big_endian").alias("_selector_big"),
+        _first_bit(layout("selector_start"), flag("selector_big_endian")).alias("_selector_at"))
+    size, names, last_bit, last_selector, widest, any_signed, any_big, any_selector = spec.agg(
+        F.count(F.lit(1)), F.count_distinct(F.struct(*keys, "name")), F.max(F.col("_at") + F.col("bit_len")),
+        F.max(F.col("_selector_at") + F.col("_selector_len")), F.max("bit_len"), F.max("_signed"),
+        F.max(F.col("_big") | F.col("_selector_big")), F.max(F.col("_value").isNotNull())).first()
     if names < size:
         raise ValueError(f"{size - names} signals of the dictionary are defined more than once")
-    spec = dictionary.select(
-        *keys, "name", "description", "units", "min_value", "max_value", "start_bit", "bit_len",
-        "scale", "offset", end.alias("_end"), signed.alias("_signed"),
-        F.call_function("shiftrightunsigned", F.lit(-1).cast("bigint"),
-                        F.lit(64) - F.col("bit_len")).alias("_mask"))
+    words = {"_word": word_of(F.col("data")), "_bits": F.length("data") * 4}
+    if any_big:
+        words["_big_word"] = big_endian_word_of(F.col("data"))
     joined = (
-        frames.withColumn("_word", word_of(F.col("data")))
-        .withColumn("_bits", F.length("data") * 4)
+        frames.withColumns(words)
         .join(F.broadcast(spec) if size <= DICTIONARY_LIMIT else spec, keys)
-        .where(F.col("_end") <= F.col("_bits")))
+        .where(F.col("_at") + F.col("bit_len") <= F.col("_bits")))
     # Each step is a projection of its own: nothing is computed twice for a row,
     # and the generated code stays small enough to be compiled.
-    if (last_bit or 0) > 64:
-        decoded = _raw_past_word(joined)
-    else:
-        decoded = joined.withColumn("_raw", _masked(F.col("_word"), F.col("start_bit")))
+    if any_selector:
+        chosen = _raw(joined, "_selector_at", "_selector_len", "_selector_big" if any_big else None,
+                      (last_selector or 0) > 64, "_selected")
+        joined = chosen.where(F.col("_value").isNull() | (
+            (F.col("_selector_at") + F.col("_selector_len") <= F.col("_bits"))
+            & (F.col("_selected") == F.col("_value")))).drop("_selected")
+    decoded = _raw(joined, "_at", "bit_len", "_big" if any_big else None, (last_bit or 0) > 64, "_raw")
     number = F.col("_raw").cast("double") if (widest or 0) < 64 else unsigned_double(F.col("_raw"))
     if any_signed:
         number = F.when(F.col("_signed"), signed_double(F.col("_raw"), F.col("bit_len"))).otherwise(number)
     value = number * F.col("scale") + F.col("offset")
     return decoded.withColumn("value", value).drop(
-        "_word", "_bits", "_raw", "_mask", "_end", "_signed", "start_bit", "bit_len", "scale", "offset")
+        *words, *[c for c in spec.columns if c.startswith("_")], "_raw", "bit_len", "scale", "offset")
 
 
 def valid_signal_filter(df: DataFrame) -> DataFrame:

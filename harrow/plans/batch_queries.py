@@ -133,23 +133,32 @@ def read_cell_log(spark, sf):
 
 
 @query("read_signal_dictionary", """WITH parts AS (SELECT 61440 + p_partkey % 4096 AS pgn,
-  CAST(p_partkey AS VARCHAR) AS k, p_name, p_size FROM part)
+  CAST(p_partkey AS VARCHAR) AS k, p_name, p_size FROM part),
+plain AS (
 SELECT CAST(pgn AS BIGINT) AS pgn, 'Size' || k AS name, p_name AS description, 'deg' AS units,
   CAST((p_size % 8) * 8 AS BIGINT) AS start_bit, CAST(8 AS BIGINT) AS bit_len,
   CAST(0.5 AS DOUBLE) AS scale, CAST(-40 AS DOUBLE) AS "offset", CAST(-40 AS DOUBLE) AS min_value,
-  CAST(85 AS DOUBLE) AS max_value, false AS signed FROM parts
-UNION ALL SELECT CAST(pgn AS BIGINT), 'Price' || k, NULL, '', 16, 32, 0.1, 0, 0, 429496729.5, false FROM parts
-UNION ALL SELECT CAST(pgn AS BIGINT), 'Trim' || k, NULL, '', 56, 8, 1, 0, -128, 127, true FROM parts""")
+  CAST(85 AS DOUBLE) AS max_value, false AS signed, false AS big_endian FROM parts
+UNION ALL SELECT CAST(pgn AS BIGINT), 'Price' || k, NULL, '', 16, 32, 0.1, 0, 0, 429496729.5, false, false FROM parts
+UNION ALL SELECT CAST(pgn AS BIGINT), 'Motor' || k, NULL, '', 48, 8, 1, 0, -128, 127, true, true FROM parts
+UNION ALL SELECT CAST(pgn AS BIGINT), 'Trim' || k, NULL, '', 56, 8, 1, 0, -128, 127, true, false FROM parts
+UNION ALL SELECT CAST(pgn AS BIGINT), 'Page' || k, NULL, '', 0, 4, 1, 0, 0, 15, false, false FROM parts)
+SELECT *, CAST(NULL AS VARCHAR) AS selector, CAST(NULL AS BIGINT) AS selector_start,
+  CAST(NULL AS BIGINT) AS selector_len, CAST(NULL AS BOOLEAN) AS selector_big_endian,
+  CAST(NULL AS BIGINT) AS selector_value FROM plain
+UNION ALL SELECT CAST(pgn AS BIGINT), 'Deep' || k, NULL, '', 15, 12, 1, 0, 0, 4095, false, true,
+  'Page' || k, 0, 4, false, CAST(p_size % 16 AS BIGINT) FROM parts""")
 def read_signal_dictionary(spark, sf):
     path = shared_folder(spark, "dbc")
     views.dbc_blocks(spark, sf).write.option("maxRecordsPerFile", 500).text(path)
     return sources.read_signal_dictionary(spark, path).select(
         big("pgn"), "name", "description", "units", big("start_bit"), big("bit_len"), "scale",
-        "offset", "min_value", "max_value", "signed")
+        "offset", "min_value", "max_value", "signed", "big_endian", "selector", big("selector_start"),
+        big("selector_len"), "selector_big_endian", "selector_value")
 
 
-@query("signal_dictionary_rejects", """SELECT 'SG_ Motor' || CAST(p_partkey AS VARCHAR)
-  || ' : 48|8@0- (1,0) [-128|127] "" Vector__XXX' AS line FROM part""")
+@query("signal_dictionary_rejects", """SELECT 'SG_ Broken' || CAST(p_partkey AS VARCHAR)
+  || ' : 0|65@1+ (1,0) [0|1] "" Vector__XXX' AS line FROM part""")
 def signal_dictionary_rejects(spark, sf):
     path = shared_folder(spark, "dbc")
     views.dbc_blocks(spark, sf).write.option("maxRecordsPerFile", 500).text(path)
@@ -394,6 +403,22 @@ def signal_decode(spark, sf):
     return rows.select("id", "name", "value", "units", us("time"))
 
 
+# Bytes 5 to 7 hold v100 with the high byte first; byte 4 chooses by its low two bits.
+@query("signal_decode_layouts", sql(FRAMES, """SELECT id, name, CAST(value AS DOUBLE) AS value FROM (
+  SELECT id, 'Kind' AS name, b4 % 4 AS value FROM messages WHERE pgn = 61444
+  UNION ALL SELECT id, 'Whole', v100 * 0.25 FROM messages WHERE pgn = 61444 AND b4 % 4 = 0
+  UNION ALL SELECT id, 'Short', (v100 + 32768) % 65536 - 32768 FROM messages WHERE pgn = 61444 AND b4 % 4 = 1
+  UNION ALL SELECT id, 'Nibble', v100 % 16 * 2 - 1 FROM messages WHERE pgn = 61444 AND b4 % 4 = 2
+  UNION ALL SELECT id, 'Byte', v100 % 256 FROM messages WHERE pgn = 61444 AND b4 % 4 = 2
+  UNION ALL SELECT id, 'Level', v100 FROM messages WHERE pgn = 65265
+  UNION ALL SELECT id, 'Mixed', (b4 % 32 * 256 + v100 // 65536 + 4096) % 8192 - 4096 FROM messages WHERE pgn = 65265
+  )"""))
+def signal_decode_layouts(spark, sf):
+    dictionary = views.layout_dictionary(spark, shared_folder(spark, "layouts"))
+    rows = op.signal_decode(views.messages(views.events(spark, sf)), dictionary)
+    return rows.select("id", "name", "value")
+
+
 @query("unsent_points", sql(POINTS, """SELECT id, device, epoch_us(time) AS time_us, lat, lon
   FROM points p WHERE NOT EXISTS (SELECT 1 FROM sent_log s WHERE s.device = p.device
   AND s.time = p.time) ORDER BY p.time DESC, id DESC LIMIT 1000"""))

@@ -15,6 +15,7 @@ from harrow.functions.times import truncate_time
 from harrow.operators.j1939 import j1939_decode_id
 from harrow.operators.spectrum import spectrum_vectors
 from harrow.session import use_utc
+from harrow.sources.logs import read_signal_dictionary
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -249,6 +250,26 @@ def interfaces(spark: SparkSession, ev: DataFrame) -> tuple[DataFrame, DataFrame
     return requested, frames(ev).select(F.col("can_interface").alias("interface"))
 
 
+# The same payloads read high byte first, and fields that the low bits of byte 4 choose. Fixed values.
+LAYOUT_DBC = """BO_ 2364540158 Clicks: 8 ECU
+ SG_ Kind M : 32|2@1+ (1,0) [0|3] "" ECU
+ SG_ Whole m0 : 47|24@0+ (0.25,0) [0|4194303.75] "" ECU
+ SG_ Short m1 : 55|16@0- (1,0) [-32768|32767] "" ECU
+ SG_ Nibble m2 : 59|4@0+ (2,-1) [-1|29] "" ECU
+ SG_ Byte m2 : 56|8@1+ (1,0) [0|255] "" ECU
+
+BO_ 2566844926 Views: 8 ECU
+ SG_ Level : 47|24@0+ (1,0) [0|16777215] "" ECU
+ SG_ Mixed : 36|13@0- (1,0) [-4096|4095] "" ECU
+"""
+
+
+def layout_dictionary(spark: SparkSession, path: str) -> DataFrame:
+    """Dictionary of big-endian and selected signals, written as DBC text and read back."""
+    spark.createDataFrame([(LAYOUT_DBC,)], "value string").coalesce(1).write.text(path)
+    return read_signal_dictionary(spark, path)
+
+
 def dbc_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts as message blocks of DBC text, each with a comment on one signal."""
     # PDU format 240 and up: a broadcast group; the top bit marks an extended id.
@@ -259,7 +280,11 @@ def dbc_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
         ' SG_ Size%d : %d|8@1+ (0.5,-40) [-40|85] "deg" Vector__XXX\n'
         ' SG_ Price%d : 16|32@1+ (0.1,0) [0|429496729.5] "" Vector__XXX\n'
         ' SG_ Motor%d : 48|8@0- (1,0) [-128|127] "" Vector__XXX\n'
-        ' SG_ Trim%d : 56|8@1- (1,0) [-128|127] "" Vector__XXX\n\n'
+        ' SG_ Trim%d : 56|8@1- (1,0) [-128|127] "" Vector__XXX\n'
+        ' SG_ Page%d M : 0|4@1+ (1,0) [0|15] "" Vector__XXX\n'
+        ' SG_ Deep%d m%d : 15|12@0+ (1,0) [0|4095] "" Vector__XXX\n'
+        ' SG_ Broken%d : 0|65@1+ (1,0) [0|1] "" Vector__XXX\n\n'
         'CM_ SG_ %d Size%d "%s";\n',
-        number, key, key, F.pmod(F.col("p_size"), F.lit(8)) * 8, key, key, key, number, key,
+        number, key, key, F.pmod(F.col("p_size"), F.lit(8)) * 8, key, key, key, key, key,
+        F.pmod(F.col("p_size"), F.lit(16)), key, number, key,
         F.col("p_name")).alias("value"))

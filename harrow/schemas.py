@@ -41,6 +41,12 @@ DICTIONARY = _struct(
     "pgn INT, name STRING, description STRING, units STRING, start_bit INT, "
     "bit_len INT, scale DOUBLE, offset DOUBLE, min_value DOUBLE, max_value DOUBLE, signed BOOLEAN")
 
+# Where a signal lies, if not low byte first in every frame of its group: first bit counted from the
+# top of the first byte, and the value another signal, the selector, must have. Optional columns.
+LAYOUT = _struct(
+    "big_endian BOOLEAN, selector STRING, selector_start INT, selector_len INT, "
+    "selector_big_endian BOOLEAN, selector_value BIGINT")
+
 # gpsd reports. Key names are gpsd's own, case included; fixed values.
 _TPV_DOUBLES_A = "altHAE altMSL alt climb".split()
 _TPV_DOUBLES_B = (

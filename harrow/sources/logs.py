@@ -61,10 +61,11 @@ def read_probes(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFra
 
 
 _NUMBER = r"[-+0-9.eE]+"
-# A signal, little endian and not multiplexed, as its file writes it; fixed format.
+# A signal as its file writes it, the selector of a message (M) or one that it selects (m0, m1, ...); fixed format.
 _SIGNAL_LINE = (
-    r"^\s*SG_\s+(\w+)\s*:\s*(\d+)\|(\d+)@1([+-])\s*"
+    r"^\s*SG_\s+(\w+)(?:\s+(M|m\d+))?\s*:\s*(\d+)\|(\d+)@([01])([+-])\s*"
     rf"\(({_NUMBER}),({_NUMBER})\)\s*\[({_NUMBER})\|({_NUMBER})\]\s*\"([^\"]*)\"")
+_NAME, _MUX, _START, _LEN, _ORDER, _SIGN, _SCALE, _OFFSET, _MIN, _MAX, _UNITS = range(1, 12)
 
 
 def _signal_lines(files: DataFrame) -> DataFrame:
@@ -73,24 +74,41 @@ def _signal_lines(files: DataFrame) -> DataFrame:
     block = files.select(
         "_file", F.posexplode(F.split("value", r"(?:^|\n)BO_\s+")).alias("_at", "_block")
     ).where("_at > 0")
-    lines = block.select(
-        "_file", F.regexp_extract("_block", r"^(\d+)", 1).try_cast("bigint").alias("_id"),
-        F.explode(F.regexp_extract_all(
-            "_block", F.lit(r"(?m)^[ \t]*SG_[ \t][^\r\n]*"), F.lit(0))).alias("_line"))
+    all_lines = F.regexp_extract_all("_block", F.lit(r"(?m)^[ \t]*SG_[ \t][^\r\n]*"), F.lit(0))
+    lines = (
+        block.select("_file", F.regexp_extract("_block", r"^(\d+)", 1).try_cast("bigint").alias("_id"),
+                     all_lines.alias("_lines"))
+        # The selector is a line of the same block, so it needs no join.
+        .withColumn("_selectors", F.filter("_lines", lambda line: F.regexp_extract(line, _SIGNAL_LINE, _MUX) == "M"))
+        .select("_file", "_id", F.when(F.size("_selectors") == 1, F.col("_selectors")[0]).alias("_selector"),
+                F.explode("_lines").alias("_line")))
 
-    def field(i: int, kind: str) -> Column:
-        return F.regexp_extract("_line", _SIGNAL_LINE, i).try_cast(kind)
+    def field(i: int, kind: str, line: str = "_line") -> Column:
+        return F.regexp_extract(line, _SIGNAL_LINE, i).try_cast(kind)
+
+    def fits(start: str, width: str) -> Column:
+        return F.coalesce(F.col(start).isNotNull() & F.col(width).between(1, 64), F.lit(False))
+
+    chosen = F.regexp_extract("_line", _SIGNAL_LINE, _MUX).startswith("m")
+
+    def of_selector(i: int, kind: str) -> Column:
+        return F.when(chosen, field(i, kind, "_selector"))
 
     fields = lines.select(
-        "_file", "_id", "_line", field(1, "string").alias("name"), field(9, "string").alias("units"),
-        field(2, "int").alias("start_bit"), field(3, "int").alias("bit_len"),
-        field(5, "double").alias("scale"), field(6, "double").alias("offset"),
-        field(7, "double").alias("min_value"), field(8, "double").alias("max_value"),
-        (field(4, "string") == "-").alias("signed"))
-    known = [F.col(c).isNotNull() for c in
-             ("_id", "start_bit", "scale", "offset", "min_value", "max_value")]
+        "_file", "_id", "_line", field(_NAME, "string").alias("name"), field(_UNITS, "string").alias("units"),
+        field(_START, "int").alias("start_bit"), field(_LEN, "int").alias("bit_len"),
+        field(_SCALE, "double").alias("scale"), field(_OFFSET, "double").alias("offset"),
+        field(_MIN, "double").alias("min_value"), field(_MAX, "double").alias("max_value"),
+        (field(_SIGN, "string") == "-").alias("signed"), (field(_ORDER, "string") == "0").alias("big_endian"),
+        of_selector(_NAME, "string").alias("selector"), of_selector(_START, "int").alias("selector_start"),
+        of_selector(_LEN, "int").alias("selector_len"),
+        (of_selector(_ORDER, "string") == "0").alias("selector_big_endian"),
+        F.when(chosen, F.substring(field(_MUX, "string"), 2, 20).try_cast("bigint")).alias("selector_value"),
+        chosen.alias("_chosen"))
+    known = [F.col(c).isNotNull() for c in ("_id", "scale", "offset", "min_value", "max_value")]
+    selected = ~F.col("_chosen") | (fits("selector_start", "selector_len") & F.col("selector_value").isNotNull())
     return fields.withColumn("_fits", reduce(
-        lambda a, b: a & b, known, F.coalesce(F.col("bit_len").between(1, 64), F.lit(False))))
+        lambda a, b: a & b, known, fits("start_bit", "bit_len") & selected)).drop("_chosen")
 
 
 def _dictionary_files(spark: SparkSession, path: str) -> DataFrame:
@@ -99,7 +117,8 @@ def _dictionary_files(spark: SparkSession, path: str) -> DataFrame:
 
 def signal_dictionary_rejects(spark: SparkSession, path: str) -> DataFrame:
     """``file, line`` of the signals that :func:`read_signal_dictionary` cannot take:
-    big endian, multiplexed, of no or over 64 bits, or with a number that is none."""
+    of no or over 64 bits, with a number that is none, or chosen by a selector that the message
+    does not have, has twice, or that is itself chosen by another."""
     return _signal_lines(_dictionary_files(spark, path)).where("NOT _fits").select(
         F.col("_file").alias("file"), F.trim("_line").alias("line"))
 
@@ -109,7 +128,8 @@ def read_signal_dictionary(spark: SparkSession, path: str,
     """Signal dictionary of DBC files.
 
     One text row per file; message blocks and their signal lines are exploded,
-    comments are joined on as descriptions. A signal that several files, or several ids of a
+    comments are joined on as descriptions. Signals may be big endian, and chosen by the value of a
+    selector of their message (``schemas.LAYOUT``). A signal that several files, or several ids of a
     group, define alike is one row. Files that define it differently belong to different
     buses: ``can_interface`` tells the bus from the path in ``_file``, and
     :func:`signal_decode` then keeps to it.
@@ -124,7 +144,7 @@ def read_signal_dictionary(spark: SparkSession, path: str,
         F.regexp_extract("_c", comment_line, 2).alias("name"),
         F.regexp_extract("_c", comment_line, 3).alias("description"))
     bus = [] if can_interface is None else ["can_interface"]
-    columns = [*bus, *schemas.DICTIONARY.fieldNames()]
+    columns = [*bus, *schemas.DICTIONARY.fieldNames(), *schemas.LAYOUT.fieldNames()]
     return (
         _signal_lines(files).where("_fits").join(comments, ["_file", "_id", "name"], "left")
         .withColumn("pgn", F.when(pf >= 240, pdu).otherwise(F.shiftleft(pf, 8)).cast("int"))

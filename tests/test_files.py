@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from harrow import operators as op
-from harrow import sinks, sources
+from harrow import schemas, sinks, sources
 from harrow.plans import flows
 from tests.conftest import rows
 from tests.test_gps import points
@@ -62,7 +62,9 @@ CM_ BO_ 2364540158 "a message";
 CM_ SG_ 2364540158 Speed "Actual engine speed";
 """)
     (tmp_path / "b.dbc").write_text('BO_ 2566844926 CCVS: 8 X\n SG_ Wheel : 8|16@1+ (3.90625E-3,0) [0|250.996] "km/h" X')
-    got = rows(sources.read_signal_dictionary(spark, str(tmp_path / "*.dbc")))
+    read = sources.read_signal_dictionary(spark, str(tmp_path / "*.dbc"))
+    assert read.where("big_endian OR selector IS NOT NULL").isEmpty()
+    got = rows(read.select(*schemas.DICTIONARY.fieldNames()))
     assert got == [
         (0xEF00, "State", None, "", 0, 4, 1.0, 0.0, 0.0, 15.0, False),
         (61444, "Speed", "Actual engine speed", "rpm", 24, 16, 0.125, 0.0, 0.0, 8031.875, False),
@@ -84,9 +86,21 @@ def test_dictionary_rejects(spark, tmp_path):
 CM_ SG_ 2364540158 Good "SG_ in a comment";
 """)
     path = str(tmp_path / "*.dbc")
-    assert rows(sources.read_signal_dictionary(spark, path).select("name", "signed")) == [("Good", True)]
+    columns = ["name", "signed", "big_endian", "selector", "selector_start", "selector_value"]
+    assert rows(sources.read_signal_dictionary(spark, path).select(*columns)) == [
+        ("Gear", False, False, "Mode", 0, 0), ("Good", True, False, None, None, None),
+        ("Mode", False, False, None, None, None), ("Motor", False, True, None, None, None)]
     lines = sources.signal_dictionary_rejects(spark, path).select(F.split("line", " ")[1].alias("name"))
-    assert rows(lines) == [("Far",), ("Gear",), ("Mode",), ("Motor",), ("None",), ("Odd",), ("Wide",)]
+    assert rows(lines) == [("Far",), ("None",), ("Odd",), ("Wide",)]
+
+
+@pytest.mark.parametrize("selectors", ["", " SG_ A M : 0|2@1+ (1,0) [0|3] \"\" X\n SG_ B M : 2|2@1+ (1,0) [0|3] \"\" X\n",
+                                       " SG_ A m0M : 0|2@1+ (1,0) [0|3] \"\" X\n"])
+def test_signals_without_one_selector_are_rejected(spark, tmp_path, selectors):
+    (tmp_path / "a.dbc").write_text(f"BO_ 2364540158 E: 8 X\n{selectors} SG_ Gear m0 : 24|16@1+ (1,0) [0|9] \"\" X\n")
+    lines = sources.signal_dictionary_rejects(spark, str(tmp_path / "*.dbc")).select(F.split("line", " ")[1])
+    assert ("Gear",) in rows(lines)
+    assert "Gear" not in [r.name for r in sources.read_signal_dictionary(spark, str(tmp_path / "*.dbc")).collect()]
 
 
 def test_dictionaries_of_two_buses(spark, tmp_path):

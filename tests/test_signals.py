@@ -2,8 +2,9 @@ import random
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from harrow import operators as op
+from harrow import operators as op, schemas
 from tests.conftest import rows
 
 
@@ -126,6 +127,51 @@ def test_decode_of_random_layouts(spark):
     assert {tuple(r) for r in got} == want and len(got) == len(want)
 
 
+def bits_of(payload, start, width, big):
+    """A field read bit by bit, as the file format numbers bits; None past the payload."""
+    raw, at = 0, start
+    for k in range(width):
+        if not 0 <= at < 8 * len(payload):
+            return None
+        bit = payload[at // 8] >> at % 8 & 1
+        if big:
+            raw = raw << 1 | bit
+            at = at - 1 if at % 8 else at + 15
+        else:
+            raw |= bit << k
+            at += 1
+    return raw
+
+
+@pytest.mark.parametrize("longest", [8, 30])
+def test_decode_bit_by_bit(spark, longest):
+    """Both byte orders, signs and selectors, inside eight bytes and past them."""
+    rng = random.Random(longest)
+    frames, spec, want = [], [], set()
+    for pgn in range(80):
+        payload = bytes(rng.randrange(256) for _ in range(rng.randint(1, longest)))
+        frames.append((pgn, payload.hex()))
+        at, size, order = rng.randrange(8 * len(payload)), rng.randint(1, 3), rng.random() < 0.5
+        selected = bits_of(payload, at, size, order)
+        for k in range(12):
+            start, width = rng.randrange(0, 8 * longest), rng.randint(1, 64)
+            big, signed, chosen = rng.random() < 0.6, rng.random() < 0.3, rng.random() < 0.4
+            value = rng.randrange(2 ** size) if chosen else None
+            spec.append((pgn, f"s{k}", "", "", start, width, 2.0, -1.0, 0.0, 1.0, signed, big, *(
+                ("sel", at, size, order, value) if chosen else (None,) * 5)))
+            raw = bits_of(payload, start, width, big)
+            if raw is not None and (not chosen or selected == value):
+                number = raw - (1 << width) if signed and raw >> (width - 1) else raw
+                want.add((pgn, f"s{k}", float(number) * 2.0 - 1.0))
+    f = spark.createDataFrame(frames, "pgn int, data string")
+    d = spark.createDataFrame(spec, StructType([*schemas.DICTIONARY.fields, *schemas.LAYOUT.fields]))
+    got = op.signal_decode(f, d)
+    assert {tuple(r) for r in got.select("pgn", "name", "value").collect()} == want and got.count() == len(want)
+    assert got.columns == ["pgn", "data", "name", "description", "units", "min_value", "max_value", "value"]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and "Python" not in plan
+
+
 def test_valid_filter_is_strict(spark):
     df = spark.createDataFrame([(1.0, 2.0), (2.0, 2.0), (None, 2.0)], "value double, max_value double")
     assert rows(op.valid_signal_filter(df)) == [(1.0, 2.0)]
