@@ -15,7 +15,8 @@ from harrow import operators as op
 from harrow import streaming as st
 from harrow.plans import flows, views
 from harrow.plans.batch_queries import (
-    GAUGE_SQL, GREEDY_GAP_S, GREEDY_SQL, NOW, STATS, TRAILS, TRANSITIONS, stats_columns)
+    FIXES, GAUGE_SQL, GREEDY_GAP_S, GREEDY_SQL, NOW, POSITION_WITHIN_S, SESSION_GAP_S, SESSIONS, STATS, TRAILS,
+    TRANSITIONS, fixes, located_columns, located_signals, session_columns, stats_columns, working)
 from harrow.plans.registry import (
     COUNTERS, DECODED, EV, GAP_TEXT, PROBES, READINGS, REQUESTS, SIGNALS, query, rounded, sql, us)
 from harrow.session import shared_folder
@@ -164,3 +165,88 @@ def stream_trail_upload(spark, sf):
     log = spark.read.parquet(base + "/sent")
     return op.ledger_insert(views.points(views.events(spark, sf)), log).select(
         "device", us("time"), "sent")
+
+
+# --- event time: rows arrive out of order, some too late ----------------------
+
+# Reports come up to twelve hours after their time, one in fifty after more than a week. They are
+# taken up in four parts of arrival; what is over a day behind the newest one before is late.
+ARRIVAL_CUTS = ("2024-01-09", "2024-01-17", "2024-01-25")
+DELAY_S = 86_400
+ARRIVED = EV + f""", arrived AS (SELECT *, us + (id * 7919 % 43200) * 1000000
+  + CASE WHEN id % 50 = 7 THEN 8 * 86400000000 ELSE 0 END AS arrival FROM ev),
+parted AS (SELECT *, {" + ".join(f"CAST(arrival >= epoch_us(TIMESTAMP '{c}') AS INTEGER)" for c in ARRIVAL_CUTS)} AS part
+  FROM arrived),
+clocks AS (SELECT part, MAX(MAX(us)) OVER (ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS clock
+  FROM parted GROUP BY part),
+judged AS (SELECT p.*, coalesce(us <= (clock // 1000 - {DELAY_S}000) * 1000, false) AS late
+  FROM parted p JOIN clocks USING (part)),
+passed AS (SELECT * FROM judged WHERE NOT late
+  AND us <= (SELECT MAX(us) // 1000 * 1000 - {DELAY_S}000000 FROM judged))"""
+
+
+def out_of_order(ev):
+    """Events in the parts in which they arrive."""
+    late = F.when(F.col("id") % 50 == 7, 8 * 86_400_000_000).otherwise(0)
+    arrival = F.unix_micros("time") + F.col("id") * 7919 % 43_200 * 1_000_000 + late
+    cuts = [F.unix_micros(F.lit(c).cast("timestamp")) for c in ARRIVAL_CUTS]
+    part = sum((F.coalesce(arrival >= c, F.lit(False)).cast("int") for c in cuts), F.lit(0))
+    return [ev.where(part == k) for k in range(len(cuts) + 1)]
+
+
+def in_event_time(ev, name, make):
+    """Runs a stream over rows that come out of order; returns what it wrote and the late rows."""
+    spark = ev.sparkSession
+    base = shared_folder(spark, name)
+    for part in out_of_order(ev):
+        part.write.mode("append").parquet(base + "/in")
+        st.stream_split_late(spark.readStream.schema(ev.schema).parquet(base + "/in"), DELAY_S, base + "/passed",
+                             base + "/late", base + "/clocks", base + "/split")
+        with st.timer_state(spark):
+            st.run_append(make(st.read_batches(spark, base + "/passed", ev.schema)), base + "/out",
+                          base + "/checkpoint")
+    late = spark.read.schema(ev.schema).parquet(base + "/late/*")
+    return spark.read.schema(make(ev).schema).parquet(base + "/out"), late
+
+
+@query("stream_transitions_event_time", f"""WITH {ARRIVED},
+looked AS (SELECT *, event_type <> 'error' AS ok, coalesce(lag(event_type <> 'error') OVER w, false) AS was,
+  max(CASE WHEN event_type <> 'error' THEN us END) OVER (PARTITION BY user_id ORDER BY us, id
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen
+  FROM passed WINDOW w AS (PARTITION BY user_id ORDER BY us, id))
+SELECT id, user_id AS device, us AS time_us, CASE WHEN ok THEN 'online' ELSE 'offline' END AS event,
+  seen AS last_seen_us FROM looked WHERE ok <> was
+UNION ALL SELECT id, user_id, us, 'late', NULL FROM judged WHERE late""")
+def stream_transitions_event_time(spark, sf):
+    out, late = in_event_time(
+        views.events(spark, sf), "stream-transitions",
+        lambda ev: st.stream_online_transitions(views.probes(ev), {"delay": f"{DELAY_S} seconds"}))
+    return out.select("id", "device", us("time"), "event", us("last_seen")).unionByName(
+        views.probes(late).select("id", "device", us("time"), F.lit("late").alias("event"),
+                                  F.lit(None).cast("bigint").alias("last_seen_us")))
+
+
+@query("stream_position_asof", f"""WITH {ARRIVED},
+fixes AS (SELECT id, user_id % 50 AS device, us,
+  CAST(40.0 AS DOUBLE) + CAST(id % 2000 AS DOUBLE) / CAST(1000 AS DOUBLE) AS lat,
+  CAST(-87.0 AS DOUBLE) + CAST(user_id % 100 AS DOUBLE) / CAST(100 AS DOUBLE) AS lon FROM passed WHERE value >= 50),
+found AS (SELECT s.id, s.user_id % 50 AS device, event_type AS name, round(value, 4) AS value, p.us AS seen, lat, lon,
+  s.us - p.us <= {POSITION_WITHIN_S}000000 AS near
+  FROM passed s ASOF LEFT JOIN fixes p ON s.user_id % 50 = p.device AND s.us >= p.us)
+SELECT id, device, name, value, CASE WHEN near THEN round(lat, 4) END AS lat, CASE WHEN near THEN round(lon, 4) END AS lon,
+  CASE WHEN near THEN seen END AS position_time_us FROM found""")
+def stream_position_asof(spark, sf):
+    out, _ = in_event_time(
+        views.events(spark, sf), "stream-positions",
+        lambda ev: st.stream_position_asof(located_signals(ev), fixes(ev), f"{DELAY_S} seconds", POSITION_WITHIN_S))
+    return located_columns(out)
+
+
+# Published are the sessions whose gap the watermark has passed.
+@query("stream_work_sessions", sql(SESSIONS, f"""SELECT * FROM sessions WHERE end_time_us + {SESSION_GAP_S}000000 <=
+  (SELECT MAX(us) FROM working) // 1000 * 1000 - 3600000000"""))
+def stream_work_sessions(spark, sf):
+    out = appended(
+        views.events(spark, sf), lambda ev: st.stream_work_sessions(
+            working(ev), SESSION_GAP_S, "1 hour", measures=("value",)), "stream-sessions")
+    return session_columns(out)

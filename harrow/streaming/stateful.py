@@ -11,6 +11,7 @@ from pyspark.sql.streaming.state import GroupState
 
 from harrow.functions.times import gap_text
 from harrow.operators.counters import CAN_LINK, can_link_filter
+from harrow.streaming.event_time import in_event_order
 
 
 def _in_order(chunks: Iterator[pd.DataFrame], by: list[str]) -> pd.DataFrame:
@@ -20,11 +21,14 @@ def _in_order(chunks: Iterator[pd.DataFrame], by: list[str]) -> pd.DataFrame:
 
 def _per_key(df: DataFrame, keys: tuple[str, ...], columns: list[str], state: str, out: str,
              step: Callable[[pd.DataFrame, tuple | None], tuple[pd.DataFrame, tuple]],
-             by: list[str]) -> DataFrame:
+             by: list[str], event_time: dict | None = None) -> DataFrame:
     """Run ``step(rows, state) -> (rows out, new state)`` per key and batch.
 
-    Times pass as microseconds in ``_us``.
+    Times pass as microseconds in ``_us``. With ``event_time``, settings of ``in_event_order``, rows
+    are taken in the order of their times instead of batch by batch.
     """
+    if event_time is not None:
+        return in_event_order(df, keys, columns, state, out, step, by, **event_time)
     key_types = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
     names = [c.split()[0] for c in out.split(", ")]
 
@@ -42,20 +46,20 @@ def _per_key(df: DataFrame, keys: tuple[str, ...], columns: list[str], state: st
 
 
 def stream_rising_edge(df: DataFrame, threshold: int = 1,
-                       keys: tuple[str, ...] = ("device", "subject")) -> DataFrame:
-    """State: the last reading."""
+                       keys: tuple[str, ...] = ("device", "subject"), event_time: dict | None = None) -> DataFrame:
+    """State: the last reading. ``event_time``, e.g. ``{"delay": "10 minutes", "expiry_s": 86400}``: order by time."""
     def step(rows: pd.DataFrame, held: tuple | None):
         reading = rows["reading"].to_numpy()
         before = np.concatenate(([held[0] if held else 0], reading[:-1]))
         return (rows[(reading >= threshold) & (before < threshold)].copy(), (int(reading[-1]),))
 
     out = _per_key(df, keys, ["id", "reading"], "last bigint",
-                   "id bigint, _us bigint, reading bigint", step, ["_us", "id"])
+                   "id bigint, _us bigint, reading bigint", step, ["_us", "id"], event_time)
     return out.select("id", *keys, F.timestamp_micros("_us").alias("time"), "reading")
 
 
-def stream_online_transitions(df: DataFrame) -> DataFrame:
-    """State: the online flag and when the device was last seen (-1 for never)."""
+def stream_online_transitions(df: DataFrame, event_time: dict | None = None) -> DataFrame:
+    """State: the online flag and when the device was last seen (-1 for never). ``event_time``: order by time."""
     def step(rows: pd.DataFrame, held: tuple | None):
         online, seen = held or (False, -1)
         ok, us = rows["ok"].to_numpy(dtype=bool), rows["_us"].to_numpy()
@@ -67,7 +71,7 @@ def stream_online_transitions(df: DataFrame) -> DataFrame:
         return out, (bool(ok[-1]), int(running[-1]))
 
     out = _per_key(df, ("device",), ["id", "ok"], "online boolean, seen bigint",
-                   "id bigint, _us bigint, ok boolean, _seen bigint", step, ["_us", "id"])
+                   "id bigint, _us bigint, ok boolean, _seen bigint", step, ["_us", "id"], event_time)
     seen = F.when(F.col("_seen") >= 0, F.col("_seen"))
     gap = F.when(F.col("ok"), F.floor((F.col("_us") - seen) / F.lit(1000000)).cast("bigint"))
     return out.select(
@@ -102,11 +106,12 @@ def stream_idle_detect(counters: DataFrame, link_type: int = CAN_LINK) -> DataFr
 
 
 def stream_signal_stats_greedy(df: DataFrame, min_gap_s: float = 1.0,
-                               keys: tuple[str, ...] = ("device", "name")) -> DataFrame:
+                               keys: tuple[str, ...] = ("device", "name"),
+                               event_time: dict | None = None) -> DataFrame:
     """Publish when a message comes ``min_gap_s`` after the last publication.
 
     State: the last publication and the open interval's count, sum, sum of
-    squares and first time. Unit, group and bounds of a signal are those of the row that
+    squares and first time. ``event_time``: order by time. Unit, group and bounds of a signal are those of the row that
     publishes, where ``df`` has them.
     """
     described = [c for c in ("pgn", "units", "min_value", "max_value") if c in df.columns]
@@ -140,7 +145,7 @@ def stream_signal_stats_greedy(df: DataFrame, min_gap_s: float = 1.0,
         "last bigint, n bigint, total double, squares double, start bigint",
         "number bigint, sum_val double, sum_of_squares double, average double, "
         + ", ".join(["_from bigint, _to bigint", *[
-            f"{c} {df.schema[c].dataType.simpleString()}" for c in described]]), step, ["_us", "id"])
+            f"{c} {df.schema[c].dataType.simpleString()}" for c in described]]), step, ["_us", "id"], event_time)
     return out.select(
         *keys, "number", "sum_val", "sum_of_squares", "average",
         F.timestamp_micros("_from").alias("from_time"),

@@ -26,7 +26,7 @@ from harrow.sources.messages import json_reject_split, read_gpsd
 PATH = ["device", "day", "geohash"]
 
 
-def _start(df: DataFrame, save, checkpoint: str, available_now: bool) -> StreamingQuery:
+def start_batches(df: DataFrame, save, checkpoint: str, available_now: bool) -> StreamingQuery:
     writer = df.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint)
     query = (writer.trigger(availableNow=True) if available_now else writer).start()
     if available_now:
@@ -66,14 +66,14 @@ def stream_table_writer(lines: DataFrame, tables: dict[str, str], rejects: str,
         finally:
             held.unpersist()
 
-    return _start(lines, save, checkpoint, available_now)
+    return start_batches(lines, save, checkpoint, available_now)
 
 
 def _read(spark: SparkSession, path: str, schema) -> DataFrame:
-    return spark.createDataFrame([], schema) if (df := _found(spark, path, schema)) is None else df
+    return spark.createDataFrame([], schema) if (df := found(spark, path, schema)) is None else df
 
 
-def _found(spark: SparkSession, path: str, schema) -> DataFrame | None:
+def found(spark: SparkSession, path: str, schema) -> DataFrame | None:
     try:
         return spark.read.schema(schema).parquet(path)
     except AnalysisException as e:
@@ -152,7 +152,7 @@ def stream_trail_upload(points: DataFrame, table: str, sent_log: str, documents:
             oldest = held.agg(F.min(F.to_date("time"))).first()[0]
         finally:
             held.unpersist()
-        earlier = _found(batch.sparkSession, f"{staging}/failed/batch={batch_id - 1}", failed_type)
+        earlier = found(batch.sparkSession, f"{staging}/failed/batch={batch_id - 1}", failed_type)
         failed = None if earlier is None else earlier.agg(F.min(F.to_date("day"))).first()[0]
         return min((d for d in (oldest, failed) if d is not None), default=None)
 
@@ -165,7 +165,7 @@ def stream_trail_upload(points: DataFrame, table: str, sent_log: str, documents:
         if not batch_id:
             since = None
         log = _log(spark, sent_log, points, since)
-        if _found(spark, ready, "id bigint") is None:
+        if found(spark, ready, "id bigint") is None:
             known = _read(spark, table, points.schema.add("day", "date"))
             if since is not None:
                 known = known.where(F.col("day") >= F.lit(since))
@@ -179,4 +179,4 @@ def stream_trail_upload(points: DataFrame, table: str, sent_log: str, documents:
             _send(taken, spark.read.schema(failed_type).parquet(failed_path), log, sent_log, documents, precision,
                   batch_size, f"batch-{batch_id}")
 
-    return _start(points, save, checkpoint, available_now)
+    return start_batches(points, save, checkpoint, available_now)
