@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import zlib
 from array import array
 from heapq import heapify, heappop, heappush
 from itertools import chain
@@ -19,16 +20,15 @@ REMEMBERED = 500_000      # stretches whose encoding a task keeps; it forgets al
 REMEMBERED_LENGTH = 64    # characters of a stretch worth keeping
 SHORT = 32                # characters up to which a list is a faster agenda than a heap
 NEVER = float("inf")
-CHECKED_AT_ONCE = 1 << 20  # characters of whole texts handed to the library at once
-
-_STRETCH = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
+CHECKED_ONE_IN = 8        # texts that the library encodes and decodes too
 
 
 class Vocabulary:
     """Pieces, scores and byte pieces of a model file, and where no merge can cross.
 
-    Two characters that stand side by side in no piece are never in one symbol, so the text is cut
-    between them and each stretch has an agenda of its own. The result is that of one agenda.
+    Characters that stand side by side in some piece are of one kind, and so are all that such pairs join
+    up. Two of different kinds are never in one symbol, so the text is cut between them, and each
+    stretch has an agenda of its own; blanks stay with what follows. The result is that of one agenda.
     """
 
     def __init__(self, library):
@@ -45,12 +45,24 @@ class Vocabulary:
         self.texts = ["" if i in self.silent else " ⁇ " if i == self.unknown else
                       self.pieces[i].replace(SPACE, " ") for i in ids]
         self.unused = {self.pieces[i] for i in ids if library.is_unused(i)}
-        self.inner = {p[k:k + 2] for p in self.ids for k in range(len(p) - 1)}
-        self.blanks_lead = not any(pair[1] == SPACE != pair[0] for pair in self.inner)
         self.prefixed = library.normalize("a").startswith(SPACE)
         self.known: dict[str, tuple[int, ...]] = {}
-        self.fresh: list[tuple[str, tuple[int, ...]]] = []   # stretches the library has not checked yet
-        self.disputed: set[str] = set()
+        self.stretches = self._pattern().findall
+
+    def _pattern(self) -> re.Pattern:
+        """What a stretch is: blanks and then characters of one kind, or one character of no kind."""
+        pairs = {p[k:k + 2] for p in self.ids for k in range(len(p) - 1)}
+        if not self.byte_ids or any(b == SPACE != a for a, b in pairs):
+            return re.compile(".+", re.DOTALL)      # unknown neighbours are one piece, or a blank ends pieces
+        kinds: dict[str, set[str]] = {}
+        for a, b in pairs:
+            if SPACE not in (a, b) and kinds.setdefault(a, {a}) is not kinds.setdefault(b, {b}):
+                more, less = sorted((kinds[a], kinds[b]), key=len, reverse=True)
+                more |= less
+                kinds.update(dict.fromkeys(less, more))
+        sets = sorted({id(k): "".join(sorted(k)) for k in kinds.values()}.values(), key=len, reverse=True)
+        ways = [f"[{re.escape(k)}]+" for k in sets] + [f"[^{SPACE}]"]
+        return re.compile(f"{SPACE}*(?:{'|'.join(ways)})|{SPACE}+", re.DOTALL)
 
     @classmethod
     def load(cls, file: str) -> "Vocabulary":
@@ -136,60 +148,20 @@ class Vocabulary:
 
     def stretch(self, text: str) -> tuple[int, ...]:
         """Ids of a stretch of normalised text."""
-        ids: list[int] = []
-        inner, known = self.inner, self.known
-        cuts = [k for k in range(1, len(text)) if text[k - 1:k + 1] not in inner]
-        for start, end in zip([0, *cuts], [*cuts, len(text)]):
-            part = text[start:end]
-            more = known.get(part) if cuts else None
-            if more is None:
-                more = tuple(chain.from_iterable(map(self._symbol_ids, self.merged(part))))
-                self._remember(part, more)
-            ids += more
+        ids = list(chain.from_iterable(map(self._symbol_ids, self.merged(text))))
         if not self.byte_ids:   # unknown neighbours are one piece
             ids = [i for k, i in enumerate(ids) if k == 0 or i != self.unknown or ids[k - 1] != i]
-        result = tuple(ids)
-        self._remember(text, result)
-        self.fresh.append((text, result))
-        return result
-
-    def _remember(self, text: str, ids: tuple[int, ...]) -> None:
         if len(text) <= REMEMBERED_LENGTH:
             if len(self.known) >= REMEMBERED:
                 self.known.clear()
-            self.known[text] = ids
-
-    def _encode(self, text: str | None) -> list[int]:
-        normal = self.library.normalize(text) if text else ""
-        if not normal:
-            return []
-        if not self.blanks_lead or not self.byte_ids:
-            return list(self.stretch(normal))
-        known = self.known
-        return list(chain.from_iterable([known.get(s) or self.stretch(s) for s in _STRETCH.findall(normal)]))
-
-    @property
-    def apart(self) -> bool:
-        """Whether a text is cut into stretches, each of which is a text of its own to the library."""
-        return self.blanks_lead and self.prefixed and bool(self.byte_ids)
-
-    def check_fresh(self) -> bool:
-        """Encodes and decodes all new stretches with the library; whether it never differed so far."""
-        texts = [t[1:].replace(SPACE, " ") for t, _ in self.fresh]
-        theirs = self.library.encode(texts, add_eos=True, num_threads=1)
-        back = self.library.decode(theirs, num_threads=1)
-        for (text, ids), other, decoded in zip(self.fresh, theirs, back):
-            if [*ids, self.end] != other or self.decode(other) != decoded:
-                self.disputed.add(text)
-        self.fresh.clear()
-        return not self.disputed
-
-    def is_disputed(self, text: str) -> bool:
-        return not self.disputed.isdisjoint(_STRETCH.findall(self.library.normalize(text)))
+            self.known[text] = tuple(ids)
+        return tuple(ids)
 
     def encode(self, text: str | None) -> list[int]:
         """Ids of a whole text and the end id; a NULL counts as an empty text."""
-        ids = self._encode(text)
+        normal = self.library.normalize(text) if text else ""
+        known = self.known
+        ids = list(chain.from_iterable([known.get(s) or self.stretch(s) for s in self.stretches(normal)]))
         ids.append(self.end)
         return ids
 
@@ -234,50 +206,31 @@ class Vocabulary:
 ENCODED = "doc_id long, ids array<int>, decoded string, agrees boolean"
 
 
-def encoded(docs: DataFrame, file: str, check: str | None = "stretches") -> DataFrame:
+def encoded(docs: DataFrame, file: str, check_one_in: int | None = CHECKED_ONE_IN) -> DataFrame:
     """``doc_id, ids, decoded, agrees``: documents encoded with a model file, end id last, and decoded.
 
     The file is a path that all executors can read; its vocabulary is of the merge type, without
-    pieces that users defined. Whole texts go through the agenda, Arrow batch by Arrow batch. The library encodes
-    and decodes each new stretch of a batch too, or with ``check`` "texts" each whole text; ``agrees``
-    says whether it came to the same ids and texts. Without check it is NULL. One row per row,
-    whatever its id: NULL, empty and repeated ones as well. A NULL text counts as an empty one
-    and is the end id alone. Other columns are not looked at.
+    pieces that users defined. Whole texts go through the agenda, Arrow batch by Arrow batch. One in so many of them,
+    by a hash of the text, the library encodes and decodes as well: ``agrees`` says whether it came to the
+    same ids and text, and is NULL for the others. One row per row, whatever its id: NULL, empty and
+    repeated ones as well. A NULL text counts as an empty one and is the end id alone. Other
+    columns are not looked at.
     """
     def run(batches):
         vocabulary = Vocabulary.load(file)
         library = vocabulary.library
-        by_stretch = check == "stretches" and vocabulary.apart
-
-        def agreement(texts, spelled, decoded) -> list[bool | None]:
-            if check is None:
-                return [None] * len(texts)
-            if by_stretch:
-                clear = vocabulary.check_fresh()
-                return [clear or not vocabulary.is_disputed(t or "") for t in texts]
-            out, start, size = [], 0, 0
-            for end, text in enumerate(texts, 1):
-                size += len(text or "")
-                if size >= CHECKED_AT_ONCE or end == len(texts):
-                    theirs = library.encode([t or "" for t in texts[start:end]], add_eos=True, num_threads=1)
-                    back = library.decode(theirs, num_threads=1)
-                    out += [a == b and c == d for a, b, c, d in zip(
-                        spelled[start:end], theirs, decoded[start:end], back)]
-                    start, size = end, 0
-            return out
-
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            flat, ends, decoded, spelled = array("i"), array("i", [0]), [], []
-            for text in texts:
+            flat, ends, decoded, agrees = array("i"), array("i", [0]), [], []
+            for text in batch.column("text").to_pylist():
                 ids = vocabulary.encode(text)
+                plain = vocabulary.decode(ids)
                 flat.extend(ids)
                 ends.append(len(flat))
-                decoded.append(vocabulary.decode(ids))
-                if check is not None and not by_stretch:
-                    spelled.append(ids)
-            agrees = agreement(texts, spelled, decoded)
-            vocabulary.fresh.clear()
+                decoded.append(plain)
+                looked_at = check_one_in and zlib.crc32((text or "").encode("utf-8")) % check_one_in == 0
+                agrees.append(
+                    library.encode(text or "", add_eos=True) == ids and library.decode(ids) == plain
+                    if looked_at else None)
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").cast(pa.int64()), lists, pa.array(decoded, pa.string()),
