@@ -14,8 +14,9 @@ from harrow.llm.common import read, stage
 from harrow.llm.quality import held_out
 from harrow.llm.registry import query
 
-FIT_ROWS = 4_000      # documents that the model learns from, at most about
-WORDS = 50_000        # known words, the most frequent
+FIT_ROWS = 4_000      # documents that the model learns from, about, and
+LANGUAGE_ROWS = 200   # that many of each language in any case, or all it has
+WORDS = 50_000        # known words, those of the greatest share in some language
 GRAMS = 20_000        # known n-grams of each length
 LONGEST = 5
 REMEMBERED = 100_000  # words whose vectors a task keeps
@@ -27,7 +28,9 @@ _WORD = re.compile(r"[^\W\d_]+")
 
 
 def words(text: str | None) -> list[str]:
-    return _WORD.findall(text.lower()) if text else []
+    """Lower-cased words with a letter in them; signs like one half or a circled number are none."""
+    found = _WORD.findall(text.lower()) if text else []
+    return [w for w in found if w.isalpha() or any(map(str.isalpha, w))]
 
 
 def grams(word: str, n: int) -> list[str]:
@@ -101,17 +104,19 @@ def _vectors(counts: pd.DataFrame, name: str, place: dict[str, int], totals: np.
     return {token: tuple((np.log(v) - base).tolist()) for token, v in table.items()}
 
 
-def learn(docs: DataFrame, fit_rows: int = FIT_ROWS) -> LanguageModel:
+def learn(docs: DataFrame, fit_rows: int = FIT_ROWS, language_rows: int = LANGUAGE_ROWS) -> LanguageModel:
     """Model from documents (``doc_id, text, lang``) that are not held out.
 
-    A hash of the id thins them to about ``fit_rows``. Words are counted in each task and
-    then by hash; n-grams come from the counted words. The most frequent come to the driver, a
-    number fixed by the settings.
+    A hash of id and text thins them to about ``fit_rows``, but keeps ``language_rows`` of each language, or
+    all. Words are counted in each task and then by hash; n-grams come from the counted words. Those of
+    the greatest share in any one language come to the driver, a number fixed by the settings.
     """
     training = docs.where(~held_out(parts=4, part=2) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    n = training.count()
-    chosen = training if n <= fit_rows else training.where(
-        F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * fit_rows / n))
+    sizes = stage(training.groupBy("lang").agg(F.count(F.lit(1)).alias("_docs")), "languages")
+    n = sizes.agg(F.sum("_docs")).first()[0] or 0
+    rate = F.greatest(F.lit(fit_rows / max(1, n)), F.lit(language_rows) / F.col("_docs"))
+    chosen = training.join(sizes, "lang").where(
+        F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) < rate * 1_000_000)
 
     def count(frames):
         for frame in frames:
@@ -136,19 +141,22 @@ def learn(docs: DataFrame, fit_rows: int = FIT_ROWS) -> LanguageModel:
 
     pieces = stage(counted.mapInPandas(cut, "size int, gram string, lang string, n long")
                    .groupBy("size", "gram", "lang").agg(F.sum("n").alias("n")), "grams")
-    per_language = counted.groupBy("lang").agg(F.sum("n").alias("n")).orderBy("lang").toPandas()
+    words_of = stage(counted.groupBy("lang").agg(F.sum("n").alias("_words")), "totals")
+    per_language = words_of.join(sizes, "lang").orderBy("lang").toPandas()
     place = {lang: i for i, lang in enumerate(per_language["lang"])}
-    totals = per_language["n"].to_numpy(float)
+    totals = per_language["_words"].to_numpy(float)
 
     def most(rows: DataFrame, name: str, limit: int) -> dict[str, Evidence]:
-        top = rows.groupBy(name).agg(F.sum("n").alias("_all")).orderBy(F.desc("_all"), name).limit(limit)
+        share = rows.join(words_of, "lang").groupBy(name).agg(F.max(F.col("n") / F.col("_words")).alias("_share"))
+        top = share.orderBy(F.desc("_share"), name).limit(limit)
         return _vectors(rows.join(top.select(name), name).select(name, "lang", "n").toPandas(),
                         name, place, totals)
 
     known = most(counted, "word", WORDS)
     tables = [most(pieces.where(F.col("size") == size).drop("size"), "gram", GRAMS)
               for size in range(LONGEST, 0, -1)]
-    prior = np.log(totals / totals.sum()) if len(totals) else totals
+    docs_of = per_language["_docs"].to_numpy(float)
+    prior = np.log(docs_of / docs_of.sum()) if len(docs_of) else docs_of
     return LanguageModel(list(place), prior, known, tables)
 
 
@@ -156,7 +164,8 @@ def language_predictions(docs: DataFrame, **settings) -> DataFrame:
     """``doc_id, held_out, lang_pred, score`` of every document.
 
     One row per row of ``docs``; NULL or repeated ids are predicted like others. A text
-    that is NULL or has no letter gives ``und`` and 0, as does everything when nothing was learned.
+    that is NULL or has no letter gives ``und`` and 0, as does everything when nothing was learned. Of languages
+    with the same evidence the first by name is taken.
     """
     sent = docs.sparkSession.sparkContext.broadcast(learn(docs, **settings))
 

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import hashlib
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -31,13 +32,27 @@ def revised(before: DataFrame, after: DataFrame) -> DataFrame:
     return deleted(before).union(inserted(after))
 
 
-def is_committed(spark: SparkSession, path: str, batch: str) -> bool:
+COMMITS = "batch string, folder string"
+DELTAS = "source string, lang string, version string, docs bigint, tokens bigint"
+
+
+def _commits(spark: SparkSession, path: str) -> DataFrame:
+    """Committed batches and the folders of their deltas; a batch that went into another has none."""
     try:
-        return not spark.read.parquet(f"{path}/commits").where(F.col("batch") == batch).isEmpty()
+        return spark.read.schema(COMMITS).parquet(f"{path}/commits")
     except AnalysisException as e:
-        if e.getCondition() == "PATH_NOT_FOUND":
-            return False
-        raise
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], COMMITS)
+
+
+def is_committed(spark: SparkSession, path: str, batch: str) -> bool:
+    return not _commits(spark, path).where(F.col("batch") == batch).isEmpty()
+
+
+def _folder(batch: str) -> str:
+    """A folder name for any batch name."""
+    return hashlib.md5(batch.encode("utf-8", "surrogatepass")).hexdigest()
 
 
 def commit(changes: DataFrame, path: str, batch: str) -> bool:
@@ -54,36 +69,31 @@ def commit(changes: DataFrame, path: str, batch: str) -> bool:
     sign = F.col("sign").cast("bigint")
     deltas = changes.groupBy(*KEYS).agg(
         F.sum(sign).alias("docs"), F.sum(sign * F.coalesce(F.col("tokens").cast("bigint"), F.lit(0))).alias("tokens"))
-    deltas.write.mode("overwrite").parquet(f"{path}/deltas/{batch}")
-    spark.createDataFrame([(batch,)], "batch string").coalesce(1).write.mode("append").parquet(f"{path}/commits")
+    deltas.write.mode("overwrite").parquet(f"{path}/deltas/{_folder(batch)}")
+    spark.createDataFrame([(batch, _folder(batch))], COMMITS).coalesce(1).write.mode("append").parquet(f"{path}/commits")
     return True
 
 
 def totals(spark: SparkSession, path: str) -> DataFrame:
     """``source, lang, version, docs, tokens`` of all committed batches; keys at zero are left out."""
-    try:
-        batches = [r[0] for r in spark.read.parquet(f"{path}/commits").distinct().toLocalIterator()]
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        batches = []
-    schema = "source string, lang string, version string, docs bigint, tokens bigint"
-    if not batches:
-        return spark.createDataFrame([], schema)
-    deltas = spark.read.schema(schema).parquet(*[f"{path}/deltas/{b}" for b in batches])
+    folders = [r[0] for r in _commits(spark, path).where("folder IS NOT NULL").select("folder").distinct()
+               .toLocalIterator()]
+    if not folders:
+        return spark.createDataFrame([], DELTAS)
+    deltas = spark.read.schema(DELTAS).parquet(*[f"{path}/deltas/{f}" for f in folders])
     return deltas.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).where(
         "docs <> 0 OR tokens <> 0")
 
 
 def compact(spark: SparkSession, path: str, to: str) -> None:
-    """All committed batches as one rollup at a new path; batch names stay committed."""
-    totals(spark, path).write.mode("overwrite").parquet(f"{to}/deltas/compacted")
-    names = spark.read.parquet(f"{path}/commits").distinct()
-    empty = spark.createDataFrame([], "source string, lang string, version string, docs bigint, tokens bigint")
-    for (name,) in names.toLocalIterator():
-        empty.write.mode("overwrite").parquet(f"{to}/deltas/{name}")
-    names.union(spark.createDataFrame([("compacted",)], "batch string")).write.mode("overwrite").parquet(
-        f"{to}/commits")
+    """All committed batches as one rollup at a new path; batch names stay committed.
+
+    Two jobs however many batches there are; a rollup without commits gives an empty one.
+    """
+    totals(spark, path).write.mode("overwrite").parquet(f"{to}/deltas/{_folder('compacted')}")
+    merged = _commits(spark, path).select("batch", F.lit(None).cast("string").alias("folder")).distinct()
+    merged.union(spark.createDataFrame([("compacted", _folder("compacted"))], COMMITS)).write.mode(
+        "overwrite").parquet(f"{to}/commits")
 
 
 def counted(docs: DataFrame, pattern: str, version: str, text: str = "text") -> DataFrame:
