@@ -62,7 +62,8 @@ def rarity(docs: DataFrame, words: set[bytes]) -> Counter:
         for frame in frames:
             for text in frame["text"]:
                 found.update(sent.value.intersection(words_of(text)))
-        yield pd.DataFrame({"word": list(found.keys()), "n": list(found.values())})
+        if found:   # a frame without rows has no strings to tell its type by
+            yield pd.DataFrame({"word": list(found.keys()), "n": list(found.values())})
 
     rows = (docs.select("text").mapInPandas(count, "word binary, n long")
             .groupBy("word").agg(F.sum("n").alias("n")))

@@ -135,7 +135,8 @@ def part_counts(texts: DataFrame, wanted=None) -> DataFrame:
             if len(found) > 1_000_000:
                 yield pd.DataFrame({"part": list(found.keys()), "docs": list(found.values())})
                 found = Counter()
-        yield pd.DataFrame({"part": list(found.keys()), "docs": list(found.values())})
+        if found:   # a frame without rows has no strings to tell its type by
+            yield pd.DataFrame({"part": list(found.keys()), "docs": list(found.values())})
 
     return texts.select("text").mapInPandas(count, "part string, docs long").groupBy("part").agg(
         F.sum("docs").alias("docs"))

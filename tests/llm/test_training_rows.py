@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from harrow.llm import chosen_path, quality, toxicity
+from harrow.llm import chosen_path, decontaminate, quality, toxicity
 from harrow.llm.common import summed
 from tests.conftest import rows
 from tests.llm.test_operators import brute_jaccard, documents, prose
@@ -71,3 +71,12 @@ def test_low_thresholds_get_the_runs_they_need(spark, threshold):
     links = {r.doc_id: r.n_links for r in found.collect()}
     total = sum(links.values())
     assert expected * 0.99 <= total <= expected
+
+
+def test_partitions_without_rows_are_counted(spark):
+    table = spark.createDataFrame([(0, "some words of text", 1)], "doc_id long, text string, y int").repartition(6)
+    assert {r.part for r in toxicity.part_counts(table).collect()} >= {"some ", "words ", "of ", "text "}
+    kept = decontaminate.without_benchmark(
+        documents(spark, [prose(40, 1), prose(40, 2)]).repartition(8).where("doc_id < 5"),
+        spark.createDataFrame([("a", prose(40, 1))], "item_id string, text string").repartition(8))
+    assert [r.doc_id for r in kept.collect()] == [1]
