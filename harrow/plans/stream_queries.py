@@ -250,3 +250,26 @@ def stream_work_sessions(spark, sf):
         views.events(spark, sf), lambda ev: st.stream_work_sessions(
             working(ev), SESSION_GAP_S, "1 hour", measures=("value",)), "stream-sessions")
     return session_columns(out)
+
+
+REPLAY_WITHIN_S = 60
+
+
+@query("stream_replay_match", f"""WITH {EV}, copies AS (
+  SELECT 'j1939.gps.' || event_type AS subject, props AS body, us, 1 AS sent FROM ev
+  UNION ALL SELECT 'j1939.gps.' || event_type, props, us + 2000000, 0 FROM ev WHERE value >= 3
+  UNION ALL SELECT 'j1939.gps.' || event_type, props, us + 5000000, 0 FROM ev WHERE value > 150),
+opened AS (SELECT *, CASE WHEN us - lag(us) OVER w <= {REPLAY_WITHIN_S}000000 THEN 0 ELSE 1 END AS fresh
+  FROM copies WINDOW w AS (PARTITION BY subject, body ORDER BY us)),
+numbered AS (SELECT *, SUM(fresh) OVER (PARTITION BY subject, body ORDER BY us, fresh DESC ROWS UNBOUNDED PRECEDING)
+  AS session FROM opened),
+settled AS (SELECT subject, body, MIN(us) AS first_us, MAX(us) AS last_us, CAST(SUM(sent) AS BIGINT) AS sent,
+  CAST(SUM(1 - sent) AS BIGINT) AS received FROM numbered GROUP BY subject, body, session)
+SELECT subject, body, first_us AS first_time_us, last_us AS last_time_us, least(sent, received) AS matched,
+  greatest(sent - received, 0) AS missing, greatest(received - sent, 0) AS unexpected FROM settled
+WHERE last_us + {REPLAY_WITHIN_S}000000 <= (SELECT MAX(us) FROM copies) // 1000 * 1000 - 600000000""")
+def stream_replay_match(spark, sf):
+    out = appended(
+        views.events(spark, sf), lambda ev: st.stream_replay_balance(
+            views.replay_sent_at(ev), views.replay_received_at(ev), REPLAY_WITHIN_S, "10 minutes"), "stream-replay")
+    return out.select("subject", "body", us("first_time"), us("last_time"), "matched", "missing", "unexpected")

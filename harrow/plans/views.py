@@ -203,6 +203,17 @@ def replay_received(ev: DataFrame) -> DataFrame:
     return replay_expected(arrived).unionByName(replay_expected(ev.where("value > 150")))
 
 
+def replay_sent_at(ev: DataFrame) -> DataFrame:
+    return ev.select(make_subject("gps", "event_type").alias("subject"), F.col("props").alias("body"), "time")
+
+
+def replay_received_at(ev: DataFrame) -> DataFrame:
+    """What arrives two seconds later, without the lost, and some of it once more."""
+    later = ev.withColumn("time", F.col("time") + F.expr("INTERVAL 2 SECONDS"))
+    again = ev.withColumn("time", F.col("time") + F.expr("INTERVAL 5 SECONDS"))
+    return replay_sent_at(later.where("value >= 3")).union(replay_sent_at(again.where("value > 150")))
+
+
 def gpsd_lines(ev: DataFrame) -> DataFrame:
     """Reports as JSON lines; those of value under 2 are cut short."""
     device = (F.col("user_id") % 50).cast("string")
