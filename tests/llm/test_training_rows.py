@@ -78,5 +78,5 @@ def test_partitions_without_rows_are_counted(spark):
     assert {r.part for r in toxicity.part_counts(table).collect()} >= {"some ", "words ", "of ", "text "}
     kept = decontaminate.without_benchmark(
         documents(spark, [prose(40, 1), prose(40, 2)]).repartition(8).where("doc_id < 5"),
-        spark.createDataFrame([("a", prose(40, 1))], "item_id string, text string").repartition(8))
+        spark.createDataFrame([(1, prose(40, 1))], "item_id long, text string").repartition(8))
     assert [r.doc_id for r in kept.collect()] == [1]
