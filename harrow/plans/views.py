@@ -37,8 +37,13 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return as_events(table(spark, sf_dir, "events"))
 
 
-def in_slices(df: DataFrame, time: str, n: int = 4) -> list[DataFrame]:
-    """Rows in consecutive slices of time of about equal size."""
+# Rows of a slice of a stream, at most about, once there are more than four.
+SLICE_ROWS = 500_000
+
+
+def in_slices(df: DataFrame, time: str) -> list[DataFrame]:
+    """Rows in consecutive slices of time of about equal size: four, or as many as the rows call for."""
+    n = max(4, df.count() // SLICE_ROWS + 1)
     cuts = df.agg(F.percentile_approx(
         F.unix_micros(time), F.array(*[F.lit(k / n) for k in range(1, n)]), F.lit(10_000))).first()[0] or []
     us, bounds = F.unix_micros(time), sorted(set(cuts))
