@@ -17,8 +17,8 @@ from harrow.operators.j1939 import (
     frame_to_bus_message, frame_to_message, j1939_decode_id, j1939_only, logs_to_frames,
     signal_decode, signals_to_messages, stats_to_messages, valid_signal_filter)
 from harrow.operators.ledger import (
-    ledger_backfill, ledger_insert, ledger_mark_sent, ledger_prune, unsent,
-    unsent_points, upload_retry)
+    feed_split, fold_feed, ledger_backfill, ledger_from_feed, ledger_insert, ledger_mark_sent, ledger_of,
+    ledger_prune, merge_folds, unsent, unsent_points, upload_retry)
 from harrow.operators.modem import cell_pick_tech
 from harrow.operators.pieces import (
     cut_into_pieces, ordered_scan, order_key, with_previous, with_row_number)

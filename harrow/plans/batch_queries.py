@@ -935,6 +935,29 @@ def ledger_mark_sent(spark, sf):
     return op.ledger_insert(points, after).where("sent").select("device", us("time"))
 
 
+CHANGES = f"""WITH {EV}, changes AS (SELECT id AS seq, CASE WHEN event_type = 'signup' AND id % 10 = 0 THEN 'update'
+    WHEN event_type = 'error' THEN 'delete' WHEN event_type = 'purchase' THEN 'sent' ELSE 'insert' END AS op,
+  CASE WHEN value < 2 THEN NULL ELSE user_id % 5 END AS device, epoch_us(date_trunc('hour', time)) AS time_us
+  FROM ev)"""
+FED_LEDGER_SQL = CHANGES + """ SELECT device, time_us,
+  coalesce(arg_max(op, seq) FILTER (WHERE op IN ('insert', 'sent')) = 'sent', false) AS sent
+  FROM changes WHERE device IS NOT NULL AND op <> 'update' GROUP BY device, time_us
+  HAVING arg_max(op, seq) FILTER (WHERE op IN ('insert', 'delete')) = 'insert'"""
+
+
+@query("ledger_from_feed", FED_LEDGER_SQL)
+def ledger_from_feed(spark, sf):
+    return op.ledger_from_feed(views.ledger_changes(views.events(spark, sf))).select("device", us("time"), "sent")
+
+
+@query("ledger_feed_rejects", CHANGES + """ SELECT seq, op, device, time_us,
+  CASE WHEN device IS NULL THEN 'null device' ELSE 'unknown op update' END AS reason
+  FROM changes WHERE device IS NULL OR op = 'update'""")
+def ledger_feed_rejects(spark, sf):
+    return op.feed_split(views.ledger_changes(views.events(spark, sf)))[1].select(
+        "seq", "op", "device", us("time"), "reason")
+
+
 @query("upload_retry", sql(TRAILS, """SELECT device, epoch_us(time) AS time_us FROM sent_log
   UNION SELECT device, epoch_us(time) FROM ranked r WHERE NOT EXISTS (SELECT 1 FROM sent_log s
     WHERE s.device = r.device AND s.time = r.time)

@@ -15,10 +15,11 @@ from harrow import operators as op
 from harrow import streaming as st
 from harrow.plans import flows, views
 from harrow.plans.batch_queries import (
-    FIXES, GAUGE_SQL, GREEDY_GAP_S, GREEDY_SQL, NOW, POSITION_WITHIN_S, SESSION_GAP_S, SESSIONS, STATS, TRAILS,
-    TRANSITIONS, fixes, located_columns, located_signals, session_columns, stats_columns, working)
+    CONSTRAINTS, FED_LEDGER_SQL, FIXES, GAUGE_SQL, GREEDY_GAP_S, GREEDY_SQL, NOW, POSITION_WITHIN_S, SESSION_GAP_S,
+    SESSIONS, STATS, TRAILS, TRANSITIONS, fixes, located_columns, located_signals, session_columns, stats_columns,
+    working)
 from harrow.plans.registry import (
-    COUNTERS, DECODED, EV, GAP_TEXT, PROBES, READINGS, REQUESTS, SIGNALS, query, rounded, sql, us)
+    COUNTERS, DECODED, EV, GAP_TEXT, POINTS, PROBES, READINGS, REQUESTS, SIGNALS, query, rounded, sql, us)
 from harrow.session import shared_folder
 
 
@@ -252,6 +253,32 @@ def stream_work_sessions(spark, sf):
     return session_columns(out)
 
 
+# Changes come out of their order, one part of them twice; days are merged after every second batch.
+@query("stream_ledger_feed", FED_LEDGER_SQL)
+def stream_ledger_feed(spark, sf):
+    changes = views.ledger_changes(views.events(spark, sf))
+    parts = [views.ledger_changes(p) for p in out_of_order(views.events(spark, sf))]
+    base = shared_folder(spark, "stream-ledger")
+    for part in [*parts, parts[1]]:
+        part.write.mode("append").parquet(base + "/in")
+        st.stream_ledger_feed(spark.readStream.schema(changes.schema).parquet(base + "/in"), base + "/ledger",
+                              base + "/checkpoint", merge_every=2)
+    return st.read_ledger(spark, base + "/ledger").select("device", us("time"), "sent")
+
+
+# Out come the rows that the watermark has passed, and those that lack a column, of whatever time.
+@query("stream_constraint_split", sql(POINTS + f", split AS ({CONSTRAINTS})", """
+  SELECT id, reason FROM split JOIN points USING (id) WHERE reason LIKE 'null%' OR epoch_us(time) <=
+  (SELECT MAX(epoch_us(time)) FROM points WHERE value >= 3) // 1000 * 1000 - 3600000000"""))
+def stream_constraint_split(spark, sf):
+    def split(points):
+        return st.stream_constraint_split(points, ["lat"], ["device", "time"], "id", "1 hour")
+
+    points = views.points(views.events(spark, sf), "value").withColumn(
+        "lat", F.when(F.col("value") >= 3, F.col("lat")))
+    return appended(points, split, "stream-split").select("id", "reason")
+
+
 REPLAY_WITHIN_S = 60
 
 

@@ -145,6 +145,16 @@ def sent_log(ev: DataFrame) -> DataFrame:
     return points(ev.where("value < 30")).select("device", "time").distinct()
 
 
+def ledger_changes(ev: DataFrame) -> DataFrame:
+    """Inserts, deletes and marks of points at whole hours, some without a device or of no known kind."""
+    op = _by_type({"error": "delete", "purchase": "sent"}, F.lit("insert"))
+    unknown = (F.col("event_type") == "signup") & (F.col("id") % 10 == 0)
+    return ev.select(
+        F.col("id").alias("seq"), F.when(unknown, F.lit("update")).otherwise(op).alias("op"),
+        F.when(F.col("value") < 2, F.lit(None)).otherwise(F.col("user_id") % 5).alias("device"),
+        F.date_trunc("hour", "time").alias("time"))
+
+
 def probes(ev: DataFrame) -> DataFrame:
     return ev.select(
         "id", F.col("user_id").alias("device"), "time", (F.col("event_type") != "error").alias("ok"))

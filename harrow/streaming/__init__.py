@@ -9,10 +9,12 @@ task is bounded by the source's per-trigger limit (``maxFilesPerTrigger``,
 """
 
 from harrow.streaming.aggregates import (
-    stream_gauges, stream_signal_stats, stream_staleness, stream_subscribers)
+    stream_constraint_split, stream_gauges, stream_signal_stats, stream_staleness, stream_subscribers)
 from harrow.streaming.event_time import (
     in_event_order, read_batches, stream_position_asof, stream_replay_balance, stream_split_late,
     stream_work_sessions, timer_state)
+from harrow.streaming.ledger_feed import (
+    merge_days, read_folds, read_ledger, stream_ledger_feed, write_feed_batch)
 from harrow.streaming.runs import read_updates, run_append, run_updates
 from harrow.streaming.stateful import (
     stream_idle_detect, stream_online_transitions, stream_rising_edge,
