@@ -15,6 +15,8 @@ from harrow.llm.registry import query
 
 WINDOW = 10
 BLOCK_WINDOWS = 200_000  # item windows that one broadcast index may hold
+BLOCK_BYTES = 16 << 20   # and bytes of their words
+COUNTED_WORDS = 300_000  # words that are counted in one pass over the documents; beyond, those of each block
 
 Window = tuple[bytes, ...]
 
@@ -27,14 +29,8 @@ def item_windows(text: str | None, width: int = WINDOW) -> set[Window]:
     return {tuple(words[i:i + width]) for i in range(max(1, len(words) - width + 1))}
 
 
-def item_blocks(items: DataFrame, width: int, block_windows: int) -> Iterator[dict[Window, list[int]]]:
-    """Windows with the items they occur in, in blocks of bounded size.
-
-    The number of windows is known before anything is fetched; items are dealt to as many
-    blocks by hash as it needs, and each block is fetched alone.
-    """
-    spark = items.sparkSession
-
+def staged_windows(items: DataFrame, width: int) -> DataFrame:
+    """``item_id, words`` of each window of each item, its words joined by blanks."""
     def cut(frames):
         for frame in frames:
             yield pd.DataFrame(
@@ -42,9 +38,18 @@ def item_blocks(items: DataFrame, width: int, block_windows: int) -> Iterator[di
                  for w in item_windows(t, width)], columns=["item_id", "words"])
 
     clean = items.where("item_id IS NOT NULL").select("item_id", "text")
-    windows = stage(clean.mapInPandas(cut, "item_id long, words binary").distinct(), "windows")
-    count = windows.count()
-    blocks = -(-count // block_windows)
+    return stage(clean.mapInPandas(cut, "item_id long, words binary").distinct(), "windows")
+
+
+def blocks_needed(windows: DataFrame, block_windows: int, block_bytes: int) -> int:
+    """Blocks by number and bytes of the windows, known before any is fetched."""
+    count, size = windows.agg(
+        F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("words")), F.lit(0))).first()
+    return max(-(-count // block_windows), -(-size // block_bytes))
+
+
+def item_blocks(windows: DataFrame, blocks: int) -> Iterator[dict[Window, list[int]]]:
+    """Windows with the items they occur in, dealt to blocks by hash; each block is fetched alone."""
     for k in range(blocks):
         part = windows.where(F.pmod(F.xxhash64("words"), F.lit(blocks)) == k)
         index: dict[Window, list[int]] = defaultdict(list)
@@ -71,15 +76,28 @@ def rarity(docs: DataFrame, words: set[bytes]) -> Counter:
 
 
 def _joined(index: dict[Window, list[int]], frequency: Counter):
-    """The prefix index: rarest word -> (its offset, window), rarest first.
+    """The prefix index: rarest word -> its offset and the window's length -> windows.
 
-    All words of a window must occur, so one prefix word is enough.
+    All words of a window must occur, so one prefix word is enough. There are as many offsets and
+    lengths under a word as a window has words, and their lengths, however many windows there are.
     """
-    prefix: dict[bytes, list[tuple[int, Window]]] = defaultdict(list)
+    prefix: dict[bytes, dict[tuple[int, int], set[Window]]] = defaultdict(lambda: defaultdict(set))
     for window in index:
         offset = min(range(len(window)), key=lambda k: (frequency[window[k]], window[k], k))
-        prefix[window[offset]].append((offset, window))
-    return dict(prefix)
+        prefix[window[offset]][offset, len(window)].add(window)
+    return {word: dict(places) for word, places in prefix.items()}
+
+
+def few_words(windows: DataFrame, most: int) -> set[bytes] | None:
+    """The words of all windows, or None if there are more than ``most``."""
+    def split(frames):
+        for frame in frames:
+            if len(frame):
+                yield pd.DataFrame({"word": list({w for x in frame["words"] for w in bytes(x).split(b" ")})})
+
+    found = windows.mapInPandas(split, "word binary").distinct().limit(most + 1)
+    words = {bytes(r[0]) for r in found.toLocalIterator()}
+    return None if len(words) > most else words
 
 
 def occurrences(words: list[bytes], prefix: dict, keys: frozenset) -> tuple[set[Window], list[tuple[int, int]]]:
@@ -90,11 +108,10 @@ def occurrences(words: list[bytes], prefix: dict, keys: frozenset) -> tuple[set[
     found, stretches, n = set(), [], len(words)
     for at, word in enumerate(words):
         if word in present:
-            for offset, window in prefix[word]:
-                start, end = at - offset, at - offset + len(window)
+            for (offset, length), windows in prefix[word].items():
+                start, end = at - offset, at - offset + length
                 # Length and position first, then the words themselves.
-                if start >= 0 and end <= n and words[start] == window[0] \
-                        and words[end - 1] == window[-1] and tuple(words[start:end]) == window:
+                if start >= 0 and end <= n and (window := tuple(words[start:end])) in windows:
                     found.add(window)
                     stretches.append((start, end))
     return found, merged(stretches)
@@ -111,7 +128,7 @@ def merged(stretches: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def benchmark_hits(docs: DataFrame, items: DataFrame, width: int = WINDOW, *, doc_id: str = "doc_id",
-                   block_windows: int = BLOCK_WINDOWS) -> DataFrame:
+                   block_windows: int = BLOCK_WINDOWS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``doc_id, n_words, item_ids, stretches`` per document: which benchmark items occur where.
 
     Words are ASCII letters (lower-cased) and digits and all past ASCII. An item's windows
@@ -126,7 +143,7 @@ def benchmark_hits(docs: DataFrame, items: DataFrame, width: int = WINDOW, *, do
     like others. An empty table gives an empty result, an empty benchmark no hits.
     """
     narrow = docs.select(F.col(doc_id).alias("doc_id"), F.col("text").alias("text"))
-    indexes = _indexes(narrow, items, width, block_windows)
+    indexes = _indexes(narrow, items, width, block_windows, block_bytes)
     # Rows that share an id but not a text are kept apart by a key of the text.
     keyed = narrow.withColumn("row_key", F.xxhash64("text"))
     if len(indexes) <= 1:
@@ -135,11 +152,19 @@ def benchmark_hits(docs: DataFrame, items: DataFrame, width: int = WINDOW, *, do
     return _together(reduce(DataFrame.union, parts), len(indexes))
 
 
-def _indexes(docs: DataFrame, items: DataFrame, width: int, block_windows: int) -> list:
-    """One broadcast index per block of item windows."""
+def _indexes(docs: DataFrame, items: DataFrame, width: int, block_windows: int, block_bytes: int = BLOCK_BYTES,
+             counted_words: int = COUNTED_WORDS) -> list:
+    """One broadcast index per block of item windows.
+
+    Where the items have few different words, one pass over the documents counts them for all blocks.
+    """
+    windows = staged_windows(items, width)
+    blocks = blocks_needed(windows, block_windows, block_bytes)
+    words = few_words(windows, counted_words) if blocks > 1 else None
+    of_all = None if words is None else rarity(docs, words)
     indexes = []
-    for index in item_blocks(items, width, block_windows):
-        frequency = rarity(docs, {w for window in index for w in window})
+    for index in item_blocks(windows, blocks):
+        frequency = rarity(docs, {w for window in index for w in window}) if of_all is None else of_all
         indexes.append(docs.sparkSession.sparkContext.broadcast((_joined(index, frequency), index)))
     return indexes
 
@@ -192,7 +217,7 @@ def contamination(docs: DataFrame, items: DataFrame, width: int = WINDOW, **sett
 
 
 def without_benchmark(docs: DataFrame, items: DataFrame, width: int = WINDOW,
-                      block_windows: int = BLOCK_WINDOWS) -> DataFrame:
+                      block_windows: int = BLOCK_WINDOWS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Documents in which no window of an item occurs, all columns as they were."""
     def keep(sent):
         def run(batches):
@@ -204,7 +229,7 @@ def without_benchmark(docs: DataFrame, items: DataFrame, width: int = WINDOW,
                 yield batch.filter(pa.array(clean, pa.bool_()))
         return run
 
-    for sent in _indexes(docs, items, width, block_windows):
+    for sent in _indexes(docs, items, width, block_windows, block_bytes):
         docs = docs.mapInArrow(keep(sent), docs.schema)
     return docs
 

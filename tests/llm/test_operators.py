@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -192,6 +193,35 @@ def test_decontamination(spark, block_windows):
     assert decontaminate.contamination(df, bench.limit(0)).where("contaminated").count() == 0
 
 
+def test_blocks_of_items_by_words_and_bytes(spark):
+    bench = spark.createDataFrame([(i, prose(14, i)) for i in range(20)], "item_id long, text string")
+    df = documents(spark, [prose(14, i) + " " + prose(40, 50 + i) for i in range(0, 40, 3)])
+    whole = rows(decontaminate.contamination(df, bench))
+    assert sum(r[-1] for r in whole) == 7
+    assert rows(decontaminate.contamination(df, bench, block_bytes=500)) == whole
+    windows = decontaminate.staged_windows(bench, 10)
+    assert decontaminate.blocks_needed(windows, 1000, 500) > 5 and decontaminate.blocks_needed(windows, 30, 1 << 20) == 4
+    words = decontaminate.few_words(windows, 10_000)
+    assert words == {w for t in bench.collect() for w in decontaminate.words_of(t.text)}
+    assert decontaminate.few_words(windows, 3) is None
+    counts = [len(decontaminate._indexes(df, bench, 10, 30, 1 << 20, counted_words=n)) for n in (3, 10_000)]
+    assert counts == [4, 4]
+
+
+def test_very_many_windows_under_one_word():
+    r = random.Random(1)
+    names = [b"w%d" % i for i in range(400)]
+    index = {(b"same", *r.choices(names, k=9)): [i] for i in range(100_000)}
+    index |= {(*r.choices(names, k=4), b"same"): [-1]}
+    prefix = decontaminate._joined(index, Counter(dict.fromkeys(names, 9)))     # the rarest word is the same
+    hit = next(iter(index))
+    text = [b"same"] * 2000 + list(hit) + [b"same"] * 2000
+    started = time.perf_counter()
+    found, stretches = decontaminate.occurrences(text, prefix, frozenset(prefix))
+    assert time.perf_counter() - started < 5
+    assert found == {hit} and stretches == [(2000, 2010)]
+
+
 def test_shards_fit_and_lose_nothing(spark, tmp_path):
     sizes = [3, 50, 7, 900, 12] * 40
     df = spark.createDataFrame([(i if i % 3 else 0, s, "same" if i % 3 == 0 else str(i)) for i, s in enumerate(sizes)]
