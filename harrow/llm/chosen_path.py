@@ -10,7 +10,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from harrow.llm.common import Forest, components, groups, in_pairs, read, seated, stage, words_of
+from harrow.llm.common import Forest, components, groups, in_pairs, in_tasks, read, seated, stage, words_of
 from harrow.llm.registry import query
 
 SHINGLE = 5
@@ -97,14 +97,14 @@ def leaves(sets: DataFrame, runs: list[int], levels: int, small: int) -> DataFra
     split by the next sampled token of its run; one that is small is a leaf. Counts are
     combined before the shuffle; nothing is gathered.
     """
-    found = None
+    found, n = None, sets.count() * len(runs)
     nodes = sets.select("rep", F.explode(F.array(*[F.lit(r) for r in runs])).alias("run"), "sample")
     for level in range(levels):
         token = F.expr(f"substring(sample, 4 * (run * {levels} + {level}) + 1, 4)")
         path = [F.col("path")] if level else [F.col("run")]
         nodes = nodes.select("rep", "run", F.xxhash64(*path, token).alias("path"))
         sizes = nodes.groupBy("path").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-        nodes = stage(nodes.join(sizes, "path"), "paths")
+        nodes = stage(in_tasks(nodes.join(sizes, "path"), n), "paths")
         last = level == levels - 1
         leaf = (nodes if last else nodes.where(F.col("size") <= small)).select(
             F.col("path").alias("leaf"), F.lit(level + 1).alias("depth"), "rep")
@@ -237,8 +237,8 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, width: int = SHI
 
     1. Documents with equal shingle sets become one class; only one set of each goes on.
     2. Chosen paths: each run puts sets into buckets by a sampled token they share and
-       splits large buckets by further tokens. Runs repeat until a pair at the threshold
-       has met with probability ``recall``, given how deep the buckets went; a lower threshold
+       splits large buckets by further tokens. There are as many runs as a pair at the threshold
+       needs to meet with probability ``recall`` in buckets split to the last level; a lower threshold
        takes more runs, and more sampled tokens for them.
     3. Buckets are compared by their samples, in blocks; what comes near the threshold
        makes clusters.
@@ -261,13 +261,8 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, width: int = SHI
     classes = named.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     sets = stage(classes.join(named.select(F.col("doc_id").alias("rep"), "tokens", "sample"), "rep"), "sets")
 
-    first = runs_needed(threshold, 1, recall)
-    buckets = leaves(sets, list(range(first)), levels, small)
-    depth = buckets.agg(F.max("depth")).first()[0] or 1
-    needed = runs_needed(threshold, depth, recall)
-    if needed > first:
-        buckets = buckets.union(leaves(sets, list(range(first, needed)), levels, small))
-
+    # All runs walk down together, as many as the deepest paths call for.
+    buckets = leaves(sets, list(range(runs_needed(threshold, levels, recall))), levels, small)
     near = candidates(buckets.select("leaf", "rep"), sets, threshold, coordinates, 4 * block)
     clusters = components(near)
     exact = stage(exact_links(docs, sets, clusters, width, threshold, block, repeated), "links")

@@ -40,6 +40,14 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+ROWS_OF_A_TASK = 20_000
+
+
+def in_tasks(df: DataFrame, rows: int) -> DataFrame:
+    """As many tasks as that many narrow rows call for, where the shuffle made more of them."""
+    return df.coalesce(rows // ROWS_OF_A_TASK + 1)
+
+
 def text_of(column: str) -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
@@ -128,16 +136,16 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
     """
     pairs = edges.select(F.col(a).alias("id"), F.col(b).alias("other")).where("id <> other")
     pairs = stage(pairs.union(pairs.select("other", "id")).distinct(), "edges")
-    labels = stage(
-        pairs.groupBy("id").agg(F.min("other").alias("near"))
-        .select("id", F.least("id", "near").alias("component")), "labels")
+    n = pairs.count()
+    first = pairs.groupBy("id").agg(F.min("other").alias("near"))
+    labels = stage(in_tasks(first.select("id", F.least("id", "near").alias("component")), n), "labels")
     for _ in range(max_rounds):
         near = (pairs.join(labels.withColumnRenamed("id", "other"), "other")
                 .groupBy("id").agg(F.min("component").alias("near")))
         spread = labels.join(near, "id").select(
             "id", F.col("component").alias("was"), F.least("component", "near").alias("label"))
         roots = spread.select(F.col("id").alias("label"), F.col("label").alias("component"))
-        after = stage(spread.join(roots, "label").select("id", "was", "component"), "labels")
+        after = stage(in_tasks(spread.join(roots, "label").select("id", "was", "component"), n), "labels")
         labels = after.select("id", "component")
         if after.where("was <> component").isEmpty():
             return labels
