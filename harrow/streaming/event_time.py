@@ -7,19 +7,23 @@ operator in the order of their times, whatever order they came in.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from contextlib import contextmanager
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
+from harrow.streaming.keyed import Keyed, Step, before_each, bucket, run_ends
 from harrow.streaming.writers import found, start_batches
 
 STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-Step = Callable[[pd.DataFrame, tuple | None], tuple[pd.DataFrame, tuple]]
+# Rows of a chunk that waits.
+CHUNK_ROWS = 10_000
 
 
 @contextmanager
@@ -72,24 +76,21 @@ def read_batches(spark: SparkSession, path: str, schema) -> DataFrame:
 
 
 class _InOrder(StatefulProcessor):
-    """Rows wait until the watermark passes their time; timers wake those whose time has come."""
+    """Rows wait until the watermark passes their time; timers wake the buckets of those whose time has come."""
 
-    def __init__(self, step: Step, keys: tuple[str, ...], waiting: str, held: str, columns: list[str],
-                 by: list[str], out: list[str], expiry_ms: int | None):
-        self.step, self.keys, self.schemas = step, keys, (waiting, held)
-        self.columns, self.by, self.out, self.expiry_ms = columns, by, out, expiry_ms
-        # Rows pass as tuples with names, which may not begin with an underscore.
+    def __init__(self, step: Step, keyed: Keyed, columns: list[str], expiry_ms: int | None):
+        self.step, self.keyed, self.columns, self.expiry_ms = step, keyed, columns, expiry_ms
+        # Rows pass with names that do not begin with an underscore.
         self.passed = [f"c{i}" for i in range(len(columns))]
 
     def init(self, handle) -> None:
-        waiting, held = self.schemas
         self.handle = handle
-        self.waiting = handle.getListState("waiting", waiting)
-        self.held = handle.getValueState("held", held)
-        self.seen = handle.getValueState("seen", "us bigint")
+        # Rows wait in chunks, as Arrow tables.
+        self.waiting = handle.getListState("waiting", "first bigint, chunk binary")
+        self.held = handle.getValueState("held", self.keyed.state_type)
 
     def _wake(self, ms: int) -> None:
-        """One timer per key, at the earlier time of two."""
+        """One timer per bucket, at the earlier time of two."""
         for other in list(self.handle.listTimers()):
             if other <= ms:
                 return
@@ -101,60 +102,83 @@ class _InOrder(StatefulProcessor):
             self.handle.deleteTimer(other)
         self.handle.registerTimer(ms)
 
+    def _chunks(self, rows: pd.DataFrame) -> Iterator[tuple[int, bytes]]:
+        us = self.columns.index("_us")
+        for a in range(0, len(rows), CHUNK_ROWS):
+            part = rows.iloc[a:a + CHUNK_ROWS]
+            table, sink = pa.Table.from_pandas(part, preserve_index=False), pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, table.schema) as writer:
+                writer.write_table(table)
+            yield int(part.iloc[:, us].min()), sink.getvalue().to_pybytes()
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        first = None
-        for chunk in rows:
-            chunk = chunk[self.passed]
-            low = int(chunk["c0"].min())
-            first = low if first is None else min(first, low)
-            plain = chunk.astype(object).where(chunk.notna(), None)
-            self.waiting.appendList(list(plain.itertuples(index=False, name=None)))
-        if first is not None:
+        frames = [chunk[self.passed] for chunk in rows]
+        if frames:
+            chunks = list(self._chunks(pd.concat(frames, ignore_index=True)))
+            self.waiting.appendList(chunks)
             # An expiry that is set is put off: rows are here again.
-            self._wake(-(-first // 1000))
+            self._wake(-(-min(c[0] for c in chunks) // 1000))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         watermark = timerValues.getCurrentWatermarkInMs()
-        rows = list(self.waiting.get())
-        ready = [r for r in rows if r[0] <= watermark * 1000]
-        rest = [r for r in rows if r[0] > watermark * 1000]
+        chunks = list(self.waiting.get())
+        ready = [c for c in chunks if c[0] <= watermark * 1000]
+        rest = [c for c in chunks if c[0] > watermark * 1000]
+        states = self.keyed.load(self.held.get() if self.held.exists() else None)
         if ready:
-            frame = pd.DataFrame(ready, columns=self.columns).infer_objects().sort_values(
-                self.by, ignore_index=True)
-            out, after = self._stepped(frame)
-            self.held.update(after)
-            self.seen.update((int(frame["_us"].iloc[-1]),))
+            frame = pd.concat([pa.ipc.open_stream(c[1]).read_pandas() for c in ready], ignore_index=True)
+            frame.columns = self.columns
+            now = frame["_us"] <= watermark * 1000
+            rest += self._chunks(frame[~now].set_axis(self.passed, axis=1))
+            rows, starts, found = self.keyed.ordered(frame[now])
+            at, out = self._stepped(rows, starts, found, states)
             if rest:
                 self.waiting.put(rest)
             else:
                 self.waiting.clear()
             if len(out):
-                for name, value in zip(self.keys, key):
-                    out[name] = value
-                yield out[[*self.keys, *self.out]]
-        if rest:
-            self._wake_only(-(-min(r[0] for r in rest) // 1000))
-        elif self.expiry_ms is not None and self.seen.exists():
-            expires = self.seen.get()[0] // 1000 + self.expiry_ms
-            if expires <= watermark:
-                self.held.clear()
-                self.seen.clear()
-            else:
-                self._wake_only(expires)
-
-    def _stepped(self, frame: pd.DataFrame) -> tuple[pd.DataFrame, tuple]:
-        """Runs the step; where a key was silent for longer than the expiry it begins without a state."""
-        held = self.held.get() if self.held.exists() else None
-        if self.expiry_ms is None:
-            return self.step(frame, held)
-        us = frame["_us"]
-        before = us.shift(fill_value=self.seen.get()[0] if self.seen.exists() else int(us.iloc[0]))
-        outs, silent = [], us - before > self.expiry_ms * 1000
-        for _, part in frame.groupby(silent.cumsum()):
-            out, held = self.step(part.reset_index(drop=True), None if silent[part.index[0]] else held)
-            outs.append(out)
-        return pd.concat(outs, ignore_index=True), held
+                yield self.keyed.named(rows, at, out)
+        wake = [-(-c[0] // 1000) for c in rest]
+        if self.expiry_ms is not None:
+            expires = {k: s[-1] // 1000 + self.expiry_ms for k, s in states.items()}
+            over = {k for k, ms in expires.items() if ms <= watermark}
+            if over and rest:
+                # A key whose rows wait is asked again when they come.
+                over -= self._keys_of(rest)
+            states = {k: s for k, s in states.items() if k not in over}
+            wake += [ms for k, ms in expires.items() if ms > watermark]
+        if states:
+            self.held.update(self.keyed.save(states))
+        else:
+            self.held.clear()
+        if wake:
+            self._wake_only(min(wake))
+
+    def _keys_of(self, chunks: list) -> set[tuple]:
+        frame = pd.concat([pa.ipc.open_stream(c[1]).read_pandas() for c in chunks], ignore_index=True)
+        frame.columns = self.columns
+        return set(self.keyed.ordered(frame)[2])
+
+    def _stepped(self, rows: pd.DataFrame, starts: np.ndarray, found: list[tuple],
+                 states: dict[tuple, tuple]) -> tuple[np.ndarray, pd.DataFrame]:
+        """Runs the step and keeps the states; where a key was silent for longer than the expiry it begins without one."""
+        us = rows["_us"].to_numpy()
+        held = [states[k][:-1] if k in states else None for k in found]
+        runs, ends = starts, run_ends(starts, len(rows))
+        if self.expiry_ms is not None:
+            seen = [states[k][-1] if k in states else int(us[a]) for k, a in zip(found, starts)]
+            silent = us - before_each(us, starts, seen) > self.expiry_ms * 1000
+            begins = silent.copy()
+            begins[starts] = True
+            runs = np.flatnonzero(begins)
+            known = dict(zip(starts.tolist(), held))
+            held = [None if silent[a] else known[a] for a in runs.tolist()]
+        at, out, after = self.step(rows, runs, held)
+        last = np.searchsorted(runs, ends) - 1
+        for k, i, b in zip(found, last.tolist(), ends.tolist()):
+            states[k] = (*after[i], int(us[b - 1]))
+        return at, out
 
     def close(self) -> None:
         pass
@@ -162,23 +186,19 @@ class _InOrder(StatefulProcessor):
 
 def in_event_order(df: DataFrame, keys: tuple[str, ...], columns: list[str], state: str, out: str, step: Step,
                    by: list[str], delay: str, expiry_s: float | None = None) -> DataFrame:
-    """Run ``step(rows, state) -> (rows out, new state)`` over each key's rows in the order of time.
+    """Run ``step`` over each key's rows in the order of time, a bucket of keys at a time.
 
     Times pass as microseconds in ``_us``. A row waits in state until the watermark, ``delay`` behind the newest
     time, has passed it; what waits is bounded by what comes in a delay. The state of a key is dropped when the
     watermark has passed its last row by ``expiry_s``, and a row that comes so long after the one
     before finds none, so results do not depend on batches. Start the query under ``timer_state``.
     """
-    types = {f.name: f.dataType.simpleString() for f in df.schema.fields} | {"_us": "bigint"}
-    columns = ["_us", *columns]
-    names = [c.split()[0] for c in out.split(", ")]
-    processor = _InOrder(
-        step, keys, ", ".join(f"c{i} {types[c]}" for i, c in enumerate(columns)), state, columns, by, names,
-        None if expiry_s is None else round(expiry_s * 1000))
+    columns = [*keys, "_us", *columns]
+    keyed = Keyed(df, keys, state + ", _seen bigint", out, by)
+    processor = _InOrder(step, keyed, columns, None if expiry_s is None else round(expiry_s * 1000))
     rows = df.withWatermark("time", delay).withColumn("_us", F.unix_micros("time")).select(
-        *keys, "time", *[F.col(c).alias(f"c{i}") for i, c in enumerate(columns)])
-    return rows.groupBy(*keys).transformWithStateInPandas(
-        processor, ", ".join([*[f"{k} {types[k]}" for k in keys], out]), "append", "EventTime")
+        bucket(keys).alias("bucket"), "time", *[F.col(c).alias(f"c{i}") for i, c in enumerate(columns)])
+    return rows.groupBy("bucket").transformWithStateInPandas(processor, keyed.out_type, "append", "EventTime")
 
 
 def stream_position_asof(signals: DataFrame, points: DataFrame, delay: str, tolerance_s: float | None = 60.0,
@@ -196,36 +216,33 @@ def stream_position_asof(signals: DataFrame, points: DataFrame, delay: str, tole
                            F.lit(None).cast("double").alias("value"), F.col("lat").cast("double"),
                            F.col("lon").cast("double"), F.lit(0).alias("_side"))
 
-    def step(rows: pd.DataFrame, held: tuple | None):
-        here = rows["_side"].eq(0)
-        at = rows["_us"].where(here)
-        lat, lon = (rows[c].astype(float).where(here) for c in ("lat", "lon"))
-        place = here.cumsum()               # 0: before the first position of these rows
-        frame = pd.DataFrame({"_at": at, "lat": lat, "lon": lon}).groupby(place).transform("first")
-        if held:
-            first = place.eq(0)
-            frame.loc[first, ["_at", "lat", "lon"]] = held
-        out = rows.loc[~here, ["id", "_us", "name", "value"]].copy()
-        found = frame.loc[~here]
-        near = found["_at"].notna()
+    def step(rows: pd.DataFrame, starts: np.ndarray, held: list):
+        here, ends = rows["_side"].eq(0).to_numpy(), run_ends(starts, len(rows))
+        begins = here.copy()
+        begins[starts] = True
+        # The last position up to each row, or the row where its run begins.
+        place = np.maximum.accumulate(np.where(begins, np.arange(len(rows)), 0))
+        known = np.array([h or (None, None, None) for h in held], dtype=float)
+        run = np.repeat(np.arange(len(starts)), ends - starts)
+        at, lat, lon = (np.where(here[place], rows[c].to_numpy(dtype=float)[place], known[run, i])
+                        for i, c in enumerate(("_us", "lat", "lon")))
+        asked = np.flatnonzero(~here)
+        out = rows.loc[asked, ["id", "_us", "name", "value"]].copy()
+        near = ~np.isnan(at[asked])
         if tolerance is not None:
-            near &= out["_us"] - found["_at"] <= tolerance
-        for c in ("lat", "lon"):
-            out[c] = found[c].where(near)
-        out["_at"] = found["_at"].where(near).astype("Int64")
-        last = rows[here].iloc[-1:] if here.any() else None
-        after = held if last is None else (
-            int(last["_us"].iloc[0]), float(last["lat"].iloc[0]), float(last["lon"].iloc[0]))
-        return out, after or (None, None, None)
-
-    def known(rows, held):
-        return step(rows, None if held is None or held[0] is None else held)
+            near &= rows["_us"].to_numpy()[asked] - at[asked] <= tolerance
+        for c, found in (("lat", lat), ("lon", lon), ("_at", at)):
+            out[c] = np.where(near, found[asked], np.nan)
+        out["_at"] = out["_at"].astype("Int64")
+        after = [(None, None, None) if np.isnan(at[b]) else (int(at[b]), float(lat[b]), float(lon[b]))
+                 for b in (ends - 1).tolist()]
+        return asked, out, after
 
     out = in_event_order(
         ours.unionByName(theirs), (key,), ["id", "name", "value", "lat", "lon", "_side"],
         "at bigint, lat double, lon double",
         "id bigint, _us bigint, name string, value double, lat double, lon double, _at bigint",
-        known, ["_us", "_side", "id"], delay, expiry_s)
+        step, ["_us", "_side", "id"], delay, expiry_s)
     return out.select("id", key, "name", F.timestamp_micros("_us").alias("time"), "value", "lat", "lon",
                       F.timestamp_micros("_at").alias("position_time"))
 

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from bisect import bisect_left
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -12,46 +13,42 @@ from pyspark.sql.streaming.state import GroupState
 from harrow.functions.times import gap_text
 from harrow.operators.counters import CAN_LINK, can_link_filter
 from harrow.streaming.event_time import in_event_order
-
-
-def _in_order(chunks: Iterator[pd.DataFrame], by: list[str]) -> pd.DataFrame:
-    """A key's rows of this batch; they arrive in chunks of no set order."""
-    return pd.concat(list(chunks), ignore_index=True).sort_values(by, ignore_index=True)
+from harrow.streaming.keyed import Keyed, Step, before_each, bucket, interval_sums, run_ends
 
 
 def _per_key(df: DataFrame, keys: tuple[str, ...], columns: list[str], state: str, out: str,
-             step: Callable[[pd.DataFrame, tuple | None], tuple[pd.DataFrame, tuple]],
-             by: list[str], event_time: dict | None = None) -> DataFrame:
-    """Run ``step(rows, state) -> (rows out, new state)`` per key and batch.
+             step: Step, by: list[str], event_time: dict | None = None) -> DataFrame:
+    """Run ``step`` over the keys' rows of each batch, a bucket of keys at a time.
 
     Times pass as microseconds in ``_us``. With ``event_time``, settings of ``in_event_order``, rows
     are taken in the order of their times instead of batch by batch.
     """
     if event_time is not None:
         return in_event_order(df, keys, columns, state, out, step, by, **event_time)
-    key_types = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
-    names = [c.split()[0] for c in out.split(", ")]
+    keyed = Keyed(df, keys, state, out, by)
 
-    def run(key: tuple, chunks: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        rows, after = step(_in_order(chunks, by), held.get if held.exists else None)
-        held.update(after)
-        if len(rows):
-            for name, value in zip(keys, key):
-                rows[name] = value
-            yield rows[[*keys, *names]]
+    def run(_, chunks: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        states = keyed.load(held.get if held.exists else None)
+        rows, starts, found = keyed.ordered(pd.concat(list(chunks), ignore_index=True))
+        at, out, after = step(rows, starts, [states.get(k) for k in found])
+        states.update(zip(found, after))
+        held.update(keyed.save(states))
+        if len(out):
+            yield keyed.named(rows, at, out)
 
     return (
-        df.select(*keys, F.unix_micros("time").alias("_us"), *columns).groupBy(*keys)
-        .applyInPandasWithState(run, f"{key_types}, {out}", state, "append", "NoTimeout"))
+        df.select(bucket(keys).alias("_bucket"), *keys, F.unix_micros("time").alias("_us"), *columns)
+        .groupBy("_bucket").applyInPandasWithState(run, keyed.out_type, keyed.state_type, "append", "NoTimeout"))
 
 
 def stream_rising_edge(df: DataFrame, threshold: int = 1,
                        keys: tuple[str, ...] = ("device", "subject"), event_time: dict | None = None) -> DataFrame:
     """State: the last reading. ``event_time``, e.g. ``{"delay": "10 minutes", "expiry_s": 86400}``: order by time."""
-    def step(rows: pd.DataFrame, held: tuple | None):
+    def step(rows: pd.DataFrame, starts: np.ndarray, held: list):
         reading = rows["reading"].to_numpy()
-        before = np.concatenate(([held[0] if held else 0], reading[:-1]))
-        return (rows[(reading >= threshold) & (before < threshold)].copy(), (int(reading[-1]),))
+        before = before_each(reading, starts, [h[0] if h else 0 for h in held])
+        at = np.flatnonzero((reading >= threshold) & (before < threshold))
+        return at, rows.iloc[at].copy(), [(int(r),) for r in reading[run_ends(starts, len(rows)) - 1]]
 
     out = _per_key(df, keys, ["id", "reading"], "last bigint",
                    "id bigint, _us bigint, reading bigint", step, ["_us", "id"], event_time)
@@ -60,15 +57,17 @@ def stream_rising_edge(df: DataFrame, threshold: int = 1,
 
 def stream_online_transitions(df: DataFrame, event_time: dict | None = None) -> DataFrame:
     """State: the online flag and when the device was last seen (-1 for never). ``event_time``: order by time."""
-    def step(rows: pd.DataFrame, held: tuple | None):
-        online, seen = held or (False, -1)
+    def step(rows: pd.DataFrame, starts: np.ndarray, held: list):
+        held = [h or (False, -1) for h in held]
         ok, us = rows["ok"].to_numpy(dtype=bool), rows["_us"].to_numpy()
-        before_ok = np.concatenate(([online], ok[:-1]))
-        good = np.where(ok, us, -1)
-        running = np.maximum.accumulate(np.concatenate(([seen], good)))
-        out = rows[ok != before_ok].copy()
-        out["_seen"] = running[:-1][ok != before_ok]
-        return out, (bool(ok[-1]), int(running[-1]))
+        ends = run_ends(starts, len(rows))
+        seen = np.repeat([h[1] for h in held], ends - starts)
+        good = pd.Series(np.where(ok, us, -1)).groupby(np.repeat(starts, ends - starts)).cummax().to_numpy()
+        running = np.maximum(seen, good)
+        at = np.flatnonzero(ok != before_each(ok, starts, [h[0] for h in held]))
+        out = rows.iloc[at].copy()
+        out["_seen"] = before_each(running, starts, [h[1] for h in held])[at]
+        return at, out, [(bool(o), int(r)) for o, r in zip(ok[ends - 1], running[ends - 1])]
 
     out = _per_key(df, ("device",), ["id", "ok"], "online boolean, seen bigint",
                    "id bigint, _us bigint, ok boolean, _seen bigint", step, ["_us", "id"], event_time)
@@ -87,7 +86,7 @@ def stream_idle_detect(counters: DataFrame, link_type: int = CAN_LINK) -> DataFr
     State: the last total, and the newest sample time with its sum so far. A sample time
     is complete when a later one of its device comes; a row that is later still is left out.
     """
-    def step(rows: pd.DataFrame, held: tuple | None):
+    def walk(rows: pd.DataFrame, held: tuple | None):
         last, newest, total = held or (0, -1, 0)
         sums = rows[rows["_us"] >= newest].groupby("_us")["rx_bytes"].sum()
         if held:
@@ -98,6 +97,11 @@ def stream_idle_detect(counters: DataFrame, link_type: int = CAN_LINK) -> DataFr
         out = pd.DataFrame({"_us": us[:-1][idle], "rx_bytes": totals[:-1][idle]})
         return out, (int(before[-1]), int(us[-1]), int(totals[-1]))
 
+    def step(rows: pd.DataFrame, starts: np.ndarray, held: list):
+        done = [walk(rows.iloc[a:b], h) for a, b, h in zip(starts, run_ends(starts, len(rows)), held)]
+        at = np.repeat(starts, [len(out) for out, _ in done])
+        return at, pd.concat([out for out, _ in done], ignore_index=True), [after for _, after in done]
+
     samples = can_link_filter(counters, link_type).where("rx_bytes IS NOT NULL AND time IS NOT NULL").withColumn(
         "rx_bytes", F.col("rx_bytes").cast("bigint"))
     out = _per_key(samples, ("device",), ["rx_bytes"], "last bigint, newest bigint, total bigint",
@@ -117,28 +121,36 @@ def stream_signal_stats_greedy(df: DataFrame, min_gap_s: float = 1.0,
     described = [c for c in ("pgn", "units", "min_value", "max_value") if c in df.columns]
     gap = int(round(min_gap_s * 1_000_000))
 
-    def step(rows: pd.DataFrame, held: tuple | None):
-        us, value = rows["_us"].to_numpy(), rows["value"].to_numpy()
-        last, n, total, squares, start = held or (int(us[0]), 0, 0.0, 0.0, 0)
-        published, closing, a = [], [], 0
-        while a < len(us):
-            reached = np.flatnonzero(us[a:] - last >= gap)
-            b = a + int(reached[0]) + 1 if len(reached) else len(us)
-            part = value[a:b]
-            start = start if n else int(us[a])
-            n, total = n + len(part), total + float(part.sum())
-            squares += float((part * part).sum())
-            if len(reached):
-                last = int(us[b - 1])
-                published.append((n, total, squares, total / n, start, last))
-                closing.append(b - 1)
-                n, total, squares = 0, 0.0, 0.0
-            a = b
-        out = pd.DataFrame(published, columns=[
-            "number", "sum_val", "sum_of_squares", "average", "_from", "_to"])
+    def step(rows: pd.DataFrame, starts: np.ndarray, held: list):
+        us, value = rows["_us"].to_numpy(), rows["value"].to_numpy(dtype=float)
+        ends, closing, opening, after = run_ends(starts, len(rows)), [], [], []
+        # Rows without a time come last in their run and publish nothing.
+        timed, times = np.add.reduceat(~np.isnan(us), starts).tolist(), us.tolist()
+        carried = []
+        for a, b, known, h in zip(starts.tolist(), ends.tolist(), timed, held):
+            last, n, total, squares, start = h or (int(times[a]), 0, 0.0, 0.0, 0)
+            known += a
+            while (c := bisect_left(times, last + gap, a, known)) < known:
+                carried.append((n, total, squares, start))
+                opening.append(a)
+                closing.append(c)
+                last, a, n, total, squares = int(times[c]), c + 1, 0, 0.0, 0.0
+            if a < b:
+                start = start if n else int(times[a])
+                part = value[a:b]
+                n, total, squares = n + b - a, total + float(part.sum()), squares + float((part * part).sum())
+            after.append((last, n, total, squares, start))
+        opening, closing = np.array(opening, dtype=np.int64), np.array(closing, dtype=np.int64)
+        n, total, squares, start = np.array(carried, dtype=np.float64).reshape(-1, 4).T
+        sums = [interval_sums(v, opening, closing) for v in (value, value * value)]
+        number = n.astype(np.int64) + closing - opening + 1
+        out = pd.DataFrame({
+            "number": number, "sum_val": total + sums[0], "sum_of_squares": squares + sums[1],
+            "average": (total + sums[0]) / number,
+            "_from": np.where(n > 0, start, us[opening]).astype(np.int64), "_to": us[closing].astype(np.int64)})
         for c in described:
             out[c] = rows[c].iloc[closing].to_numpy()
-        return out, (last, n, total, squares, start)
+        return closing, out, after
 
     out = _per_key(
         df.where(F.col("value").isNotNull()), keys, ["id", "value", *described],
