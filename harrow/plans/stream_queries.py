@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from harrow import operators as op
 from harrow import streaming as st
@@ -24,11 +24,18 @@ from harrow.session import shared_folder
 
 
 def fed(rows: DataFrame, name: str, run: Callable[[DataFrame, str], object], time: str = "time") -> str:
-    """Run a stream over slices of the rows; returns the folder it works in."""
+    """Run a stream over slices of the rows; returns the folder it works in.
+
+    The rows are computed and dealt into slices once; a slice then joins the stream's folder from its own.
+    """
     spark = rows.sparkSession
     base = shared_folder(spark, name)
-    for part in views.in_slices(rows, time):
-        part.write.mode("append").parquet(base + "/in")
+    part, n = views.slice_of(rows, time)
+    rows.withColumn("_slice", part).write.partitionBy("_slice").parquet(base + "/slices")
+    slices = spark.read.schema(T.StructType([*rows.schema.fields, T.StructField("_slice", T.IntegerType())])).parquet(
+        base + "/slices")
+    for k in range(n):
+        slices.where(F.col("_slice") == k).drop("_slice").write.mode("append").parquet(base + "/in")
         run(spark.readStream.schema(rows.schema).parquet(base + "/in"), base)
     return base
 

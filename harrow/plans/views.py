@@ -37,20 +37,20 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return as_events(table(spark, sf_dir, "events"))
 
 
-# Rows of a slice of a stream, at most about, once there are more than four.
-SLICE_ROWS = 500_000
+# Rows of a slice of a stream, at most about, once there are more than four. Every slice starts the
+# stream anew, with all its state, so their number must grow much slower than the rows.
+SLICE_ROWS = 8_000_000
 
 
-def in_slices(df: DataFrame, time: str) -> list[DataFrame]:
-    """Rows in consecutive slices of time of about equal size: four, or as many as the rows call for."""
+def slice_of(df: DataFrame, time: str) -> tuple[Column, int]:
+    """Number of a row's slice of time, and how many slices there are: four of about equal size, or as many as the
+    rows call for. Rows without a time are in the first."""
     n = max(4, df.count() // SLICE_ROWS + 1)
+    us = F.unix_micros(time)
     cuts = df.agg(F.percentile_approx(
-        F.unix_micros(time), F.array(*[F.lit(k / n) for k in range(1, n)]), F.lit(10_000))).first()[0] or []
-    us, bounds = F.unix_micros(time), sorted(set(cuts))
-    if not bounds:
-        return [df]
-    inner = [df.where((us > a) & (us <= b)) for a, b in zip(bounds, bounds[1:])]
-    return [df.where(us.isNull() | (us <= bounds[0])), *inner, df.where(us > bounds[-1])]
+        us, F.array(*[F.lit(k / n) for k in range(1, n)]), F.lit(10_000))).first()[0] or []
+    bounds = sorted(set(cuts))
+    return sum((F.coalesce(us > b, F.lit(False)).cast("int") for b in bounds), F.lit(0)), len(bounds) + 1
 
 
 _PGN = {"click": 61444, "view": 65265, "signup": 65262, "purchase": 65267}
