@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
-from harrow.streaming.keyed import Keyed, Step, before_each, bucket, run_ends
+from harrow.streaming.keyed import Keyed, Step, before_each, bucket, filled, run_ends
 from harrow.streaming.writers import found, start_batches
 
 STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
@@ -131,7 +131,7 @@ class _InOrder(StatefulProcessor):
             frame.columns = self.columns
             now = frame["_us"] <= watermark * 1000
             rest += self._chunks(frame[~now].set_axis(self.passed, axis=1))
-            rows, starts, found = self.keyed.ordered(frame[now])
+            rows, starts, found = self.keyed.ordered(frame[now], key[0])
             at, out = self._stepped(rows, starts, found, states)
             if rest:
                 self.waiting.put(rest)
@@ -145,7 +145,7 @@ class _InOrder(StatefulProcessor):
             over = {k for k, ms in expires.items() if ms <= watermark}
             if over and rest:
                 # A key whose rows wait is asked again when they come.
-                over -= self._keys_of(rest)
+                over -= self._keys_of(rest, key[0])
             states = {k: s for k, s in states.items() if k not in over}
             wake += [ms for k, ms in expires.items() if ms > watermark]
         if states:
@@ -155,10 +155,10 @@ class _InOrder(StatefulProcessor):
         if wake:
             self._wake_only(min(wake))
 
-    def _keys_of(self, chunks: list) -> set[tuple]:
+    def _keys_of(self, chunks: list, bucket: int) -> set[tuple]:
         frame = pd.concat([pa.ipc.open_stream(c[1]).read_pandas() for c in chunks], ignore_index=True)
         frame.columns = self.columns
-        return set(self.keyed.ordered(frame)[2])
+        return set(self.keyed.ordered(frame, bucket)[2])
 
     def _stepped(self, rows: pd.DataFrame, starts: np.ndarray, found: list[tuple],
                  states: dict[tuple, tuple]) -> tuple[np.ndarray, pd.DataFrame]:
@@ -197,7 +197,8 @@ def in_event_order(df: DataFrame, keys: tuple[str, ...], columns: list[str], sta
     keyed = Keyed(df, keys, state + ", _seen bigint", out, by)
     processor = _InOrder(step, keyed, columns, None if expiry_s is None else round(expiry_s * 1000))
     rows = df.withWatermark("time", delay).withColumn("_us", F.unix_micros("time")).select(
-        bucket(keys).alias("bucket"), "time", *[F.col(c).alias(f"c{i}") for i, c in enumerate(columns)])
+        bucket(keys).alias("bucket"), "time", *[
+            (filled(df, c) if c in keys else F.col(c)).alias(f"c{i}") for i, c in enumerate(columns)])
     return rows.groupBy("bucket").transformWithStateInPandas(processor, keyed.out_type, "append", "EventTime")
 
 

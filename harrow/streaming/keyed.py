@@ -12,7 +12,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 BUCKETS = 1024
 
@@ -23,11 +23,19 @@ Step = Callable[[pd.DataFrame, np.ndarray, list], tuple[np.ndarray, pd.DataFrame
 
 
 def bucket(keys: tuple[str, ...]) -> Column:
-    """Keys of one bucket have their NULLs in the same columns, so that numbers stay whole numbers in pandas."""
+    """Keys of one bucket have their NULLs in the same columns; the number of the bucket tells in which."""
     nulls = sum((F.col(k).isNull().cast("bigint") * 2 ** i for i, k in enumerate(keys)), F.lit(0))
     return nulls * BUCKETS + F.pmod(F.xxhash64(*keys), F.lit(BUCKETS))
 
 
+def filled(df: DataFrame, k: str) -> Column:
+    """A key without NULLs: one NULL would make all whole numbers of an Arrow batch floats in pandas."""
+    kind = df.schema[k].dataType
+    if isinstance(kind, T.NumericType):
+        return F.coalesce(F.col(k), F.lit(0).cast(kind)).alias(k)
+    return F.coalesce(F.col(k), F.lit("")).alias(k) if isinstance(kind, T.StringType) else F.col(k)
+
+
 class Keyed:
     """Rows and states of the keys of a bucket."""
 
@@ -46,10 +54,10 @@ class Keyed:
     def save(self, states: dict[tuple, tuple]) -> tuple:
         return tuple(list(c) for c in zip(*[(*k, *v) for k, v in states.items()]))
 
-    def ordered(self, rows: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray, list[tuple]]:
+    def ordered(self, rows: pd.DataFrame, bucket: int) -> tuple[pd.DataFrame, np.ndarray, list[tuple]]:
         """Rows sorted by key and order, where each key begins, and the keys."""
         codes = np.zeros(len(rows), dtype=np.int64)
-        nulls = {k for k in self.keys if rows[k].isna().all()}
+        nulls = [k for i, k in enumerate(self.keys) if bucket // BUCKETS >> i & 1]
         for k in self.keys:
             if k not in nulls:
                 code, values = pd.factorize(rows[k], use_na_sentinel=False)
@@ -57,12 +65,11 @@ class Keyed:
         rows = rows.assign(_code=codes).sort_values(["_code", *self.by], ignore_index=True)
         starts = np.flatnonzero(np.diff(rows["_code"].to_numpy(), prepend=-1))
         values = [[None] * len(starts) if k in nulls else rows[k].iloc[starts].tolist() for k in self.keys]
-        return rows, starts, list(zip(*values))
+        return rows.assign(**dict.fromkeys(nulls)), starts, list(zip(*values))
 
     def named(self, rows: pd.DataFrame, at: np.ndarray, out: pd.DataFrame) -> pd.DataFrame:
         for k in self.keys:
-            values = rows[k].iloc[at].array
-            out[k] = None if len(values) and values.isna().all() else values
+            out[k] = rows[k].iloc[at].array
         return out[self.columns]
 
 

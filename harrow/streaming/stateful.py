@@ -13,7 +13,7 @@ from pyspark.sql.streaming.state import GroupState
 from harrow.functions.times import gap_text
 from harrow.operators.counters import CAN_LINK, can_link_filter
 from harrow.streaming.event_time import in_event_order
-from harrow.streaming.keyed import Keyed, Step, before_each, bucket, interval_sums, run_ends
+from harrow.streaming.keyed import Keyed, Step, before_each, bucket, filled, interval_sums, run_ends
 
 
 def _per_key(df: DataFrame, keys: tuple[str, ...], columns: list[str], state: str, out: str,
@@ -27,9 +27,9 @@ def _per_key(df: DataFrame, keys: tuple[str, ...], columns: list[str], state: st
         return in_event_order(df, keys, columns, state, out, step, by, **event_time)
     keyed = Keyed(df, keys, state, out, by)
 
-    def run(_, chunks: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+    def run(group: tuple, chunks: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
         states = keyed.load(held.get if held.exists else None)
-        rows, starts, found = keyed.ordered(pd.concat(list(chunks), ignore_index=True))
+        rows, starts, found = keyed.ordered(pd.concat(list(chunks), ignore_index=True), group[0])
         at, out, after = step(rows, starts, [states.get(k) for k in found])
         states.update(zip(found, after))
         held.update(keyed.save(states))
@@ -37,7 +37,7 @@ def _per_key(df: DataFrame, keys: tuple[str, ...], columns: list[str], state: st
             yield keyed.named(rows, at, out)
 
     return (
-        df.select(bucket(keys).alias("_bucket"), *keys, F.unix_micros("time").alias("_us"), *columns)
+        df.select(bucket(keys).alias("_bucket"), *[filled(df, k) for k in keys], F.unix_micros("time").alias("_us"), *columns)
         .groupBy("_bucket").applyInPandasWithState(run, keyed.out_type, keyed.state_type, "append", "NoTimeout"))
 
 

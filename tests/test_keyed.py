@@ -8,6 +8,7 @@ from harrow import streaming as st
 from harrow.plans import stream_queries
 from harrow.streaming.keyed import BUCKETS
 from tests.conftest import rows
+from tests.test_event_time import run
 
 
 def test_state_is_kept_by_bucket(spark, tmp_path):
@@ -61,3 +62,14 @@ def test_slices_are_dealt_in_one_pass(spark, n):
     assert seen.value <= 3 * n
     assert [tuple(s) for s in sizes] == ([(k, k - 1) for k in (100, 200, 300, 400)] if n else [(0, None)])
     assert rows(spark.read.parquet(base + "/in")) == rows(data)
+
+
+def test_devices_beside_a_null_keep_their_numbers_and_state_in_event_order(spark, tmp_path):
+    second = 1_000_000
+    data = [(i, None if i % 5 == 0 else 2 ** 53 + 1 + i % 5, (i + 1) * second, i % 3 > 0) for i in range(60)]
+    schema = "id bigint, device bigint, us bigint, ok boolean"
+    parts = [spark.createDataFrame(p, schema).select("id", "device", F.timestamp_micros("us").alias("time"), "ok")
+             for p in (data[:30], data[30:], [(99, 1, 10 ** 10, True)])]
+    out, _ = run(spark, str(tmp_path), parts, 5, lambda df: st.stream_online_transitions(df, {"delay": "5 seconds"}))
+    want = op.online_transitions(parts[0].union(parts[1]))
+    assert rows(out) == rows(want.select(out.columns))
